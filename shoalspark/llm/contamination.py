@@ -171,9 +171,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
         return base.mapInArrow(near, out)
 
-    # beyond the bound: fingerprints meet in a join, keyed by a row number of the stable scan
+    # beyond the bound: fingerprints meet in a join; rows alike in id and text share their key and their answer
     spark = docs.sparkSession
-    base = base.withColumn("__row", F.monotonically_increasing_id())
+    base = base.withColumn("__row", F.xxhash64(F.col(f"`{id_col}`"), F.col("__text")))
     lengths = [r[0] for r in items.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in binary_list(b.column("words"))], pa.int32())], names=["n"]) for b in bs), "n int").where(f"n between 1 and {span - 1}").distinct().collect()]
 
     def prints(batches, key, whole):
