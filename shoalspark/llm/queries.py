@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, language, neardup, secrets, tokencount
+from . import bpe, contamination, language, neardup, ngramlm, secrets, tokencount
 from .common import pick, table
 
 
@@ -19,6 +19,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), keep=("doc_id",))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
+    return ngramlm.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), keep=("doc_id",))
 
