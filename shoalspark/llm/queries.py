@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, language, lattice, neardup, ngramlm, secrets, suffix, tokencount
+from . import bpe, contamination, html, language, lattice, neardup, ngramlm, secrets, suffix, tokencount
 from .common import pick, table
 
 
@@ -15,6 +15,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
