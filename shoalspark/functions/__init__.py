@@ -1 +1 @@
-"""Part of shoalspark."""
+"""Column expressions: radiometry, optics, geometry, dates."""

@@ -1 +1 @@
-"""Part of shoalspark."""
+"""Relational operators over pixel, band, matchup and segment tables."""

@@ -1 +1 @@
-"""Part of shoalspark."""
+"""End-to-end plans over scenes."""

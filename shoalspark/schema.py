@@ -1,0 +1,6 @@
+"""Canonical schemas of scenes, pixels, in-situ points and matchups."""
+
+SCENE_DDL = "image_id string, acq_time timestamp, z double, wavelength array<double>, fwhm array<double>, affine array<double>, crs string, level string, aod550 double, wind_speed double, wind_direction double, pressure_hpa double, water_vapor double, ozone double, attrs map<string,string>"
+PIXEL_DDL = "image_id string, row int, col int, x double, y double, tile_y int, tile_x int, sun_zenith double, sun_azimuth double, view_zenith double, view_azimuth double, relative_azimuth double, sample_index int, line_index int, valid boolean, radiance array<double>"
+INSITU_DDL = "uuid string, date_time timestamp, lat double, lon double, wavelength double, rho double"
+MATCHUP_DDL = "uuid string, image_name string, land boolean, x double, y double, wavelength double, rho_t double, rho_t_hat double, rho_w double, sky_glint double, rho_path double, t_ra double, s_ra double, t_g double"

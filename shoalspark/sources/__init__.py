@@ -1 +1 @@
-"""Part of shoalspark."""
+"""Readers and writers: scenes, headers, flight lines, in-situ tables."""

@@ -1 +1 @@
-"""Part of shoalspark."""
+"""Landing folders of scenes as a stream."""
