@@ -76,22 +76,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class TokenHashes(dict):
-    """Token bytes to a signed-free 64-bit hash, the same in every process; forgets all when full."""
+    """Token bytes to a place in ``hash``, their 64-bit hashes, the same in every process; forgets all when full."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
+        self.hash = np.empty(1 << 12, U64)
 
     def __missing__(self, token: bytes) -> int:
         import xxhash
 
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[token] = xxhash.xxh3_64_intdigest(token)
-        return h
+        k = self[token] = len(self)
+        if k == len(self.hash):
+            self.hash = np.concatenate([self.hash, np.empty_like(self.hash)])
+        self.hash[k] = xxhash.xxh3_64_intdigest(token)
+        return k
+
+    def places(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
     def array(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), dtype=U64, count=len(tokens))
+        if len(self) > self.limit:
+            self.clear()
+        at = self.places(tokens)  # first: it may move the hashes
+        return self.hash[at]
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -67,8 +67,7 @@ class Items:
         for words in self.words:
             for x in words:
                 self.ids.setdefault(x, len(self.ids))
-        hashes = TokenHashes(1 << 62)
-        self.hash = np.append(hashes.array(list(self.ids)), U64(0))
+        self.hash = np.append(TokenHashes().array(list(self.ids)), U64(0))
         self.coded = [np.array([self.ids[x] for x in words], np.int64) for words in self.words]
         self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for i, coded in enumerate(self.coded):

@@ -7,7 +7,7 @@ misses. The filter is built in pieces: n-gram hashes are dealt by their
 leading bits, each piece of the hash space sorts and sums its own n-grams and
 sets the bits of its own piece of the filter. N-grams travel as sorted,
 delta-coded blobs, aggregated before the shuffle. The filter's size is a
-parameter (``filter_bits``, 64 MB), so what is broadcast is bounded at every
+parameter (``filter_bits``, 32 MB), so what is broadcast is bounded at every
 input size; a fuller filter errs more often, always towards higher counts.
 
 The model is an interpolated bigram: P(w|h) = a(h) c(h w)/c(h) + (1 - a(h))
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import TokenHashes, U64, binary_list, materialize, mix64, row_count_partitions
 
-FILTER_BITS, PROBES, LEVEL_BASE, BACKOFF = 1 << 29, 3, 2.0, 2.0
+FILTER_BITS, PROBES, LEVEL_BASE, BACKOFF = 1 << 28, 3, 2.0, 2.0
 END = b""  # never a word
 PIECES = 64  # pieces of the filter, at least; more as the input grows
 
@@ -95,12 +95,12 @@ def lead(h: np.ndarray) -> np.ndarray:
 
 
 def pack(h: np.ndarray, c: np.ndarray) -> bytes:
-    """Sorted hashes (kept to 44 leading bits) and their counts as delta bytes."""
+    """Sorted hashes (kept to 44 leading bits) and their counts as delta bytes, plane by plane."""
     import zstandard
 
     h = h >> U64(20)
-    h, inverse = np.unique(h, return_inverse=True)
-    c = np.bincount(inverse, weights=c).astype(np.uint32)
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    h, c = h[first], np.minimum(np.add.reduceat(c, first), (1 << 32) - 1)
     d = np.diff(h, prepend=U64(0))
     planes = d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
     return len(h).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes + c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
@@ -121,7 +121,16 @@ def _bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
 
-def _chunks(batches, n: int = 24_000_000):
+def _plus(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """``n`` with one added at each place ``k``, grown as needed."""
+    more = np.bincount(k)
+    if len(more) > len(n):
+        n = np.concatenate([n, np.zeros(max(len(more), 2 * len(n)) - len(n), np.int64)])
+    n[: len(more)] += more
+    return n
+
+
+def _chunks(batches, n: int = 8_000_000):
     """Texts of some batches together, about ``n`` bytes at a time: a larger map-side aggregate."""
     held, size = [], 0
     for batch in batches:
@@ -143,13 +152,18 @@ def build_filter(docs: DataFrame, n_bytes: int, filter_bits: int = FILTER_BITS)
     part_bits = filter_bits // pieces
 
     def count(batches):
-        cache = TokenHashes()
         for texts in _chunks(batches):
-            parts = []
+            pairs = []
+            local = TokenHashes()
+            n_of = np.zeros(0, np.int64)
             for t in texts:
-                h = cache.array(tokens(t))
-                parts += [mix64(h), bigrams(h)]
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
+                k = local.places(tokens(t))
+                pairs.append(bigrams(local.hash[k]))
+                n_of = _plus(n_of, k)
+            h, c = np.unique(np.concatenate(pairs), return_counts=True)
+            h, c = np.concatenate([h, mix64(local.hash[: len(local)])]), np.concatenate([c, n_of[: len(local)]])
+            order = np.argsort(h, kind="stable")
+            h, c = h[order], c[order]
             cuts = np.searchsorted(h >> shift, np.arange(pieces + 1).astype(U64))
             full = [i for i in range(pieces) if cuts[i] < cuts[i + 1]]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(h[cuts[i] : cuts[i + 1]], c[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())], names=["piece", "blob"])
@@ -219,33 +233,33 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     def score_block(docs_table: pa.Table, dictionary: pa.Table) -> pa.Table:
         lm: Filter = sent.value
-        known = dict(zip(dictionary.column("token").to_pylist(), dictionary.column("c").to_pylist()))
         floor = n + v + 1
-        cache = TokenHashes()
+        local = TokenHashes()
+        known = local.places(dictionary.column("token").to_pylist())
+        exact = np.zeros(len(known), np.int64)
+        exact[known] = dictionary.column("c").to_numpy()
         n_tok, n_known, base_score, scores = [], [], [], []
         texts = binary_list(docs_table.column("text").combine_chunks())
-        for at in range(0, len(texts), 256):
-            toks = [tokens(t) for t in texts[at : at + 256]]
-            h = [cache.array(t) for t in toks]
-            flat = np.concatenate(h)
-            ends = np.cumsum([len(t) for t in toks])
-            uni, inverse = np.unique(flat, return_inverse=True)
-            c1 = lm.counts(lead(mix64(uni)))[inverse] if n else np.zeros(len(flat))
-            pair, back = np.unique(np.concatenate([bigrams(x) for x in h]), return_inverse=True)
-            c2 = lm.counts(lead(pair))[back] if n else np.zeros(len(flat))
-            prior = np.empty_like(c1)
-            prior[1:] = c1[:-1]
-            starts = np.append(0, ends[:-1])
-            prior[starts] = c1[ends - 1]
+        read = np.zeros(0)  # what the filter holds of each token seen so far
+        for text in texts:
+            k = local.places(tokens(text))
+            if len(local) > len(exact):
+                exact = np.concatenate([exact, np.zeros(2 * len(local) - len(exact), np.int64)])
+            if len(local) > len(read):
+                new = local.hash[len(read) : len(local)]
+                read = np.concatenate([read, lm.counts(lead(mix64(new))) if n else np.zeros(len(new))])
+            c, c1 = exact[k], read[k]
+            n_tok.append(len(k)), n_known.append(int((c > 0).sum()))
+            base_score.append(float(np.log10((c + 1) / floor).sum()))
+            if not n:
+                scores.append(0.0)
+                continue
+            c2 = lm.counts(lead(bigrams(local.hash[k])))
+            prior = np.append(c1[-1], c1[:-1])
             p1 = (c1 + 1) / floor
-            ratio = np.where(prior > 0, np.minimum(c2, prior) / np.maximum(prior, 1), 0.0)
             a = prior / (prior + BACKOFF)
-            logp = np.minimum(0.0, np.log10(np.where(prior > 0, a * ratio + (1 - a) * p1, p1)))
-            for t, s, e in zip(toks, starts, ends):
-                c = np.fromiter((known.get(x, 0) for x in t), np.int64, len(t))
-                n_tok.append(len(t)), n_known.append(int((c > 0).sum()))
-                base_score.append(float(np.log10((c + 1) / floor).sum()))
-                scores.append(float(logp[s:e].sum()) if n else 0.0)
+            p2 = a * np.minimum(c2, prior) / np.maximum(prior, 1) + (1 - a) * p1
+            scores.append(float(np.minimum(0.0, np.log10(np.where(prior > 0, p2, p1))).sum()))
         return pa.table({id_col: docs_table.column("id"), "held_out": docs_table.column("held_out"), "n_tokens": pa.array(n_tok, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     id_type = base.schema["id"].dataType.simpleString()
