@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, contamination, html, language, lattice, neardup, ngramlm, secrets, suffix, tokencount
 from .common import pick, table
+from .oracles import SQL
 
 
 def _vocabulary(name: str) -> str:
@@ -65,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_secret_scan": secrets.ORACLE}
+    return dict(SQL)
