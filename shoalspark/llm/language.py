@@ -9,8 +9,8 @@ solved; whole batches of texts are scored by two matrix products.
 
 The classifier is fitted on at most ``per_class`` labelled texts of each
 language, the rows of least id hash (a documented bound: the fit needs no
-more); a text enters the fit by its first ``fit_chars`` characters. Scoring
-reads whole texts.
+more), of those with at most ``fit_chars`` characters, so that what the driver
+holds is bounded in bytes too. Texts are used whole, in fitting and scoring.
 
 Texts that are null or hold no letter are ``und`` with score 0, as is every
 text if nothing was learned. Ties between languages go to the first in sorted
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_list
 
-PER_CLASS, LANDMARKS, RIDGE, FIT_CHARS = 300, 160, 1e-2, 20_000
+PER_CLASS, LANDMARKS, RIDGE, FIT_CHARS = 300, 160, 1e-2, 200_000
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else (0x20 if c in (9, 10, 11, 12, 13) else c) for c in range(256))
 _SIZES = (1 << 8, 1 << 16, 1 << 24)
@@ -128,7 +128,7 @@ def fit(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where=None, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, ridge: float = RIDGE, fit_chars: int = FIT_CHARS) -> dict:
     """Fit on a bounded sample: for each language the ``per_class`` rows of least id hash."""
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = rows.where("text is not null and lang is not null")
+    rows = rows.where("text is not null and lang is not null").where(F.length("text") <= fit_chars)
     rows = rows.where(where(F.col("id"))) if where is not None else rows
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -138,7 +138,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, min(1.0, (per_class + 4 * per_class**0.5) / n)).otherwise(share)
-    got = rows.where(rank < share).select("lang", F.xxhash64("id").alias("h"), "id", F.substring("text", 1, fit_chars).alias("text"))
+    got = rows.where(rank < share).select("lang", F.xxhash64("id").alias("h"), "id", "text")
     texts, langs, had = [], [], {}
     for r in sorted(got.collect(), key=lambda r: (r["lang"], r["h"], r["id"] or "", r["text"])):
         if had.setdefault(r["lang"], 0) < per_class and _LETTER.search(r["text"]):
