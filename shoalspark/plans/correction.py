@@ -45,26 +45,13 @@ def atmosphere(pixels: DataFrame, key: Sequence[str], aerosol: DataFrame, aeroso
     a, aspec = lut.bind(aerosol, aerosol_spec, {k: v for k, v in scene.items() if k in aerosol_spec.axes})
     g, gspec = lut.bind(gas, gas_spec, {k: v for k, v in scene.items() if k in gas_spec.axes})
 
-    def arrays(df: DataFrame, outputs: Sequence[str]) -> DataFrame:
-        packed = df.groupBy(*[c for c in df.columns if c.startswith("i_")]).agg(F.array_sort(F.collect_list(F.struct("wl_idx", *outputs))).alias("b"))
-        return packed
-
-    # corners carry whole bands as one row, so a pixel joins 8 rows, not 8 x bands
-    wide_a, wide_g = arrays(a, aspec.outputs), arrays(g, gspec.outputs)
-    out = pixels.select(*key, *lut.PIXEL_AXES)
-    for nodes, spec in ((wide_a, aspec), (wide_g, gspec)):
-        out = out.join(_corner_arrays(pixels.select(*key, *lut.PIXEL_AXES), nodes, spec, key), list(key), "left")
-    return out.drop(*lut.PIXEL_AXES)
-
-
-def _corner_arrays(pixels: DataFrame, nodes: DataFrame, spec: lut.LutSpec, key: Sequence[str]) -> DataFrame:
-    weighted = lut.lookup(pixels, nodes.withColumn("one", F.lit(1.0)), lut.LutSpec(spec.axes, ["one"]), key)  # which pixels lie inside
-    inside = weighted.where("one > 0").select(*key)
-    d = pixels.join(inside, list(key), "left_semi")
-    exploded = nodes.select(*[f"i_{a}" for a in spec.axes], F.inline("b"))
-    got = lut.lookup(d, exploded, spec, key)
-    sort = lambda o: F.transform(F.array_sort(F.collect_list(F.struct("wl_idx", F.col(o).alias("v")))), lambda x: x["v"]).alias(o)
-    return got.groupBy(*key).agg(*[sort(o) for o in spec.outputs])
+    axes = pixels.select(*key, *lut.PIXEL_AXES)
+    out = pixels.select(*key)
+    for nodes, spec in ((a, aspec), (g, gspec)):
+        got = lut.lookup(axes, nodes, spec, key)
+        in_order = lambda o: F.transform(F.array_sort(F.collect_list(F.struct("wl_idx", F.col(o).alias("v")))), lambda x: x["v"]).alias(o)
+        out = out.join(got.groupBy(*key).agg(*[in_order(o) for o in spec.outputs]), list(key), "left")
+    return out
 
 
 def l2r(l1: DataFrame, atm: DataFrame, key: Sequence[str], wavelengths: Sequence[float], exact: bool = False) -> DataFrame:

@@ -110,7 +110,7 @@ def table(df, col):
 
 def test_rasters(spark):
     g = grid(spark, [[None, 1, None], [None, None, 2], [3, None, None]])
-    assert table(raster.fill_gaps(g, "v"), "filled") == [[1, 1, 1], [2, 1, 2], [3, 3, 3]]
+    assert table(raster.fill_gaps(g, "v"), "filled") == [[1, 1, 1], [1, 1, 2], [3, 3, 3]]
     flat = grid(spark, [[5] * 6] * 5)
     assert all(x == pytest.approx(5) for row in table(raster.gaussian(flat, "v", 1.0), "smooth") for x in row)
     assert all(x == pytest.approx(0.1, rel=1e-3) for row in table(raster.local_sigma(flat, "v", 1.0), "sigma") for x in row)
@@ -245,7 +245,7 @@ def test_bottom_prior():
 
 def test_image_segmentation(spark):
     p = spark.createDataFrame([(r, c, 0.0 if c < 6 else 10.0) for r in range(12) for c in range(12)], "row int, col int, f double")
-    for how, opts in (("graph", {"scale": 1.0, "min_size": 5}), ("slic", {"area": 72, "compactness": 0.01})):
+    for how, opts in (("graph", {"scale": 1.0, "min_size": 5}), ("slic", {"area": 36, "compactness": 0.01})):
         got = imageseg.segment(p, ["f"], how, **opts).collect()
         left, right = ({r["seg_id"] for r in got if (r["col"] < 6) == side} for side in (True, False))
         assert len(got) == 144 and not left & right
