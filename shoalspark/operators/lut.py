@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -32,12 +33,13 @@ class LutSpec:
     units: Mapping[str, str] | None = None
 
     def grid(self, spark: SparkSession) -> DataFrame:
-        """All nodes: a product of the axes, index and value of each."""
-        out = None
-        for name, values in self.axes.items():
-            one = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"`i_{name}` int, `{name}` double")
-            out = one if out is None else out.crossJoin(one)  # the product is the grid
-        return out
+        """All nodes, index and value of each axis: one range read in mixed radix, no join."""
+        out, stride = spark.range(math.prod(len(v) for v in self.axes.values())), 1
+        for name, values in reversed(self.axes.items()):
+            i = (F.floor(F.col("id") / stride) % len(values)).cast("int")
+            out = out.withColumns({f"i_{name}": i, name: F.get(F.array(*[F.lit(float(v)) for v in values]), i)})
+            stride *= len(values)
+        return out.drop("id")
 
 
 def bracket(x: Column, axis: Sequence[float]) -> tuple[Column, Column]:
@@ -125,7 +127,7 @@ def synthetic(spark: SparkSession, spec: LutSpec, wavelengths: Sequence[float] =
     rng = random.Random(seed)
     out = spec.grid(spark)
     if wavelengths:
-        out = out.crossJoin(spark.createDataFrame([(i, float(w)) for i, w in enumerate(wavelengths)], "wl_idx int, wavelength double"))
+        out = out.select("*", F.posexplode(F.array(*[F.lit(float(w)) for w in wavelengths])).alias("wl_idx", "wavelength"))
     for o in spec.outputs:
         value = F.lit(0.05 + 0.1 * rng.random())
         for a, v in spec.axes.items():
