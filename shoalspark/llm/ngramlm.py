@@ -121,15 +121,6 @@ def _bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
 
-def _plus(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """``n`` with one added at each place ``k``, grown as needed."""
-    more = np.bincount(k)
-    if len(more) > len(n):
-        n = np.concatenate([n, np.zeros(max(len(more), 2 * len(n)) - len(n), np.int64)])
-    n[: len(more)] += more
-    return n
-
-
 def _chunks(batches, n: int = 8_000_000):
     """Texts of some batches together, about ``n`` bytes at a time: a larger map-side aggregate."""
     held, size = [], 0
@@ -153,15 +144,12 @@ def build_filter(docs: DataFrame, n_bytes: int, filter_bits: int = FILTER_BITS)
 
     def count(batches):
         for texts in _chunks(batches):
-            pairs = []
             local = TokenHashes()
-            n_of = np.zeros(0, np.int64)
-            for t in texts:
-                k = local.places(tokens(t))
-                pairs.append(bigrams(local.hash[k]))
-                n_of = _plus(n_of, k)
+            all_ = [local.places(tokens(t)) for t in texts]
+            n_of = np.bincount(np.concatenate(all_))
+            pairs = [bigrams(local.hash[k]) for k in all_]
             h, c = np.unique(np.concatenate(pairs), return_counts=True)
-            h, c = np.concatenate([h, mix64(local.hash[: len(local)])]), np.concatenate([c, n_of[: len(local)]])
+            h, c = np.concatenate([h, mix64(local.hash[: len(local)])]), np.concatenate([c, n_of])
             order = np.argsort(h, kind="stable")
             h, c = h[order], c[order]
             cuts = np.searchsorted(h >> shift, np.arange(pieces + 1).astype(U64))
@@ -241,25 +229,32 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         n_tok, n_known, base_score, scores = [], [], [], []
         texts = binary_list(docs_table.column("text").combine_chunks())
         read = np.zeros(0)  # what the filter holds of each token seen so far
-        for text in texts:
-            k = local.places(tokens(text))
+        for at in range(0, len(texts), 64):
+            each = [local.places(tokens(t)) for t in texts[at : at + 64]]
             if len(local) > len(exact):
                 exact = np.concatenate([exact, np.zeros(2 * len(local) - len(exact), np.int64)])
             if len(local) > len(read):
                 new = local.hash[len(read) : len(local)]
                 read = np.concatenate([read, lm.counts(lead(mix64(new))) if n else np.zeros(len(new))])
+            k = np.concatenate(each)
+            size = np.array([len(x) for x in each])
+            start = np.append(0, np.cumsum(size)[:-1])
             c, c1 = exact[k], read[k]
-            n_tok.append(len(k)), n_known.append(int((c > 0).sum()))
-            base_score.append(float(np.log10((c + 1) / floor).sum()))
+            n_tok += size.tolist()
+            n_known += np.add.reduceat((c > 0).astype(np.int64), start).tolist()
+            logs = np.log10((c + 1) / floor)
+            base_score += [float(logs[s : s + z].sum()) for s, z in zip(start, size)]
             if not n:
-                scores.append(0.0)
+                scores += [0.0] * len(each)
                 continue
-            c2 = lm.counts(lead(bigrams(local.hash[k])))
-            prior = np.append(c1[-1], c1[:-1])
+            c2 = lm.counts(lead(np.concatenate([bigrams(local.hash[x]) for x in each])))
+            prior = np.append(c1[-1:], c1[:-1])
+            prior[start] = c1[start + size - 1]  # a text's first token follows the end token
             p1 = (c1 + 1) / floor
             a = prior / (prior + BACKOFF)
             p2 = a * np.minimum(c2, prior) / np.maximum(prior, 1) + (1 - a) * p1
-            scores.append(float(np.minimum(0.0, np.log10(np.where(prior > 0, p2, p1))).sum()))
+            logp = np.minimum(0.0, np.log10(np.where(prior > 0, p2, p1)))
+            scores += [float(logp[s : s + z].sum()) for s, z in zip(start, size)]
         return pa.table({id_col: docs_table.column("id"), "held_out": docs_table.column("held_out"), "n_tokens": pa.array(n_tok, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     id_type = base.schema["id"].dataType.simpleString()
