@@ -3,21 +3,23 @@
 The filter holds each n-gram with its quantised count: level q stands for a
 count of ``base ** (q - 1)``, and an n-gram of level q is entered q times, as
 (n-gram, 1) .. (n-gram, q). Reading a count is probing 1, 2, .. until a probe
-misses. The filter is built in pieces: n-gram hashes are dealt by their
-leading bits, each piece of the hash space sorts and sums its own n-grams and
-sets the bits of its own piece of the filter. N-grams travel as sorted,
-delta-coded blobs, aggregated before the shuffle. The filter's size is a
-parameter (``filter_bits``, 32 MB), so what is broadcast is bounded at every
-input size; a fuller filter errs more often, always towards higher counts.
+misses, or passes the largest level entered. The filter is built in pieces:
+n-gram hashes are dealt by their leading bits, each piece of the hash space
+sorts and sums its own n-grams and sets the bits of its own piece of the
+filter, sized by the entries counted there (``ENTRY_BITS`` or more each). So
+the filter grows with the input and errs as often at every size, always
+towards higher counts. Pieces are more as the input grows, and are never sent
+to all: each block of documents sends its distinct n-grams to the pieces, with
+their counts; a task holds one piece at a time, and the levels read there go
+back to the block. N-grams travel as sorted, delta-coded blobs.
 
 The model is an interpolated bigram: P(w|h) = a(h) c(h w)/c(h) + (1 - a(h))
 P1(w), a(h) = c(h) / (c(h) + K) and P1(w) = (c(w) + 1) / (N + V + 1), with all
 counts read from the filter. An end token closes every text and opens the
 next one's history.
 
-The base score needs each token's exact count. Documents are dealt into
-blocks; each block sends its distinct tokens (not its occurrences) to the
-table of counts and gets its own dictionary back.
+The base score needs each token's exact count. Each block sends its distinct
+tokens (not its occurrences) the same way, and gets their exact counts back.
 
 Null texts are empty: one token, the end. A null id hashes as an empty string.
 With nothing to learn from, N = V = 0: the base score is that of the formula
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import TokenHashes, U64, binary_list, materialize, mix64, row_count_partitions
 
-FILTER_BITS, PROBES, LEVEL_BASE, BACKOFF = 1 << 28, 3, 2.0, 2.0
+FILTER_BITS, ENTRY_BITS, PROBES, LEVEL_BASE, BACKOFF = 1 << 20, 10, 3, 2.0, 2.0
 END = b""  # never a word
 PIECES = 64  # pieces of the filter, at least; more as the input grows
 
@@ -64,20 +66,24 @@ def places(h: np.ndarray, q: int, bits: int, probes: int = PROBES) -> list[np.nd
 
 
 class Filter:
-    """Bits in ``pieces`` equal parts; an n-gram's part is named by its leading bits."""
+    """Bits in ``pieces`` equal parts; an n-gram's part is named by its leading bits. No level is above ``top``."""
 
-    def __init__(self, data: np.ndarray, pieces: int, probes: int = PROBES, base: float = LEVEL_BASE):
-        self.data, self.pieces, self.probes, self.base = data, pieces, probes, base
+    def __init__(self, data: np.ndarray, pieces: int, probes: int = PROBES, base: float = LEVEL_BASE, top: int = 64):
+        self.data, self.pieces, self.probes, self.base, self.top = data, pieces, probes, base, top
         self.bits = len(data) * 8 // pieces
         self.shift = U64(64 - (pieces.bit_length() - 1))
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Estimated counts: the level's count for n-grams held, 0 for others."""
+        return counts_of(self.levels(h), self.base)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels held of n-grams, 0 for those not held."""
         q = np.zeros(len(h), np.int64)
         at = np.arange(len(h))
-        start = (h >> self.shift) * U64(self.bits)
+        start = (h >> self.shift) * U64(self.bits) if self.pieces > 1 else np.zeros(len(h), U64)
         n = 1
-        while len(at):
+        while len(at) and n <= self.top:
             held = np.ones(len(at), bool)
             for p in places(h[at], n, self.bits, self.probes):
                 live = np.flatnonzero(held)
@@ -86,7 +92,11 @@ class Filter:
             at = at[held]
             q[at] = n
             n += 1
-        return np.where(q > 0, self.base ** (q - 1), 0.0)
+        return q
+
+
+def counts_of(q: np.ndarray, base: float = LEVEL_BASE) -> np.ndarray:
+    return np.where(q > 0, base ** (q.astype(np.float64) - 1), 0.0)
 
 
 def lead(h: np.ndarray) -> np.ndarray:
@@ -121,142 +131,164 @@ def _bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
 
 
-def _chunks(batches, n: int = 8_000_000):
-    """Texts of some batches together, about ``n`` bytes at a time: a larger map-side aggregate."""
-    held, size = [], 0
-    for batch in batches:
-        for t in binary_list(batch.column("text")):
-            held.append(t)
-            size += len(t) + 1
-            if size >= n:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def build_filter(docs: DataFrame, n_bytes: int, filter_bits: int = FILTER_BITS) -> Filter:
-    """Count the texts' words and bigrams into a filter; ``docs`` has the column text."""
-    spark = docs.sparkSession
-    pieces = 1 << max(PIECES.bit_length() - 1, min(int(n_bytes // (8 << 20)).bit_length(), (filter_bits >> 12).bit_length()))
-    shift = U64(64 - (pieces.bit_length() - 1))
-    part_bits = filter_bits // pieces
-
-    def count(batches):
-        for texts in _chunks(batches):
-            local = TokenHashes()
-            all_ = [local.places(tokens(t)) for t in texts]
-            n_of = np.bincount(np.concatenate(all_))
-            pairs = [bigrams(local.hash[k]) for k in all_]
-            h, c = np.unique(np.concatenate(pairs), return_counts=True)
-            h, c = np.concatenate([h, mix64(local.hash[: len(local)])]), np.concatenate([c, n_of])
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
-            cuts = np.searchsorted(h >> shift, np.arange(pieces + 1).astype(U64))
-            full = [i for i in range(pieces) if cuts[i] < cuts[i + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(h[cuts[i] : cuts[i + 1]], c[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())], names=["piece", "blob"])
-
-    def enter(batches):
-        from .neardup import runs
-
-        for run in runs(batches, ["piece"]):
-            blobs = [unpack(b) for b in run.column("blob").to_pylist()]
-            h, inverse = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
-            q = level(np.bincount(inverse, weights=np.concatenate([b[1] for b in blobs])))
-            bits = np.zeros(part_bits, bool)
-            for n in range(1, int(q.max()) + 1):
-                for p in places(h[q >= n], n, part_bits):
-                    bits[p.astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([run.column("piece").combine_chunks().slice(0, 1), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["piece", "bits"])
-
-    blobs = docs.mapInArrow(count, "piece int, blob binary")
-    parts = materialize(blobs.repartition(pieces, "piece").sortWithinPartitions("piece").mapInArrow(enter, "piece int, bits binary"), "filter")
-    data = np.zeros(filter_bits // 8, np.uint8)
-    size = part_bits // 8
-    for r in parts.toLocalIterator():  # filter_bits / 8 bytes at every input size
-        data[r["piece"] * size : (r["piece"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(data, pieces)
-
+def piece_count(n_bytes: int) -> int:
+    """Pieces, a power of two: one to about 8 MB of text."""
+    return 1 << max(PIECES.bit_length() - 1, int(n_bytes // (8 << 20)).bit_length())
+
+
+def cut(h: np.ndarray, pieces: int) -> tuple[list[int], np.ndarray]:
+    """The pieces that sorted hashes fall in, and where each piece begins and ends."""
+    cuts = np.searchsorted(h >> U64(64 - (pieces.bit_length() - 1)), np.arange(pieces + 1).astype(U64))
+    return np.flatnonzero(cuts[:-1] < cuts[1:]).tolist(), cuts
+
+
+def piece_filter(h: np.ndarray, q: np.ndarray, least: int) -> Filter:
+    """The filter of one piece's n-grams and levels: ``ENTRY_BITS`` bits or more to every entry."""
+    bits = max(8, least, 1 << (max(1, int(q.sum()) * ENTRY_BITS) - 1).bit_length())
+    held = np.zeros(bits, bool)
+    top = int(q.max()) if len(q) else 0
+    for n in range(1, top + 1):
+        for p in places(h[q >= n], n, bits):
+            held[p.astype(np.int64)] = True
+    return Filter(np.packbits(held, bitorder="little"), 1, top=top)
+
+
+def word_order(local: TokenHashes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A block's tokens and their n-gram hashes, and the order of the hashes (of the tokens on ties)."""
+    words, h = list(local), mix64(local.hash[: len(local)])
+    order = np.argsort(h, kind="stable")
+    if (h[order][1:] == h[order][:-1]).any():
+        order = np.array(sorted(range(len(words)), key=lambda i: (h[i], words[i])))
+    return words, h, order
+
+
+def count_blocks(dealt: DataFrame, pieces: int) -> DataFrame:
+    """(block, piece, grams, words, counts): a block's n-grams and tokens in each piece, with their counts in texts to learn from."""
+
+    def send(block: int, local: TokenHashes, learn: list, other: list):
+        import zstandard
+
+        words, h, order = word_order(local)
+        n_of = np.bincount(np.concatenate([k for k, _ in learn] or [np.empty(0, np.int64)]), minlength=len(words))
+        h1, c1 = np.unique(np.concatenate([p for _, p in learn] or [np.empty(0, U64)]), return_counts=True)
+        h2 = np.unique(np.concatenate([p for _, p in other] or [np.empty(0, U64)]))
+        g, c = np.concatenate([h1, h2, h]), np.concatenate([c1, np.zeros(len(h2), np.int64), n_of])
+        at = np.argsort(g, kind="stable")
+        g, c = g[at], c[at]
+        full, cuts = cut(g, pieces)
+        _, ends = cut(h[order], pieces)
+        packer = zstandard.ZstdCompressor(level=1)
+        rows = []
+        for i in full:
+            mine = order[ends[i] : ends[i + 1]]
+            rows.append((pack(g[cuts[i] : cuts[i + 1]], c[cuts[i] : cuts[i + 1]]), packer.compress(b"\n".join([words[j] for j in mine])), n_of[mine].astype("<i8").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(full), pa.int32()), pa.array(full, pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2)), pa.array([packer.compress(r[2]) for r in rows], pa.binary())], names=["block", "piece", "grams", "words", "counts"])
+
+    def run(batches):
+        block, local, learn, other = None, TokenHashes(), [], []
+        for batch in batches:
+            for b, held, t in zip(batch.column("block").to_pylist(), batch.column("held_out").to_pylist(), binary_list(batch.column("text"))):
+                if b != block:
+                    if block is not None:
+                        yield from send(block, local, learn, other)
+                    block, local, learn, other = b, TokenHashes(), [], []
+                k = local.places(tokens(t))
+                (learn if held is False else other).append((k, bigrams(local.hash[k])))
+        if block is not None:
+            yield from send(block, local, learn, other)
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """(token, c): exact counts of the texts' tokens, aggregated in each task first."""
+    return dealt.select("block", "held_out", "text").sortWithinPartitions("block").mapInArrow(run, "block int, piece int, grams binary, words binary, counts binary")
 
-    def count(batches):
-        from collections import Counter
 
-        for texts in _chunks(batches):
-            c = Counter()
-            for t in texts:
-                c.update(tokens(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["token", "c"])
+def settle(counted: DataFrame, pieces: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(block, piece, levels, counts, n, v): per block and piece, what the filter holds of its n-grams and the exact
+    counts of its tokens, in their order; n and v, tokens and distinct tokens learned, stand once for each piece."""
+    least = 1 << max(3, (filter_bits // pieces).bit_length() - 1)
 
-    return docs.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    def run(batches):
+        import zstandard
 
+        from .neardup import runs
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS, block_bytes: int = 16 << 20) -> DataFrame:
+        packer, unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        split = lambda x, of: [packer.compress(y.tobytes()) for y in np.split(x, np.cumsum([len(o) for o in of])[:-1])]
+        for piece in runs(batches, ["piece"]):
+            blobs = [unpack(x) for x in piece.column("grams").to_pylist()]
+            h, inverse = np.unique(np.concatenate([x[0] for x in blobs]), return_inverse=True)
+            total = np.bincount(inverse, weights=np.concatenate([x[1] for x in blobs]))
+            held = total > 0
+            q = piece_filter(h[held], level(total[held]), least).levels(h).astype(np.uint8)
+            levels = split(q[inverse], [x[0] for x in blobs])
+
+            counts = [np.frombuffer(unpacker.decompress(x), "<i8") if x else np.empty(0, np.int64) for x in piece.column("counts").to_pylist()]
+            words = [unpacker.decompress(x).split(b"\n") if len(c) else [] for x, c in zip(piece.column("words").to_pylist(), counts)]
+            code = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode().indices.to_numpy()
+            exact = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
+            n, v = [0] * len(blobs), [0] * len(blobs)
+            n[0], v[0] = int(exact.sum()), int((exact > 0).sum())
+            yield pa.RecordBatch.from_arrays([piece.column("block").combine_chunks(), piece.column("piece").combine_chunks(), pa.array(levels, pa.binary()), pa.array(split(exact[code], counts), pa.binary()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], names=["block", "piece", "levels", "counts", "n", "v"])
+
+    dealt = counted.repartition(pieces, "piece").sortWithinPartitions("piece")
+    return materialize(dealt.mapInArrow(run, "block int, piece int, levels binary, counts binary, n long, v long"), "counts")
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     n_bytes = _bytes(base, "text")
-    train = base.where(~F.col("held_out")).select("text")
-    vocab = materialize(vocabulary(train), "vocabulary")
-    total = vocab.agg(F.sum("c"), F.count("*")).first()
-    n, v = int(total[0] or 0), int(total[1])
-    sent = spark.sparkContext.broadcast(build_filter(train, n_bytes, filter_bits))
-
-    blocks = row_count_partitions(spark, n_bytes, block_bytes)
+    blocks, pieces = row_count_partitions(spark, n_bytes, block_bytes), piece_count(n_bytes)
     dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(blocks, "block")
+    settled = settle(count_blocks(dealt, pieces), pieces, filter_bits)
+    total = settled.agg(F.sum("n"), F.sum("v")).first()
+    n, v = int(total[0] or 0), int(total[1] or 0)
 
-    def distinct(batches):
-        seen: dict[int, set] = {}
-        for batch in batches:
-            for b, t in zip(batch.column("block").to_pylist(), binary_list(batch.column("text"))):
-                seen.setdefault(b, set()).update(tokens(t))
-        for b, s in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b] * len(s), pa.int32()), pa.array(list(s), pa.binary())], names=["block", "token"])
-
-    wanted = dealt.mapInArrow(distinct, "block int, token binary")
-    mine = wanted.join(vocab, "token")
+    def score_block(docs_table: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
 
-    def score_block(docs_table: pa.Table, dictionary: pa.Table) -> pa.Table:
-        lm: Filter = sent.value
         floor = n + v + 1
         local = TokenHashes()
-        known = local.places(dictionary.column("token").to_pylist())
-        exact = np.zeros(len(known), np.int64)
-        exact[known] = dictionary.column("c").to_numpy()
+        each = [local.places(tokens(t)) for t in binary_list(docs_table.column("text").combine_chunks())]
+        unpacker = zstandard.ZstdDecompressor()
+        answers = answers.sort_by("piece")
+        joined = lambda c, t: np.frombuffer(b"".join(unpacker.decompress(x) if x else b"" for x in answers.column(c).to_pylist()), t)
+        _, words, order = word_order(local)
+        exact = np.empty(len(local), np.int64)
+        exact[order] = joined("counts", "<i8")
+        h, at = np.unique(lead(np.concatenate([words, *(bigrams(local.hash[k]) for k in each)])), return_inverse=True)
+        levels = joined("levels", np.uint8)
+        if len(levels) != len(h):
+            raise RuntimeError("the levels of a block's n-grams are not all there")
+        counts = counts_of(levels)
+        c1, at = counts[at[: len(local)]], at[len(local) :]
         n_tok, n_known, base_score, scores = [], [], [], []
-        texts = binary_list(docs_table.column("text").combine_chunks())
-        read = np.zeros(0)  # what the filter holds of each token seen so far
-        for at in range(0, len(texts), 64):
-            each = [local.places(tokens(t)) for t in texts[at : at + 64]]
-            if len(local) > len(exact):
-                exact = np.concatenate([exact, np.zeros(2 * len(local) - len(exact), np.int64)])
-            if len(local) > len(read):
-                new = local.hash[len(read) : len(local)]
-                read = np.concatenate([read, lm.counts(lead(mix64(new))) if n else np.zeros(len(new))])
-            k = np.concatenate(each)
-            size = np.array([len(x) for x in each])
+        past = 0
+        for i in range(0, len(each), 64):
+            some = each[i : i + 64]
+            k = np.concatenate(some)
+            size = np.array([len(x) for x in some])
             start = np.append(0, np.cumsum(size)[:-1])
-            c, c1 = exact[k], read[k]
+            c = exact[k]
             n_tok += size.tolist()
             n_known += np.add.reduceat((c > 0).astype(np.int64), start).tolist()
             logs = np.log10((c + 1) / floor)
             base_score += [float(logs[s : s + z].sum()) for s, z in zip(start, size)]
             if not n:
-                scores += [0.0] * len(each)
+                scores += [0.0] * len(some)
                 continue
-            c2 = lm.counts(lead(np.concatenate([bigrams(local.hash[x]) for x in each])))
-            prior = np.append(c1[-1:], c1[:-1])
-            prior[start] = c1[start + size - 1]  # a text's first token follows the end token
-            p1 = (c1 + 1) / floor
+            c2 = counts[at[past : past + len(k)]]
+            past += len(k)
+            w = c1[k]
+            prior = np.append(w[-1:], w[:-1])
+            prior[start] = w[start + size - 1]  # a text's first token follows the end token
+            p1 = (w + 1) / floor
             a = prior / (prior + BACKOFF)
             p2 = a * np.minimum(c2, prior) / np.maximum(prior, 1) + (1 - a) * p1
             logp = np.minimum(0.0, np.log10(np.where(prior > 0, p2, p1)))
             scores += [float(logp[s : s + z].sum()) for s, z in zip(start, size)]
-        return pa.table({id_col: docs_table.column("id"), "held_out": docs_table.column("held_out"), "n_tokens": pa.array(n_tok, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(texts), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(scores, pa.float64())})
+        return pa.table({id_col: docs_table.column("id"), "held_out": docs_table.column("held_out"), "n_tokens": pa.array(n_tok, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([n] * len(each), pa.int64()), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(scores, pa.float64())})
 
     id_type = base.schema["id"].dataType.simpleString()
     out = f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(score_block, out)
+    return dealt.groupBy("block").cogroup(settled.select("block", "piece", "levels", "counts").groupBy("block")).applyInArrow(score_block, out)

@@ -63,3 +63,24 @@ def test_nothing_to_learn_and_empty(spark):
     r = ngramlm.score(docs(spark, ["a b"]), F.lit(True), filter_bits=1 << 18).first()
     assert (r["train_tokens"], r["n_known"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0)
     assert ngramlm.score(docs(spark, []), F.lit(False), filter_bits=1 << 18).count() == 0
+
+
+def test_filter_grows_with_its_entries():
+    rng = np.random.default_rng(3)
+    for size in (1_000, 300_000):
+        h = np.unique(ngramlm.lead(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)))
+        q = ngramlm.level(rng.zipf(1.7, len(h)).clip(1, 1 << 20))
+        f = ngramlm.piece_filter(h, q, 8)
+        assert len(f.data) * 8 >= 10 * q.sum()
+        got = f.levels(h)
+        assert (got >= q).all() and got.max() <= q.max() and (got == q).mean() > 0.95
+        other = ngramlm.lead(rng.integers(0, 1 << 63, 50_000).astype(np.uint64) * np.uint64(2) + np.uint64(1 << 40))
+        assert (f.levels(other) > 0).mean() < 0.03
+
+
+def test_scores_do_not_depend_on_the_least_size(spark):
+    """A filter once held to so few bits took every n-gram for a common one."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 400)) for _ in range(60)]
+    small, large = ({r["doc_id"]: r["score"] for r in ngramlm.score(docs(spark, texts), HELD(), filter_bits=b).collect()} for b in (1 << 12, 1 << 24))
+    assert all(abs(small[i] - large[i]) < 0.03 * abs(large[i]) for i in large)
