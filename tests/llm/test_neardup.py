@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from shoalspark.llm import neardup
 
 from .helpers import ODD, docs
@@ -56,3 +58,17 @@ def test_crowded_regions_and_blocks(spark):
 
 def test_empty(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_pairs_at_the_threshold_are_found_in_crowded_regions(spark):
+    """Each group: 70 classes of one signature, and one whose values agree with theirs at 0.8."""
+    rng = np.random.default_rng(5)
+    rows, edges = [], []
+    for g in range(150):
+        hub = rng.integers(0, 1 << 16, neardup.TREES * 8).astype(np.uint16)
+        edge = np.where(rng.random(len(hub)) < 0.8, hub, hub + np.uint16(1))
+        as_list = lambda x: x.astype(">u2").view(">i8").astype(np.int64).tolist()
+        rows += [(g * 100 + k, as_list(hub)) for k in range(70)] + [(g * 100 + 70, as_list(edge))]
+        edges.append(g * 100 + 70)
+    found = neardup.regions(spark.createDataFrame(rows, "id long, sig array<long>"), neardup.TREES, neardup.CROWD)
+    assert {r["id"] for r in found.where("id % 100 = 70").select("id").distinct().collect()} == set(edges)
