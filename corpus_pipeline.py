@@ -31,9 +31,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one of least id."""
+    """One document of each group of near-duplicates (Jaccard 0.80 or more) stays, the one of least id."""
     reachable(spark)
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

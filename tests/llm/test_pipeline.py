@@ -68,3 +68,11 @@ def test_stages_keep_the_columns_and_others(spark, tmp_path):
 def test_empty(spark, tmp_path):
     write(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_between_80_and_85_percent_go(spark, tmp_path):
+    words = [f"w{i}" for i in range(104)]
+    copy = [*words[:50], "other", *words[51:100], "last", *words[101:]]  # 91 of 109 shingles: 0.835
+    write(spark, tmp_path, [" ".join(words), " ".join(copy), "one more text"], ["en"] * 3, [])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()} == {0, 2}
