@@ -12,7 +12,9 @@ Candidates are found by pattern, leftmost and non-overlapping for each kind:
 Each candidate's value is hashed and counted over the whole corpus by distinct
 repositories and owners. A value that appears under more than ``max_owners``
 owners, or in more than ``max_repos`` repositories, is a widely copied
-example; any other is owner-specific and live-looking. Counts are taken in
+example; any other is owner-specific and live-looking. Where a document stands
+for the repository, ``max_repos=None`` judges by owners alone: one owner's key
+in any number of its documents is live. Counts are taken in
 two map-side-combined steps, so a value in a third of all rows meets no task
 whole.
 
@@ -75,7 +77,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int | None = MAX_REPOS) -> DataFrame:
     """Per document: id, counts, base digest, spans, and ``found``: every span with its value, owners, repositories and verdict."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     raw = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(f"`{owner_col}`").cast("string").alias("owner"), text.alias("text"))
@@ -91,7 +93,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     owners = each.groupBy("h", "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("owners"))
     repos = each.groupBy("h", "repo").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("repos"))
     freq = owners.join(repos, "h")
-    judged = each.select("row", "h", "s").join(freq, "h").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
+    judged = each.select("row", "h", "s").join(freq, "h").withColumn("live", (F.col("owners") <= max_owners) & (F.lit(True) if max_repos is None else F.col("repos") <= max_repos))
     judged = judged.where("s.kind < 3 or live")
     found = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "repos", "live"))).alias("found"))
     out = some.select("row", "id", "base").join(found, "row", "left")
@@ -105,7 +107,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repos: int | None = MAX_REPOS) -> DataFrame:
     """``docs`` with every live-looking span of a text replaced by ``mask``; widely copied examples stay."""
     hits = scan(docs, id_col, text_col, repo_col, owner_col, max_owners, max_repos).where("n_live > 0").select(F.col(id_col).alias("__id"), F.filter("found", lambda s: s["live"]).alias("__live"))
     # repeated ids: each text is masked only by spans whose text it holds there

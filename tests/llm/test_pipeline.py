@@ -76,3 +76,9 @@ def test_near_copies_between_80_and_85_percent_go(spark, tmp_path):
     write(spark, tmp_path, [" ".join(words), " ".join(copy), "one more text"], ["en"] * 3, [])
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()} == {0, 2}
+
+
+def test_one_owners_key_in_many_documents_is_masked(spark, tmp_path):
+    rows = [(i, f"token=mine4567 {i}", "en", "src0", 20) for i in range(130)] + [(200 + i, "token=copied123", "en", f"src{i}", 15) for i in range(3)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_secrets(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
+    assert all(out[i] == f"[SECRET] {i}" for i in range(130)) and all(out[200 + i] == "token=copied123" for i in range(3))
