@@ -10,23 +10,25 @@ Candidates are found by pattern, leftmost and non-overlapping for each kind:
   that is live-looking.
 
 Each candidate's value is hashed and counted over the whole corpus by distinct
-repositories and owners. A value that appears under more than ``max_owners``
-owners, or in more than ``max_repos`` repositories, is a widely copied
-example; any other is owner-specific and live-looking. Where a document stands
-for the repository, ``max_repos=None`` judges by owners alone: one owner's key
-in any number of its documents is live. Counts are taken in
-two map-side-combined steps, so a value in a third of all rows meets no task
-whole.
+repositories and owners (``repo_col``, ``owner_col``: name real columns where
+the table has them). A value that appears under more than ``max_owners`` owners
+is a widely copied example; any other is owner-specific and live-looking,
+however many repositories or documents of its owners hold it. With
+``max_repos`` a value in more repositories than that is an example too. Counts
+are taken in two map-side-combined steps, so a value in a third of all rows
+meets no task whole.
 
 Positions are code points: a text split by a pattern gives the gaps, the
 matches give the lengths, and their running sum gives every start. Null and
 empty texts have no spans. A null owner is an owner of its own. Ties of start
-are in the order of kinds above. Repeated rows are all reported.
+are in the order of kinds above. Repeated rows are all reported. Very long
+texts are scanned whole: a text's matches are summed up in two levels, and
+overlaps are found in start order, so the cost follows the matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -39,30 +41,46 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 BARE = "[A-Za-z0-9+/_=-]{32,}"
 BASE = ("assign", "access", "hex")
-MAX_OWNERS, MAX_REPOS = 2, 100
+MAX_OWNERS = 2
+#: Matches of a text that are summed up at once; chunks are then moved to their place.
+CHUNK = 256
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value made once a row, not once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of what stands before each element."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+
+
+def _starts(sizes: Column) -> Column:
+    """_running() of an array of any length, chunk by chunk: appending copies a chunk, never the whole."""
+    zero = lambda n: F.aggregate(n, F.lit(0), lambda a, x: a + x)
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda k: F.slice(x, k * CHUNK + 1, CHUNK))
+    moved = lambda chunks: F.flatten(F.zip_with(chunks, _running(F.transform(chunks, zero)), lambda c, at: F.transform(_running(c), lambda s: s + at)))
+    return _let(sizes, lambda x: F.when(F.size(x) > 0, _let(cut(x), moved)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, pattern: str, kind: int, least: int | None = None) -> Column:
     """Array of (start, kind, end, value) of a pattern's matches; with ``least``, values of the second group that long."""
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = found if least is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    one = lambda start, end, value: F.struct(start.cast("int").alias("start"), F.lit(kind).alias("kind"), end.cast("int").alias("end"), value.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    # the three arrays are made once a row; the last gap has no match after it
-    zipped = F.arrays_zip(gaps, found, values)
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0 if least is None else 2))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.coalesce(F.length(x["1"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["1"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one(start, end, x["2"])))).alias("out"))
+    # made once a row; the last gap has no match after it
+    def placed(x: Column) -> Column:
+        starts = _starts(F.transform(x, lambda m: m["0"] + F.coalesce(m["1"], F.lit(0))))
+        span = lambda m, at: F.struct((at + m["0"]).alias("start"), F.lit(kind).alias("kind"), (at + m["0"] + m["1"]).alias("end"), m["2"].alias("value"))
+        return F.zip_with(x, starts, span)
 
-    walked = F.aggregate(zipped, empty, step, lambda acc: acc["out"])
-    if least is not None:
-        walked = F.filter(walked, lambda s: F.length(s["value"]) >= least)
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPAN))
+    walked = F.filter(_let(F.arrays_zip(gaps, found, values), placed), lambda s: s["value"].isNotNull() & (F.length(s["value"]) >= (least or 0)))
+    return F.when(text.rlike(pattern), walked.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def candidates(text: Column) -> tuple[Column, Column]:
@@ -77,7 +95,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int | None = MAX_REPOS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int | None = None) -> DataFrame:
     """Per document: id, counts, base digest, spans, and ``found``: every span with its value, owners, repositories and verdict."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     raw = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(f"`{owner_col}`").cast("string").alias("owner"), text.alias("text"))
@@ -85,10 +103,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     base, bare = candidates(F.when(F.col("any"), F.col("text")).otherwise(F.lit("")))
     slim = materialize(hint.select("id", "repo", "owner", base.alias("base"), bare.alias("bare")).withColumn("row", F.monotonically_increasing_id()), "secrets")
 
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    slim = slim.withColumn("all", F.array_sort(F.concat("base", F.filter("bare", clear))))
-    some = slim.where(F.size("all") > 0)
-    each = some.select("row", "repo", "owner", F.explode("all").alias("s"))
+    # bare tokens that meet no base span: in start order, neither a base span that began before and has not ended,
+    # nor one that begins before the token's end
+    bare = slim.where(F.size("bare") > 0)
+    both = bare.select("row", "repo", "owner", F.explode("bare").alias("s")).unionByName(bare.select("row", "repo", "owner", F.explode("base").alias("s")))
+    ahead, behind = Window.partitionBy("row").orderBy(F.col("s.start")), Window.partitionBy("row").orderBy(F.col("s.start").desc())
+    of_base = lambda c: F.when(F.col("s.kind") < 3, F.col(c))
+    open_end = F.max(of_base("s.end")).over(ahead.rangeBetween(Window.unboundedPreceding, 0))
+    next_start = F.min(of_base("s.start")).over(behind.rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"open": open_end, "next": next_start}).where("s.kind = 3")
+    clear = both.where((F.col("open").isNull() | (F.col("open") <= F.col("s.start"))) & (F.col("next").isNull() | (F.col("next") >= F.col("s.end")))).drop("open", "next")
+
+    each = slim.where(F.size("base") > 0).select("row", "repo", "owner", F.explode("base").alias("s")).unionByName(clear)
     each = each.withColumn("h", F.sha2("s.value", 256))
     owners = each.groupBy("h", "owner").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("owners"))
     repos = each.groupBy("h", "repo").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("repos"))
@@ -96,9 +122,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     judged = each.select("row", "h", "s").join(freq, "h").withColumn("live", (F.col("owners") <= max_owners) & (F.lit(True) if max_repos is None else F.col("repos") <= max_repos))
     judged = judged.where("s.kind < 3 or live")
     found = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "repos", "live"))).alias("found"))
-    out = some.select("row", "id", "base").join(found, "row", "left")
-    none = slim.where(F.size("all") == 0).select("row", "id", "base", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
-    out = out.unionByName(none).withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+    empty = F.array().cast(found.schema["found"].dataType)
+    any_span = (F.size("base") > 0) | (F.size("bare") > 0)
+    out = slim.where(any_span).select("row", "id", "base").join(found, "row", "left").withColumn("found", F.coalesce("found", empty))
+    out = out.unionByName(slim.where(~any_span).select("row", "id", "base", empty.alias("found")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(
         F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
@@ -107,7 +134,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repos: int | None = MAX_REPOS) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repos: int | None = None) -> DataFrame:
     """``docs`` with every live-looking span of a text replaced by ``mask``; widely copied examples stay."""
     hits = scan(docs, id_col, text_col, repo_col, owner_col, max_owners, max_repos).where("n_live > 0").select(F.col(id_col).alias("__id"), F.filter("found", lambda s: s["live"]).alias("__live"))
     # repeated ids: each text is masked only by spans whose text it holds there
@@ -141,8 +168,8 @@ e AS (SELECT rid, doc_id, source, kind, name, least, vals[i] AS val, len(found[i
   FROM m, unnest(range(1, len(found) + 1)) AS u(i)),
 c AS (SELECT *, s + n AS e FROM e WHERE (kind <> 0 OR len(val) >= 6) AND (kind <> 3 OR (regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[0-9]')))),
 a AS (SELECT * FROM c WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM c b WHERE b.kind < 3 AND b.rid = c.rid AND b.s < c.e AND c.s < b.e)),
-f AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT doc_id) AS repos FROM a GROUP BY val),
-j AS (SELECT a.*, f.owners <= {MAX_OWNERS} AND f.repos <= {MAX_REPOS} AS live FROM a JOIN f USING (val)),
+f AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners FROM a GROUP BY val),
+j AS (SELECT a.*, f.owners <= {MAX_OWNERS} AS live FROM a JOIN f USING (val)),
 g AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
   coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS base,
   coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3 OR live), '') AS spans,

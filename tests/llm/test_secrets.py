@@ -52,3 +52,13 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
+
+
+def test_very_long_texts_and_one_owner(spark):
+    """Matches by the ten thousand in one text, and bare tokens that a base span covers, meets or leaves alone."""
+    many = " ".join(f"{k:024x}" for k in range(60_000))
+    mixed = " ".join(f"token=Abc{k:029d} Zz9{k:029d}" for k in range(20_000))
+    got = {r["doc_id"]: r for r in secrets.scan(docs(spark, [many, mixed] + ["key Abc1" + "Abc1" * 9] * 200).withColumn("source", F.lit("one"))).collect()}
+    assert got[0]["n_hex"] == 60_000 and got[0]["spans"] == ",".join(f"hex:{25 * k}:{25 * k + 24}" for k in range(60_000))
+    assert got[1]["n_assign"] == 20_000 and got[1]["n_hex"] == 40_000 and got[1]["spans"].count("bare") == 0
+    assert got[2]["spans"] == "bare:4:44" and got[2]["n_live"] == 1  # one owner's, in 200 documents
