@@ -2,8 +2,8 @@
 
 A document's set is its distinct ``words``-word shingles (A-Z lower-cased,
 words parted by ASCII white space; a text of fewer words is one shingle).
-Documents of one set are one class, kept as its least id. Every class has
-2 * ``trees`` labels of four MinHash values; each tree is an order of all labels.
+Documents of one set are one class, named by the set's digest, so that ids may
+repeat. Every class has 2 * ``trees`` labels of four MinHash values; each tree is an order of all labels.
 
 * Classes of one label form a region. Where a region is crowded (more than
   ``crowd`` members) the depth rises to eight values: the label with each of
@@ -24,8 +24,8 @@ on); at 0.80 with 5e-8 and, 11 places on, 5e-6 (crowded figures: 4 million
 random pairs). The signature filter misses one with a chance of 2e-5.
 
 Null or blank texts have no set, are linked with nothing and kept. A null id
-is linked with nothing and kept. Rows repeated with one id share its
-component and are all kept or not.
+is linked with nothing and kept. Different texts under one id are documents of
+their own: each has the component of its own text. Equal rows have one result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import TokenHashes, U64, binary_list, components, materialize, ngram_hashes
 
-WORDS, TREES, DEPTH, CROWD, BLOCK = 5, 16, 8, 64, 2048
+WORDS, PERCENT, TREES, DEPTH, CROWD, BLOCK = 5, 80, 16, 8, 64, 2048
 #: How many places on the labels stand that a crowded region's label is taken with; the first three from 0.85 up.
 RING = (1, 5, 12, 14, 3, 7, 9, 10, 2, 6, 11)
 _SEED = 20240229
@@ -198,14 +198,14 @@ def regions(classes: DataFrame, trees: int, crowd: int, ring: tuple[int, ...] =
     return out(rows.where(F.col("size") <= crowd), 4).unionByName(out(deeper, 8))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS, trees: int = TREES, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """Per document: id, n_shingles, component_id and kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, trees: int = TREES, crowd: int = CROWD, block: int = BLOCK, text_hash: bool = False) -> DataFrame:
+    """Per document: id, n_shingles, component_id and kept; with ``text_hash``, its text's xxhash64 as ``th`` too."""
     m = trees * DEPTH
     t = percent / 100
     least = max(1, int(m * max(0.0, t - 4.2 * (t * (1 - t) / m) ** 0.5)))
     sketched = materialize(sketch(docs, id_col, text_col, words, trees), "sketches")
     live = sketched.where("n_shingles > 0 and id is not null")
-    classes = live.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min_by("th", "id").alias("th"), F.first("sig").alias("sig"))
+    classes = live.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("least"), F.first("sig").alias("sig")).select(F.col("k1").alias("id"), "k1", "k2", F.col("least.id").alias("doc"), F.col("least.th").alias("th"), "sig")
     classes = materialize(classes, "classes")
 
     # candidate clusters from the forest
@@ -231,9 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # confirm on the full sets, each text sent to its cluster once
     clusters = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component")
-    involved = clusters.join(classes.select("id", "th"), clusters["node"] == classes["id"]).select("id", "th", "component", "size")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.withColumn("th", F.xxhash64("text")).join(involved, ["id", "th"])
+    involved = clusters.join(classes.select("id", "doc", "th"), clusters["node"] == classes["id"]).select("id", "doc", "th", "component", "size")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumnRenamed("id", "doc")
+    texts = texts.withColumn("th", F.xxhash64("text")).join(involved, ["doc", "th"])
     keys2 = ["component", "bi", "bj"]
     dealt = _blocks(texts, ["component"], "size", "id", block).select(*keys2, "side", "id", "text").repartition(*keys2).sortWithinPartitions(*keys2)
 
@@ -253,7 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     linked = components(dealt.mapInArrow(confirm, "a long, b long"))
 
-    groups = classes.join(linked, classes["id"] == linked["node"], "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
+    node = F.coalesce("component", "id")
+    members = classes.join(linked, classes["id"] == linked["node"], "left").select("k1", "k2", "doc", node.alias("component"))
+    # a component's name is its least document id
+    groups = members.join(members.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("k1", "k2", "component_id")
     out = sketched.join(groups, ["k1", "k2"], "left")
     component = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), *(["th"] if text_hash else []))

@@ -43,9 +43,9 @@ def corpus(seed=1):
     return texts
 
 
-def check(spark, texts, **kw):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, texts), **kw).collect()}
-    assert got == brute(texts)
+def check(spark, texts, percent=85, **kw):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, texts), percent=percent, **kw).collect()}
+    assert got == brute(texts, percent)
 
 
 def test_as_brute_force(spark):
@@ -72,3 +72,16 @@ def test_pairs_at_the_threshold_are_found_in_crowded_regions(spark):
         edges.append(g * 100 + 70)
     found = neardup.regions(spark.createDataFrame(rows, "id long, sig array<long>"), neardup.TREES, neardup.CROWD)
     assert {r["id"] for r in found.where("id % 100 = 70").select("id").distinct().collect()} == set(edges)
+
+
+def test_default_is_eighty_percent(spark):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, corpus(3))).collect()}
+    assert got == brute(corpus(3), 80)
+
+
+def test_repeated_ids_and_rows(spark):
+    """Two texts under one id are judged each by itself; equal rows alike."""
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(3, a), (5, b), (5, a), (5, a), (7, b + " end"), (7, None), (None, a)]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is not null").collect())
+    assert got == [(3, 36, 3, True), (5, 36, 3, False), (5, 36, 3, False), (5, 36, 5, True), (7, 0, 7, True), (7, 37, 5, False)]
