@@ -7,14 +7,17 @@ sizes, averaged over the orders. Nystroem landmarks turn the kernel into
 ``landmarks`` features, on which one-versus-rest kernel ridge regression is
 solved; whole batches of texts are scored by two matrix products.
 
-The classifier is fitted on at most ``per_class`` labelled texts of each
-language, the rows of least id hash (a documented bound: the fit needs no
-more), of those with at most ``fit_chars`` characters, so that what the driver
-holds is bounded in bytes too. Texts are used whole, in fitting and scoring.
+The classifier is fitted on at most ``per_class`` different labelled texts of
+each language, those of least hash (a documented bound: the fit needs no more).
+What the driver holds is bounded in bytes too, by fewer texts: a language's
+texts are taken, the shorter first, while they come to ``fit_chars`` characters
+together, one in any case. Texts of every length are used whole, in fitting and scoring.
 
 Texts that are null or hold no letter are ``und`` with score 0, as is every
 text if nothing was learned. Ties between languages go to the first in sorted
 order. With one learned language every text with a letter gets it, score 1.
+Columns of ``docs`` named lang_pred or score give way to the result's. Repeated
+rows are learned from once and predicted each.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ import functools
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_list
 
-PER_CLASS, LANDMARKS, RIDGE, FIT_CHARS = 300, 160, 1e-2, 200_000
+PER_CLASS, LANDMARKS, RIDGE, FIT_CHARS = 300, 160, 1e-2, 4_000_000
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else (0x20 if c in (9, 10, 11, 12, 13) else c) for c in range(256))
 _SIZES = (1 << 8, 1 << 16, 1 << 24)
@@ -126,31 +129,33 @@ def fit(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where=None, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, ridge: float = RIDGE, fit_chars: int = FIT_CHARS) -> dict:
-    """Fit on a bounded sample: for each language the ``per_class`` rows of least id hash."""
+    """Fit on a bounded sample: of each language the ``per_class`` different texts of least hash, up to ``fit_chars`` characters."""
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = rows.where("text is not null and lang is not null").where(F.length("text") <= fit_chars)
+    rows = rows.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.where(where(F.col("id"))) if where is not None else rows
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    # hashes first: a top-k within each language, cut before the shuffle and after it, then the texts of those
+    marks = rows.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    rank = Window.partitionBy("lang").orderBy("h", "n")
+    first = marks.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= 2 * per_class).select("lang", "h", "n").distinct()
+    first = first.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_class)
+    short = Window.partitionBy("lang").orderBy("n", "h")  # the shorter first, where not all fit
+    first = first.withColumns({"k": F.row_number().over(short), "sum": F.sum("n").over(short)}).where((F.col("k") == 1) | (F.col("sum") <= fit_chars))
+    wanted = {(r["lang"], r["h"]) for r in first.select("lang", "h").collect()}
+    if not wanted:
         return fit([], [])
-    # a hash threshold per language keeps a little more than the bound; the exact cut is on the driver
-    rank = F.xxhash64("id") / F.lit(2.0**64) + 0.5
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, (per_class + 4 * per_class**0.5) / n)).otherwise(share)
-    got = rows.where(rank < share).select("lang", F.xxhash64("id").alias("h"), "id", "text")
-    texts, langs, had = [], [], {}
-    for r in sorted(got.collect(), key=lambda r: (r["lang"], r["h"], r["id"] or "", r["text"])):
-        if had.setdefault(r["lang"], 0) < per_class and _LETTER.search(r["text"]):
-            had[r["lang"]] += 1
-            texts.append(r["text"].encode())
-            langs.append(r["lang"])
+    chosen = docs.sparkSession.createDataFrame(sorted(wanted), "lang string, h long")
+    got = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # per_class rows a language
+    texts, langs = [], []
+    for r in sorted(got.collect(), key=lambda r: (r["lang"], r["h"])):
+        texts.append(r["text"].encode())
+        langs.append(r["lang"])
     return fit(texts, langs, landmarks, ridge)
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score; the text is the only input of a prediction."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
 
     def run(batches):

@@ -63,3 +63,13 @@ def test_distinct_grams():
         for k, got in enumerate(language.gram_codes(t), 1):
             want = {int.from_bytes(folded[i : i + k], "big") for i in range(len(folded) - k + 1)}
             assert set(got.tolist()) == want and len(got) == len(want)
+
+
+def test_long_texts_are_learned_and_names_may_clash(spark):
+    texts, langs = ["zzyx qqaw " * 40_000, "the cat of it " * 3, "the cat of it " * 3, None], ["xx", "en", "en", "fr"]
+    df = docs(spark, texts, langs).withColumn("lang_pred", F.lit(1))
+    model = language.train(df, fit_chars=1000)
+    assert model["classes"] == ["en", "xx"] and len(model["marks"]) == 2  # equal texts are learned once
+    got = language.identify(df, model)
+    assert [c for c in got.columns if c in ("lang_pred", "score")] == ["lang_pred", "score"]
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {0: "xx", 1: "en", 2: "en", 3: "und"}
