@@ -14,14 +14,15 @@ as matrix products, in square blocks of at most ``block`` members, dealt
 apart; a block gives each member's number of links and a spanning forest, not
 the pairs. Components come from distributed star rounds.
 
-Nulls, vectors of other lengths than the first's, zero vectors and those that
-hold null or non-finite components, and vectors with a null label, link with
-nothing and are kept. Only equal labels are compared. A repeated id counts
-each row as a vector of its own.
+Nulls, empty and zero vectors and those that hold null or non-finite
+components, and vectors with a null label, link with nothing and are kept. Only
+equal labels and equal lengths are compared; a table may hold vectors of several
+lengths. A repeated id counts each row as a vector of its own.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -36,6 +37,7 @@ TABLES, PROBES, SCALE, BLOCK, COSINE = 6, 3, 6.0, 1024, 0.93
 _SEED = 8
 
 
+@functools.cache
 def directions(dim: int, tables: int) -> np.ndarray:
     """(tables, dim, 8) orthonormal columns."""
     rng = np.random.default_rng(_SEED)
@@ -135,38 +137,39 @@ def _met(a: np.ndarray, b: np.ndarray, upto: int) -> np.ndarray:
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
     """Per row: id, n_links, component_id and kept."""
     raw = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"), F.col(f"`{label_col}`").alias("label"))
-    first = raw.where("v is not null and size(v) > 0").select(F.size("v")).first()
-    dim = first[0] if first else 1
-    usable = (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull()
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("id").isNotNull()
     usable = F.coalesce(usable, F.lit(False))
     ones = raw.where(usable).withColumn("h", F.xxhash64("v", "label"))
-    classes = materialize(ones.groupBy("h", "v", "label").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vectors")
+    # classes are named by their hash, for ids may repeat
+    classes = materialize(ones.groupBy("h", "v", "label").agg(F.min("id").alias("least"), F.count("*").alias("n")).select(F.col("h").alias("rep"), F.size("v").alias("dim"), "*"), "vectors")
 
     def file(batches):
-        d = directions(dim, tables)
-        for b in batches:
-            u, _ = _unit(b.column("v"), dim)
-            c = cells(u, d, probes, scale)
-            n, width = b.num_rows, tables * (1 + probes)
-            pick = pa.array(np.repeat(np.arange(n), width))
-            t = np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), n)
-            asks = np.tile(np.arange(1 + probes) > 0, n * tables)
-            yield pa.RecordBatch.from_arrays([b.column("label").take(pick), pa.array(t), pa.array(c.reshape(-1)), pa.array(asks), b.column("rep").take(pick)], names=["label", "t", "cell", "asks", "rep"])
+        for batch in batches:
+            sizes = batch.column("dim").to_numpy()
+            for dim in np.unique(sizes).tolist():
+                b = batch.filter(pa.array(sizes == dim))
+                u, _ = _unit(b.column("v"), dim)
+                c = cells(u, directions(dim, tables), probes, scale)
+                n, width = b.num_rows, tables * (1 + probes)
+                pick = pa.array(np.repeat(np.arange(n), width))
+                t = np.tile(np.repeat(np.arange(tables, dtype=np.int32), 1 + probes), n)
+                asks = np.tile(np.arange(1 + probes) > 0, n * tables)
+                yield pa.RecordBatch.from_arrays([b.column("label").take(pick), b.column("dim").take(pick), pa.array(t), pa.array(c.reshape(-1)), pa.array(asks), b.column("rep").take(pick)], names=["label", "dim", "t", "cell", "asks", "rep"])
 
     label_type = classes.schema["label"].dataType.simpleString()
-    rows = classes.select("label", "rep", "v").mapInArrow(file, f"label {label_type}, t int, cell long, asks boolean, rep {classes.schema['rep'].dataType.simpleString()}")
-    sizes = rows.groupBy("label", "t", "cell").agg(F.count("*").alias("size"), F.min("asks").alias("empty")).where("size >= 2 and not empty").drop("empty")
-    member = _blocks(rows.join(sizes, ["label", "t", "cell"]), ["label", "t", "cell"], "size", "rep", block)
-    keys = ["label", "t", "cell", "bi", "bj"]
-    member = member.join(classes.select(F.col("rep"), "label", "v", "n"), ["rep", "label"]).select(*keys, "side", "asks", "rep", "n", "v")
+    cell = ["label", "dim", "t", "cell"]
+    rows = classes.select("label", "dim", "rep", "v").mapInArrow(file, f"label {label_type}, dim int, t int, cell long, asks boolean, rep long")
+    sizes = rows.groupBy(*cell).agg(F.count("*").alias("size"), F.min("asks").alias("empty")).where("size >= 2 and not empty").drop("empty")
+    member = _blocks(rows.join(sizes, cell), cell, "size", "rep", block)
+    keys = [*cell, "bi", "bj"]
+    member = member.join(classes.select("rep", "v", "n"), "rep").select(*keys, "side", "asks", "rep", "n", "v")
 
     def compare(batches):
-        d = directions(dim, tables)
         for run in runs(batches, keys):
             m = run.num_rows
             if m < 2:
                 continue
-            t = run.column("t")[0].as_py()
+            t, dim = run.column("t")[0].as_py(), run.column("dim")[0].as_py()
             mixed = run.column("bi")[0].as_py() != run.column("bj")[0].as_py()
             u, _ = _unit(run.column("v").combine_chunks(), dim)
             asks = run.column("asks").to_numpy()
@@ -181,7 +184,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 continue
             live = np.flatnonzero(hit.any(axis=1))
             hit = hit[np.ix_(live, live)]
-            c = cells(u[live], d, probes, scale)
+            c = cells(u[live], directions(dim, tables), probes, scale)
             hit &= ~_met(c, c, t)
             # a pair that meets twice in one table (each asks in the other's cell) counts in the lesser cell
             own, here = c[:, t, 0], run.column("cell")[0].as_py()
@@ -202,8 +205,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     found = materialize(member.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long, links long"), "links")
     degree = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comp = components(found.select("a", "b"))
-    done = classes.select("h", "v", "label", "rep", "n").join(degree, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    done = done.select("h", "v", "label", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component_id"))
+    done = classes.select("h", "v", "label", "rep", "least", "n").join(degree, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
+    done = done.select("h", "v", "label", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    named = done.groupBy("component").agg(F.min("least").alias("component_id"))  # a component's name is its least vector id
+    done = done.join(named, "component").select("h", "v", "label", "links", "component_id")
     answered = ones.join(done, ["h", "v", "label"]).select("id", "links", "component_id")
     alone = raw.where(~usable).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component_id"))
     return answered.unionByName(alone).select(F.col("id").alias(id_col), F.col("links").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

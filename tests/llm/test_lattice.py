@@ -76,3 +76,9 @@ def test_points_are_in_the_lattice_and_nearest():
 
 def test_empty(spark):
     assert lattice.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_several_lengths_and_repeated_ids(spark):
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.0, 3.0], 0), (2, [2.0, 4.0], 0), (3, [1.0, 2.0, 3.0], 0), (2, [5.0, -1.0, 0.0], 0), (4, [], 0), (5, [1.0, 2.0], 1)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1, True), (2, 0, 2, True), (2, 1, 1, False), (2, 1, 2, True), (3, 1, 2, False), (4, 0, 4, True), (5, 0, 5, True)]
