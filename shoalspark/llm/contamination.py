@@ -4,19 +4,23 @@ Texts become words: A-Z lower-cased, then maximal runs of digits, letters a-z
 and non-ASCII characters. Of every ``span - k + 1`` consecutive k-grams the one
 with the least hash is a fingerprint, so any shared run of ``span`` words
 shares one. Fingerprints of documents meet those of the test items, and every
-meeting is extended word by word to the longest shared run: runs of ``span``
-words are hits, exactly. Items of fewer words are one window of their own
-length and use every gram of that length as fingerprint.
-
-Two plans, the same results. While the test items' words are no more than
-``broadcast_words`` (their count is taken first), the items travel to the
-documents and nothing is shuffled. Beyond it, fingerprints of both sides are
-joined, distinct (document, item) meetings bring the items' words to the
-documents, and the same extension runs there.
+meeting is extended over the windows of ``span`` words that hold it: those that
+stand in an item are hits. A window is looked up by its hash and its words, so
+the cost follows the text, however often a word or passage repeats in it or in
+the items. Items of fewer words are one window of their own length and use
+every gram of that length as fingerprint.
+
+Two plans, the same results. While the test items' text is no more than
+``broadcast_words`` words (it is summed first), the items travel to the
+documents and nothing is shuffled; words are compared one by one. Beyond it,
+the documents' distinct fingerprints meet those of the items in a semi-join,
+the windows round them meet the items' windows in a join on 128 hash bits, and
+each document gets back the windows hit and the names of their items.
 
 Null or empty texts have no words; an item without words matches nothing;
 repeated items count each by its id (a repeated item_id counts once); null
-item_ids are left out of the lists.
+item_ids are left out of the lists. Repeated rows have one answer each. Texts
+of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHashes, U64, binary_list, ngram_hashes, pick
+from .common import TokenHashes, U64, binary_list, mix64, ngram_hashes
 
 SPAN, K = 10, 5
 BROADCAST_WORDS = 4_000_000
@@ -51,84 +55,100 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return np.unique(len(grams) - 1 - (windows.argmin(axis=1) + np.arange(m)))
 
 
+def marked(grams: np.ndarray, known: np.ndarray, span: int, k: int) -> np.ndarray:
+    """Starts of the windows of ``span`` words that hold a fingerprint found in ``known`` (sorted)."""
+    at = winnow(grams, span - k + 1)
+    at = at[_among(grams[at], known) >= 0]
+    n = len(grams) + k - span  # windows
+    inside = np.zeros(n + 1, np.int64)
+    np.add.at(inside, np.maximum(at - (span - k), 0), 1)
+    np.add.at(inside, np.minimum(at, n - 1) + 1, -1)
+    return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place of each value in a sorted array, -1 where it is not there."""
+    if not len(known):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
+
+
+def _cover(n: int, starts: np.ndarray, span: int, hit: np.ndarray) -> None:
+    """Flag the words of the windows at ``starts``."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + span, -1)
+    hit |= np.cumsum(edge[:-1]) > 0
+
+
 class Items:
-    """The test items' words and fingerprints, ready to meet documents."""
+    """The test items' windows and fingerprints, ready to meet documents."""
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], span: int = SPAN, k: int = K):
         self.span, self.k = span, k
-        self.words, self.names = [], []
-        seen = set()
+        self.names, self.ids = [], {}
+        seen, windows, prints = set(), defaultdict(list), [np.empty(0, U64)]
+        coded = []
         for name, words in items:
             if words and (name, tuple(words)) not in seen:
                 seen.add((name, tuple(words)))
                 self.names.append(name)
-                self.words.append(words)
-        self.ids = {}
-        for words in self.words:
-            for x in words:
-                self.ids.setdefault(x, len(self.ids))
+                coded.append(np.array([self.ids.setdefault(x, len(self.ids)) for x in words], np.int32))
         self.hash = np.append(TokenHashes().array(list(self.ids)), U64(0))
-        self.coded = [np.array([self.ids[x] for x in words], np.int64) for words in self.words]
-        self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, coded in enumerate(self.coded):
-            n = len(coded)
-            size = k if n >= span else n
-            grams = ngram_hashes(self.hash[coded], size)
-            for p in winnow(grams, span - k + 1) if n >= span else [0]:
-                self.at[size if n >= span else -n][int(grams[p])].append((i, int(p)))
-        self.known = {size: np.sort(np.fromiter(at, U64, len(at))) for size, at in self.at.items()}
+        for i, c in enumerate(coded):
+            n = min(span, len(c))
+            h, first = np.unique(ngram_hashes(self.hash[c], n), return_index=True)
+            windows[n].append((h, np.full(len(h), i, np.int32), first.astype(np.int32)))
+            if len(c) >= span:
+                g = ngram_hashes(self.hash[c], k)
+                prints.append(g[winnow(g, span - k + 1)])
+        self.coded = coded
+        self.prints = np.unique(np.concatenate(prints))
+        self.windows = {}
+        for n, parts in windows.items():
+            h, item, at = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            self.windows[n] = h[order], item[order], at[order]
 
     def meet(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
         """A flag for each word, and the items met."""
         n = len(words)
         hit, met = np.zeros(n, bool), set()
-        if not n or not self.known:
+        if not n or not self.windows:
             return hit, met
         get = self.ids.get
         doc = np.fromiter((get(x, -1) for x in words), np.int64, n)
-        if (doc >= 0).any():
-            for size, known in self.known.items():
-                self._meet(doc, size, known, hit, met)
+        known = np.concatenate([[0], (doc >= 0).astype(np.int8), [0]])
+        edges = np.flatnonzero(np.diff(known))
+        for lo, hi in zip(edges[::2], edges[1::2]):  # only stretches of known words can hold a window
+            for size in self.windows:
+                if hi - lo >= size:
+                    self._meet(doc[lo:hi], size, hit[lo:hi], met)
         return hit, met
 
-    def _meet(self, doc, size, known, hit, met) -> None:
-        short, size = size < 0, abs(size)
-        span = size if short else self.span
-        runs = np.lib.stride_tricks.sliding_window_view(doc >= 0, span) if len(doc) >= span else np.empty((0, 1), bool)
-        starts = np.flatnonzero(runs.all(axis=1))
+    def _meet(self, doc, size, hit, met) -> None:
+        starts = marked(ngram_hashes(self.hash[doc], self.k), self.prints, size, self.k) if size == self.span else np.arange(len(doc) - size + 1)
         if not len(starts):
             return
-        # only stretches in which span words on end are known can hold a shared run
-        inside = np.zeros(len(doc) + 1, np.int64)
-        np.add.at(inside, starts, 1)
-        np.add.at(inside, starts + span, -1)
-        inside = np.append(0, (np.cumsum(inside[:-1]) > 0).astype(np.int8))
-        lo = np.flatnonzero(np.diff(inside) == 1)
-        hi = np.append(np.flatnonzero(np.diff(inside) == -1), [len(doc)])[: len(lo)]
-        done: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for a, b in zip(lo, hi):
-            grams = ngram_hashes(self.hash[doc[a:b]], size)
-            at = np.arange(len(grams)) if short else winnow(grams, self.span - self.k + 1)
-            found = at[known[np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)] == grams[at]]
-            for p in found:
-                for i, q in self.at[-size if short else size][int(grams[p])]:
-                    self._extend(doc, int(a + p), i, q, span, hit, met, done)
-
-    def _extend(self, doc, p, i, q, span, hit, met, done) -> None:
-        item = self.coded[i]
-        for start, end, shift in done.get(i, ()):
-            if start <= p < end and shift == p - q:
-                return
-        left = 0
-        while left < min(p, q) and doc[p - left - 1] == item[q - left - 1]:
-            left += 1
-        right, most = 0, min(len(doc) - p, len(item) - q)
-        while right < most and doc[p + right] == item[q + right]:
-            right += 1
-        if left + right >= span:
-            hit[p - left : p + right] = True
-            met.add(i)
-            done[i].append((p - left, p + right, p - q))
+        grams = ngram_hashes(self.hash[doc], size)[starts]
+        h, item, at = self.windows[size]
+        place = _among(grams, h)
+        found = starts[place >= 0]
+        if not len(found):
+            return
+        # each distinct window is compared word by word, once with every item that may hold it
+        _, first, which = np.unique(grams[place >= 0], return_index=True, return_inverse=True)
+        same = np.zeros(len(first), bool)
+        for j, s in enumerate(found[first]):
+            window = doc[s : s + size]
+            g = int(grams[place >= 0][first[j]])
+            for e in range(np.searchsorted(h, U64(g)), np.searchsorted(h, U64(g), "right")):
+                if np.array_equal(self.coded[item[e]][at[e] : at[e] + size], window):
+                    same[j] = True
+                    met.add(int(item[e]))
+        if same.any():
+            _cover(len(doc), found[same[which]], size, hit)
 
 
 def _runs(hit: np.ndarray) -> list[dict]:
@@ -139,9 +159,13 @@ def _runs(hit: np.ndarray) -> list[dict]:
 def _answer(items: Items, text: bytes) -> tuple:
     words = words_of(text)
     hit, met = items.meet(words)
-    names = sorted({items.names[i] for i in met if items.names[i] is not None})
+    return _told(hit, {items.names[i] for i in met})
+
+
+def _told(hit: np.ndarray, names: set) -> tuple:
+    names = sorted(names - {None})
     n = int(hit.sum())
-    return len(words), n, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n > 0, _runs(hit) if n else [], names
+    return len(hit), n, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n > 0, _runs(hit) if n else [], names
 
 
 _OUT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("hit_words", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
@@ -170,40 +194,73 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
         return base.mapInArrow(near, out)
 
-    # beyond the bound: fingerprints meet in a join; rows alike in id and text share their key and their answer
-    spark = docs.sparkSession
-    base = base.withColumn("__row", F.xxhash64(F.col(f"`{id_col}`"), F.col("__text")))
-    lengths = [r[0] for r in items.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in binary_list(b.column("words"))], pa.int32())], names=["n"]) for b in bs), "n int").where(f"n between 1 and {span - 1}").distinct().collect()]
+    # beyond the bound; rows alike in id and text share their key and their answer
+    key = F.md5(F.concat_ws("\x00", F.col(f"`{id_col}`").cast("string"), F.col("__text")).cast("binary"))
+    base = base.withColumn("__row", key)
+    lengths = sorted(r[0] for r in items.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in binary_list(b.column("words"))], pa.int32())], names=["n"]) for b in bs), "n int").where(f"n between 1 and {span - 1}").distinct().collect())  # fewer than span
 
-    def prints(batches, key, whole):
+    def hashes(h: np.ndarray, n: int) -> np.ndarray:
+        """Two hashes of each window of ``n`` words, as one 128-bit value a row."""
+        return np.column_stack([ngram_hashes(h, n) ^ U64(n), ngram_hashes(mix64(h ^ U64(0xA5A5A5A5A5A5A5A5)), n)])
+
+    def prints(batches, key):
         cache = TokenHashes()
         for batch in batches:
-            keys, hashes = [], []
+            keys, found = [], []
             for name, text in zip(batch.column(key).to_pylist(), binary_list(batch.column("__text" if key == "__row" else "words"))):
+                g = ngram_hashes(cache.array(words_of(text)), k)
+                g = np.unique(g[winnow(g, span - k + 1)])
+                keys += [name] * len(g)
+                found.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate([*found, np.empty(0, U64)]).view(np.int64))], names=["row", "h"])
+
+    def item_windows(batches):
+        cache = TokenHashes()
+        for batch in batches:
+            keys, found = [], []
+            for name, text in zip(batch.column("item").to_pylist(), binary_list(batch.column("words"))):
+                h = cache.array(words_of(text))
+                if len(h):
+                    w = np.unique(hashes(h, min(span, len(h))), axis=0)
+                    keys += [name] * len(w)
+                    found.append(w)
+            w = np.concatenate([*found, np.empty((0, 2), U64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], names=["item", "w1", "w2"])
+
+    def starts_of(h: np.ndarray, size: int, found: list) -> np.ndarray:
+        if size < span:
+            return np.arange(max(0, len(h) - size + 1))
+        return marked(ngram_hashes(h, k), np.sort(np.array(found, np.int64).view(U64)), span, k) if found and len(h) >= span else np.arange(0)
+
+    def doc_windows(batches):
+        cache = TokenHashes()
+        for batch in batches:
+            for row, text, found in zip(batch.column("__row").to_pylist(), binary_list(batch.column("__text")), batch.column("__found").to_pylist()):
                 h = cache.array(words_of(text))
-                got = []
-                if len(h) >= span:
-                    g = ngram_hashes(h, k)
-                    got.append(g[winnow(g, span - k + 1)])
-                if whole and 0 < len(h) < span:
-                    got.append(ngram_hashes(h, len(h)) ^ U64(len(h)))
-                elif not whole:
-                    got += [ngram_hashes(h, n) ^ U64(n) for n in lengths]
-                found = np.unique(np.concatenate(got)) if got else []
-                keys += [name] * len(found)
-                hashes.extend(int(x) for x in np.asarray(found, U64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(key).type), pa.array(hashes, pa.int64())], names=[key, "h"])
-
-    left = base.select("__row", "__text").mapInArrow(lambda bs: prints(bs, "__row", False), "__row long, h long")
-    right = items.mapInArrow(lambda bs: prints(bs, "item", True), "item string, h long")
-    pairs = left.join(right, "h").select("__row", "item").distinct()
-    texts = pairs.join(items, "item").groupBy("__row").agg(F.collect_list(F.struct("item", "words")).alias("__items"))
+                some = [hashes(h, n)[starts_of(h, n, found)] for n in (*lengths, span) if len(h) >= n]
+                w = np.unique(np.concatenate([*some, np.empty((0, 2), U64)]), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(w), pa.string()), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], names=["row", "w1", "w2"])
+
+    have = items.mapInArrow(lambda bs: prints(bs, "item"), "row string, h long").select("h").distinct()
+    left = base.select("__row", "__text").mapInArrow(lambda bs: prints(bs, "__row"), "row string, h long")
+    found = left.join(have, "h", "left_semi").groupBy(F.col("row").alias("__row")).agg(F.collect_set("h").alias("__found"))
+    base = base.join(found, "__row", "left")
+    met = base.select("__row", "__text", "__found").mapInArrow(doc_windows, "row string, w1 long, w2 long")
+    met = met.join(items.mapInArrow(item_windows, "item string, w1 long, w2 long"), ["w1", "w2"]).groupBy(F.col("row").alias("__row"))
+    met = met.agg(F.collect_set(F.struct("w1", "w2")).alias("__hits"), F.collect_set("item").alias("__items"))
 
     def far(batches):
+        cache = TokenHashes()
         for batch in batches:
             rows = []
-            for text, met in zip(binary_list(batch.column("__text")), batch.column("__items").to_pylist()):
-                rows.append(_answer(Items(((x["item"], words_of(x["words"].encode())) for x in met or []), span, k), text))
-            yield _with(batch, rows, ("__text", "__items", "__row"))
-
-    return base.join(texts, "__row", "left").mapInArrow(far, out)
+            for text, found, hits, names in zip(binary_list(batch.column("__text")), *(batch.column(c).to_pylist() for c in ("__found", "__hits", "__items"))):
+                h = cache.array(words_of(text))
+                hit, want = np.zeros(len(h), bool), {(x["w1"], x["w2"]) for x in hits or ()}
+                for n in (*lengths, span) if want else ():
+                    s = starts_of(h, n, found) if len(h) >= n else np.arange(0)
+                    w = hashes(h, n)[s].view(np.int64).tolist() if len(s) else []
+                    _cover(len(h), s[[tuple(x) in want for x in w]] if len(s) else s, n, hit)
+                rows.append(_told(hit, set(names or ())))
+            yield _with(batch, rows, ("__text", "__found", "__hits", "__items", "__row"))
+
+    return base.join(met, "__row", "left").mapInArrow(far, out)

@@ -68,3 +68,14 @@ def test_empty(spark):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert contamination.decontaminate(docs(spark, []), bench).count() == 0
     assert contamination.decontaminate(docs(spark, ["a b"]), bench).first()["contaminated"] is False
+
+
+@pytest.mark.parametrize("bound", [contamination.BROADCAST_WORDS, 0])
+def test_long_repetitive_texts_and_repeated_rows(spark, bound):
+    """Equal words by the hundred thousand cost what other words do."""
+    items = [("r", "same " * 400), ("s", "same " * 3), ("u", " ".join(f"w{k % 7}" for k in range(300)))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = ["same " * 120_000, " ".join(f"w{k % 7}" for k in range(100_000)), "clean text"]
+    rows = docs(spark, texts)
+    got = contamination.decontaminate(rows.unionByName(rows), bench, broadcast_words=bound).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in got) == sorted([(0, 120_000, 120_000, 2), (1, 100_000, 100_000, 1), (2, 2, 0, 0)] * 2)
