@@ -52,6 +52,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder that was written for the time being."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def row_count_partitions(spark: SparkSession, n_bytes: float, per: float = 32e6) -> int:
     """Partitions that follow the input: never fewer than the session's, else ``n_bytes / per``."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // per) + 1)
