@@ -11,17 +11,23 @@ the filter grows with the input and errs as often at every size, always
 towards higher counts. Pieces are more as the input grows, and are never sent
 to all: each block of documents sends its distinct n-grams to the pieces, with
 their counts; a task holds one piece at a time, and the levels read there go
-back to the block. N-grams travel as sorted, delta-coded blobs.
+back to the block. N-grams travel as sorted, delta-coded blobs of the leading
+bits of their hashes, 14 more than it takes to count the text's bytes (44 up to
+1 GB, all 64 from 1 PB on), so that as few meet by chance at every size.
 
-The model is an interpolated bigram: P(w|h) = a(h) c(h w)/c(h) + (1 - a(h))
-P1(w), a(h) = c(h) / (c(h) + K) and P1(w) = (c(w) + 1) / (N + V + 1), with all
-counts read from the filter. An end token closes every text and opens the
-next one's history.
+The model is an interpolated bigram: P(w|h) = a(h) c(h w)/C(h) + (1 - a(h))
+P1(w), a(h) = C(h) / (C(h) + K) and P1(w) = (c(w) + 1) / (N + V + 1), with all
+counts read from the filter. c is the least count a level stands for and C the
+most, so that the followers of a history come to no more than it, and P(.|h)
+and P1 sum to one at most over the vocabulary (quantising leaves the rest
+unassigned). An end token closes every text and opens the next one's history.
 
 The base score needs each token's exact count. Each block sends its distinct
 tokens (not its occurrences) the same way, and gets their exact counts back.
 
 Null texts are empty: one token, the end. A null id hashes as an empty string.
+Repeated rows are learned from and scored each. Very long texts are read whole,
+in the block they fall in.
 With nothing to learn from, N = V = 0: the base score is that of the formula
 (log10 of 1) and the score is 0 a token.
 """
@@ -99,32 +105,39 @@ def counts_of(q: np.ndarray, base: float = LEVEL_BASE) -> np.ndarray:
     return np.where(q > 0, base ** (q.astype(np.float64) - 1), 0.0)
 
 
-def lead(h: np.ndarray) -> np.ndarray:
-    """What the filter knows an n-gram by: the 44 leading bits of its hash."""
-    return (h >> U64(20)) << U64(20)
+KEY_BITS = 44
 
 
-def pack(h: np.ndarray, c: np.ndarray) -> bytes:
-    """Sorted hashes (kept to 44 leading bits) and their counts as delta bytes, plane by plane."""
+def key_bits(n_bytes: int) -> int:
+    """Leading bits of a hash that n-grams are told apart by."""
+    return min(64, max(KEY_BITS, int(n_bytes).bit_length() + 14))
+
+
+def lead(h: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
+    """What the filter knows an n-gram by: the leading bits of its hash."""
+    return (h >> U64(64 - bits)) << U64(64 - bits)
+
+
+def pack(h: np.ndarray, c: np.ndarray, bits: int = KEY_BITS) -> bytes:
+    """Sorted hashes (kept to their leading bits) and their counts as delta bytes, plane by plane."""
     import zstandard
 
-    h = h >> U64(20)
+    h = h >> U64(64 - bits)
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     h, c = h[first], np.minimum(np.add.reduceat(c, first), (1 << 32) - 1)
     d = np.diff(h, prepend=U64(0))
-    planes = d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
-    return len(h).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes + c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    planes = d.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(h).to_bytes(4, "little") + bytes([bits]) + zstandard.ZstdCompressor(level=1).compress(planes + c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
-    n = int.from_bytes(blob[:4], "little")
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8)
-    d = np.zeros((n, 8), np.uint8)
-    d[:, :6] = raw[: 6 * n].reshape(6, n).T
-    c = np.ascontiguousarray(raw[6 * n :].reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(d.view("<u8").ravel(), dtype=U64) << U64(20), c.astype(np.int64)
+    n, bits = int.from_bytes(blob[:4], "little"), blob[4]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[5:]), np.uint8)
+    d = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T)
+    c = np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(d.view("<u8").ravel(), dtype=U64) << U64(64 - bits), c.astype(np.int64)
 
 
 def _bytes(docs: DataFrame, text_col: str) -> int:
@@ -162,7 +175,7 @@ def word_order(local: TokenHashes) -> tuple[list[bytes], np.ndarray, np.ndarray]
     return words, h, order
 
 
-def count_blocks(dealt: DataFrame, pieces: int) -> DataFrame:
+def count_blocks(dealt: DataFrame, pieces: int, bits: int = KEY_BITS) -> DataFrame:
     """(block, piece, grams, words, counts): a block's n-grams and tokens in each piece, with their counts in texts to learn from."""
 
     def send(block: int, local: TokenHashes, learn: list, other: list):
@@ -181,7 +194,7 @@ def count_blocks(dealt: DataFrame, pieces: int) -> DataFrame:
         rows = []
         for i in full:
             mine = order[ends[i] : ends[i + 1]]
-            rows.append((pack(g[cuts[i] : cuts[i + 1]], c[cuts[i] : cuts[i + 1]]), packer.compress(b"\n".join([words[j] for j in mine])), n_of[mine].astype("<i8").tobytes()))
+            rows.append((pack(g[cuts[i] : cuts[i + 1]], c[cuts[i] : cuts[i + 1]], bits), packer.compress(b"\n".join([words[j] for j in mine])), n_of[mine].astype("<i8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(full), pa.int32()), pa.array(full, pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2)), pa.array([packer.compress(r[2]) for r in rows], pa.binary())], names=["block", "piece", "grams", "words", "counts"])
 
     def run(batches):
@@ -237,10 +250,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     n_bytes = _bytes(base, "text")
-    blocks, pieces = row_count_partitions(spark, n_bytes, block_bytes), piece_count(n_bytes)
+    blocks, pieces, bits = row_count_partitions(spark, n_bytes, block_bytes), piece_count(n_bytes), key_bits(n_bytes)
     dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(blocks, "block")
-    settled = settle(count_blocks(dealt, pieces), pieces, filter_bits)
+    settled = settle(count_blocks(dealt, pieces, bits), pieces, filter_bits)
     total = settled.agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
 
@@ -256,7 +269,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         _, words, order = word_order(local)
         exact = np.empty(len(local), np.int64)
         exact[order] = joined("counts", "<i8")
-        h, at = np.unique(lead(np.concatenate([words, *(bigrams(local.hash[k]) for k in each)])), return_inverse=True)
+        h, at = np.unique(lead(np.concatenate([words, *(bigrams(local.hash[k]) for k in each)]), bits), return_inverse=True)
         levels = joined("levels", np.uint8)
         if len(levels) != len(h):
             raise RuntimeError("the levels of a block's n-grams are not all there")
@@ -280,8 +293,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             c2 = counts[at[past : past + len(k)]]
             past += len(k)
             w = c1[k]
-            prior = np.append(w[-1:], w[:-1])
-            prior[start] = w[start + size - 1]  # a text's first token follows the end token
+            most = np.where(w > 0, LEVEL_BASE * w - 1, 0.0)  # the most a level stands for
+            prior = np.append(most[-1:], most[:-1])
+            prior[start] = most[start + size - 1]  # a text's first token follows the end token
             p1 = (w + 1) / floor
             a = prior / (prior + BACKOFF)
             p2 = a * np.minimum(c2, prior) / np.maximum(prior, 1) + (1 - a) * p1

@@ -84,3 +84,41 @@ def test_scores_do_not_depend_on_the_least_size(spark):
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 4000, 400)) for _ in range(60)]
     small, large = ({r["doc_id"]: r["score"] for r in ngramlm.score(docs(spark, texts), HELD(), filter_bits=b).collect()} for b in (1 << 12, 1 << 24))
     assert all(abs(small[i] - large[i]) < 0.03 * abs(large[i]) for i in large)
+
+
+def plain_model(words, held):
+    """The docstring's model with plain dictionaries: P1 and P(w|h)."""
+    c1 = Counter(w for ws, h in zip(words, held) if not h for w in ws)
+    c2 = Counter(x for ws, h in zip(words, held) if not h for x in zip([None, *ws], ws))
+    n, v = sum(c1.values()), len(c1)
+    low = lambda c: 2 ** (c.bit_length() - 1) if c else 0
+    top = lambda c: 2 ** c.bit_length() - 1 if c else 0
+    p1 = lambda w: (low(c1[w]) + 1) / (n + v + 1)
+
+    def p2(w, h):
+        t = top(c1[h])
+        a = t / (t + ngramlm.BACKOFF)
+        return a * min(low(c2[h, w]), t) / t + (1 - a) * p1(w) if t else p1(w)
+
+    return c1, p1, p2
+
+
+def test_score_as_a_plain_dictionary_model(spark):
+    rng = np.random.default_rng(5)
+    texts = [*TEXTS, *(" ".join(f"w{x}" for x in rng.zipf(1.6, 80).clip(1, 300)) for _ in range(40)), "w1 " * 5000]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None] for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    vocabulary, p1, p2 = plain_model(words, held)
+    got = {r["doc_id"]: r["score"] for r in ngramlm.score(docs(spark, texts), HELD()).collect()}
+    for i, ws in enumerate(words):
+        assert math.isclose(got[i], sum(math.log10(p2(w, h)) for h, w in zip([None, *ws], ws)), rel_tol=1e-9), (i, texts[i])
+    # the model hands out no more than there is
+    assert sum(map(p1, vocabulary)) <= 1 and all(sum(p2(w, h) for w in vocabulary) <= 1 + 1e-9 for h in vocabulary)
+
+
+def test_hashes_are_kept_longer_as_the_input_grows():
+    assert [ngramlm.key_bits(x) for x in (0, 1 << 20, 10**9, 10**12, 10**14)] == [44, 44, 44, 54, 61]
+    h = np.sort(np.random.default_rng(6).integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    for bits in (44, 58, 64):
+        a, _ = ngramlm.unpack(ngramlm.pack(h, np.ones(500, np.int64), bits))
+        assert (a == ngramlm.lead(h, bits)).all()
