@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalspark.llm import bpe, contamination, language, neardup, secrets
-from shoalspark.llm.common import reachable, scratch, table
+from shoalspark.llm.common import forget, materialize, reachable, scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard 0.80 or more) stays, the one of least id."""
+    """One document of each group of near-duplicates (Jaccard 0.80 or more) stays, the one of least id.
+
+    A document is a row, told by its id and its text: of several texts under a
+    group's least id the one of least hash stays, and of equal rows one. Rows
+    without words or id are linked with nothing and all stay.
+    """
     reachable(spark)
-    gone = neardup.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = neardup.near_duplicates(docs, percent=80, text_hash=True).where("n_shingles > 0 and doc_id is not null")
+    found = found.groupBy("doc_id", "th").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    firsts = found.where("kept").groupBy("doc_id").agg(F.min("th").alias("first"), F.count("*").alias("texts")).where("texts > 1")
+    found = materialize(found.join(firsts, "doc_id", "left").select("doc_id", "th", (F.col("kept") & F.coalesce(F.col("th") == F.col("first"), F.lit(True))).alias("kept"), "n"), "near-duplicates")
+    packed = docs.select(F.struct("*").alias("__doc"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"))
+    key = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    left = packed.join(key(found.where("not kept")), ["__id", "__th"], "left_anti")
+    again = key(found.where("kept and n > 1"))
+    if not again.isEmpty():
+        left = left.join(again, ["__id", "__th"], "left_anti").unionByName(left.join(again, ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]))
+    return left.select("__doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,12 +83,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each result written to the shared folder and read again."""
+    """All stages in order, each result written to the shared folder and read again; a stage's input goes once its result stands."""
     docs = table(spark, sf_dir, "documents")
     top = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        if k:
+            forget(spark, f"{top}/{k - 1}")
     return docs
 
 
