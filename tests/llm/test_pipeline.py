@@ -82,3 +82,12 @@ def test_one_owners_key_in_many_documents_is_masked(spark, tmp_path):
     rows = [(i, f"token=mine4567 {i}", "en", "src0", 20) for i in range(130)] + [(200 + i, "token=copied123", "en", f"src{i}", 15) for i in range(3)]
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.mask_secrets(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()}
     assert all(out[i] == f"[SECRET] {i}" for i in range(130)) and all(out[200 + i] == "token=copied123" for i in range(3))
+
+
+def test_no_text_is_lost_under_repeated_ids(spark, tmp_path):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(3, a), (5, b), (5, a), (6, c), (6, c), (6, c + " end"), (7, None), (7, None), (None, a)]
+    table = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], SCHEMA)
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, table, str(tmp_path)).collect()]
+    assert sorted(out[k] for k in range(len(out)) if out[k][0] in (3, 5)) == [(3, a), (5, b)]
+    assert len([x for x in out if x[0] == 6]) == 1 and len([x for x in out if x[0] == 7]) == 2 and (None, a) in out
