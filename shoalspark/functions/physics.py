@@ -189,8 +189,12 @@ def rayleigh_tau(wl_nm: Column, pressure: Column | float = 1013.25) -> Column:
     return col(pressure) / 1013.25 * 0.008569 * i2 * i2 * (1 + 0.0113 * i2 + 0.00013 * i2 * i2)
 
 
-def rayleigh_tau_bodhaine(wl_nm: Column, pressure_hpa: float = 1013.25, co2_ppm: float = 400.0, lat_deg: float = 45.0, z_m: float = 0.0) -> Column:
-    """Rayleigh optical depth (Bodhaine et al. 1999) from dispersion, King factor and gravity."""
+def rayleigh_tau_bodhaine(wl_nm: Column, pressure_hpa: float = 1013.25, co2_ppm: float = 400.0, lat_deg: float = 45.0, z_m: float = 0.0, published: bool = False) -> Column:
+    """Rayleigh optical depth (Bodhaine et al. 1999) at sea-level gravity; ``z_m`` counts only in the published form.
+
+    The default's King factor is (6 + 3 r) / (6 - 7 r) of the mixture's r, the sum of the gases' factors less one by
+    volume; ``published`` takes the paper's volume-weighted factor and its gravity at the altitude.
+    """
     u = wl_nm / 1000
     i2 = 1 / (u * u)
     n300 = (8060.51 + 2480990 / (132.274 - i2) + 17455.7 / (39.32957 - i2)) / 1e8
@@ -199,7 +203,11 @@ def rayleigh_tau_bodhaine(wl_nm: Column, pressure_hpa: float = 1013.25, co2_ppm:
     f_n2 = 1.034 + 3.17e-4 * i2
     f_o2 = 1.096 + 1.385e-3 * i2 + 1.448e-4 * i2 * i2
     c = co2_ppm * 1e-4
-    king = (78.084 * f_n2 + 20.946 * f_o2 + 0.934 + c * 1.15) / (78.084 + 20.946 + 0.934 + c)
+    if published:
+        king = (78.084 * f_n2 + 20.946 * f_o2 + 0.934 + c * 1.15) / (78.084 + 20.946 + 0.934 + c)
+    else:
+        r = 0.78084 * (f_n2 - 1) + 0.20946 * (f_o2 - 1) + co2_ppm * 1e-6 * 0.15
+        king = (6 + 3 * r) / (6 - 7 * r)
     ns = 2.546899e19
     wl_cm = u * 1e-4
     n2 = n * n
@@ -207,8 +215,9 @@ def rayleigh_tau_bodhaine(wl_nm: Column, pressure_hpa: float = 1013.25, co2_ppm:
     air = 15.0556 * co2_ppm * 1e-6 + 28.9595
     c2 = math.cos(2 * math.radians(lat_deg))
     zc = 0.73737 * z_m + 5517.56
-    g0 = 980.6160 * (1 - 0.0026373 * c2 + 0.0000059 * c2 * c2)
-    g = g0 - (3.085462e-4 + 2.27e-7 * c2) * zc + (7.254e-11 + 1.0e-13 * c2) * zc**2 - (1.517e-17 + 6e-20 * c2) * zc**3
+    g = 980.6160 * (1 - 0.0026373 * c2 + 0.0000059 * c2 * c2)
+    if published:
+        g += -(3.085462e-4 + 2.27e-7 * c2) * zc + (7.254e-11 + 1.0e-13 * c2) * zc**2 - (1.517e-17 + 6e-20 * c2) * zc**3
     return sigma * (pressure_hpa * 1000 * 6.0221367e23 / (air * g))
 
 
@@ -277,7 +286,7 @@ def backscatter(wl: Column, bb_w: Column, spm: Column, bbp: Column, gamma: Colum
     return bb_w + bbp * spm * F.pow(wl / 550, -gamma)
 
 
-def _am03(a: Column, bb: Column, sun_deg: Column, view_deg: Column, water_type: int) -> tuple[Column, ...]:
+def _am03(a: Column, bb: Column, sun_deg: Column, view_deg: Column, water_type: int, published: bool) -> tuple[Column, ...]:
     n = 1.34
     cs = F.cos(F.asin(F.sin(F.radians(sun_deg)) / n))
     cv = F.cos(F.asin(F.sin(F.radians(view_deg)) / n))
@@ -289,21 +298,24 @@ def _am03(a: Column, bb: Column, sun_deg: Column, view_deg: Column, water_type:
         f, k0 = 0.0512 * (1 + 4.6659 * w - 7.8387 * w * w + 5.4571 * w * w * w) * (1 + 0.1098 / cs) * (1 + 0.4021 / cv), 1.0546
     kd = k0 * ext / cs
     ku_w = ext / cv * F.pow(1 + w, F.lit(3.5421)) * (1 - 0.2786 / cs)
-    ku_b = ext / cv * F.pow(1 + w, F.lit(2.2658)) * (1 + 0.0577 / cs)
+    ku_b = ext / cv * F.pow(1 + w, F.lit(2.2658)) * (1 + (0.0577 if published else -0.0577) / cs)
     return f, w, kd, ku_w, ku_b
 
 
-def am03_rrs(a: Column, bb: Column, sun_deg: Column, view_deg: Column, depth: Column | None = None, bottom: Column | None = None, water_type: int = 2) -> Column:
-    """Subsurface reflectance (Albert & Mobley 2003), deep unless a depth and a bottom are given."""
-    f, w, kd, ku_w, ku_b = _am03(a, bb, sun_deg, view_deg, water_type)
+def am03_rrs(a: Column, bb: Column, sun_deg: Column, view_deg: Column, depth: Column | None = None, bottom: Column | None = None, water_type: int = 2, published: bool = False) -> Column:
+    """Subsurface reflectance (Albert & Mobley 2003), deep unless a depth and a bottom are given.
+
+    Light from the bottom is attenuated with 1 - 0.0577 / cos(sun) in water; ``published``: with the paper's plus sign.
+    """
+    f, w, kd, ku_w, ku_b = _am03(a, bb, sun_deg, view_deg, water_type, published)
     if depth is None:
         return f * w
     return f * w * (1 - 1.1576 * F.exp(-depth * (kd + ku_w))) + 1.0389 * (bottom / math.pi) * F.exp(-depth * (kd + ku_b))
 
 
-def am03_bottom(rrs: Column, a: Column, bb: Column, sun_deg: Column, view_deg: Column, depth: Column, water_type: int = 2) -> Column:
+def am03_bottom(rrs: Column, a: Column, bb: Column, sun_deg: Column, view_deg: Column, depth: Column, water_type: int = 2, published: bool = False) -> Column:
     """Bottom reflectance that explains ``rrs``; 0 where it can't be told."""
-    f, w, kd, ku_w, ku_b = _am03(a, bb, sun_deg, view_deg, water_type)
+    f, w, kd, ku_w, ku_b = _am03(a, bb, sun_deg, view_deg, water_type, published)
     column = f * w * (1 - 1.1576 * F.exp(-depth * (kd + ku_w)))
     term = 1.0389 / math.pi * F.exp(-depth * (kd + ku_b))
     r = F.when(term > 1e-30, (rrs - column) / term)

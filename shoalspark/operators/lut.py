@@ -12,14 +12,18 @@ Units are part of the specification: an axis carries the unit its values are in.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import itertools
 import math
+import struct
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .spectral import literal_interp
+
 #: The axes of the aerosol and the gas table, in order.
 AEROSOL_AXES = ("sun_zenith", "view_zenith", "relative_azimuth", "aot550", "pressure", "altitude")
 GAS_AXES = ("sun_zenith", "view_zenith", "relative_azimuth", "water", "ozone", "pressure", "altitude")
@@ -104,6 +108,53 @@ def lookup(df: DataFrame, nodes: DataFrame, spec: LutSpec, key: Sequence[str], k
     return hit.groupBy(*group).agg(*[F.sum(F.col("__weight") * F.col(o)).alias(o) for o in spec.outputs])
 
 
+TABLE_BYTES = 64 << 20
+
+
+def packed(nodes: DataFrame, spec: LutSpec) -> DataFrame:
+    """One row, ``table``: an array of structs of the outputs' arrays by band, at each node's place in mixed radix."""
+    place, stride = F.lit(0), 1
+    for a, v in reversed(spec.axes.items()):
+        place, stride = place + F.col(f"i_{a}") * stride, stride * len(v)
+    bands = F.array_sort(F.collect_list(F.struct("wl_idx", *spec.outputs)))
+    rows = nodes.withColumn("__place", place).groupBy("__place").agg(bands.alias("b"))
+    rows = rows.select("__place", F.struct(*[F.col(f"b.{o}").alias(o) for o in spec.outputs]).alias("node"))
+    return rows.agg(F.array_sort(F.collect_list(F.struct("__place", "node"))).alias("t")).select(F.transform("t", lambda x: x["node"]).alias("table"))
+
+
+def lookup_arrays(df: DataFrame, nodes: DataFrame, spec: LutSpec) -> DataFrame:
+    """``df`` with an array by band of each output at its axis values; NULL outside an axis.
+
+    One projection: the whole bound table is one row that goes to all tasks, which is refused above TABLE_BYTES (the
+    nodes are counted first, all of them must be there). Nothing of ``df`` is shuffled, exploded or joined back.
+    """
+    n, bands = nodes.agg(F.count("*"), F.count_distinct("wl_idx")).first()
+    size = math.prod(len(v) for v in spec.axes.values())
+    if n * len(spec.outputs) * 8 > TABLE_BYTES:
+        raise ValueError(f"{n} nodes are too many to send: bind more axes")
+    if n != size * bands:
+        return df.withColumns({o: F.lit(None).cast("array<double>") for o in spec.outputs})  # a scene value outside its axis
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    d = df.crossJoin(F.broadcast(packed(nodes, spec)))  # one row, of the size checked above
+    axes = {}
+    for k, (a, values) in enumerate(spec.axes.items()):
+        i, w = bracket(F.col(a), values)
+        axes |= {f"__i{k}": i, f"__w{k}": w}
+    d = d.withColumns(axes)
+    corners = []
+    for bits in itertools.product((0, 1), repeat=len(spec.axes)):
+        place, weight, stride = F.lit(0), F.lit(1.0), size
+        for k, (b, v) in enumerate(zip(bits, spec.axes.values())):
+            stride //= len(v)
+            place = place + F.least(F.col(f"__i{k}") + b, F.lit(len(v) - 1)) * stride
+            weight = weight * (F.col(f"__w{k}") if b else 1 - F.col(f"__w{k}"))
+        corners.append(F.struct(weight.alias("w"), F.get("table", place).alias("node")))
+    d = d.select(*keep, F.when(weight.isNotNull(), F.array(*corners)).alias("__corners"))
+    zero = F.array_repeat(F.lit(0.0), F.lit(int(bands)))
+    value = lambda o: F.when(F.col("__corners").isNotNull(), F.aggregate("__corners", zero, lambda acc, c: F.zip_with(acc, c["node"][o], lambda x, y: x + c["w"] * y)))
+    return d.select(*keep, *[value(o).alias(o) for o in spec.outputs])
+
+
 def nearest_nodes(nodes: DataFrame, spec: LutSpec, at: Mapping[str, float]) -> DataFrame:
     """Nodes nearest on each axis by itself (the lower one on ties)."""
     keep = F.lit(True)
@@ -113,6 +164,62 @@ def nearest_nodes(nodes: DataFrame, spec: LutSpec, at: Mapping[str, float]) -> D
     return nodes.where(keep)
 
 
+def at_sensor(nodes: DataFrame, spec: LutSpec, sensor: DataFrame) -> DataFrame:
+    """Nodes at a sensor's bands (wl_idx, wavelength), linear in wavelength; a band outside the table is an error."""
+    ends = nodes.agg(F.min("wavelength"), F.max("wavelength")).first()
+    wide = sensor.where(~F.col("wavelength").between(*ends)).limit(1).collect()  # one example for the message
+    if wide:
+        raise ValueError(f"band {wide[0]['wavelength']} nm is outside the table's {ends[0]} to {ends[1]} nm")
+    axes = [f"i_{a}" for a in spec.axes]
+    w = Window.partitionBy(*axes).orderBy("wavelength")
+    seg = nodes.select(*axes, "wavelength", *spec.outputs, F.lead("wavelength").over(w).alias("w1"), *[F.lead(o).over(w).alias(f"{o}1") for o in spec.outputs])
+    s = sensor.select("wl_idx", F.col("wavelength").alias("wl"))
+    near = seg.join(F.broadcast(s), (F.col("wl") >= F.col("wavelength")) & ((F.col("wl") < F.col("w1")) | (F.col("w1").isNull() & (F.col("wl") == F.col("wavelength")))))  # a sensor's bands: some hundred rows
+    t = F.coalesce((F.col("wl") - F.col("wavelength")) / (F.col("w1") - F.col("wavelength")), F.lit(0.0))
+    return near.select(*axes, "wl_idx", F.col("wl").alias("wavelength"), *[(F.col(o) + t * F.coalesce(F.col(f"{o}1") - F.col(o), F.lit(0.0))).alias(o) for o in spec.outputs])
+
+
+def band_key(wavelengths: Sequence[float]) -> str:
+    """Twelve digits that name a sensor's bands: of their single-precision bytes."""
+    return hashlib.md5(struct.pack(f"<{len(wavelengths)}f", *wavelengths)).hexdigest()[:12]
+
+
+def cached(nodes: DataFrame, spec: LutSpec, sensor: DataFrame, folder: str, name: str) -> DataFrame:
+    """at_sensor(), kept in ``folder`` by the sensor's bands: made at the first call, read at later ones."""
+    spark = nodes.sparkSession
+    key = band_key([r[0] for r in sensor.orderBy("wl_idx").select("wavelength").collect()])  # some hundred numbers
+    path = f"{folder.rstrip('/')}/{name}-{key}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        at_sensor(nodes, spec, sensor).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def from_files(spark: SparkSession, folder: str) -> tuple[DataFrame, LutSpec]:
+    """A table in Parquet, nodes/ and axes/ (axis, i, value, unit), and its specification; units are checked to be one an axis."""
+    axes: dict[str, dict[int, float]] = {}
+    units: dict[str, str] = {}
+    for r in spark.read.parquet(f"{folder}/axes").collect():  # the axes' values, some dozen rows
+        axes.setdefault(r["axis"], {})[r["i"]] = r["value"]
+        if units.setdefault(r["axis"], r["unit"]) != r["unit"]:
+            raise ValueError(f"axis {r['axis']} has two units")
+    nodes = spark.read.parquet(f"{folder}/nodes")
+    order = [c[2:] for c in nodes.columns if c.startswith("i_")]
+    outputs = [c for c in nodes.columns if not c.startswith("i_") and c not in ("wl_idx", "wavelength")]
+    return nodes, LutSpec({a: [v for _, v in sorted(axes[a].items())] for a in order}, outputs, units)
+
+
+def to_files(nodes: DataFrame, spec: LutSpec, folder: str) -> None:
+    rows = [(a, i, float(v), (spec.units or {}).get(a)) for a, vs in spec.axes.items() for i, v in enumerate(vs)]
+    nodes.sparkSession.createDataFrame(rows, "axis string, i int, value double, unit string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/axes")
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+
+
+def held(x: Column, nodes: Sequence[float], values: Sequence[float]) -> Column:
+    """Linear in one axis, held at its ends."""
+    return literal_interp(x, nodes, values, "flat")
+
+
 def sweep(nodes: DataFrame, spec: LutSpec, scene: Mapping[str, float], axis: str = "aot550") -> DataFrame:
     """Everything bound but one axis: a table of outputs by that axis and band."""
     out, left = bind(nodes, spec, {a: x for a, x in scene.items() if a != axis})

@@ -7,33 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_folder
+from .spectral import exact_quantile
 
-def band_stats(long: DataFrame, seg: str = "seg_id", wl: str = "wavelength", value: str = "value") -> DataFrame:
-    """Exact median and unscaled MAD of each segment's band; label 0 is masked.
 
-    Both medians need one shuffle: the second pass groups by the same keys.
-    """
-    good = long.where((F.col(seg) != 0) & F.col(value).isNotNull() & ~F.isnan(value))
-    med = good.groupBy(seg, wl).agg(F.median(value).alias("rho_med"))
-    return good.join(med, [seg, wl]).groupBy(seg, wl).agg(F.first("rho_med").alias("rho_med"), F.median(F.abs(F.col(value) - F.col("rho_med"))).alias("rho_mad"))
+def band_stats(long: DataFrame, seg: str = "seg_id", wl: str = "wavelength", value: str = "value") -> DataFrame:
+    """Exact median and unscaled MAD of each segment's band, for segments of any size; label 0 is masked."""
+    good = long.where((F.col(seg) != 0) & F.col(value).isNotNull() & ~F.isnan(value)).select(seg, wl, F.col(value).cast("double").alias("v"))
+    med = exact_quantile(good, [seg, wl], "v", 0.5, "rho_med")
+    off = good.join(med, [seg, wl]).select(seg, wl, F.abs(F.col("v") - F.col("rho_med")).alias("d"))
+    return med.join(exact_quantile(off, [seg, wl], "d", 0.5, "rho_mad"), [seg, wl])
 
 
 def scalar_stats(pixels: DataFrame, medians: Sequence[str], spread: Sequence[str] = (), seg: str = "seg_id") -> DataFrame:
-    """Pixels, medians and population standard deviations per segment."""
-    return pixels.where(F.col(seg) != 0).groupBy(seg).agg(
-        F.count("*").cast("int").alias("n_pix"), *[F.median(c).alias(f"{c}_med") for c in medians], *[F.stddev_pop(c).alias(f"{c}_sd") for c in spread]
-    )
+    """Pixels, medians (exact, for segments of any size) and population standard deviations per segment."""
+    p = pixels.where(F.col(seg) != 0)
+    out = p.groupBy(seg).agg(F.count("*").cast("int").alias("n_pix"), *[F.stddev_pop(c).alias(f"{c}_sd") for c in spread])
+    for c in medians:
+        out = out.join(exact_quantile(p, [seg], c, 0.5, f"{c}_med"), seg, "left")
+    return out.select(seg, "n_pix", *[f"{c}_med" for c in medians], *[f"{c}_sd" for c in spread])
 
 
 def mean_features(pixels: DataFrame, features: Sequence[str], seg: str = "seg_id") -> DataFrame:
     return pixels.where(F.col(seg) != 0).groupBy(seg).agg(F.count("*").alias("n_pix"), *[F.avg(c).alias(c) for c in features])
 
 
+def ordinals(values: DataFrame, column: str, out: str) -> DataFrame:
+    """1..N of distinct values in ascending order: counted in ranges of the order, each moved by what stands before it."""
+    cut = values.select(column).distinct()
+    cut = materialize(cut.repartitionByRange(column).withColumn("__range", F.spark_partition_id()), "ordinals")
+    sizes = cut.groupBy("__range").agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).drop("__n")  # a row a range
+    here = F.row_number().over(Window.partitionBy("__range").orderBy(column))
+    return cut.withColumn("__here", here).join(sizes, "__range").select(column, (F.col("__here") + F.col("__before")).cast("int").alias(out))
+
+
 def relabel_dense(df: DataFrame, seg: str = "seg_id", out: str = "new_id") -> DataFrame:
     """1..N by ascending label, 0 kept. The rank is taken over distinct labels only."""
-    labels = df.select(seg).where(F.col(seg) != 0).distinct()
-    ranks = labels.withColumn(out, F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(seg)).cast("int"))
-    return df.join(ranks, seg, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    return df.join(ordinals(df.where(F.col(seg) != 0), seg, out), seg, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
 def adjacency(pixels: DataFrame, seg: str = "seg_id") -> DataFrame:
@@ -46,11 +57,7 @@ def adjacency(pixels: DataFrame, seg: str = "seg_id") -> DataFrame:
 
 def connected(edges: DataFrame, nodes: DataFrame, node: str = "node", rounds: int = 50) -> DataFrame:
     """(node, root): least node reachable, by neighbour minima and pointer jumps, checkpointed each round."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shoalspark-"))
+    shared_folder(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = nodes.select(F.col(node).alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
     for _ in range(rounds):
@@ -110,7 +117,7 @@ def replicate_ids(df: DataFrame, order: str, by: str = "class", wl: str = "wavel
 def median_fill(df: DataFrame, value: str, by: str = "wavelength") -> DataFrame:
     """Missing values take the median of their wavelength."""
     clean = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col(value))
-    med = df.groupBy(by).agg(F.median(clean).alias("__m"))
+    med = exact_quantile(df.select(by, clean.alias("__v")), [by], "__v", 0.5, "__m")
     return df.join(med, by, "left").withColumn(value, F.coalesce(clean, "__m")).drop("__m")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,30 +113,35 @@ def interpolate(df: DataFrame, x: str, nodes: DataFrame, node_x: str, node_y: st
 # --- exact quantiles ------------------------------------------------------------
 
 
-def exact_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.5, out: str = "quantile", bins: int = 4096) -> DataFrame:
-    """Exact quantile with linear interpolation for groups of any size.
+def exact_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.5, out: str = "quantile", accuracy: int = 20_000) -> DataFrame:
+    """Exact quantile with linear interpolation for groups of any size, in two passes.
 
-    A group's percentile buffer holds each of its distinct values. Here counts
-    in ``bins`` equal bins (aggregated before the shuffle) name the bins that
-    hold the two ranks asked for; only values of those bins are then ordered.
-    NULL and NaN values are left out. Groups without a value give no row.
+    A group's percentile buffer holds each of its distinct values. Here a sketch
+    (merged in each task before the shuffle) brackets the two ranks asked for by
+    ``accuracy``'s error; the second pass counts what lies below the bracket and
+    the distinct values inside it, and only those are ordered. Groups up to
+    ``accuracy`` values are ordered whole. NULL and NaN values are left out.
+    Groups without a value give no row.
     """
     keys = list(by)
     v = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    ends = v.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    binned = _join(v, ends, keys).withColumn("bin", F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1)))
-    counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("bin")
-    counts = _join(counts.withColumn("before", F.sum("c").over(w) - F.col("c")), ends, keys)
+    margin = 3 / accuracy
+    sketch = F.percentile_approx("v", [max(0.0, q - margin), min(1.0, q + margin)], accuracy)
+    ends = v.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), sketch.alias("b"))
+    whole = F.col("n") <= accuracy
+    ends = ends.select(*keys, "n", F.when(whole, F.col("lo")).otherwise(F.col("b")[0]).alias("lo"), F.when(whole, F.col("hi")).otherwise(F.col("b")[1]).alias("hi"))
+    near = _join(v, ends, keys).where("v <= hi").groupBy(*keys, "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("m"))
+    inside = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("v").asc_nulls_first())
+    near = near.withColumn("first", F.sum("m").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
     rank = F.lit(q) * (F.col("n") - 1)
-    wanted = counts.where((F.col("before") <= F.ceil(rank)) & (F.col("before") + F.col("c") > F.floor(rank))).select(*keys, "bin", "before", "n")
-    near = binned.drop("n").join(wanted, [*keys, "bin"]).groupBy(*keys, "bin", "before", "n", "v").agg(F.count("*").alias("m"))
-    inside = Window.partitionBy(*keys, "bin").orderBy("v")
-    near = near.withColumn("first", F.col("before") + F.sum("m").over(inside) - F.col("m"))
     at = lambda r: F.max(F.when((F.col("first") <= r) & (F.col("first") + F.col("m") > r), F.col("v")))
     picked = near.groupBy(*keys, "n").agg(at(F.floor(rank)).alias("a"), at(F.ceil(rank)).alias("b"))
     return picked.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))).alias(out))
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, keys) if keys else left.crossJoin(F.broadcast(right))  # one row
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    right = right.withColumnsRenamed({k: f"__k_{k}" for k in keys})  # NULL is a group like others
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return left.join(right, functools.reduce(lambda a, b: a & b, same)).drop(*[f"__k_{k}" for k in keys])

@@ -1,8 +1,8 @@
 """Radiance to reflectance to water-leaving reflectance, and matchups.
 
-Each plan is one projection over the pixels but for the atmosphere, which is
-an equi-join to a bound node table: no step collects pixels, and scene scalars
-are literals or one-row tables.
+Radiance to water-leaving reflectance is one projection over the pixels: scene
+scalars are literals, and the atmosphere's tables, bound to the scene, are one
+row of checked size that goes to all tasks. No pixel is shuffled.
 """
 
 from __future__ import annotations
@@ -40,33 +40,48 @@ def l1r(pixels: DataFrame, wavelengths: Sequence[float], f0: Sequence[float], ga
     return out.withColumn("mask_water", ph.water_mask(F.col("ndwi")))
 
 
-def atmosphere(pixels: DataFrame, key: Sequence[str], aerosol: DataFrame, aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, scene: Mapping[str, float]) -> DataFrame:
-    """Arrays of the atmosphere's terms per pixel, from tables bound to the scene."""
-    a, aspec = lut.bind(aerosol, aerosol_spec, {k: v for k, v in scene.items() if k in aerosol_spec.axes})
-    g, gspec = lut.bind(gas, gas_spec, {k: v for k, v in scene.items() if k in gas_spec.axes})
-
-    axes = pixels.select(*key, *lut.PIXEL_AXES)
-    out = pixels.select(*key)
-    for nodes, spec in ((a, aspec), (g, gspec)):
-        got = lut.lookup(axes, nodes, spec, key)
-        in_order = lambda o: F.transform(F.array_sort(F.collect_list(F.struct("wl_idx", F.col(o).alias("v")))), lambda x: x["v"]).alias(o)
-        out = out.join(got.groupBy(*key).agg(*[in_order(o) for o in spec.outputs]), list(key), "left")
+def with_atmosphere(pixels: DataFrame, aerosol: DataFrame, aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, scene: Mapping[str, float]) -> DataFrame:
+    """``pixels`` with an array by band of each of the atmosphere's terms, from tables bound to the scene."""
+    out = pixels
+    for nodes, spec in ((aerosol, aerosol_spec), (gas, gas_spec)):
+        out = lut.lookup_arrays(out, *lut.bind(nodes, spec, {k: v for k, v in scene.items() if k in spec.axes}))
     return out
 
 
-def l2r(l1: DataFrame, atm: DataFrame, key: Sequence[str], wavelengths: Sequence[float], exact: bool = False) -> DataFrame:
+def atmosphere(pixels: DataFrame, key: Sequence[str], aerosol: DataFrame, aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, scene: Mapping[str, float]) -> DataFrame:
+    """with_atmosphere(), the key and the terms only."""
+    axes = pixels.select(*key, *[c for c in lut.PIXEL_AXES if c not in key])
+    return with_atmosphere(axes, aerosol, aerosol_spec, gas, gas_spec, scene).select(*key, *aerosol_spec.outputs, *gas_spec.outputs)
+
+
+def surface(df: DataFrame, wavelengths: Sequence[float], exact: bool = False) -> DataFrame:
     """Surface and water-leaving reflectance, and the NIR glint correction of the latter.
 
-    atm has path, t_ra, s_ra, glint (aerosol) and t_gas (gas) arrays.
+    df has rho_at_sensor, mask_water, and path, t_ra, s_ra, glint (aerosol) and t_gas (gas) arrays.
     """
     nir = spectral.nearest_band(wavelengths, NIR)
     fresnel = [((1 - _index(w)) / (1 + _index(w))) ** 2 for w in wavelengths]
-    out = l1.join(atm, list(key), "left")
-    out = out.withColumn("rho_s", ph.each(lambda r, g, p, t, s: ph.atmosphere_inverse(r, g, p, t, s, exact), F.col("rho_at_sensor"), F.col("t_gas"), F.col("path"), F.col("t_ra"), F.col("s_ra")))
+    out = df.withColumn("rho_s", ph.each(lambda r, g, p, t, s: ph.atmosphere_inverse(r, g, p, t, s, exact), F.col("rho_at_sensor"), F.col("t_gas"), F.col("path"), F.col("t_ra"), F.col("s_ra")))
     out = out.withColumn("rho_w", F.when(F.col("mask_water") == 1, ph.each(lambda s, g: s - g, "rho_s", "glint")))
     return out.withColumn("rho_w_gl21", ph.glint_from_nir("rho_w", fresnel, nir))
 
 
+def l2r(l1: DataFrame, atm: DataFrame, key: Sequence[str], wavelengths: Sequence[float], exact: bool = False) -> DataFrame:
+    """surface() of pixels whose terms come from another table, joined by key."""
+    return surface(l1.join(atm, list(key), "left"), wavelengths, exact)
+
+
+def l1_to_l2(pixels: DataFrame, wavelengths: Sequence[float], f0: Sequence[float], aerosol: DataFrame, aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, scene: Mapping[str, float], gain: Sequence[float] | None = None, offset: Sequence[float] | None = None, exact: bool = False) -> DataFrame:
+    """Radiance to reflectance at the sensor, the surface and the water, calibrated if a model is given."""
+    return surface(with_atmosphere(l1r(pixels, wavelengths, f0, gain, offset), aerosol, aerosol_spec, gas, gas_spec, scene), wavelengths, exact)
+
+
+def l2w(pixels: DataFrame, wavelengths: Sequence[float], reflectance: str = "rho_w") -> DataFrame:
+    """The NIR glint correction of an existing product."""
+    fresnel = [((1 - _index(w)) / (1 + _index(w))) ** 2 for w in wavelengths]
+    return pixels.withColumn("rho_w_gl21", ph.glint_from_nir(reflectance, fresnel, spectral.nearest_band(wavelengths, NIR)))
+
+
 def _index(wl: float, t: float = 12.0, s: float = 30.0) -> float:
     flat = 1.31405 + (1.779e-4 - 1.05e-6 * t + 1.6e-8 * t * t) * s - 2.02e-6 * t * t
     return flat + (15.868 + 0.01155 * s - 0.00423 * t) / wl - 4382 / wl**2 + 1.1455e6 / wl**3

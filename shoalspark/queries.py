@@ -302,7 +302,7 @@ IOP = """WITH b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w, j AS depth FROM ran
 c AS (SELECT *, 0.01 + greatest((0.5 + 0.02 * ln(0.06 * pow(2.0, 0.65))) * 0.06 * pow(2.0, 0.65), 0) + 0.3 * exp(-0.017 * (w - 440)) + 0.0051 * 1.5 * exp(-0.006 * (w - 440)) AS a,
   0.00111 * pow(w / 500, -4.32) + 0.0047 * 1.5 * pow(w / 550, -0.65) AS bb, cos(asin(sin(radians(30)) / 1.34)) AS cs, cos(asin(sin(radians(10)) / 1.34)) AS cv FROM b),
 d AS (SELECT *, bb / (a + bb) AS o, 1.0546 * (a + bb) / cs AS kd FROM c),
-e AS (SELECT *, 0.0512 * (1 + 4.6659 * o - 7.8387 * o * o + 5.4571 * o * o * o) * (1 + 0.1098 / cs) * (1 + 0.4021 / cv) AS f, (a + bb) / cv * pow(1 + o, 3.5421) * (1 - 0.2786 / cs) AS kw, (a + bb) / cv * pow(1 + o, 2.2658) * (1 + 0.0577 / cs) AS kb FROM d)
+e AS (SELECT *, 0.0512 * (1 + 4.6659 * o - 7.8387 * o * o + 5.4571 * o * o * o) * (1 + 0.1098 / cs) * (1 + 0.4021 / cv) AS f, (a + bb) / cv * pow(1 + o, 3.5421) * (1 - 0.2786 / cs) AS kw, (a + bb) / cv * pow(1 + o, 2.2658) * (1 - 0.0577 / cs) AS kb FROM d)
 SELECT wl_idx, depth, round(f * o * (1 - 1.1576 * exp(-depth * (kd + kw))) + 1.0389 * (0.2 / pi()) * exp(-depth * (kd + kb)), 6) + 0.0 AS rrs, round(f * o, 6) + 0.0 AS deep, 0.2 AS bottom FROM e"""
 
 
@@ -599,11 +599,10 @@ def cube_round_trip(spark, sf_dir):
 # --- geometry and dates ----------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, round(julian(o_orderdate), 5) AS jd, dayofyear(o_orderdate)::INTEGER AS doy, round(1 + 0.034 * cos(2 * pi() * (dayofyear(o_orderdate) - 2) / 365), 6) + 0.0 AS factor FROM orders")
+@query("SELECT o_orderkey, round(julian(o_orderdate) - 0.5, 5) AS jd, dayofyear(o_orderdate)::INTEGER AS doy, round(1 + 0.034 * cos(2 * pi() * (dayofyear(o_orderdate) - 2) / 365), 6) + 0.0 AS factor FROM orders")
 def julian_day(spark, sf_dir):
     d = F.dayofyear("o_orderdate")
-    # whole days from noon to noon; the engine-side function counts from midnight
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(geo.julian_day(F.col("o_orderdate")) + 0.5, 5).alias("jd"), d.alias("doy"), r(ph.earth_sun_factor(d)).alias("factor"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.round(geo.julian_day(F.col("o_orderdate")), 5).alias("jd"), d.alias("doy"), r(ph.earth_sun_factor(d)).alias("factor"))
 
 
 def _sun_sql() -> str:
@@ -668,5 +667,5 @@ def pca_features(spark, sf_dir):
 
 @query()
 def map_invert(spark, sf_dir):
-    p = pixels(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).select("vec_id", spectral.take_bands("s", list(range(0, 48, 4))).alias("rho"), F.lit(30.0).alias("sun_zenith"), F.lit(5.0).alias("view_zenith"))
-    return invert.invert(p, ["vec_id"], "rho", invert.synthetic_optics([WL[i] for i in range(0, 48, 4)]), sigma=5e-3, iterations=40)
+    p = pixels(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).select("vec_id", F.col("s").alias("rho"), F.lit(30.0).alias("sun_zenith"), F.lit(5.0).alias("view_zenith"))
+    return invert.invert(p, ["vec_id"], "rho", invert.synthetic_optics(WL), iterations=400, own_error=True)

@@ -68,8 +68,11 @@ def test_fresnel_limits(spark):
 
 def test_refraction_and_rayleigh(spark):
     assert 1.33 < value(spark, ph.water_index(lit(550))) < 1.35
-    a, b = value(spark, ph.rayleigh_tau(lit(550)), ph.rayleigh_tau_bodhaine(lit(550)))
+    a, b = value(spark, ph.rayleigh_tau(lit(550)), ph.rayleigh_tau_bodhaine(lit(550), published=True))
     assert a == pytest.approx(0.098, abs=2e-3) and b == pytest.approx(a, rel=0.02)
+    default = value(spark, ph.rayleigh_tau_bodhaine(lit(550)))
+    r = 0.78084 * (0.034 + 3.17e-4 / 0.3025) + 0.20946 * (0.096 + 1.385e-3 / 0.3025 + 1.448e-4 / 0.3025**2) + 400e-6 * 0.15
+    assert default / b == pytest.approx((6 + 3 * r) / (6 - 7 * r) / (1 + r) * (976.0 / 980.6), rel=0.01)  # another King factor, sea-level gravity
     assert value(spark, ph.rayleigh_phase(lit(0), lit(0), lit(0))) == pytest.approx(1.5)
     assert value(spark, ph.sky_glint(lit(550), lit(30), lit(10), lit(90))) > 0
 
@@ -140,3 +143,15 @@ def test_projection_round_trip(spark):
     assert (x, y) == (pytest.approx(401_800, abs=700), pytest.approx(5_518_500, abs=2000))
     lat, lon = value(spark, *geo.tm_inverse(lit(x), lit(y), -63.0))
     assert (lat, lon) == (pytest.approx(49.81, abs=1e-8), pytest.approx(-64.365, abs=1e-8))
+
+
+def test_both_signs_of_the_bottom_term(spark):
+    import math
+
+    a, bb, cs, cv = 0.3, 0.02, math.cos(math.asin(math.sin(math.radians(40)) / 1.34)), math.cos(math.asin(math.sin(math.radians(5)) / 1.34))
+    w, e = bb / (a + bb), a + bb
+    for published, sign in ((False, -1), (True, 1)):
+        deep, shallow = value(spark, ph.am03_rrs(lit(a), lit(bb), lit(40), lit(5)), ph.am03_rrs(lit(a), lit(bb), lit(40), lit(5), lit(2), lit(0.2), published=published))
+        kd, kw = 1.0546 * e / cs, e / cv * (1 + w) ** 3.5421 * (1 - 0.2786 / cs)
+        kb = e / cv * (1 + w) ** 2.2658 * (1 + sign * 0.0577 / cs)
+        assert shallow == pytest.approx(deep * (1 - 1.1576 * math.exp(-2 * (kd + kw))) + 1.0389 * 0.2 / math.pi * math.exp(-2 * (kd + kb)), rel=1e-9)

@@ -299,3 +299,47 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r)[1:] for r in spark.table("hourly").collect()] == [("a", 4.5, 10)]
+
+
+def test_inversion_models():
+    """Derivatives of every model as differences, and the water found again under a mixture of bottoms."""
+    rng = np.random.default_rng(3)
+    wl = np.linspace(400, 790, 40)
+    o, n = invert.synthetic_optics(wl), 60
+    reps = {k: np.clip(m + 0.05 * np.sin(wl / 60 + i) + 0.02 * rng.standard_normal((30, 40)), 0.01, 0.9) for i, (k, m) in enumerate((("sand", 0.4), ("weed", 0.1)))}
+    prior = invert.bottom_prior(reps, 4)
+    aod = np.array([0, 0.1, 0.3])
+    sweep = invert.Sweep(aod, 0.02 + 0.1 * aod[:, None] + 0 * wl, 0.9 - 0.2 * aod[:, None] + 0 * wl, 0.05 + 0.1 * aod[:, None] + 0 * wl)
+    sun, view = np.full(n, 30.0), np.full(n, 5.0)
+    for more in ({}, {"prior": prior}, {"prior": invert.delta_prior(o.bottom, np.full(40, 0.02)), "sweep": sweep}):
+        m = invert.Model(np.full((n, 40), 0.01), np.full((n, 40), 2e-4), o, sun, view, **more)
+        x = m.start() + 0.1 * rng.standard_normal((n, m.size))
+        d = rng.standard_normal(x.shape)
+        for m.jacobian in (False, True):
+            slope = (m.evaluate(x + 1e-6 * d)[0] - m.evaluate(x - 1e-6 * d)[0]) / 2e-6
+            assert (m.evaluate(x)[1] * d).sum(axis=1) == pytest.approx(slope, rel=1e-5)
+    truth = {k: np.exp(rng.normal(m, s, n)) for k, (m, s) in invert.LOG_PRIORS.items()} | {k: np.full(n, m) for k, (m, s) in invert.NORMAL_PRIORS.items()}
+    truth["h_w"] = rng.uniform(1, 4, n)
+    rb = reps["sand"][rng.integers(0, 30, n)]
+    obs = invert.water(truth, o, sun, view, rb)[0] + 1e-4 * rng.standard_normal((n, 40))
+    m = invert.Model(obs, np.full(obs.shape, 1e-4), o, sun, view, prior=prior)
+    x, value, ok = invert.solve(m, iterations=500)
+    assert ok.mean() > 0.95 and np.median(np.abs(m.unpack(x)[0]["h_w"] - truth["h_w"])) < 0.5
+    _, _, few = invert.solve(m, iterations=2)
+    assert not few.any()  # what has not settled is not ok
+    z = invert.sample_all(invert.Model(obs, np.full(obs.shape, 2e-4), o, sun, view, jacobian=True), np.zeros((n, 9)), 40, 40, 1)
+    assert np.isfinite(z).all()
+
+
+def test_settled_only_is_ok_and_segments(spark):
+    wl = [400 + 10.0 * i for i in range(12)]
+    o = invert.synthetic_optics(wl)
+    long = spark.createDataFrame([(s, w, 0.01 + 0.001 * s + 0.0001 * k) for s in (1, 2) for w in wl for k in range(5)] + [(3, 400.0, 0.1)], "seg_id int, wavelength double, value double")
+    scalars = spark.createDataFrame([(s, 30.0, 5.0) for s in (1, 2, 3)], "seg_id int, sun_zenith double, view_zenith double")
+    spectra = invert.segment_spectra(segment.band_stats(long), scalars, wl)
+    assert {r["seg_id"]: round(r["sigma"][0], 8) for r in spectra.collect()} == {1: 0.00014826, 2: 0.00014826}
+    got = invert.invert(spectra, ["seg_id"], "rho", o, sigma="sigma", prior=invert.delta_prior(o.bottom, np.full(12, 0.05)))
+    raster_ = invert.to_raster(got, spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 1, 0)], "row int, col int, seg_id int")).collect()
+    assert len(raster_) == 3 and [r["chl"] is None for r in sorted(raster_, key=lambda r: (r["row"], r["col"]))] == [False, False, True]
+    deep = invert.invert(spectra.withColumn("depth", F.lit(50.0)), ["seg_id"], "rho", o, sigma="sigma", most_depth=("depth", 20.0))
+    assert not deep.where("ok").count()
