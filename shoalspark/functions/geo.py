@@ -69,6 +69,29 @@ def relative_azimuth(view: Column, sun: Column, fold: bool = False) -> Column:
     return F.when(d > 180, 360 - d).otherwise(d) if fold else d
 
 
+def local_time(ts: Column, zone: str) -> Column:
+    """The clock of a named zone at a UTC time."""
+    return F.from_utc_timestamp(ts, zone)
+
+
+def zone_longitude(ts: Column, zone: str) -> Column:
+    """Central longitude of the zone's clock at that time: 15 degrees an hour."""
+    return (F.unix_seconds(local_time(ts, zone).cast("timestamp")) - F.unix_seconds(ts.cast("timestamp"))) / 3600 * 15
+
+
+def extent_affine(pixels: DataFrame) -> DataFrame:
+    """Affine whose corners are the outer pixel centres, a row: the cells shrink by their share of a pixel."""
+    e = pixels.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), (F.max("col") - F.min("col") + 1).alias("w"), (F.max("row") - F.min("row") + 1).alias("h"))
+    return e.select(F.array((F.col("x1") - F.col("x0")) / F.col("w"), F.lit(0.0), F.col("x0"), F.lit(0.0), (F.col("y0") - F.col("y1")) / F.col("h"), F.col("y1")).alias("affine"))
+
+
+def refreshed(pixels: DataFrame) -> DataFrame:
+    """A crop's axes, a row: sizes, extents and the affine of its corner, half a pixel out from the first centres."""
+    e = pixels.agg(*[f(c).alias(f"{c}_{n}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))], F.count_distinct("col").alias("width"), F.count_distinct("row").alias("height"))
+    dx, dy = (F.try_divide(F.col(f"{c}_max") - F.col(f"{c}_min"), F.col(n) - 1) for c, n in (("x", "width"), ("y", "height")))
+    return e.withColumn("affine", F.array(dx, F.lit(0.0), F.col("x_min") - dx / 2, F.lit(0.0), -dy, F.col("y_max") + dy / 2))
+
+
 # --- sun -----------------------------------------------------------------------
 
 

@@ -85,6 +85,11 @@ def gaussian_srf(center: float, fwhm: float, step: float = 0.001) -> Column:
     return F.transform(grid, lambda w: F.struct(w.alias("wl"), F.exp(-0.5 * ((w - center) / s) * ((w - center) / s)).alias("response")))
 
 
+def response(tabulated: Column, center: float | None = None, fwhm: float | None = None, step: float = 0.1) -> Column:
+    """A band's response: the tabulated one if there is any, else a Gaussian if its width is known, else NULL."""
+    return F.coalesce(tabulated, gaussian_srf(center, fwhm, step)) if center is not None and fwhm is not None else tabulated
+
+
 def toa_reflectance(radiance: Column | str, f0: Spectrum, sun_zenith: Column, gain: Spectrum | None = None, offset: Spectrum | None = None) -> Column:
     """pi L / (F0 cos(sun)), then the calibration: gain * rho (+ offset)."""
     cos = F.cos(F.radians(sun_zenith))
@@ -346,12 +351,35 @@ def unpack(x: Column, scale: float, fill: int = -2147483647) -> Column:
     return F.when(x != fill, x * scale)
 
 
-#: CF standard names and units by alias.
+#: Standard names and units by alias.
 CF_NAMES = {
-    "wavelength": ("radiation_wavelength", "nm"), "time": ("time", "seconds since 1970-01-01 00:00:00"), "x": ("projection_x_coordinate", "m"), "y": ("projection_y_coordinate", "m"), "z": ("height", "m"),
-    "lat": ("latitude", "degree_north"), "lon": ("longitude", "degree_east"), "sun_zenith": ("solar_zenith_angle", "degree"), "sun_azimuth": ("solar_azimuth_angle", "degree"),
-    "view_zenith": ("sensor_zenith_angle", "degree"), "view_azimuth": ("sensor_azimuth_angle", "degree"), "relative_azimuth": ("angle_of_rotation_from_solar_azimuth_to_platform_azimuth", "degree"),
-    "wind_speed": ("wind_speed", "m s-1"), "wind_direction": ("wind_from_direction", "degree"), "surface_air_pressure": ("surface_air_pressure", "hPa"),
+    "radiance_at_sensor": ("upwelling_radiance_per_unit_wavelength_in_air", "uW cm-2 nm-1 sr-1"),
+    "rho_at_sensor": ("at_sensor_reflectance", "1"),
+    "rho_w": ("water_leaving_reflectance", "1"),
+    "rho_surface": ("surface_reflectance", "1"),
+    "rho_remote_sensing": ("surface_ratio_of_upwelling_radiance_emerging_from_sea_water_to_downwelling_radiative_flux_in_air", "sr-1"),
+    "F0": ("solar_irradiance_per_unit_wavelength", "W cm-2 nm-1"),
+    "ndwi": ("normalized_difference_water_index", "unitless"),
+    "ndvi": ("normalized_difference_vegetation_index", "unitless"),
+    "s_vis_nir": ("s_vis_nir", "unitless"),
+    "mask_water": ("mask_water", "boolean"),
+    "sun_zenith": ("solar_zenith_angle", "degree"),
+    "sun_azimuth": ("solar_azimuth_angle", "degree"),
+    "view_zenith": ("sensor_zenith_angle", "degree"),
+    "view_azimuth": ("sensor_azimuth_angle", "degree"),
+    "relative_azimuth": ("angle_of_rotation_from_solar_azimuth_to_platform_azimuth", "degree"),
+    "sample_index": ("sensor_array_index_of_across_track_samples) ", ""),
+    "line_index": ("index_of_along_track_acquisition_line) ", ""),
+    "wavelength": ("radiation_wavelength", "nm"),
+    "time": ("time", "seconds since 1970-01-01 00:00:00"),
+    "x": ("projection_x_coordinate", "m"),
+    "y": ("projection_y_coordinate", "m"),
+    "z": ("height", "m"),
+    "lat": ("latitude", "degree_north"),
+    "lon": ("longitude", "degree_east"),
+    "wind_speed": ("wind_speed", "m s-1"),
+    "wind_direction": ("wind_from_direction", "degree"),
+    "surface_air_pressure": ("surface_air_pressure", "hPa"),
 }
 
 
@@ -368,3 +396,8 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> Column:
     xyz = [(0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.95047, 0.212671 * r + 0.715160 * g + 0.072169 * b, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.08883]
     x, y, z = [F.when(v > 0.008856, F.cbrt(v)).otherwise(7.787 * v + 16 / 116) for v in xyz]
     return F.struct((116 * y - 16).alias("l"), (500 * (x - y)).alias("a"), (200 * (y - z)).alias("b"))
+
+
+def window_size(ram_gb: float, n_wavelengths: int, n_variables: int = 6, value_bytes: int = 4) -> int:
+    """Side of the square window whose variables fit in memory."""
+    return math.isqrt(int(ram_gb * 1024**3) // value_bytes // (n_wavelengths * n_variables))

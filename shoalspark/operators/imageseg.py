@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -99,6 +99,10 @@ def n_segments(pixels: int, area: int, low: int = 1, high: int = 10_000) -> int:
     return int(min(max(-(-pixels // area), low), high))
 
 
+def segments_wanted(pixels: Column, area: int, low: int = 1, high: int = 10_000) -> Column:
+    return F.least(F.greatest(F.ceil(pixels / area), F.lit(low)), F.lit(high)).cast("int")
+
+
 def segment(pixels: DataFrame, features: Sequence[str], how: str = "graph", tile: int = 256, **options) -> DataFrame:
     """row, col, seg_id (0 masked), one grouped map a tile."""
     tiled = pixels.select("row", "col", *features).withColumns({"ty": F.floor(F.col("row") / tile).cast("int"), "tx": F.floor(F.col("col") / tile).cast("int")})

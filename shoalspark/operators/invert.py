@@ -155,10 +155,11 @@ class Model:
         self.prior = None if prior is None else _components(prior)
         self.size = self.n + (len(optics.wavelength) if self.prior else 0)
 
-    def start(self) -> np.ndarray:
+    def start(self, part: int | None = None) -> np.ndarray:
+        """The centre of the priors; of one part of the bottom's if one is named."""
         x = np.zeros((len(self.obs), self.size))
         if self.prior:
-            x[:, self.n :] = sum(w * mu for w, mu, *_ in self.prior)
+            x[:, self.n :] = sum(w * mu for w, mu, *_ in self.prior) if part is None else self.prior[part][1]
         return x
 
     def unpack(self, x: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -309,6 +310,27 @@ def solve(model: Model, x: np.ndarray | None = None, iterations: int = 200, tole
     return x, value, ok
 
 
+def solve_stepwise(model: Model, iterations: int = 200, own_error: bool = False, widest: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """solve() under wide deviations first, each step a tenth of the last, down to the real ones: so it is led into the right valley.
+
+    With a mixture of bottoms, once from each part of it: the best that settled.
+    """
+    real, best = model.var, None
+    for part in range(len(model.prior)) if model.prior else (None,):
+        x, wide = model.start(part), widest
+        while wide**2 > real.min():
+            model.var = np.maximum(real, wide**2)
+            x, _, _ = solve(model, x, min(iterations, 60))
+            wide /= 10
+        model.var = real
+        x, value, ok = solve(model, x, iterations, own_error=own_error)
+        if best is not None:
+            take = np.where(ok == best[2], value < best[1], ok)
+            x, value, ok = np.where(take[:, None], x, best[0]), np.where(take, value, best[1]), np.where(take, ok, best[2])
+        best = x, value, ok
+    return best
+
+
 class Posterior:
     """Model of one spectrum."""
 
@@ -381,13 +403,14 @@ def sample_all(model: Model, x: np.ndarray, draws: int = 300, warmup: int = 300,
     return total / (draws * chains)
 
 
-def invert(pixels: DataFrame, key: Sequence[str], rho: str, optics: Optics, sun: str = "sun_zenith", view: str = "view_zenith", sigma: float | str = 2e-4, method: str = "map", iterations: int = 200, draws: int = 100, prior: dict | tuple | None = None, sweep: Sweep | None = None, own_error: bool = False, most_depth: tuple[str, float] | None = None, published: bool = False) -> DataFrame:
+def invert(pixels: DataFrame, key: Sequence[str], rho: str, optics: Optics, sun: str = "sun_zenith", view: str = "view_zenith", sigma: float | str = 2e-4, method: str = "map", iterations: int = 200, draws: int = 100, prior: dict | tuple | None = None, sweep: Sweep | None = None, own_error: bool = False, most_depth: tuple[str, float] | None = None, published: bool = False, normal: dict | None = None) -> DataFrame:
     """Parameters of each spectrum: MAP, or posterior means; NULL and not ok for spectra that are not valid.
 
     rho is water reflectance above the surface or, with ``sweep``, sensor
     reflectance without gas. sigma: the deviation of what is compared, or a
     column of deviations by band. ``ok`` says that the solution settled. With a
-    ``prior`` of the bottom its spectrum comes as ``r_b``. most_depth: (column,
+    ``prior`` of the bottom its spectrum comes as ``r_b``. normal: other (mean,
+    deviation) of the normal priors. most_depth: (column,
     limit) of a depth that must be finite and no deeper.
     """
     more = ([sigma] if isinstance(sigma, str) else []) + ([most_depth[0]] if most_depth else [])
@@ -416,8 +439,8 @@ def invert(pixels: DataFrame, key: Sequence[str], rho: str, optics: Optics, sun:
                 fit, ok, rb = np.full(len(x), np.nan), np.zeros(len(x), bool), [None] * len(x)
                 if len(live):
                     obs = x[live] if sweep is not None else x[live] / math.pi / (0.52 + 1.7 * x[live] / math.pi)
-                    model = Model(obs, dev[live], optics, s[live], v[live], prior=prior, sweep=sweep, published=published)
-                    u, f, settled = solve(model, iterations=iterations, own_error=own_error)
+                    model = Model(obs, dev[live], optics, s[live], v[live], normal, prior=prior, sweep=sweep, published=published)
+                    u, f, settled = solve_stepwise(model, iterations, own_error)
                     if method == "hmc":
                         model.jacobian = True
                         u = sample_all(model, u, draws, draws)

@@ -222,7 +222,7 @@ def held(x: Column, nodes: Sequence[float], values: Sequence[float]) -> Column:
 
 def sweep(nodes: DataFrame, spec: LutSpec, scene: Mapping[str, float], axis: str = "aot550") -> DataFrame:
     """Everything bound but one axis: a table of outputs by that axis and band."""
-    out, left = bind(nodes, spec, {a: x for a, x in scene.items() if a != axis})
+    out, left = bind(nodes, spec, {a: x for a, x in scene.items() if a != axis and a in spec.axes})
     pairs = [v for i, x in enumerate(left.axes[axis]) for v in (F.lit(i), F.lit(float(x)))]
     return out.withColumn(axis, F.create_map(*pairs)[F.col(f"i_{axis}")])
 

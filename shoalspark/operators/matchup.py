@@ -109,3 +109,40 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def some(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or an error if it has no rows."""
+    if df.isEmpty():
+        raise ValueError(f"no points are left: {what}")
+    return df
+
+
+def extract_pixels(pixels: DataFrame, points: DataFrame, affine: geo.Affine, n_rows: int, n_cols: int, size: int = 1, hours: float | None = None, scene_time: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pixels round in-situ points, and the points' windows.
+
+    Points (uuid, x, y, date_time) are kept if near in time, once each, if they
+    lie in a valid cell; nothing left is an error at each step. Of repeated ids
+    the last wins. The windows' upper ends are not held to the grid.
+    """
+    if hours is not None:
+        points = some(points.where(within_hours(F.col("date_time"), scene_time, hours)), f"none within {hours} hours")
+    points = points.dropDuplicates(["uuid", "x", "y"])
+    placed = windows(points, "x", "y", affine, n_rows, n_cols, size, clamp=False)
+    inside = some(in_footprint(placed, pixels), "none in the footprint")
+    last = last_per_uuid(inside, "date_time")
+    return window_join(pixels, last), last
+
+
+def crop_to_table(pixels: DataFrame, box: Sequence[float], spectrum: str, wavelengths: Sequence[float], limits: Sequence[float]) -> DataFrame:
+    """A box and a range of wavelengths of a scene, written to the shared folder; no overlap is an error."""
+    from ..storage import materialize
+    from .spectral import mask_wavelength, take_bands
+
+    part = take_bands(spectrum, mask_wavelength(wavelengths, limits))
+    return some(materialize(crop(pixels, box).withColumn(spectrum, part), "crop"), "the box does not meet the scene")
+
+
+def value_at(points: DataFrame, uuid, wavelength: str = "wavelength") -> DataFrame:
+    """One point's spectrum in wavelength order."""
+    return points.where(F.col("uuid") == uuid).orderBy(wavelength)

@@ -96,6 +96,51 @@ def fill_nearby(pixels: DataFrame, value: str, radius: int = 3, out: str = "fill
     return pixels.join(filled, ["row", "col"], "left").withColumn(out, F.coalesce(value, "__f")).drop("__f")
 
 
+def fill_distant(pixels: DataFrame, value: str, distance: int = 200, out: str = "filled") -> DataFrame:
+    """Missing cells take the inverse-distance mean of the nearest known cell each way along rows, columns and both diagonals.
+
+    Eight directions, cells no farther than ``distance`` steps: each is a running last or first over a line of the
+    grid, so the cost does not grow with the distance, and no cell is copied to its surroundings.
+    """
+    known = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct(F.col(value).alias("v"), F.col("row").alias("r"), F.col("col").alias("c")))
+    df = pixels.withColumn("__k", known).withColumns({"__down": F.col("col") - F.col("row"), "__up": F.col("col") + F.col("row")})
+    seen = []
+    for n, (line, along) in enumerate((("row", "col"), ("col", "row"), ("__down", "row"), ("__up", "row"))):
+        w = Window.partitionBy(line).orderBy(along)
+        df = df.withColumns({f"__b{n}": F.last("__k", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), f"__f{n}": F.first("__k", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+        seen += [f"__b{n}", f"__f{n}"]
+    far = lambda x: F.sqrt((x["r"] - F.col("row")) * (x["r"] - F.col("row")) + (x["c"] - F.col("col")) * (x["c"] - F.col("col")))
+    near = F.filter(F.array(*seen), lambda x: x.isNotNull() & (F.greatest(F.abs(x["r"] - F.col("row")), F.abs(x["c"] - F.col("col"))) <= distance))
+    df = df.withColumn("__near", F.when(F.col("__k").isNull(), near))
+    weight = F.aggregate("__near", F.lit(0.0), lambda a, x: a + 1 / far(x))
+    mean = F.try_divide(F.aggregate("__near", F.lit(0.0), lambda a, x: a + x["v"] / far(x)), weight)
+    return df.withColumn(out, F.when(F.col("__k").isNull(), mean).otherwise(F.col(value))).select(*pixels.columns, out)
+
+
+def bounds(pixels: DataFrame, by: str, grow: int = 0) -> DataFrame:
+    """The tile of each group's cells (row0, row1, col0, col1), each side moved out by ``grow``."""
+    return pixels.groupBy(by).agg((F.min("row") - grow).alias("row0"), (F.max("row") + grow).alias("row1"), (F.min("col") - grow).alias("col0"), (F.max("col") + grow).alias("col1"))
+
+
+def cover(tiles: DataFrame) -> DataFrame:
+    """Bounding tile of all tiles."""
+    return tiles.agg(F.min("row0").alias("row0"), F.max("row1").alias("row1"), F.min("col0").alias("col0"), F.max("col1").alias("col1"))
+
+
+def scattered(grid: DataFrame, values: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Values of valid cells back on the whole grid; NULL elsewhere."""
+    return grid.join(values.select("row", "col", *cols), ["row", "col"], "left")
+
+
+def depths(rasters: DataFrame, target: DataFrame, affine: Sequence[float], how: str = "first", distance: int = 200) -> DataFrame:
+    """Depth (positive) at the target's x, y: rasters (row, col, value, source) merged, gaps filled, resampled."""
+    merged = mosaic(rasters.withColumn("value", F.abs("value")), "value", how)
+    ends = merged.agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d"))
+    whole = ends.select(F.explode(F.sequence("a", "b")).alias("row"), "c", "d").select("row", F.explode(F.sequence("c", "d")).alias("col"))
+    filled = fill_distant(whole.join(merged, ["row", "col"], "left"), "value", distance)
+    return resample(target, filled.select("row", "col", F.col("filled").alias("value")), "value", affine)
+
+
 def resample(target: DataFrame, source: DataFrame, value: str, affine: Sequence[float], how: str = "bilinear") -> DataFrame:
     """Source raster at the target's x, y: its four (or one) nearest cells by equi-join, no range join."""
     a, _, c, _, e, f = affine

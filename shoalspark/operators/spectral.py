@@ -110,6 +110,14 @@ def interpolate(df: DataFrame, x: str, nodes: DataFrame, node_x: str, node_y: st
     return joined.select(*keep, value.alias(out))
 
 
+def covariance(pixels: DataFrame, spectrum: str, bands: int) -> DataFrame:
+    """(i, j, cov) of a spectrum's bands, i <= j, over all pixels; zero for a single one. Moments combine in each task before the shuffle."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
+    pairs = pixels.select(F.col(spectrum).alias("s"), at.alias("i")).select("s", "i", F.explode(F.sequence(F.col("i"), F.lit(bands - 1))).alias("j"))
+    cov = F.covar_samp(F.get("s", F.col("i")), F.get("s", F.col("j")))
+    return pairs.groupBy("i", "j").agg(F.coalesce(F.nanvl(cov, F.lit(0.0)), F.lit(0.0)).alias("cov"))
+
+
 # --- exact quantiles ------------------------------------------------------------
 
 
