@@ -6,6 +6,19 @@ from . import secrets
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP2 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, i, md5_number(array_slice(b, i, i + 199)) AS h FROM d, unnest(range(1, octet_length(b) - 198)) AS u(i) WHERE octet_length(b) >= 200),
+k AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+p AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM w SEMI JOIN k USING (h)),
+s AS (SELECT rid, g, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS g FROM p) GROUP BY 1, 2),
+g AS (SELECT rid, count(*) AS n_spans, sum(hi - lo) AS n_removed, max(hi) AS last FROM s GROUP BY 1),
+q AS (SELECT rid, g, coalesce(lag(hi) OVER (PARTITION BY rid ORDER BY g), 1) AS a, lo AS z FROM s UNION ALL SELECT rid, 1000000000, last, 2147483647 FROM g),
+e AS (SELECT rid, string_agg(hex(array_slice(b, a, z - 1)), '' ORDER BY q.g) AS kept FROM q JOIN d USING (rid) GROUP BY 1)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN kept IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN g USING (rid) LEFT JOIN e USING (rid)
+"""
+
 OP7 = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, row_number() OVER () AS rid, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -45,4 +58,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
-SQL = {"op7_embedding_neardup": OP7, "op8_secret_scan": secrets.ORACLE, "op9_minhash_neardup": OP9, "op10_decontaminate": OP10}
+SQL = {"op2_suffix_dedup": OP2, "op7_embedding_neardup": OP7, "op8_secret_scan": secrets.ORACLE, "op9_minhash_neardup": OP9, "op10_decontaminate": OP10}

@@ -16,9 +16,16 @@ The suffix order is built blockwise over a cover sample, one bucket at a time:
   to the bucket, and its windows are sorted there, bucket by bucket, so memory
   is bounded by the largest bucket's differing stretches.
 
-The removed bytes are judged on the input; matches never cross documents.
-Null texts are empty. Rows repeated with one id and text are repeats of each
-other like any others. A document of fewer than ``length`` bytes keeps all.
+A gram that very many different stretches hold (more than ``hot``, counted
+first) is not sorted in one place: its windows are dealt singly, by their own
+hash and place, and counted with map-side combine.
+
+Strings are told apart by 64-bit hashes, always within a bucket that another
+64-bit hash names. The removed bytes are judged on the input; matches never
+cross documents. Null texts are empty. Documents are told apart by id and
+text: rows repeated with both are repeats of each other like any others, and
+have one result each. A document of fewer than ``length`` bytes keeps all. Very
+long texts are read whole, their samples found segment by segment.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import U64, binary_list, materialize, mix64
 from .neardup import runs
 
-LENGTH, GRAM = 200, 100
+LENGTH, GRAM, HOT = 200, 100, 50_000
 _B = 0x5851F42D4C957F2D | 1
 _BINV = pow(_B, -1, 1 << 64)
 _SYMBOL = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -114,9 +121,8 @@ def repeated(stretches: list[tuple[bytes, int]], length: int) -> list[np.ndarray
     """Of each (bytes, sample's place in them): which windows stand in another one at the same place from the sample."""
     keys, owner = [], []
     for i, (b, at) in enumerate(stretches):
-        h = Prefix(b).windows(length)
-        keys.append(mix64(h + mix64((np.arange(len(h)) - at).astype(U64))))
-        owner.append(np.full(len(h), i))
+        keys.append(_window_keys(b, at, length))
+        owner.append(np.full(len(keys[-1]), i))
     flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")  # the bucket's suffixes, sorted
     same = flat[order][1:] == flat[order][:-1]
@@ -134,84 +140,127 @@ def _cut(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)]
 
 
-def _ranges_batch(keys, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["key", "lo", "hi"])
+def _ranges_batch(ids, ths, lo, hi, id_type: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(ths, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["id", "th", "lo", "hi"])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None) -> DataFrame:
+def _window_keys(cut: bytes, before: int, length: int) -> np.ndarray:
+    """A hash of each window of a stretch and its place from the sample."""
+    h = Prefix(cut).windows(length)
+    return mix64(h + mix64((np.arange(len(h)) - before).astype(U64)))
+
+
+def _same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """``a`` joined to ``b`` by document: id (NULL is one, too) and text hash."""
+    b = b.withColumnsRenamed({"id": "__id", "th": "__th"})
+    return a.join(b, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), how).drop("__id", "__th")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int | None = None, hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and the kept text (null if it is no UTF-8)."""
     gram = gram or (GRAM if length == LENGTH else max(1, length // 2))
     assert length - gram < 1 << 15
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.xxhash64("id", "text"))
+    base = base.withColumn("th", F.xxhash64("text"))
+    id_type = base.schema["id"].dataType.simpleString()
 
     def sample(batches):
         for b in batches:
-            out = [[], [], [], []]
-            for key, text in zip(b.column("key").to_pylist(), binary_list(b.column("text"))):
+            rows, out, held = [], [[], [], [], []], 0
+            ids, ths = b.column("id"), b.column("th").to_pylist()
+
+            def batch():
+                picked = ids.take(pa.array(np.repeat([r for r, _ in rows], [n for _, n in rows]).astype(np.int64)))
+                return pa.RecordBatch.from_arrays([picked, *(pa.array(np.concatenate(x)) for x in out)], names=["id", "th", "h", "r", "at"])
+
+            for row, text in enumerate(binary_list(b.column("text"))):
                 h, r, pos, first, last = samples(text, length, gram)
-                out[0].append(h.view(np.int64)), out[1].append(r.view(np.int64))
-                out[2].append(np.full(len(h), key, np.int64))
+                rows.append((row, len(h)))
+                out[0].append(np.full(len(h), ths[row], np.int64)), out[1].append(h.view(np.int64)), out[2].append(r.view(np.int64))
                 out[3].append((pos << 32) | ((pos - first) << 16) | (last - first))
-                if sum(map(len, out[0][-64:])) > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "r", "key", "at"])
-                    out = [[], [], [], []]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["h", "r", "key", "at"])
-
-    sampled = base.select("key", "text").mapInArrow(sample, "h long, r long, key long, at long")
+                held += len(h)
+                if held > 1 << 18:
+                    yield batch()
+                    rows, out, held = [], [[], [], [], []], 0
+            if rows:
+                yield batch()
+
+    sampled = base.mapInArrow(sample, f"id {id_type}, th long, h long, r long, at long")
     # in bucket and rank order, a sample sees from its neighbours whether its rank or its bucket is shared
     order = Window.partitionBy("h").orderBy("r")
     around = sampled.withColumn("r0", F.lag("r").over(order)).withColumn("r1", F.lead("r").over(order)).where("r0 is not null or r1 is not null")
     tie = (F.coalesce(F.col("r0") == F.col("r"), F.lit(False))) | (F.coalesce(F.col("r1") == F.col("r"), F.lit(False)))
     # bytes are asked of every lone rank, and of the ends of a tie that border on another rank of the bucket
     border = F.coalesce(F.col("r0") != F.col("r"), F.lit(False)) | F.coalesce(F.col("r1") != F.col("r"), F.lit(False))
-    around = materialize(around.select("h", "key", "at", tie.alias("tie"), (border | ~tie).alias("ask")), "buckets")
+    around = materialize(around.select("h", "id", "th", "at", tie.alias("tie"), (border | ~tie).alias("ask")), "buckets")
 
     first = F.shiftright("at", 32) - F.shiftright("at", 16).bitwiseAND(0xFFFF)
-    ties = around.where("tie").select("key", first.alias("lo"), (first + F.col("at").bitwiseAND(0xFFFF) + length).alias("hi"))
-    asks = around.where("ask").groupBy("key").agg(F.collect_list(F.struct("h", "at", "tie")).alias("asks"))
+    ties = around.where("tie").select("id", "th", first.alias("lo"), (first + F.col("at").bitwiseAND(0xFFFF) + length).alias("hi"))
+    crowds = materialize(around.where("ask").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h"), "crowds")
+    crowded = not crowds.isEmpty()
+
+    def asked(rows: DataFrame) -> DataFrame:
+        """(h, id, th, lo, before, tie, cut): the bytes of stretches."""
+        asks = rows.groupBy("id", "th").agg(F.collect_list(F.struct("h", "at", "tie")).alias("asks"))
+        return _same(base, asks, "inner").select("id", "th", "text", "asks").mapInArrow(stretches, f"h long, id {id_type}, th long, lo long, before int, tie boolean, cut binary")
 
     def stretches(batches):
+        seen = None
         for b in batches:
-            seen = {}
-            for key, text, asks_ in zip(b.column("key").to_pylist(), binary_list(b.column("text")), b.column("asks").to_pylist()):
-                if key in seen:
+            for row, (key, th, text, asks_) in enumerate(zip(b.column("id").to_pylist(), b.column("th").to_pylist(), binary_list(b.column("text")), b.column("asks").to_pylist())):
+                if (key, th) == seen:  # of rows alike, one after another, one will do
                     continue
-                seen[key] = True
+                seen = key, th
                 h, at, tie, cut, low = [], [], [], [], []
                 for x in asks_:
                     pos, before, span = x["at"] >> 32, (x["at"] >> 16) & 0xFFFF, x["at"] & 0xFFFF
                     lo = pos - before
                     h.append(x["h"]), at.append(before), tie.append(x["tie"]), low.append(lo)
                     cut.append(text[lo : lo + span + length])
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([key] * len(h), pa.int64()), pa.array(low, pa.int64()), pa.array(at, pa.int32()), pa.array(tie, pa.bool_()), pa.array(cut, pa.binary())], names=["h", "key", "lo", "before", "tie", "cut"])
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column("id").take(pa.array([row] * len(h), pa.int64())), pa.array([th] * len(h), pa.int64()), pa.array(low, pa.int64()), pa.array(at, pa.int32()), pa.array(tie, pa.bool_()), pa.array(cut, pa.binary())], names=["h", "id", "th", "lo", "before", "tie", "cut"])
 
-    cuts = base.select("key", "text").join(asks, "key").mapInArrow(stretches, "h long, key long, lo long, before int, tie boolean, cut binary")
+    asks = around.where("ask")
+    cuts = asked(asks.join(crowds, "h", "left_anti") if crowded else asks)
 
     def bucket(batches):
-        keys, los, his = [], [], []
+        ids, ths, los, his = [], [], [], []
+        kind = pa.null()
         for run in runs(batches, ["h"]):
+            kind = run.schema.field("id").type
             if run.num_rows < 2:
                 continue
             rows = list(zip(run.column("cut").to_pylist(), run.column("before").to_pylist()))
             hits = repeated(rows, length)
-            for hit, tie, key, lo in zip(hits, run.column("tie").to_pylist(), run.column("key").to_pylist(), run.column("lo").to_pylist()):
+            for hit, tie, key, th, lo in zip(hits, *(run.column(c).to_pylist() for c in ("tie", "id", "th", "lo"))):
                 if not tie and hit.any():
                     p = np.flatnonzero(hit)
                     s, e = _cut(p, p + length)
-                    keys += [key] * len(s)
+                    ids += [key] * len(s)
+                    ths += [th] * len(s)
                     los += (s + lo).tolist()
                     his += (e + lo).tolist()
-            if len(keys) > 1 << 16:
-                yield _ranges_batch(keys, los, his)
-                keys, los, his = [], [], []
-        yield _ranges_batch(keys, los, his)
-
-    more = cuts.repartition("h").sortWithinPartitions("h").mapInArrow(bucket, "key long, lo long, hi long")
-    spans = ties.unionByName(more).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-
-    id_type = base.schema["id"].dataType.simpleString()
+            if len(ids) > 1 << 16:
+                yield _ranges_batch(ids, ths, los, his, kind)
+                ids, ths, los, his = [], [], [], []
+        if ids:
+            yield _ranges_batch(ids, ths, los, his, kind)
+
+    range_type = f"id {id_type}, th long, lo long, hi long"
+    spans = ties.unionByName(cuts.repartition("h").sortWithinPartitions("h").mapInArrow(bucket, range_type))
+    if crowded:
+
+        def singly(batches):
+            for b in batches:
+                for row, (h, tie, before, lo, cut) in enumerate(zip(*(b.column(c).to_pylist() for c in ("h", "tie", "before", "lo", "cut")))):
+                    w = _window_keys(cut, before, length)
+                    n = len(w)
+                    same = pa.array([row] * n, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.int64()), pa.array(w.view(np.int64)), b.column("id").take(same), b.column("th").take(same), pa.array(lo + np.arange(n)), pa.array([tie] * n, pa.bool_())], names=["h", "w", "id", "th", "lo", "tie"])
+
+        windows = materialize(asked(asks.join(crowds, "h", "left_semi")).mapInArrow(singly, f"h long, w long, id {id_type}, th long, lo long, tie boolean"), "windows")
+        again = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        spans = spans.unionByName(windows.where("not tie").join(again, ["h", "w"], "left_semi").select("id", "th", "lo", (F.col("lo") + length).alias("hi")))
+    spans = spans.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def strip(batches):
         for b in batches:
@@ -233,4 +282,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                     kept.append(left.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    return base.join(spans, "key", "left").mapInArrow(strip, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return _same(base, spans, "left").select("id", "text", "spans").mapInArrow(strip, f"`{id_col}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")

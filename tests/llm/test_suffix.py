@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from shoalspark.llm import suffix
 
 from .helpers import ODD, docs
@@ -47,3 +49,21 @@ def test_repeated_rows_and_empty(spark):
     twice = suffix.dedup(df.unionByName(df)).collect()
     assert sorted((r["doc_id"], r["n_bytes"] - r["n_removed"]) for r in twice) == [(0, 0), (0, 0), (1, 5), (1, 5)]
     assert suffix.dedup(docs(spark, [])).count() == 0
+
+
+def test_crowded_grams_are_dealt_by_window(spark):
+    """A common passage in many surroundings: its windows are counted singly, with the same answer."""
+    texts = corpus()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(docs(spark, texts), hot=3).collect()}
+    assert got == brute(texts, 200)
+
+
+def test_very_long_text_and_null_ids(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared = letters(5000)
+    texts = [letters(suffix.SEGMENT + 300) + shared + letters(1000) + shared[:1000], shared[100:900], letters(400)]
+    df = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id")))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(df).collect()}
+    want = brute(texts, 200)
+    assert got == {0: want[0], None: want[1], 2: want[2]}
