@@ -26,8 +26,11 @@ def reachable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; one that comes in far fewer pieces than there are cores is dealt over them before anything dear runs on it."""
     reachable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
 
 
 def scratch(spark: SparkSession) -> str:
