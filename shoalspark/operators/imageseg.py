@@ -2,8 +2,10 @@
 
 Both need a neighbourhood at once, so they run as grouped maps over tiles of a
 bounded number of pixels; labels are made unique by the tile's number. A scene
-of any size is many tiles, never one task. Segments that meet across tile
-edges are joined by segment.merge_by_distance().
+of any size is many tiles, never one task. Graph segments that meet across tile
+edges are joined (``seams``) where the graph's own rule joins them: the seam's least
+edge is no more than both sides' internal difference plus scale over size. SLIC segments
+are joined by segment.merge_by_distance().
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .segment import connected
+
 
 def _grid(pdf: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     r, c = pdf["row"].to_numpy(int), pdf["col"].to_numpy(int)
@@ -25,7 +30,11 @@ def _grid(pdf: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.nd
 
 
 def graph_labels(x: np.ndarray, ok: np.ndarray, scale: float, min_size: int) -> np.ndarray:
-    """Merge along edges of rising weight while it is below both sides' internal difference + scale / size; 0 is masked."""
+    return graph_segments(x, ok, scale, min_size)[0]
+
+
+def graph_segments(x: np.ndarray, ok: np.ndarray, scale: float, min_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels, and the internal difference of each cell's segment. Merge along edges of rising weight while it is below both sides' internal difference + scale / size; 0 is masked."""
     h, w = ok.shape
     ids = np.arange(h * w).reshape(h, w)
     edges = []
@@ -60,7 +69,7 @@ def graph_labels(x: np.ndarray, ok: np.ndarray, scale: float, min_size: int) ->
     _, dense = np.unique(out[ok], return_inverse=True)
     labels = np.zeros((h, w), int)
     labels[ok] = dense + 1
-    return labels
+    return labels, inner[out]
 
 
 def slic_labels(x: np.ndarray, ok: np.ndarray, n_segments: int, compactness: float = 0.1, rounds: int = 10) -> np.ndarray:
@@ -103,21 +112,47 @@ def segments_wanted(pixels: Column, area: int, low: int = 1, high: int = 10_000)
     return F.least(F.greatest(F.ceil(pixels / area), F.lit(low)), F.lit(high)).cast("int")
 
 
-def segment(pixels: DataFrame, features: Sequence[str], how: str = "graph", tile: int = 256, **options) -> DataFrame:
-    """row, col, seg_id (0 masked), one grouped map a tile."""
+def segment(pixels: DataFrame, features: Sequence[str], how: str = "graph", tile: int = 256, seams: bool = False, **options) -> DataFrame:
+    """row, col, seg_id (0 masked), one grouped map a tile; with ``seams`` graph segments are joined over the edges of tiles."""
     tiled = pixels.select("row", "col", *features).withColumns({"ty": F.floor(F.col("row") / tile).cast("int"), "tx": F.floor(F.col("col") / tile).cast("int")})
+    scale = options.get("scale", 400.0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ok, r, c = _grid(pdf, features)
         if how == "graph":
-            labels = graph_labels(x, ok, options.get("scale", 400.0), options.get("min_size", 50))
+            labels, inner = graph_segments(x, ok, scale, options.get("min_size", 50))
         else:
-            labels = slic_labels(x, ok, n_segments(int(ok.sum()), options.get("area", 50)), options.get("compactness", 0.1))
+            labels, inner = slic_labels(x, ok, n_segments(int(ok.sum()), options.get("area", 50)), options.get("compactness", 0.1)), np.zeros(ok.shape)
         lab = labels[r, c].astype(np.int64)
         base = (int(pdf["ty"].iloc[0]) * (1 << 20) + int(pdf["tx"].iloc[0])) * (tile * tile + 1)
-        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "seg_id": np.where(lab > 0, base + lab, 0)})
-
-    return tiled.groupBy("ty", "tx").applyInPandas(run, "row int, col int, seg_id long")
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "seg_id": np.where(lab > 0, base + lab, 0), "inner": inner[r, c]})
+
+    got = tiled.groupBy("ty", "tx").applyInPandas(run, "row int, col int, seg_id long, inner double")
+    if how != "graph" or not seams:
+        return got.drop("inner")
+    got = materialize(got, "tiles")
+    if got.agg(F.greatest(F.max("row"), F.max("col"))).first()[0] in (None, *range(tile)):
+        return got.drop("inner")  # one tile
+    return _joined_seams(got, pixels, features, tile, scale)
+
+
+def _joined_seams(got: DataFrame, pixels: DataFrame, features: Sequence[str], tile: int, scale: float) -> DataFrame:
+    """Segments on both sides of a seam as one where the least edge across it allows."""
+    parts = got.where("seg_id <> 0").groupBy("seg_id").agg(F.count("*").alias("size"), F.max("inner").alias("inner"))
+    slack = parts.select(F.col("seg_id").alias("s"), (F.col("inner") + scale / F.col("size")).alias("slack"))
+    edge = [F.col(c) % tile == k for c in ("row", "col") for k in (0, tile - 1)]
+    rim = got.where("seg_id <> 0").where(edge[0] | edge[1] | edge[2] | edge[3]).join(pixels.select("row", "col", *features), ["row", "col"]).select("row", "col", F.col("seg_id").alias("a"), *features)
+    seams = []
+    for axis, other in (("row", "col"), ("col", "row")):
+        low = rim.where(F.col(axis) % tile == tile - 1).withColumn(axis, F.col(axis) + 1)
+        high = rim.where(F.col(axis) % tile == 0).select(axis, other, F.col("a").alias("b"), *[F.col(f).alias(f"{f}_b") for f in features])
+        d2 = sum(((F.col(f) - F.col(f"{f}_b")) * (F.col(f) - F.col(f"{f}_b")) for f in features), F.lit(0.0))
+        seams.append(low.join(high, [axis, other]).select("a", "b", F.sqrt(d2).alias("d")))
+    least = seams[0].unionByName(seams[1]).groupBy("a", "b").agg(F.min("d").alias("d"))
+    left, right = slack.select(F.col("s").alias("a"), F.col("slack").alias("sa")), slack.select(F.col("s").alias("b"), F.col("slack").alias("sb"))
+    close = least.join(left, "a").join(right, "b").where(F.col("d") <= F.least("sa", "sb")).select("a", "b")
+    roots = connected(close, slack, "s").select(F.col("node").alias("seg_id"), "root")
+    return got.join(roots, "seg_id", "left").select("row", "col", F.coalesce("root", "seg_id").alias("seg_id"))
 
 
 def pca_features(pixels: DataFrame, spectrum: str, key: Sequence[str], k: int = 6) -> DataFrame:

@@ -650,7 +650,7 @@ def _features(spark, sf_dir):
 
 @query()
 def felzenszwalb(spark, sf_dir):
-    return imageseg.segment(_features(spark, sf_dir), ["f0", "f1", "f2"], scale=0.5, min_size=5)
+    return imageseg.segment(_features(spark, sf_dir), ["f0", "f1", "f2"], seams=True, scale=0.5, min_size=5)
 
 
 @query()

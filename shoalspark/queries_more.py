@@ -51,7 +51,7 @@ def inversion_valid(spark, sf_dir):
     return p.select("vec_id", (ph.valid("s", nonnegative=True) & F.coalesce(F.col("depth") <= 20, F.lit(False))).alias("valid"))
 
 
-@query(f"WITH {PX}, k AS (SELECT vec_id, list_transform(s, lambda v: floor(v * 100)::INTEGER) AS c FROM px) SELECT vec_id, c[1] <> 0 AND c[1] <> 5 AS valid, len(list_filter(c, lambda v: v <> 0 AND v <> 5))::INTEGER AS n, round(coalesce(list_sum(list_transform(list_filter(c, lambda v: v <> 0 AND v <> 5), lambda v: v * 0.25)), 0), 6) + 0.0 AS total FROM k")
+@query(f"WITH {PX}, k AS (SELECT vec_id, list_transform(s, lambda v: floor(v * 100)::INTEGER) AS c FROM px) SELECT vec_id, c[1] <> 0 AND c[1] <> 5 AS valid, len(list_filter(c, lambda v: v <> 0 AND v <> 5))::INTEGER AS n, round(coalesce(list_sum(list_transform(list_filter(c, lambda v: v <> 0 AND v <> 5), lambda v: v * 0.25::DOUBLE)), 0), 6) + 0.0 AS total FROM k")
 def raw_radiance(spark, sf_dir):
     """Packed counts decoded, and the pixels whose first band holds a value."""
     raw = F.transform("s", lambda v: F.floor(v * 100).cast("int"))
@@ -291,7 +291,7 @@ def sun_where_valid(spark, sf_dir):
     return e.select("event_id", *[F.when(F.col("event_id") % 3 != 0, F.col(c)).alias(c) for c in ("zenith", "azimuth")])
 
 
-@query("SELECT event_id, ts - INTERVAL 4 HOUR AS clock, -60.0 AS longitude FROM events")
+@query("SELECT event_id, ts - INTERVAL 4 HOUR AS clock, -60.0::DOUBLE AS longitude FROM events")
 def local_clock(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     return e.select("event_id", geo.local_time(F.col("ts").cast("timestamp"), "Etc/GMT+4").cast("timestamp_ntz").alias("clock"), geo.zone_longitude(F.col("ts"), "Etc/GMT+4").cast("double").alias("longitude"))
@@ -549,20 +549,20 @@ def _field(name: str) -> str:
     return f"({k} + {a} * h + {b} * {SQUARE} + {SINE})"
 
 
-@query(f"WITH {PLACE} SELECT image_id, " + ", ".join(f"round({_field(f)}, 4) + 0.0 AS {f}" for f in MET) + " FROM p")
+@query(f"WITH {PLACE} SELECT image_id, " + ", ".join(f"round({_field(f)}, 7) + 0.0 AS {f}" for f in MET) + " FROM p")
 def grid_interpolation(spark, sf_dir):
     """Hourly fields at each scene's place and time: eight nodes a point."""
     got = ancillary.interpolate(_place(spark, sf_dir), _grid(spark, MET), list(MET), (40.0, 0.5), (-70.0, 0.625), ["image_id"])
-    return got.select("image_id", *[(F.round(f, 4) + F.lit(0.0)).alias(f) for f in MET])
+    return got.select("image_id", *[(F.round(f, 7) + F.lit(0.0)).alias(f) for f in MET])
 
 
-@query(f"WITH {PLACE} SELECT image_id, round(sqrt({_field('U10M')} ^ 2 + {_field('V10M')} ^ 2), 4) + 0.0 AS wind_speed, round(CASE WHEN image_id % 5 = 0 THEN 1000 ELSE {_field('PS')} / 100 END, 4) + 0.0 AS surface_air_pressure, round({_field('TQV')} / 10, 4) + 0.0 AS water_vapor, round({_field('TO3')} / 1000, 5) + 0.0 AS ozone, round({_field('TOTEXTTAU')}, 4) + 0.0 AS aot550 FROM p")
+@query(f"WITH {PLACE} SELECT image_id, round(sqrt({_field('U10M')} ^ 2 + {_field('V10M')} ^ 2), 7) + 0.0 AS wind_speed, round(CASE WHEN image_id % 5 = 0 THEN 1000 ELSE {_field('PS')} / 100 END, 7) + 0.0 AS surface_air_pressure, round({_field('TQV')} / 10, 7) + 0.0 AS water_vapor, round({_field('TO3')} / 1000, 7) + 0.0 AS ozone, round({_field('TOTEXTTAU')}, 7) + 0.0 AS aot550 FROM p")
 def add_ancillary(spark, sf_dir):
     """Scene scalars from two grids; a pressure that is there stays."""
     points = _place(spark, sf_dir)
     scenes = points.select("image_id", F.when(F.col("image_id") % 5 == 0, F.lit(1000.0)).alias("surface_air_pressure"))
     got = ancillary.add_scalars(scenes, points, _grid(spark, MET), _grid(spark, AEROSOL), (40.0, 0.5), (-70.0, 0.625))
-    return got.select("image_id", *[(F.round(c, 5 if c == "ozone" else 4) + F.lit(0.0)).alias(c) for c in ancillary.SCALARS if c != "wind_direction"])
+    return got.select("image_id", *[(F.round(c, 7) + F.lit(0.0)).alias(c) for c in ancillary.SCALARS if c != "wind_direction"])
 
 
 @query("SELECT t AS time, count(*) AS n FROM ({}) WHERE t IN (TIMESTAMP '2024-01-10 05:00:00', TIMESTAMP '2024-01-10 06:00:00') GROUP BY 1".format(HOURS))

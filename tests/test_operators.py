@@ -350,3 +350,51 @@ def test_settled_only_is_ok_and_segments(spark):
     assert len(raster_) == 3 and [r["chl"] is None for r in sorted(raster_, key=lambda r: (r["row"], r["col"]))] == [False, False, True]
     deep = invert.invert(spectra.withColumn("depth", F.lit(50.0)), ["seg_id"], "rho", o, sigma="sigma", most_depth=("depth", 20.0))
     assert not deep.where("ok").count()
+
+
+def test_segments_cross_the_seams_of_tiles(spark):
+    p = spark.createDataFrame([(r, c, 0.0 if c < 6 else 10.0) for r in range(12) for c in range(12)], "row int, col int, f double")
+    whole = {(r["row"], r["col"]): r["seg_id"] for r in imageseg.segment(p, ["f"], scale=1.0, min_size=5).collect()}
+    tiled = {(r["row"], r["col"]): r["seg_id"] for r in imageseg.segment(p, ["f"], tile=4, seams=True, scale=1.0, min_size=5).collect()}
+    assert len({*zip(whole.values(), (tiled[k] for k in whole))}) == 2 and len(set(tiled.values())) == 2
+
+
+def test_arrays_of_the_atmosphere_and_caches(spark, tmp_path):
+    spec = lut.LutSpec({"x": [0, 1, 3], "y": [0, 2]}, ["p", "q"], {"x": "m", "y": "s"})
+    nodes = spec.grid(spark).select("i_x", "i_y", F.posexplode(F.array(F.lit(400.0), F.lit(500.0))).alias("wl_idx", "wavelength"), "x", "y")
+    nodes = nodes.select("i_x", "i_y", "wl_idx", "wavelength", (F.col("x") * F.col("x") + F.col("y") + F.col("wl_idx")).alias("p"), F.col("x").alias("q"))
+    df = spark.createDataFrame([(1, 2.0, 1.0), (2, 3.0, 2.0), (3, 9.0, 1.0), (4, None, 1.0)], "id int, x double, y double")
+    got = {r["id"]: (r["p"], r["q"]) for r in lut.lookup_arrays(df, nodes, spec).collect()}
+    assert got == {1: ([6.0, 7.0], [2.0, 2.0]), 2: ([11.0, 12.0], [3.0, 3.0]), 3: (None, None), 4: (None, None)}
+    long = {(r["id"], r["wl_idx"]): r["p"] for r in lut.lookup(df, nodes, spec, ["id"]).collect()}
+    assert all(long[i, k] == pytest.approx(got[i][0][k]) for i in (1, 2) for k in (0, 1))
+    assert "Exchange" not in lut.lookup_arrays(df, nodes, spec)._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    lut.to_files(nodes, spec, str(tmp_path / "t"))
+    stored, found = lut.from_files(spark, str(tmp_path / "t"))
+    assert found == lut.LutSpec({"x": [0.0, 1.0, 3.0], "y": [0.0, 2.0]}, ["p", "q"], {"x": "m", "y": "s"}) and stored.count() == 12
+    with pytest.raises(ValueError):
+        lut.at_sensor(nodes, spec, spark.createDataFrame([(0, 399.0)], "wl_idx int, wavelength double"))
+    assert lut.band_key([400.0, 500.0]) != lut.band_key([400.0, 501.0]) and len(lut.band_key([1.0])) == 12
+
+
+def test_nothing_left_is_an_error(spark):
+    px = grid(spark, [[1.0, 2.0], [3.0, 4.0]]).withColumn("valid", F.col("v") > 9)
+    pts = spark.createDataFrame([("u", 0.5, 0.5, None)], "uuid string, x double, y double, date_time timestamp")
+    with pytest.raises(ValueError):
+        matchup.extract_pixels(px, pts, (1, 0, 0, 0, 1, 0), 2, 2)
+    with pytest.raises(ValueError):
+        matchup.crop_to_table(px.withColumns({"x": F.col("col") + 0.5, "y": F.col("row") + 0.5, "s": F.array("v")}), (50, 50, 60, 60), "s", [400.0], (300, 500))
+
+
+def test_ancillary_and_registry(spark, tmp_path):
+    from shoalspark.operators import ancillary
+    from shoalspark.sources import registry
+
+    assert ancillary.merged({"a": 1}, {"b": 2, "a": 1}) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError):
+        ancillary.merged({"a": 1}, {"a": 2})
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    good = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    assert registry.fetch(spark, str(tmp_path), "x.bin", good).endswith("x.bin")
+    with pytest.raises(ValueError):
+        registry.fetch(spark, str(tmp_path), "x.bin", "0" * 64)
