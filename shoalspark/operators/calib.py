@@ -134,3 +134,21 @@ def load(spark: SparkSession, path: str) -> tuple[str | None, dict, DataFrame]:
     df = spark.read.csv(path, header=True, comment="#", inferSchema=False)
     df = df.select(*[F.col(c).cast("double").alias(c.strip().lower()) for c in df.columns])
     return name or ("ratio" if "gain" in df.columns else "sma" if "a" in df.columns else None), meta, df
+
+
+def save_data(matchups: DataFrame, path: str) -> None:
+    matchups.write.mode("overwrite").parquet(path)
+
+
+def load_data(spark: SparkSession, path: str) -> DataFrame:
+    """Stored matchups; the columns that the fits need must be there."""
+    df = spark.read.parquet(path)
+    missing = [c for c in ("uuid", "image_name", "wavelength", *MEANS) if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {missing}")
+    return df
+
+
+def calibrate(df: DataFrame, coefficients: DataFrame, name: str, value: str = "rho_t", level: str = "L1R") -> DataFrame:
+    """apply(), the value replaced, with the product's level and the model it was made by."""
+    return apply(df, coefficients, value, "__cal").withColumn(value, F.col("__cal")).drop("__cal").withColumns({"level": F.lit(level), "calibration": F.lit(name)})

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Prior means and deviations.
@@ -72,6 +72,23 @@ def synthetic_optics(wavelength: Sequence[float]) -> Optics:
     return Optics(wl, 0.005 + 0.6 * np.exp((wl - 750) / 60), 0.3 + 0.7 * np.exp(-(((wl - 440) / 60) ** 2)), 0.02 * np.ones_like(wl), 0.1 + 0.1 * (wl - wl.min()) / max(1.0, np.ptp(wl)))
 
 
+def optics_from_files(spark: SparkSession, folder: str, wavelengths: Sequence[float]) -> Optics:
+    """Optics at a sensor's bands from three CSV files: a_w (wavelength, a_w), phyto (wavelength, a0, a1), bottom (wavelength, class, r_b_mean).
+
+    Linear in wavelength, held at the ends; the bottom is the mean of its classes. Libraries of some thousand rows.
+    """
+    from ..sources.scene import read_library
+
+    def column(df: DataFrame, name: str) -> np.ndarray:
+        rows = df.groupBy("wavelength").agg(F.avg(name).alias("v")).orderBy("wavelength").collect()
+        return np.interp(wavelengths, [r["wavelength"] for r in rows], [r["v"] for r in rows])
+
+    a_w = read_library(spark, f"{folder}/a_w", ["wavelength", "a_w"])
+    phyto = read_library(spark, f"{folder}/phyto", ["wavelength", "a0", "a1"])
+    bottom = read_library(spark, f"{folder}/bottom", ["wavelength", "class", "r_b_mean"])
+    return Optics(np.asarray(wavelengths, float), column(a_w, "a_w"), column(phyto, "a0"), column(phyto, "a1"), column(bottom, "r_b_mean"))
+
+
 def _cosine(degrees: np.ndarray) -> np.ndarray:
     return np.cos(np.arcsin(np.sin(np.radians(degrees)) / 1.34))[:, None]
 

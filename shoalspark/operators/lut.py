@@ -242,3 +242,25 @@ def synthetic(spark: SparkSession, spec: LutSpec, wavelengths: Sequence[float] =
             value = value + F.col(a) / span * (0.01 + 0.02 * rng.random())
         out = out.withColumn(o, value + (F.col("wavelength") / 10000 if wavelengths else F.lit(0.0)))
     return out.drop(*spec.axes)
+
+
+def generate(spark: SparkSession, spec: LutSpec, wavelengths: Sequence[float], model) -> DataFrame:
+    """Nodes from a radiative-transfer model: ``model(axes, wavelengths)`` gives a node's outputs, a list by band each.
+
+    The grid's nodes are dealt over the cluster; each is one call, say of an external program on the executor.
+    """
+    import pyarrow as pa
+
+    names, outputs, wl = list(spec.axes), list(spec.outputs), [float(w) for w in wavelengths]
+
+    def run(batches):
+        for b in batches:
+            got = [model({a: x for a, x in zip(names, row)}, wl) for row in zip(*(b.column(a).to_pylist() for a in names))]
+            columns = [b.column(f"i_{a}") for a in names] + [pa.array([g[o] for g in got], pa.list_(pa.float64())) for o in outputs]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"i_{a}" for a in names] + outputs)
+
+    schema = ", ".join([f"i_{a} int" for a in names] + [f"{o} array<double>" for o in outputs])
+    grid = spec.grid(spark).repartition(max(spark.sparkContext.defaultParallelism, math.prod(len(v) for v in spec.axes.values()) // 64))
+    table = grid.mapInArrow(run, schema)
+    bands = F.arrays_zip(F.array(*[F.lit(w) for w in wl]).alias("wavelength"), F.sequence(F.lit(0), F.lit(len(wl) - 1)).alias("wl_idx"), *outputs)
+    return table.select(*[f"i_{a}" for a in names], F.inline(bands))

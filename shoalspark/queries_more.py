@@ -10,9 +10,9 @@ from . import queries as base
 from .functions import geo
 from .functions import physics as ph
 from .operators import ancillary, calib, imageseg, invert, lut, matchup, raster, segment, spectral
-from .plans import correction
+from .plans import correction, segments
 from .queries import GREEN, LG, NIR, POINTS, PX, RED, WL, M, bands, matchups, pixels, q6, r, read, rounded
-from .sources import envi, registry, scene, sqlite
+from .sources import envi, registry, scene, sqlite, zarr
 from .storage import shared_folder
 
 QUERIES: dict = {}
@@ -685,6 +685,91 @@ def sqlite_table(spark, sf_dir):
     return spark.read.format("sqlite_table").options(path=path, table="spectra", schema="n_nationkey int, n_name string, half double", parts=3).load()
 
 
+@query(f"""WITH {LG} SELECT wl_idx::BIGINT AS wl_idx, "row"::BIGINT AS "row", col::BIGINT AS col, wavelength, (10 + 2 * (col + 0.5))::DOUBLE AS x, (90 - 2 * ("row" + 0.5))::DOUBLE AS y, round(value::FLOAT, 5) + 0.0 AS value FROM lg""")
+def zarr_scene(spark, sf_dir):
+    """A scene written as a chunked array and read back with its axes."""
+    path = _folder(spark, "zarr")
+    p = pixels(spark, sf_dir)
+    n = p.agg(F.max("row")).first()[0] + 1
+    zarr.write_scene(p, "s", WL, (2, 0, 10, 0, -2, 90), (n, 25), path, "rho_w", "EPSG:32620", tile=8)
+    got = zarr.open_scene(spark, path, "rho_w").where("value is not null")
+    return got.select("wl_idx", "row", "col", "wavelength", "x", "y", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+@query(f"""WITH {LG}, m AS (SELECT seg_id, count(*) AS n_pix, min("row") AS row0, max("row") AS row1, min(col) AS col0, max(col) AS col1, median(s[{NIR + 1}]) AS nir FROM px WHERE seg_id <> 0 GROUP BY 1), sp AS (SELECT seg_id, count(DISTINCT wavelength) AS bands, sum(med) AS total FROM (SELECT seg_id, wavelength, median(value) AS med FROM lg WHERE seg_id <> 0 GROUP BY 1, 2) GROUP BY 1) SELECT seg_id, n_pix, row0, row1, col0, col1, round(nir, 6) + 0.0 AS nir, bands, round(total, 5) + 0.0 AS total FROM m JOIN sp USING (seg_id)""")
+def segment_layers(spark, sf_dir):
+    """Labelled pixels through the four stored tables."""
+    path = _folder(spark, "layers")
+    p = pixels(spark, sf_dir).withColumn("nir", F.get("s", F.lit(NIR)))
+    segments.write(p.drop("seg_id"), p.select("row", "col", "seg_id"), "s", WL, path, ["nir"])
+    spectra = segments.read(spark, path, "spectra").groupBy("seg_id").agg(F.count_distinct("wavelength").alias("bands"), (F.round(F.sum("rho_med"), 5) + F.lit(0.0)).alias("total"))
+    aux = segments.read(spark, path, "aux").select("seg_id", r("nir_med").alias("nir"))
+    return segments.read(spark, path, "segments").join(spectra, "seg_id").join(aux, "seg_id").select("seg_id", "n_pix", "row0", "row1", "col0", "col1", "nir", "bands", "total")
+
+
+@query()
+def segment_export(spark, sf_dir):
+    """A scene segmented, its like neighbours joined, and its spectra stored."""
+    path = _folder(spark, "export")
+    f = pixels(spark, sf_dir).drop("seg_id").withColumns({f"f{k}": F.get("s", F.lit(i)) for k, i in enumerate((RED, GREEN, 14))})
+    segments.segment_and_export(f, ["f0", "f1", "f2"], "s", WL, path, ["f0"], scale=0.5, min_size=5, tile=16, merge=0.05)
+    return segments.read(spark, path, "spectra")
+
+
+@query(f"WITH {M} SELECT uuid, image_name, wavelength, round(rho_t, 6) + 0.0 AS rho_t, round(rho_t_hat, 6) + 0.0 AS rho_t_hat FROM m")
+def matchup_file(spark, sf_dir):
+    path = _folder(spark, "matchups")
+    calib.save_data(matchups(spark, sf_dir), path)
+    return rounded(calib.load_data(spark, path), "rho_t", "rho_t_hat")
+
+
+@query(f"WITH {M}, {base.MO}, x AS ({base.SMA}), y AS (SELECT uuid, wavelength, a * rho_t + b AS rho_t FROM m JOIN x USING (wavelength)) SELECT uuid, wavelength, {q6('rho_t')}, 'L1R' AS level, 'sma' AS calibration FROM y")
+def calibrated_product(spark, sf_dir):
+    m = matchups(spark, sf_dir)
+    out = calib.calibrate(m.select("uuid", "wavelength", "rho_t"), calib.fit("sma", m), "sma")
+    return rounded(out, "rho_t").select("uuid", "wavelength", "rho_t", "level", "calibration")
+
+
+@query("WITH n AS (SELECT i, 400 + 50.0 * i AS w0, 0.01 + 0.002 * i * i AS a0, 0.01 + 0.002 * (i + 1) * (i + 1) AS a1, 0.1 + 0.05 * i AS b0, 0.1 + 0.05 * (i + 1) AS b1 FROM range(8) t(i)), b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w FROM range(64) t(i)) SELECT wl_idx, round(a0 + (w - w0) / 50 * (a1 - a0), 6) + 0.0::DOUBLE AS a_w, round(b0 + (w - w0) / 50 * (b1 - b0), 6) + 0.0::DOUBLE AS bottom FROM b JOIN n ON floor((w - 400) / 50) = i")
+def optics_files(spark, sf_dir):
+    """Optics of the water and the bottom from files, at the sensor's bands."""
+    path = _folder(spark, "optics")
+    n = spark.range(9).select((400 + 50.0 * F.col("id")).alias("wl"), (0.01 + 0.002 * F.col("id") * F.col("id")).alias("a_w"), F.lit(0.5).alias("a0"), F.lit(0.1).alias("a1"), (0.1 + 0.05 * F.col("id")).alias("m"))
+    n.select("wl", "a_w").write.csv(f"{path}/a_w", header=True)
+    n.select("wl", "a0", "a1").write.csv(f"{path}/phyto", header=True)
+    two = F.explode(F.array(F.struct(F.lit("sand").alias("class"), (F.col("m") + 0.02).alias("r_b_mean")), F.struct(F.lit("weed").alias("class"), (F.col("m") - 0.02).alias("r_b_mean"))))
+    n.select("wl", two.alias("c")).select("wl", "c.*").write.csv(f"{path}/bottom", header=True)
+    o = invert.optics_from_files(spark, path, WL)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(o.a_w, o.bottom))]
+    return rounded(spark.createDataFrame(rows, "wl_idx long, a_w double, bottom double"), "a_w", "bottom")
+
+
+@query("WITH n AS (SELECT i, j, k, 400 + 100.0 * k AS wavelength, 0.1 * i + 0.01 * j * 5 + (400 + 100.0 * k) / 1e5 AS path FROM range(3) x(i), range(2) y(j), range(4) z(k)) SELECT i::INTEGER AS i_sun, j::INTEGER AS i_view, k::INTEGER AS wl_idx, wavelength::DOUBLE AS wavelength, round(path, 7)::DOUBLE AS path FROM n")
+def lut_generated(spark, sf_dir):
+    """A table made node by node by a model, here a plain one."""
+    spec = lut.LutSpec({"sun": [0, 10, 20], "view": [0, 5]}, ["path"])
+    got = lut.generate(spark, spec, [400, 500, 600, 700], lambda axes, wl: {"path": [0.01 * axes["sun"] + 0.01 * axes["view"] + w / 1e5 for w in wl]})
+    return got.select("i_sun", "i_view", "wl_idx", "wavelength", F.round("path", 7).alias("path"))
+
+
+@query("WITH g AS (SELECT i AS \"row\", j AS col FROM range(6) x(i), range(12) y(j)), s AS (SELECT *, 2 * col + 0.5 AS sample FROM g) SELECT \"row\", col, round(degrees(atan(abs(12 - sample) / 1000)), 6) + 0.0 AS vza FROM s")
+def view_geometry_on_grid(spark, sf_dir):
+    """View angles of swath samples put on the scene's grid, gaps filled along its lines."""
+    swath = spark.range(6 * 24).select(F.expr("cast(id div 24 as int)").alias("line"), (F.col("id") % 24).cast("int").alias("sample"))
+    z, _ = geo.view_angles(F.col("sample"), 24, 1.0, 1000.0, 35.0)
+    placed = swath.where("sample % 2 = 0").withColumns({"row": F.col("line"), "col": F.expr("cast(sample div 2 as int)"), "vza": z})
+    grid = raster.scattered(placed.select("row", "col"), raster.scatter_last(placed, "vza"), ["vza"])
+    return raster.fill_gaps(grid, "vza").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), r("filled").alias("vza"))
+
+
+@query(f"WITH {LG}, d AS (SELECT vec_id, wl_idx, value AS v, wavelength AS w FROM lg), e AS (SELECT *, pow((1 - {base.N_SQL}) / (1 + {base.N_SQL}), 2) AS f FROM d), n AS (SELECT vec_id, v AS vn, f AS fn FROM e WHERE wl_idx = {NIR}) SELECT vec_id, wl_idx, round(v - f * vn / fn, 6) + 0.0 AS value FROM e JOIN n USING (vec_id)")
+def l2w(spark, sf_dir):
+    """The glint correction of a stored product, band by band."""
+    path = _folder(spark, "l2r")
+    pixels(spark, sf_dir).select("vec_id", F.col("s").alias("rho_w")).write.parquet(path)
+    return base._exploded(correction.l2w(spark.read.parquet(path), WL), F.col("rho_w_gl21"))
+
+
 HEADER = "ENVI\nsamples = 40\nlines = 30\nmap info = {UTM, 1, 1, 500000, 5500000, 2.5, 2.5, 20, North}\nwavelength = {\n 400.0, 500.5 }\ndescription = {\n  Swath = 7 ,\n  unit = m }\n"
 
 

@@ -398,3 +398,29 @@ def test_ancillary_and_registry(spark, tmp_path):
     assert registry.fetch(spark, str(tmp_path), "x.bin", good).endswith("x.bin")
     with pytest.raises(ValueError):
         registry.fetch(spark, str(tmp_path), "x.bin", "0" * 64)
+
+
+def test_chunked_arrays(spark, tmp_path):
+    from shoalspark.sources import zarr
+
+    px = spark.createDataFrame([(r, c, [float(r), None, float(r * 10 + c)]) for r in range(5) for c in range(7)], "row int, col int, s array<double>")
+    path = str(tmp_path / "scene")
+    zarr.write_scene(px, "s", [400.0, 500.0, 600.0], (2, 0, 10, 0, -2, 90), (5, 7), path, "rho", "WKT", tile=4, attrs={"level": "L1R"})
+    got = {(r["wl_idx"], r["row"], r["col"]): r for r in zarr.open_scene(spark, path, "rho").collect()}
+    assert len(got) == 3 * 35 and got[2, 4, 6]["value"] == 46.0 and got[1, 0, 0]["value"] is None
+    assert (got[0, 4, 6]["x"], got[0, 4, 6]["y"], got[2, 0, 0]["wavelength"]) == (23.0, 81.0, 600.0)
+    assert zarr.attributes(path, "spatial_ref")["GeoTransform"] == "10.0 2.0 0.0 90.0 0.0 -2.0" and zarr.attributes(path)["Conventions"] == "CF-1.8"
+    with pytest.raises(FileNotFoundError):
+        zarr.attributes(str(tmp_path / "none"))
+
+
+def test_segment_export_and_checked_data(spark, tmp_path):
+    from shoalspark.plans import segments
+
+    p = spark.createDataFrame([(r, c, 0.0 if c < 6 else 10.0, [0.1, 0.2 + c / 100]) for r in range(12) for c in range(12)], "row int, col int, f double, s array<double>")
+    segments.segment_and_export(p, ["f"], "s", [400.0, 500.0], str(tmp_path / "o"), ["f"], scale=1.0, min_size=5, tile=4)
+    assert {(r["seg_id"], r["n_pix"], r["col0"], r["col1"]) for r in segments.read(spark, str(tmp_path / "o"), "segments").collect()} == {(1, 72, 0, 5), (2, 72, 6, 11)}
+    assert segments.read(spark, str(tmp_path / "o"), "spectra").count() == 4 and {r["f_med"] for r in segments.read(spark, str(tmp_path / "o"), "aux").collect()} == {0.0, 10.0}
+    p.write.parquet(str(tmp_path / "m"))
+    with pytest.raises(ValueError):
+        calib.load_data(spark, str(tmp_path / "m"))
