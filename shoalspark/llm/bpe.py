@@ -8,13 +8,14 @@ looks only forward, so all later boundaries agree too. There the pieces are
 stitched, each piece is encoded by itself, and the ids are put together in
 order. Boundaries after white space are not used (a piece ending in white
 space would be split otherwise), nor those so near a chunk's end that unseen
-text could move them. Texts whose chunks do not all resynchronise (say, one
-letter a million times) are encoded whole instead.
+text could move them. Neighbours that do not resynchronise (say, in one letter a
+million times) are put together as one piece, and the next pair starts anew.
 
 Decoding concatenates the raw bytes of the ids.
 
 Null texts are empty: no ids, no bytes. Repeated rows give repeated results:
-the long texts are written to the shared scratch folder once, numbered.
+the long texts are written to the shared scratch folder once, numbered, while
+the plan is made (a scan for their lengths).
 """
 
 from __future__ import annotations
@@ -73,19 +74,18 @@ def boundaries(chunk: str, first: bool, last: bool, overlap: int = OVERLAP) -> t
     return head, tail
 
 
-def stitch(chunks: list[tuple[int, int, list[int], list[int]]]) -> list[int] | None:
-    """The cut before each chunk but the first, absolute; None if a pair never resynchronises.
+def stitch(chunks: list[tuple[int, int, list[int], list[int]]]) -> list[int | None]:
+    """The cut before each chunk but the first, absolute; None where a pair does not resynchronise.
 
-    chunks: (start, length, head, tail), in order. Cuts must rise, so that pieces stay in their chunk.
+    chunks: (start, length, head, tail), in order. Cuts must rise, so that pieces stay in their chunks.
     """
     cuts, least = [], 0
     for (s0, n0, _, tail), (s1, _, head, _) in zip(chunks, chunks[1:]):
         common = sorted({s0 + e for e in tail} & {s1 + e for e in head})
         common = [x for x in common if x > least]
-        if not common:
-            return None
-        least = common[len(common) // 2]
-        cuts.append(least)
+        if common:
+            least = common[len(common) // 2]
+        cuts.append(least if common else None)
     return cuts
 
 
@@ -118,7 +118,7 @@ def _ddl(df: DataFrame, drop: set[str], more: str) -> str:
 
 
 def _pieces(long: DataFrame, path: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """(row, k, ids csv, count, decoded bytes) of each piece, and the rows that never resynchronise."""
+    """(row, k, ids csv, count, decoded bytes) of each piece, and the (row, k) of those put together from several chunks."""
     spark = long.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -143,31 +143,39 @@ def _pieces(long: DataFrame, path: str, chunk: int, overlap: int) -> tuple[DataF
 
     def stitched(batches):
         for b in batches:
-            rows, ks, lo, hi = [], [], [], []
+            out = [[], [], [], [], [], []]
             for row, all_ in zip(b.column("row").to_pylist(), b.column("all").to_pylist()):
                 parts = [(x["start"], x["size"], x["head"], x["tail"]) for x in all_]
                 cuts = stitch(parts)
-                if cuts is None:
-                    rows.append(row), ks.append(-1), lo.append(0), hi.append(0)
-                    continue
-                for k, (s, z, _, _) in enumerate(parts):
-                    rows.append(row), ks.append(k)
-                    lo.append(cuts[k - 1] if k else 0), hi.append(cuts[k] if k < len(cuts) else s + z)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ks, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["row", "k", "lo", "hi"])
+                firsts = [0] + [k for k, c in enumerate(cuts, 1) if c is not None]  # the first chunk of each piece
+                for g, k in enumerate(firsts):
+                    end = firsts[g + 1] if g + 1 < len(firsts) else len(parts)
+                    lo, hi = (cuts[k - 1] if k else 0), (cuts[end - 1] if end < len(parts) else parts[-1][0] + parts[-1][1])
+                    for c in range(k, end):
+                        for column, value in zip(out, (row, c, k, end - k, lo, hi)):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if n in ("row", "lo", "hi") else pa.int32()) for n, x in zip(("row", "k", "piece", "of", "lo", "hi"), out)], names=["row", "k", "piece", "of", "lo", "hi"])
 
-    spans = seen.mapInArrow(stitched, "row long, k int, lo long, hi long")
+    spans = seen.mapInArrow(stitched, "row long, k int, piece int, of int, lo long, hi long")
 
     def encoded(batches):
         enc = encoding(path)
         for b in batches:
             csv, count, raw = [], [], []
-            for t, s, lo, hi in zip(*(b.column(c).to_pylist() for c in ("part", "start", "lo", "hi"))):
-                ids = enc.encode_ordinary(t[lo - s : hi - s])
+            for parts, lo, hi in zip(b.column("parts").to_pylist(), b.column("lo").to_pylist(), b.column("hi").to_pylist()):
+                text, at = [], lo
+                for x in parts:  # in order, each from where the last one ended
+                    text.append(x["part"][at - x["start"] : hi - x["start"]])
+                    at = min(hi, x["start"] + len(x["part"]))
+                ids = enc.encode_ordinary("".join(text))
                 csv.append(",".join(map(str, ids))), count.append(len(ids)), raw.append(enc.decode_bytes(ids))
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("k"), pa.array(csv, pa.string()), pa.array(count, pa.int64()), pa.array(raw, pa.binary())], names=["row", "k", "csv", "n", "raw"])
 
-    pieces = chunks.join(spans, ["row", "k"]).mapInArrow(encoded, "row long, k int, csv string, n long, raw binary")
-    return pieces, spans.where("k < 0").select(F.col("row").alias("__row"))
+    met = chunks.drop("of").join(spans, ["row", "k"]).select("row", F.col("piece").alias("k"), "of", "lo", "hi", F.struct("start", "part").alias("x"))
+    single = met.where("of = 1").select("row", "k", "lo", "hi", F.array("x").alias("parts"))
+    several = met.where("of > 1").groupBy("row", "k", "lo", "hi").agg(F.array_sort(F.collect_list("x")).alias("parts"))
+    pieces = single.unionByName(several).mapInArrow(encoded, "row long, k int, csv string, n long, raw binary")
+    return pieces, spans.where("of > 1").select("row", F.col("piece").alias("k")).distinct()
 
 
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK, overlap: int = OVERLAP, ids: bool = False) -> DataFrame:
@@ -180,7 +188,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple
     whole = lambda df: df.mapInArrow(lambda bs: _whole(bs, "", ranks_path, ids), out)
     short = base.where(F.coalesce(~is_long, F.lit(True)))
     long = materialize(base.where(is_long).withColumn("__row", F.monotonically_increasing_id()), "long-texts")
-    pieces, unsynced = _pieces(long, ranks_path, chunk, overlap)
+    pieces, _ = _pieces(long, ranks_path, chunk, overlap)
     joined = pieces.groupBy(F.col("row").alias("__row")).agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("k", "csv", "raw"))).alias("p"))
     csv = F.array_join(F.filter(F.transform("p", lambda x: x["csv"]), lambda x: x != ""), ",")
     if ids:
@@ -189,7 +197,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple
         raw = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["raw"])), ""))
         joined = joined.select("__row", "n_tokens", F.sha2(csv.cast("binary"), 256).alias("ids_sha256"), F.sha2(raw, 256).alias("decoded_sha256"))
     rest = joined.join(long.drop("__text"), "__row").select(*short.drop("__text").columns, *(["ids"] if ids else ["n_tokens", "ids_sha256", "decoded_sha256"]))
-    return whole(short).unionByName(rest).unionByName(whole(long.join(unsynced, "__row", "left_semi")))
+    return whole(short).unionByName(rest)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:

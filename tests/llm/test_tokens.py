@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from shoalspark.llm import bpe, tokencount
 
@@ -55,3 +56,15 @@ def test_counts_as_the_library(spark):
     for i, t in enumerate(texts):
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 512), (i, t)
+
+
+def test_only_pairs_that_do_not_resynchronise_are_put_together(spark):
+    text = " ".join(f"w{i}" for i in range(400)) + " " + "z" * 1500 + " " + " ".join(f"v{i}" for i in range(400))
+    rows = docs(spark, [text, text, "y" * 3000])
+    long = rows.selectExpr("doc_id as __row", "text as __text")
+    pieces, several = bpe._pieces(long, RANKS, 256, 64)
+    by = {r["row"]: r["n"] for r in pieces.groupBy("row").agg(F.count("*").alias("n")).collect()}
+    assert by[0] == by[1] > 15 and by[2] == 1 and several.where("row = 0").count() == 1
+    enc = bpe.encoding(RANKS)
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(rows, RANKS, keep=("doc_id",), chunk=256, overlap=64, ids=True).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate([text, text, "y" * 3000])}
