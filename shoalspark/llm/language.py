@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_list
+from .common import binary_list, materialize
 
 PER_CLASS, LANDMARKS, RIDGE, FIT_CHARS = 300, 160, 1e-2, 4_000_000
 _LETTER = regex.compile(r"\p{L}")
@@ -133,10 +133,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     rows = rows.where(where(F.col("id"))) if where is not None else rows
-    # hashes first: a top-k within each language, cut before the shuffle and after it, then the texts of those
+    # lengths first: a hash threshold a language leaves a little more than the bound of its different texts, the exact
+    # cut is made on those; then the texts of the chosen
     marks = rows.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    rank = Window.partitionBy("lang").orderBy("h", "n")
-    first = marks.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= 2 * per_class).select("lang", "h", "n").distinct()
+    some = marks.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("of"), F.min("h").alias("least"))
+    share = F.least(F.lit(1.0), 1.1 * (per_class + 4 * per_class**0.5) / F.col("of"))
+    some = materialize(some.select("lang", "least", share.alias("share")), "languages")
+    near = (F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share")) | (F.col("h") == F.col("least"))
+    first = marks.join(some, "lang").where(near).groupBy("lang", "h").agg(F.min("n").alias("n"))
+    rank = Window.partitionBy("lang").orderBy("h")
     first = first.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_class)
     short = Window.partitionBy("lang").orderBy("n", "h")  # the shorter first, where not all fit
     first = first.withColumns({"k": F.row_number().over(short), "sum": F.sum("n").over(short)}).where((F.col("k") == 1) | (F.col("sum") <= fit_chars))

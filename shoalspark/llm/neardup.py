@@ -8,7 +8,9 @@ repeat. Every class has 2 * ``trees`` labels of four MinHash values; each tree i
 * Classes of one label form a region. Where a region is crowded (more than
   ``crowd`` members) the depth rises to eight values: the label with each of
   the ``ring`` labels that stand 1, 5, 12, .. places on, the last followed by
-  the first. Region sizes come from map-side-combined counts.
+  the first. Region sizes come from map-side-combined counts. Places beyond the
+  third (below 0.85) are taken where they can join candidate clusters that the
+  first three leave apart; regions inside one cluster tell nothing new.
 * Within a region all members are compared on their full signatures (in
   square blocks if there are many), and one spanning forest of the pairs
   that may reach the threshold is passed on: lines, never pairs squared.
@@ -109,15 +111,15 @@ def jaccard_links(sets: list[np.ndarray], percent: int, apart: np.ndarray | None
     return links
 
 
-def signature_links(sig: np.ndarray, least: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that agree in at least ``least`` values."""
+def signature_links(sig: np.ndarray, least: int, *apart: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that agree in at least ``least`` values; only pairs that differ in every one of ``apart``."""
     m = len(sig)
     root = np.arange(m)
     links = []
     for i in range(m):
         other = root != root[i]
-        if apart is not None:
-            other &= apart != apart[i]
+        for side in apart:
+            other &= side != side[i]
         rest = np.flatnonzero(other)
         if not len(rest):
             continue
@@ -183,21 +185,41 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int)
     return base.mapInArrow(run, "id long, th long, n_shingles long, k1 long, k2 long, sig array<long>")
 
 
-def regions(classes: DataFrame, trees: int, crowd: int, ring: tuple[int, ...] = RING) -> DataFrame:
-    """(t, p1, p2, depth, size, id): members of each region of at least two, at its adaptive depth."""
-    labels = 2 * trees
+def _sized(rows: DataFrame) -> DataFrame:
+    return rows.join(rows.groupBy("t", "p1", "p2").agg(F.count("*").alias("size")).where("size >= 2"), ["t", "p1", "p2"])
+
 
-    def sized(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("t", "p1", "p2").agg(F.count("*").alias("size")).where("size >= 2"), ["t", "p1", "p2"])
+def labelled(classes: DataFrame) -> DataFrame:
+    """(t, p1, p2, id, size): members of each label's region of at least two."""
+    return _sized(classes.select("id", F.posexplode("sig").alias("t", "p1")).withColumn("p2", F.lit(0).cast("long")))
 
-    rows = sized(classes.select("id", F.posexplode("sig").alias("t", "p1")).withColumn("p2", F.lit(0).cast("long")))
-    crowded = rows.where(F.col("size") > crowd).select("id", "t", "p1").join(classes.select("id", "sig"), "id")
+
+def deepened(crowded: DataFrame, classes: DataFrame, labels: int, ring: tuple[int, ...]) -> DataFrame:
+    """``crowded`` (id, t, p1, others) by the region's label and, in turn, each of the labels ``ring`` places on: t, p2."""
+    others = [c for c in crowded.columns if c != "t"]
     on = F.transform(F.array(*[F.lit(d) for d in ring]), lambda d: F.struct((F.col("t") + labels * d).alias("t"), F.get("sig", (F.col("t") + d) % labels).alias("p2")))
-    deeper = sized(crowded.select("id", "p1", F.explode(on).alias("x")).select("id", "x.t", "p1", "x.p2"))
+    return crowded.join(classes.select("id", "sig"), "id").select(*others, F.explode(on).alias("x")).select(*others, "x.t", "x.p2")
+
+
+def regions(classes: DataFrame, trees: int, crowd: int, ring: tuple[int, ...] = RING, rows: DataFrame | None = None) -> DataFrame:
+    """(t, p1, p2, depth, size, id): members of each region of at least two, at its adaptive depth."""
+    rows = labelled(classes) if rows is None else rows
     out = lambda df, depth: df.select("t", "p1", "p2", F.lit(depth).alias("depth"), "size", "id")
+    deeper = _sized(deepened(rows.where(F.col("size") > crowd).select("id", "t", "p1"), classes, 2 * trees, ring))
     return out(rows.where(F.col("size") <= crowd), 4).unionByName(out(deeper, 8))
 
 
+def between(rows: DataFrame, classes: DataFrame, trees: int, crowd: int, ring: tuple[int, ...], clusters: DataFrame) -> DataFrame:
+    """Deeper regions of further places, as regions(), with each member's candidate cluster: only those that more than one cluster meets in."""
+
+    def met(df: DataFrame, *keys: str) -> DataFrame:
+        ends = df.groupBy(*keys).agg(F.count("*").alias("size"), F.min("cluster").alias("a"), F.max("cluster").alias("b"))
+        return df.join(ends.where("a <> b").drop("a", "b"), list(keys))
+
+    crowded = rows.where(F.col("size") > crowd).select("id", "t", "p1").join(clusters, F.col("id") == F.col("node"), "left").select("id", "t", "p1", F.coalesce("component", "id").alias("cluster"))
+    return met(deepened(met(crowded, "t", "p1").drop("size"), classes, 2 * trees, ring), "t", "p1", "p2").withColumn("depth", F.lit(8))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, trees: int = TREES, crowd: int = CROWD, block: int = BLOCK, text_hash: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id and kept; with ``text_hash``, its text's xxhash64 as ``th`` too."""
     m = trees * DEPTH
@@ -209,25 +231,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes, "classes")
 
     # candidate clusters from the forest
-    member = _blocks(regions(classes, trees, crowd, RING[:3] if percent >= 85 else RING), ["t", "p1", "p2"], "size", "id", block)
+    rows = materialize(labelled(classes), "labels")
     keys = ["t", "depth", "p1", "p2", "bi", "bj"]
-    member = member.join(classes.select("id", "sig"), "id")
 
     def sift(batches):
         found: set[tuple[int, int]] = set()
         for run in runs(batches, keys):
             ids = run.column("id").to_pylist()
             sig = np.stack(run.column("sig").to_numpy(zero_copy_only=False)).view(np.uint16)
-            mixed = run.column("bi")[0].as_py() != run.column("bj")[0].as_py()
-            side = np.asarray(run.column("side").to_numpy()) if mixed else None
-            found.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in signature_links(sig, least, side))
+            apart = [run.column("cluster").to_numpy()] if run.column("cluster").null_count == 0 else []
+            if run.column("bi")[0].as_py() != run.column("bj")[0].as_py():
+                apart.append(run.column("side").to_numpy())
+            found.update((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in signature_links(sig, least, *apart))
             if len(found) > 1 << 18:
                 yield _edges(list(found))
                 found.clear()
         yield _edges(list(found))
 
-    near = member.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "id", "sig").mapInArrow(sift, "a long, b long")
+    def sifted(members: DataFrame) -> DataFrame:
+        member = _blocks(members, ["t", "p1", "p2"], "size", "id", block).join(classes.select("id", "sig"), "id")
+        return member.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "cluster", "id", "sig").mapInArrow(sift, "a long, b long")
+
+    near = materialize(sifted(regions(classes, trees, crowd, RING[:3], rows).withColumn("cluster", F.lit(None).cast("long"))), "links")
     clusters = components(near)
+    if percent < 85:
+        # further places of crowded regions, where they join clusters that are apart so far
+        more = sifted(between(rows, classes, trees, crowd, RING[3:], clusters))
+        clusters = components(near.unionByName(more))
 
     # confirm on the full sets, each text sent to its cluster once
     clusters = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component")

@@ -292,10 +292,10 @@ def rgb_lab(spark, sf_dir):
     return pixels(spark, sf_dir).select("vec_id", ph.rgb_to_lab(*c).alias("x")).select("vec_id", *[(F.round(f"x.{k}", 5) + F.lit(0.0)).alias(k) for k in "lab"])
 
 
-@query(f"WITH {PX}, k AS (SELECT vec_id, CAST(round_even(s[1] / 1e-4, 0) AS INTEGER) AS packed FROM px) SELECT vec_id, packed, round(packed * 1e-4, 6) + 0.0 AS value FROM k")
+@query(f"WITH {LG}, k AS (SELECT vec_id, wl_idx, CAST(round_even(value / 1e-4, 0) AS INTEGER) AS packed FROM lg) SELECT vec_id, wl_idx, packed, round(packed * 1e-4, 6) + 0.0 AS value FROM k")
 def pack_unpack(spark, sf_dir):
-    k = ph.pack(F.get("s", F.lit(0)), 1e-4)
-    return pixels(spark, sf_dir).select("vec_id", k.alias("packed"), r(ph.unpack(k, 1e-4)).alias("value"))
+    k = bands(spark, sf_dir).select("vec_id", "wl_idx", ph.pack(F.col("value"), 1e-4).alias("packed"))
+    return k.select("vec_id", "wl_idx", "packed", r(ph.unpack(F.col("packed"), 1e-4)).alias("value"))
 
 
 IOP = """WITH b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w, j AS depth FROM range(64) t(i), range(1, 6) u(j)),
@@ -469,15 +469,22 @@ def hourly_interp(spark, sf_dir):
     return matchup.bracket(e.select("event_id", "ts"), "ts", series, "h", ["v"]).select("event_id", r("v").alias("v"))
 
 
-POINTS = 'pt AS (SELECT event_id AS uuid, least(greatest(round(value - 10.5)::INTEGER, 0), 19) AS r0, least(greatest(round(value / 20 - 0.5)::INTEGER, 0), 24) AS c0 FROM events)'
+#: Points over the whole scene, however many rows it has.
+ROWS = "(SELECT (max(vec_id) // 25)::INTEGER AS nr FROM embeddings)"
+POINTS = f"pt AS (SELECT event_id AS uuid, nr, least(greatest(round(value * (nr + 1) / 500 - 0.5)::INTEGER, 0), nr) AS r0, least(greatest(round(value / 20 - 0.5)::INTEGER, 0), 24) AS c0 FROM events, {ROWS})"
 
 
-def _points(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("uuid"), (F.col("value") / 20).alias("x"), (F.col("value") - 10).alias("y"))
-    return matchup.windows(e, "x", "y", (1, 0, 0, 0, 1, 0), 20, 25, 7)
+def scene_rows(spark, sf_dir) -> int:
+    return pixels(spark, sf_dir).agg(F.max("row")).first()[0] + 1
 
 
-@query(f"""WITH {PX}, {POINTS} SELECT uuid, count(*) AS n, round(avg(s[{GREEN + 1}]), 6) + 0.0 AS mean FROM pt JOIN px ON "row" BETWEEN greatest(r0 - 3, 0) AND least(r0 + 3, 19) AND col BETWEEN greatest(c0 - 3, 0) AND least(c0 + 3, 24) GROUP BY 1""")
+def _points(spark, sf_dir, size: int = 7):
+    n = scene_rows(spark, sf_dir)
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("uuid"), (F.col("value") / 20).alias("x"), (F.col("value") * n / 500).alias("y"))
+    return matchup.windows(e, "x", "y", (1, 0, 0, 0, 1, 0), n, 25, size)
+
+
+@query(f"""WITH {PX}, {POINTS} SELECT uuid, count(*) AS n, round(avg(s[{GREEN + 1}]), 6) + 0.0 AS mean FROM pt JOIN px ON "row" BETWEEN greatest(r0 - 3, 0) AND least(r0 + 3, nr) AND col BETWEEN greatest(c0 - 3, 0) AND least(c0 + 3, 24) GROUP BY 1""")
 def window_range_join(spark, sf_dir):
     p = pixels(spark, sf_dir).select("row", "col", F.get("s", F.lit(GREEN)).alias("v"))
     return matchup.window_join(p, _points(spark, sf_dir), tile=8).groupBy("uuid").agg(F.count("*").alias("n"), r(F.avg("v")).alias("mean"))
@@ -489,7 +496,7 @@ def footprint_semi(spark, sf_dir):
     return matchup.in_footprint(_points(spark, sf_dir), valid).select("uuid")
 
 
-@query(f"WITH {POINTS} SELECT uuid, (greatest(c0 - 3, 0) * 2 + 100)::DOUBLE AS x_min, (least(c0 + 3, 24) * 2 + 102)::DOUBLE AS x_max, (200 - 2 * (least(r0 + 3, 19) + 1))::DOUBLE AS y_min, (200 - 2 * greatest(r0 - 3, 0))::DOUBLE AS y_max FROM pt")
+@query(f"WITH {POINTS} SELECT uuid, (greatest(c0 - 3, 0) * 2 + 100)::DOUBLE AS x_min, (least(c0 + 3, 24) * 2 + 102)::DOUBLE AS x_max, (200 - 2 * (least(r0 + 3, nr) + 1))::DOUBLE AS y_min, (200 - 2 * greatest(r0 - 3, 0))::DOUBLE AS y_max FROM pt")
 def window_boxes(spark, sf_dir):
     out = matchup.window_boxes(_points(spark, sf_dir), (2.0, 0.0, 100.0, 0.0, -2.0, 200.0))
     return out.select("uuid", *[F.col(c).cast("double").alias(c) for c in ("x_min", "x_max", "y_min", "y_max")])
@@ -578,15 +585,15 @@ def lut_bilinear(spark, sf_dir):
 # --- reshape ----------------------------------------------------------------------------------
 
 
-@query(f"WITH {LG} SELECT vec_id, " + ", ".join(f"round(any_value(value) FILTER (wl_idx = {i}), 6) + 0.0 AS m_{400 + 6.25 * i:g}" for i in (0, 8, 16, 24)) + " FROM lg GROUP BY 1")
+@query(f"WITH {LG} SELECT vec_id, " + ", ".join(f"round(any_value(value) FILTER (wl_idx = {i}), 6) + 0.0 AS m_{400 + 6.25 * i:g}".replace(".", "_").replace("0_0", "0.0") for i in range(64)) + " FROM lg GROUP BY 1")
 def pivot_spectra(spark, sf_dir):
-    out = spectral.pivot_bands(bands(spark, sf_dir), ["vec_id"], [WL[i] for i in (0, 8, 16, 24)])
+    out = spectral.pivot_bands(bands(spark, sf_dir), ["vec_id"], WL)
     return rounded(out, *[c for c in out.columns if c != "vec_id"])
 
 
-@query(f"WITH {PX} SELECT vec_id, unnest([400.0, 450.0, 500.0]::DOUBLE[]) AS wavelength, round(unnest([s[1], s[9], s[17]]), 6) + 0.0 AS value FROM px")
+@query(f"WITH {PX} SELECT vec_id, unnest(list_transform(range(64), lambda i: 400.0 + 6 * i))::DOUBLE AS wavelength, round(unnest(s), 6) + 0.0 AS value FROM px")
 def unpivot_bands(spark, sf_dir):
-    wide = pixels(spark, sf_dir).select("vec_id", *[F.get("s", F.lit(i)).alias(f"rhos_{w}") for i, w in ((0, 400), (8, 450), (16, 500))])
+    wide = pixels(spark, sf_dir).select("vec_id", *[F.get("s", F.lit(i)).alias(f"rhos_{400 + 6 * i}") for i in range(64)])
     return rounded(spectral.unpivot_bands(wide, ["vec_id"]), "value")
 
 

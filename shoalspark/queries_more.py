@@ -71,23 +71,23 @@ def rho_for_uuid(spark, sf_dir):
     return rounded(matchup.value_at(m, m.agg(F.min("uuid")).first()[0]), "rho_t").select("uuid", "wavelength", "rho_t")
 
 
-NEAR = "SELECT event_id AS uuid, ts, least(greatest(round(value - 10.5)::INTEGER, 0), 19) AS r0, least(greatest(round(value / 20 - 0.5)::INTEGER, 0), 24) AS c0 FROM events WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10 12:00:00')) < 240 * 3600000000"
+NEAR = "SELECT event_id AS uuid, ts, least(greatest(round(value * (nr + 1) / 500 - 0.5)::INTEGER, 0), nr) AS r0, least(greatest(round(value / 20 - 0.5)::INTEGER, 0), 24) AS c0 FROM events, (SELECT (max(vec_id) // 25)::INTEGER AS nr FROM embeddings) WHERE abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10 12:00:00')) < 240 * 3600000000"
 
 
 @query(f"""WITH {PX}, n AS ({NEAR}), i AS (SELECT * FROM n SEMI JOIN (SELECT "row", col FROM px WHERE seg_id > 2) v ON r0 = v."row" AND c0 = v.col) SELECT uuid, count(*) AS n, round(avg(s[{GREEN + 1}]), 6) + 0.0 AS mean FROM i JOIN px ON "row" BETWEEN greatest(r0 - 2, 0) AND r0 + 2 AND col BETWEEN greatest(c0 - 2, 0) AND c0 + 2 GROUP BY 1""")
 def extract_pixels(spark, sf_dir):
     """Time filter, footprint, last of repeated ids, windows and their pixels in one plan."""
+    n = base.scene_rows(spark, sf_dir)
     p = pixels(spark, sf_dir).select("row", "col", F.get("s", F.lit(GREEN)).alias("v"), (F.col("seg_id") > 2).alias("valid"))
-    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("uuid"), F.col("ts").alias("date_time"), (F.col("value") / 20).alias("x"), (F.col("value") - 10).alias("y"))
-    got, _ = matchup.extract_pixels(p, e, (1, 0, 0, 0, 1, 0), 20, 25, 5, 240, F.expr("timestamp'2024-01-10 12:00:00'"))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("uuid"), F.col("ts").alias("date_time"), (F.col("value") / 20).alias("x"), (F.col("value") * n / 500).alias("y"))
+    got, _ = matchup.extract_pixels(p, e, (1, 0, 0, 0, 1, 0), n, 25, 5, 240, F.expr("timestamp'2024-01-10 12:00:00'"))
     return got.groupBy("uuid").agg(F.count("*").alias("n"), r(F.avg("v")).alias("mean"))
 
 
-@query(f"""WITH {LG}, {POINTS}, w AS (SELECT uuid, wl_idx, value FROM pt JOIN lg ON "row" BETWEEN greatest(r0 - 1, 0) AND least(r0 + 1, 19) AND col BETWEEN greatest(c0 - 1, 0) AND least(c0 + 1, 24) WHERE uuid % 10 = 0) SELECT uuid, wl_idx, round(avg(value), 6) + 0.0 AS mean, count(value) AS n FROM w GROUP BY 1, 2""")
+@query(f"""WITH {LG}, {POINTS}, w AS (SELECT uuid, wl_idx, value FROM pt JOIN lg ON "row" BETWEEN greatest(r0 - 1, 0) AND least(r0 + 1, nr) AND col BETWEEN greatest(c0 - 1, 0) AND least(c0 + 1, 24)) SELECT uuid, wl_idx, round(avg(value), 6) + 0.0 AS mean, count(value) AS n FROM w GROUP BY 1, 2""")
 def window_mean_spectrum(spark, sf_dir):
-    """Mean spectra of the windows round every tenth point."""
-    e = read(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("uuid"), (F.col("value") / 20).alias("x"), (F.col("value") - 10).alias("y"))
-    near = matchup.window_join(pixels(spark, sf_dir).select("row", "col", "s"), matchup.windows(e, "x", "y", (1, 0, 0, 0, 1, 0), 20, 25, 3))
+    """Mean spectra of the windows round all points."""
+    near = matchup.window_join(pixels(spark, sf_dir).select("row", "col", "s"), base._points(spark, sf_dir, 3))
     long = spectral.to_long(near, "s", WL, ["uuid"])
     return rounded(matchup.window_means(long, ("uuid", "wl_idx")), "mean")
 
@@ -581,11 +581,11 @@ def fill_scalars(spark, sf_dir):
 # --- calibration ---------------------------------------------------------------------------------
 
 
-@query(f"WITH {LG}, {POINTS}, i AS (SELECT uuid, wl, wl * 1e-4 AS rho FROM pt, (VALUES (395.0), (600.0), (795.0)) t(wl)), w AS (SELECT uuid, wl_idx, wavelength, value FROM pt JOIN lg ON \"row\" BETWEEN greatest(r0 - 1, 0) AND least(r0 + 1, 19) AND col BETWEEN greatest(c0 - 1, 0) AND least(c0 + 1, 24) WHERE uuid % 10 = 0) SELECT uuid, wl_idx, count(*) AS n, round(avg(value), 6) + 0.0 AS rho_t, round(0.95 * (0.02 + 0.9 * (wavelength * 1e-4 + 0.002) / (1 - 0.1 * (wavelength * 1e-4 + 0.002))), 6) + 0.0 AS rho_t_hat FROM w GROUP BY uuid, wl_idx, wavelength")
+@query(f"WITH {LG}, {POINTS}, i AS (SELECT uuid, wl, wl * 1e-4 AS rho FROM pt, (VALUES (395.0), (600.0), (795.0)) t(wl)), w AS (SELECT uuid, wl_idx, wavelength, value FROM pt JOIN lg ON \"row\" BETWEEN greatest(r0 - 1, 0) AND least(r0 + 1, nr) AND col BETWEEN greatest(c0 - 1, 0) AND least(c0 + 1, 24)) SELECT uuid, wl_idx, count(*) AS n, round(avg(value), 6) + 0.0 AS rho_t, round(0.95 * (0.02 + 0.9 * (wavelength * 1e-4 + 0.002) / (1 - 0.1 * (wavelength * 1e-4 + 0.002))), 6) + 0.0 AS rho_t_hat FROM w GROUP BY uuid, wl_idx, wavelength")
 def compute_matchups(spark, sf_dir):
     """Matchups end to end: windows, in-situ spectra at the sensor's bands, carried through the atmosphere."""
-    e = read(spark, sf_dir, "events").where("event_id % 10 = 0").select(F.col("event_id").alias("uuid"), "ts", (F.col("value") / 20).alias("x"), (F.col("value") - 10).alias("y"))
-    points = matchup.windows(e, "x", "y", (1, 0, 0, 0, 1, 0), 20, 25, 3).drop("x", "y", "ts")
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("uuid"), "ts")
+    points = base._points(spark, sf_dir, 3).drop("x", "y")
     spectra = F.explode(F.array(*[F.struct(F.lit(w).alias("wavelength"), F.lit(w * 1e-4).alias("rho")) for w in (395.0, 600.0, 795.0)])).alias("b")
     insitu = e.select("uuid", F.col("ts").alias("date_time"), spectra).select("uuid", "date_time", "b.*")
     p = _long(spark, sf_dir).select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.lit("i").alias("image_name"), "wavelength", F.col("value").alias("rho_t"), F.lit(None).cast("timestamp").alias("acq"))

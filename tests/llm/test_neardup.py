@@ -85,3 +85,9 @@ def test_repeated_ids_and_rows(spark):
     rows = [(3, a), (5, b), (5, a), (5, a), (7, b + " end"), (7, None), (None, a)]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is not null").collect())
     assert got == [(3, 36, 3, True), (5, 36, 3, False), (5, 36, 3, False), (5, 36, 5, True), (7, 0, 7, True), (7, 37, 5, False)]
+
+
+def test_crowded_regions_at_eighty_percent(spark):
+    """Places beyond the third join what the first three leave apart, and nothing is linked twice over."""
+    check(spark, corpus(4), percent=80, crowd=4, block=8)
+    check(spark, corpus(5), percent=80, crowd=2, block=2048)
