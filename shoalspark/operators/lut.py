@@ -155,6 +155,15 @@ def lookup_arrays(df: DataFrame, nodes: DataFrame, spec: LutSpec) -> DataFrame:
     return d.select(*keep, *[value(o).alias(o) for o in spec.outputs])
 
 
+def checked(df: DataFrame, spec: LutSpec) -> DataFrame:
+    """``df``; a value outside its axis is an error when it is read."""
+    for a, v in spec.axes.items():
+        lo, hi = float(min(v)), float(max(v))
+        message = F.concat(F.lit(f"{a} outside {lo:g} to {hi:g}: "), F.col(a).cast("string"))
+        df = df.withColumn(a, F.when(F.col(a).between(lo, hi), F.col(a)).otherwise(F.raise_error(message).cast("double")))
+    return df
+
+
 def nearest_nodes(nodes: DataFrame, spec: LutSpec, at: Mapping[str, float]) -> DataFrame:
     """Nodes nearest on each axis by itself (the lower one on ties)."""
     keep = F.lit(True)

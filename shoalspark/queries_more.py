@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import queries as base
 from .functions import geo
 from .functions import physics as ph
-from .operators import ancillary, calib, imageseg, invert, lut, matchup, raster, segment, spectral
+from .operators import ancillary, calib, imageseg, invert, lut, matchup, raster, segment, skyglint, spectral
 from .plans import correction, segments
 from .queries import GREEN, LG, NIR, POINTS, PX, RED, WL, M, bands, matchups, pixels, q6, r, read, rounded
 from .sources import envi, registry, scene, sqlite, zarr
@@ -519,6 +519,31 @@ def lut_nearest(spark, sf_dir):
     return lut.nearest_nodes(nodes, spec, {"sun": 33.0, "view": 14.0})
 
 
+@query(base.SQL["lut_bilinear"])
+def lut_checked(spark, sf_dir):
+    """A curved table, every point of which must lie inside."""
+    spec = lut.LutSpec({"x": [0, 1, 2, 3, 4], "y": [0, 1, 2, 3]}, ["v"])
+    nodes = spec.grid(spark).select("i_x", "i_y", F.lit(0).alias("wl_idx"), (F.sin("x") + F.cos("y")).alias("v"))
+    p = pixels(spark, sf_dir).select("vec_id", ((F.col("vec_id") % 37) / 10).alias("x"), ((F.col("vec_id") % 29) / 10).alias("y"))
+    return lut.lookup_arrays(lut.checked(p, spec), nodes, spec).select("vec_id", r(F.get("v", F.lit(0))).alias("v"))
+
+
+@query()
+def sky_sun_glint(spark, sf_dir):
+    """Mirrored sky and sun for the scene's mean geometry, from stored tables."""
+    import numpy as np
+
+    z = [0.05] + [float(np.arccos(c)) for c in np.linspace(0.95, 0.05, 19) for _ in range(36)]
+    a = [0.0] + [float(x) for _ in range(19) for x in np.linspace(-np.pi, np.pi, 37)[:-1]]
+    wl = np.linspace(350, 850, 6)
+    sky = 1 + 0.5 * np.cos(np.array(z))[None, None, :, None] * (500 / wl) ** 2 + np.zeros((3, 3, 1, 1))
+    tables = skyglint.SkyTables(np.array(z), np.array(a), 0.05, 2 * np.pi / 36, np.array([0, 40.0, 80.0]), np.array([0, 0.2, 0.5]), wl, sky, np.full((3, 3, 6), 1e4))
+    path = _folder(spark, "sky")
+    skyglint.save_tables(spark, tables, path)
+    p = _angled(spark, sf_dir).withColumn("wind_speed", F.lit(5.0))
+    return skyglint.scene_glint(p, skyglint.load_tables(spark, path), WL, 0.17).select("vec_id", "rho_surface_sky", "rho_surface_sun", "rho_surface_total")
+
+
 # --- ancillary fields --------------------------------------------------------------------------
 
 

@@ -424,3 +424,23 @@ def test_segment_export_and_checked_data(spark, tmp_path):
     p.write.parquet(str(tmp_path / "m"))
     with pytest.raises(ValueError):
         calib.load_data(spark, str(tmp_path / "m"))
+
+
+def test_sky_glint(spark):
+    """Under an even sky without sun, calm water mirrors as a flat one does, and wind adds to it at a slant view."""
+    from shoalspark.operators import skyglint
+
+    z = [0.05] + [math.acos(c) for c in np.linspace(0.95, 0.05, 19) for _ in range(36)]
+    a = [0.0] + [x for _ in range(19) for x in np.linspace(-math.pi, math.pi, 37)[:-1]]
+    tables = skyglint.SkyTables(np.array(z), np.array(a), 0.05, 2 * math.pi / 36, np.array([0, 40.0, 80.0]), np.array([0, 0.5]), np.array([400.0, 800.0]), np.ones((3, 2, len(z), 2)), np.zeros((3, 2, 2)))
+    wl = [450.0, 700.0]
+    flat = skyglint.reflectance(skyglint.water_index(np.array(wl), 17, 30), np.radians([40.0]))[0]
+    calm, windy = (skyglint.sky_and_sun(tables, wl, 30, 40, 135, 0.1, w) for w in (0.5, 10))
+    assert calm["sky"] == pytest.approx(flat, rel=0.03) and (windy["sky"] > calm["sky"]).all() and (calm["sun"] == 0).all()
+    # all facets together mirror one whole
+    normals = skyglint.facet_share(skyglint.disk(0.0, 0.2)[None], skyglint.direction(np.array(0.0), np.array(0.0)), 5.0)[0][0]
+    assert 0 < normals < 1
+    with pytest.raises(ValueError):
+        skyglint.sky_and_sun(tables, wl, 85, 40, 135, 0.1, 5)
+    with pytest.raises(Exception, match="outside"):
+        lut.checked(spark.createDataFrame([(9.0,)], "x double"), lut.LutSpec({"x": [0, 1]}, ["v"])).collect()
