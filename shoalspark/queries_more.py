@@ -188,12 +188,12 @@ def sun_distance(spark, sf_dir):
     return spark.range(1, 367).select(F.col("id").alias("doy"), (F.round(ph.earth_sun_factor(d), 8) + F.lit(0.0)).alias("a"), (F.round(ph.earth_sun_factor(d, 0.033412, 3), 8) + F.lit(0.0)).alias("b"))
 
 
-@query(f"WITH {PX}, n AS (SELECT vec_id, CASE WHEN seg_id > 1 THEN (s[{GREEN + 1}] - s[64]) / nullif(s[{GREEN + 1}] + s[64], 0) END AS n FROM px) SELECT vec_id, round(n, 6) + 0.0 AS ndwi, (n > 0) AS water FROM n")
+@query(f"WITH {PX}, n AS (SELECT vec_id, CASE WHEN seg_id > 1 THEN (s[{GREEN + 1}] - s[64]) / nullif(s[{GREEN + 1}] + s[64], 0) END AS n FROM px) SELECT vec_id, round(n, 6) + 0.0 AS ndwi, CASE WHEN n > 0 THEN 1.0 WHEN n IS NOT NULL THEN 0.0 END::DOUBLE AS water FROM n")
 def ndwi_infrared(spark, sf_dir):
     """Green against the band nearest 2190 nm, over valid pixels only."""
     n = ph.ndwi(F.get("s", F.lit(GREEN)), F.get("s", F.lit(spectral.nearest_band(WL, 2190))))
     p = pixels(spark, sf_dir).select("vec_id", F.when(F.col("seg_id") > 1, n).alias("n"))
-    return p.select("vec_id", r("n").alias("ndwi"), F.when(F.col("n").isNotNull(), ph.water_mask(F.col("n")) == 1).alias("water"))
+    return p.select("vec_id", r("n").alias("ndwi"), F.when(F.col("n").isNotNull(), ph.water_mask(F.col("n"))).cast("double").alias("water"))
 
 
 @query(f"WITH {LG} SELECT vec_id, wl_idx, CASE WHEN seg_id > 3 THEN round(value - (0.01 + wavelength / 1e5), 6) + 0.0 END AS value FROM lg")
