@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 CHUNK, OVERLAP, GUARD = 1 << 16, 1 << 10, 8
 
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple
     more = "ids array<int>" if ids else "n_tokens long, ids_sha256 string, decoded_sha256 string"
     out = _ddl(base, {"__text"}, more)
     is_long = F.length("__text") > chunk
-    whole = lambda df: df.mapInArrow(lambda bs: _whole(bs, "", ranks_path, ids), out)
+    whole = lambda df: df.mapInArrow(lambda bs: tidy(_whole(bs, "", ranks_path, ids)), out)
     short = base.where(F.coalesce(~is_long, F.lit(True)))
     long = materialize(base.where(is_long).withColumn("__row", F.monotonically_increasing_id()), "long-texts")
     pieces, _ = _pieces(long, ranks_path, chunk, overlap)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -17,12 +18,33 @@ U64 = np.uint64
 _MASK = (1 << 64) - 1
 
 
+#: Bytes of an Arrow batch, where the session has its engine's default of 64 MB: texts are many times a row's usual size,
+#: and a batch lies in memory several times over, in the JVM and in the worker.
+BATCH = "8MB"
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers of this machine import the package from where the driver has it."""
+    """Let Python workers of this machine import the package from where the driver has it, and keep their batches small.
+
+    On a cluster of several machines the package has to be installed there or sent along (--py-files).
+    """
     env = spark.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.isModifiable(limit) and spark.conf.get(limit) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(limit, BATCH)
+
+
+def tidy(batches):
+    """The batches, and what the worker no longer uses back to the machine at the end: workers live on between stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,7 +113,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class TokenHashes(dict):
     """Token bytes to a place in ``hash``, their 64-bit hashes, the same in every process; forgets all when full."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
         self.hash = np.empty(1 << 12, U64)

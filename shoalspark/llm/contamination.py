@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHashes, U64, binary_list, mix64, ngram_hashes
+from .common import TokenHashes, U64, binary_list, mix64, ngram_hashes, tidy
 
 SPAN, K = 10, 5
 BROADCAST_WORDS = 4_000_000
@@ -192,7 +192,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
             for batch in batches:
                 yield _with(batch, [_answer(mine, t) for t in binary_list(batch.column("__text"))], ("__text",))
 
-        return base.mapInArrow(near, out)
+        return base.mapInArrow(lambda batches: tidy(near(batches)), out)
 
     # beyond the bound; rows alike in id and text share their key and their answer
     key = F.md5(F.concat_ws("\x00", F.col(f"`{id_col}`").cast("string"), F.col("__text")).cast("binary"))

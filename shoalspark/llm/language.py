@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_list, materialize
+from .common import binary_list, materialize, tidy
 
 PER_CLASS, LANDMARKS, RIDGE, FIT_CHARS = 300, 160, 1e-2, 4_000_000
 _LETTER = regex.compile(r"\p{L}")
@@ -131,7 +131,7 @@ def fit(texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where=None, per_class: int = PER_CLASS, landmarks: int = LANDMARKS, ridge: float = RIDGE, fit_chars: int = FIT_CHARS) -> dict:
     """Fit on a bounded sample: of each language the ``per_class`` different texts of least hash, up to ``fit_chars`` characters."""
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    rows = rows.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.where("text is not null and lang is not null")
     rows = rows.where(where(F.col("id"))) if where is not None else rows
     # lengths first: a hash threshold a language leaves a little more than the bound of its different texts, the exact
     # cut is made on those; then the texts of the chosen
@@ -152,8 +152,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     got = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # per_class rows a language
     texts, langs = [], []
     for r in sorted(got.collect(), key=lambda r: (r["lang"], r["h"])):
-        texts.append(r["text"].encode())
-        langs.append(r["lang"])
+        if _LETTER.search(r["text"]):
+            texts.append(r["text"].encode())
+            langs.append(r["lang"])
     return fit(texts, langs, landmarks, ridge)
 
 
@@ -182,4 +183,4 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                     pred[i], score[i] = m["classes"][b], float(min(1.0, max(0.0, s)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: tidy(run(batches)), schema)

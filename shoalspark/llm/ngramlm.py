@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHashes, U64, binary_list, materialize, mix64, row_count_partitions
+from .common import TokenHashes, U64, binary_list, materialize, mix64, row_count_partitions, tidy
 
 FILTER_BITS, ENTRY_BITS, PROBES, LEVEL_BASE, BACKOFF = 1 << 20, 10, 3, 2.0, 2.0
 END = b""  # never a word
@@ -210,7 +210,7 @@ def count_blocks(dealt: DataFrame, pieces: int, bits: int = KEY_BITS) -> DataFra
         if block is not None:
             yield from send(block, local, learn, other)
 
-    return dealt.select("block", "held_out", "text").sortWithinPartitions("block").mapInArrow(run, "block int, piece int, grams binary, words binary, counts binary")
+    return dealt.select("block", "held_out", "text").sortWithinPartitions("block").mapInArrow(lambda batches: tidy(run(batches)), "block int, piece int, grams binary, words binary, counts binary")
 
 
 def settle(counted: DataFrame, pieces: int, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -242,7 +242,7 @@ def settle(counted: DataFrame, pieces: int, filter_bits: int = FILTER_BITS) -> D
             yield pa.RecordBatch.from_arrays([piece.column("block").combine_chunks(), piece.column("piece").combine_chunks(), pa.array(levels, pa.binary()), pa.array(split(exact[code], counts), pa.binary()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], names=["block", "piece", "levels", "counts", "n", "v"])
 
     dealt = counted.repartition(pieces, "piece").sortWithinPartitions("piece")
-    return materialize(dealt.mapInArrow(run, "block int, piece int, levels binary, counts binary, n long, v long"), "counts")
+    return materialize(dealt.mapInArrow(lambda batches: tidy(run(batches)), "block int, piece int, levels binary, counts binary, n long, v long"), "counts")
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS, block_bytes: int = 8 << 20) -> DataFrame:

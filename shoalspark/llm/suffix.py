@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, binary_list, materialize, mix64
+from .common import U64, binary_list, materialize, mix64, tidy
 from .neardup import runs
 
 LENGTH, GRAM, HOT = 200, 100, 50_000
@@ -185,7 +185,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             if rows:
                 yield batch()
 
-    sampled = base.mapInArrow(sample, f"id {id_type}, th long, h long, r long, at long")
+    sampled = base.mapInArrow(lambda batches: tidy(sample(batches)), f"id {id_type}, th long, h long, r long, at long")
     # in bucket and rank order, a sample sees from its neighbours whether its rank or its bucket is shared
     order = Window.partitionBy("h").orderBy("r")
     around = sampled.withColumn("r0", F.lag("r").over(order)).withColumn("r1", F.lead("r").over(order)).where("r0 is not null or r1 is not null")
