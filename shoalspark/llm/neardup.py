@@ -3,27 +3,36 @@
 A document's set is its distinct ``words``-word shingles (A-Z lower-cased,
 words parted by ASCII white space; a text of fewer words is one shingle).
 Documents of one set are one class, named by the set's digest, so that ids may
-repeat. Every class has 2 * ``trees`` labels of four MinHash values; each tree is an order of all labels.
-
-* Classes of one label form a region. Where a region is crowded (more than
-  ``crowd`` members) the depth rises to eight values: the label with each of
-  the ``ring`` labels that stand 1, 5, 12, .. places on, the last followed by
-  the first. Region sizes come from map-side-combined counts. Places beyond the
-  third (below 0.85) are taken where they can join candidate clusters that the
-  first three leave apart; regions inside one cluster tell nothing new.
-* Within a region all members are compared on their full signatures (in
-  square blocks if there are many), and one spanning forest of the pairs
-  that may reach the threshold is passed on: lines, never pairs squared.
+repeat. Every class has 2 * ``trees`` labels of four MinHash values; each tree
+is an order of all labels.
+
+* In the order of a label the classes that agree in it, its longest common
+  prefix, stand side by side: a region. (Runs of one prefix are found by
+  counting prefixes, not by sorting rows, so that a run that holds a third of
+  all rows meets no task whole.) The members of a region are compared with each
+  other on their full signatures, and one spanning forest of the pairs that may
+  reach the threshold is passed on: lines, never pairs squared.
+* A crowded region (more than ``crowd`` members) is compared in two steps: all
+  with its first member, which joins most of a tight group; then those that are
+  in another cluster than most, the strays, with all. Both deal the members over
+  blocks, each to one.
+* Where the strays are a crowd themselves, the depth rises to eight values: the
+  label with each of the ``ring`` labels that stand 1, 5, 12, .. places on, the
+  last followed by the first, a few places at a time, in deeper regions that
+  more than one cluster meets in.
 * Connected regions make candidate clusters. Each cluster's texts are sent
-  there once, and links are confirmed on the full sets: a pair is compared
-  unless it is linked already through others. Large clusters are compared in
-  square blocks, dealt apart.
+  there, and links are confirmed on the full sets: a pair is compared unless it
+  is linked already through others. A large cluster is dealt over blocks, each
+  text to one; then one text of each part found there is compared with those of
+  other blocks; only what is not yet one part is compared member by member, the
+  strays with all, the largest part with the strays. So a tight cluster of any
+  size costs what its texts do, and no pair that may link is left out.
 * Components of the confirmed links are found by distributed star rounds.
 
-A pair at Jaccard 0.85 is missed with a chance of 6e-11 if none of its regions
-is crowded (0.522 to a label, 32 labels) and of 7.5e-6 if all are (3 places
-on); at 0.80 with 5e-8 and, 11 places on, 5e-6 (crowded figures: 4 million
-random pairs). The signature filter misses one with a chance of 2e-5.
+A pair at Jaccard 0.85 is missed with a chance of 6e-11 (0.522 to a label, 32
+labels), and of 7.5e-6 if the strays crowd all its regions (3 places on); at
+0.80 with 5e-8 and, 11 places on, 5e-6 (latter figures: 4 million random
+pairs). The signature filter misses one with a chance of 2e-5.
 
 Null or blank texts have no set, are linked with nothing and kept. A null id
 is linked with nothing and kept. Different texts under one id are documents of
@@ -39,11 +48,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenHashes, U64, binary_list, components, materialize, ngram_hashes
+from .common import TokenHashes, U64, binary_list, components, materialize, ngram_hashes, tidy
 
-WORDS, PERCENT, TREES, DEPTH, CROWD, BLOCK = 5, 80, 16, 8, 64, 2048
+WORDS, PERCENT, TREES, DEPTH, CROWD, BLOCK, SHARE = 5, 80, 16, 8, 64, 2048, 512
 #: How many places on the labels stand that a crowded region's label is taken with; the first three from 0.85 up.
 RING = (1, 5, 12, 14, 3, 7, 9, 10, 2, 6, 11)
+#: How many further places are taken at once, and rows (some 50 bytes each) that are sent to all tasks at most.
+STEP, SENT = 3, 500_000
 _SEED = 20240229
 
 
@@ -75,14 +86,14 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low.astype(np.uint16)
 
 
-def jaccard_links(sets: list[np.ndarray], percent: int, apart: np.ndarray | None = None) -> list[tuple[int, int]]:
+def jaccard_links(sets: list[np.ndarray], percent: int, *apart: np.ndarray) -> list[tuple[int, int]]:
     """Spanning links among sets whose 100 * intersection >= percent * union.
 
-    apart: a side per set; only pairs of different sides count.
+    apart: sides per set; only pairs that differ in every one of them count.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets])
-    if m == 2:
+    if m == 2 and not apart:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if 100 * both >= percent * (size.sum() - both) else []
     owner = np.repeat(np.arange(m), size)
@@ -95,8 +106,8 @@ def jaccard_links(sets: list[np.ndarray], percent: int, apart: np.ndarray | None
     ends = np.append(0, np.cumsum(size))
     for i in range(m):
         other = root != root[i]
-        if apart is not None:
-            other &= apart != apart[i]
+        for side in apart:
+            other &= side != side[i]
         if not other.any():
             continue
         mine = ids[ends[i] : ends[i + 1]]
@@ -182,7 +193,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int)
                 sig.append(signature(s, a, b).astype(">u2").view(">i8").astype(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], names=["id", "th", "n_shingles", "k1", "k2", "sig"])
 
-    return base.mapInArrow(run, "id long, th long, n_shingles long, k1 long, k2 long, sig array<long>")
+    return base.mapInArrow(lambda batches: tidy(run(batches)), "id long, th long, n_shingles long, k1 long, k2 long, sig array<long>")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -209,18 +220,20 @@ def regions(classes: DataFrame, trees: int, crowd: int, ring: tuple[int, ...] =
     return out(rows.where(F.col("size") <= crowd), 4).unionByName(out(deeper, 8))
 
 
-def between(rows: DataFrame, classes: DataFrame, trees: int, crowd: int, ring: tuple[int, ...], clusters: DataFrame) -> DataFrame:
-    """Deeper regions of further places, as regions(), with each member's candidate cluster: only those that more than one cluster meets in."""
+def clustered(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``rows`` with each member's candidate cluster, its own id if it is in none."""
+    return rows.join(clusters, F.col("id") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "id")).drop("node", "component")
 
-    def met(df: DataFrame, *keys: str) -> DataFrame:
-        ends = df.groupBy(*keys).agg(F.count("*").alias("size"), F.min("cluster").alias("a"), F.max("cluster").alias("b"))
-        return df.join(ends.where("a <> b").drop("a", "b"), list(keys))
 
-    crowded = rows.where(F.col("size") > crowd).select("id", "t", "p1").join(clusters, F.col("id") == F.col("node"), "left").select("id", "t", "p1", F.coalesce("component", "id").alias("cluster"))
-    return met(deepened(met(crowded, "t", "p1").drop("size"), classes, 2 * trees, ring), "t", "p1", "p2").withColumn("depth", F.lit(8))
+def strays(crowded: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Members of crowded regions that more than one cluster meets in: cluster, whether it is a stray (not of the region's largest cluster), and how many are."""
+    found = clustered(crowded, clusters)
+    parts = found.groupBy("t", "p1", "cluster").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("t", "p1").agg(F.max(F.struct("n", "cluster")).alias("top"), F.sum("n").alias("all")).where("all > top.n").select("t", "p1", F.col("top.cluster").alias("top"), (F.col("all") - F.col("top.n")).alias("strays"))
+    return found.join(mixed, ["t", "p1"]).withColumn("stray", F.col("cluster") != F.col("top")).drop("top")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, trees: int = TREES, crowd: int = CROWD, block: int = BLOCK, text_hash: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, trees: int = TREES, crowd: int = CROWD, block: int = BLOCK, share: int = SHARE, text_hash: bool = False) -> DataFrame:
     """Per document: id, n_shingles, component_id and kept; with ``text_hash``, its text's xxhash64 as ``th`` too."""
     m = trees * DEPTH
     t = percent / 100
@@ -232,7 +245,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # candidate clusters from the forest
     rows = materialize(labelled(classes), "labels")
-    keys = ["t", "depth", "p1", "p2", "bi", "bj"]
+    keys = ["t", "p1", "p2", "bi", "bj"]
 
     def sift(batches):
         found: set[tuple[int, int]] = set()
@@ -248,40 +261,93 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 found.clear()
         yield _edges(list(found))
 
-    def sifted(members: DataFrame) -> DataFrame:
-        member = _blocks(members, ["t", "p1", "p2"], "size", "id", block).join(classes.select("id", "sig"), "id")
-        return member.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "cluster", "id", "sig").mapInArrow(sift, "a long, b long")
-
-    near = materialize(sifted(regions(classes, trees, crowd, RING[:3], rows).withColumn("cluster", F.lit(None).cast("long"))), "links")
+    def sifted(member: DataFrame) -> DataFrame:
+        """Links of what is dealt: (t, p1, p2, bi, bj, side, cluster, id)."""
+        with_sig = member.join(classes.select("id", "sig"), "id")
+        links = with_sig.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "cluster", "id", "sig").mapInArrow(lambda batches: tidy(sift(batches)), "a long, b long")
+        return materialize(links, "links")
+
+    def spread(member: DataFrame, everywhere) -> DataFrame:
+        """A region's members dealt over blocks, some of them to every block."""
+        nb = F.ceil(F.col("size") / F.lit(block)).cast("int")
+        own = F.array(F.pmod(F.xxhash64("id"), nb).cast("int"))
+        member = member.withColumn("bi", F.explode(F.when(everywhere, F.sequence(F.lit(0), nb - 1)).otherwise(own)))
+        return member.withColumns({"bj": F.col("bi"), "side": F.col("bi")})
+
+    none = F.lit(None).cast("long")
+    crowded = rows.where(F.col("size") > crowd)
+    near = sifted(_blocks(rows.where(F.col("size") <= crowd).withColumn("cluster", none), ["t", "p1"], "size", "id", block))
+    # crowded regions: all with the region's first, then the strays with all
+    first = crowded.groupBy("t", "p1").agg(F.min("id").alias("first"))
+    star = crowded.join(first, ["t", "p1"]).withColumn("cluster", (F.col("id") == F.col("first")).cast("long"))
+    near = near.unionByName(sifted(spread(star, F.col("cluster") == 1)))
     clusters = components(near)
-    if percent < 85:
-        # further places of crowded regions, where they join clusters that are apart so far
-        more = sifted(between(rows, classes, trees, crowd, RING[3:], clusters))
-        clusters = components(near.unionByName(more))
-
-    # confirm on the full sets, each text sent to its cluster once
+    apart = materialize(strays(crowded, clusters), "strays")
+    if not apart.isEmpty():
+        near = near.unionByName(sifted(spread(apart.where(F.col("strays") <= crowd), F.col("stray"))))
+        many = apart.where(F.col("strays") > crowd).select(*rows.columns)
+        for k in range(0, len(RING) if percent < 85 else 3, STEP) if not many.isEmpty() else ():
+            # too many of them: deeper regions, a few places at a time, where they can join clusters that are still apart
+            clusters = components(near)
+            deep = clustered(regions(classes, trees, crowd, RING[k : k + STEP], many).where("depth = 8").drop("size"), clusters)
+            met = deep.groupBy("t", "p1", "p2").agg(F.count("*").alias("size"), F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").drop("a", "b")
+            near = near.unionByName(sifted(_blocks(deep.join(met, ["t", "p1", "p2"]), ["t", "p1", "p2"], "size", "id", block)))
+        clusters = components(near)
+
+    # confirm on the full sets
     clusters = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component")
-    involved = clusters.join(classes.select("id", "doc", "th"), clusters["node"] == classes["id"]).select("id", "doc", "th", "component", "size")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumnRenamed("id", "doc")
-    texts = texts.withColumn("th", F.xxhash64("text")).join(involved, ["doc", "th"])
-    keys2 = ["component", "bi", "bj"]
-    dealt = _blocks(texts, ["component"], "size", "id", block).select(*keys2, "side", "id", "text").repartition(*keys2).sortWithinPartitions(*keys2)
+    involved = materialize(clusters.join(classes.select("id", "doc", "th"), clusters["node"] == classes["id"]).select("id", "doc", "th", F.col("component").alias("cluster"), "size"), "clusters")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).withColumn("th", F.xxhash64("text"))
+    keys2 = ["cluster", "bi", "bj"]
 
     def confirm(batches):
         cache = TokenHashes()
         for run in runs(batches, keys2):
-            rows = dict(zip(run.column("id").to_pylist(), zip(binary_list(run.column("text").combine_chunks()), run.column("side").to_pylist())))
+            rows = dict(zip(run.column("id").to_pylist(), zip(binary_list(run.column("text").combine_chunks()), run.column("side").to_pylist(), run.column("part").to_pylist())))
             ids = list(rows)
             if len(ids) < 2:
                 continue
-            sets = [shingles(split(text), cache, words) for text, _ in rows.values()]
-            mixed = run.column("bi")[0].as_py() != run.column("bj")[0].as_py()
-            side = np.array([s for _, s in rows.values()]) if mixed else None
-            links = jaccard_links(sets, percent, side)
+            sets = [shingles(split(text), cache, words) for text, _, _ in rows.values()]
+            apart = [np.array([x[2] for x in rows.values()])] if run.column("part").null_count == 0 else []
+            if run.column("bi")[0].as_py() != run.column("bj")[0].as_py():
+                apart.append(np.array([x[1] for x in rows.values()]))
+            links = jaccard_links(sets, percent, *apart)
             if links:
                 yield _edges([(ids[i], ids[j]) for i, j in links])
 
-    linked = components(dealt.mapInArrow(confirm, "a long, b long"))
+    def confirmed(dealt: DataFrame) -> DataFrame:
+        """Links of what is dealt: (id, doc, th, cluster, bi, bj, side, part). It goes to the texts while it is few rows, which are counted."""
+        dealt = materialize(dealt, "dealt")
+        dealt = F.broadcast(dealt) if dealt.count() <= SENT else dealt
+        with_text = texts.join(dealt, ["doc", "th"]).select(*keys2, "side", "part", "id", "text")
+        return with_text.repartition(*keys2).sortWithinPartitions(*keys2).mapInArrow(lambda batches: tidy(confirm(batches)), "a long, b long")
+
+    none = F.lit(None).cast("long").alias("part")
+    own = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(share)).cast("int")).cast("int")
+    links = confirmed(involved.select("id", "doc", "th", "cluster", own.alias("bi"), own.alias("bj"), own.alias("side"), none))
+    large = involved.where(F.col("size") > share)
+    if not large.isEmpty():
+        links = materialize(links, "links")
+
+        def parted() -> DataFrame:
+            parts = components(links)
+            return large.drop("size").join(parts, F.col("id") == F.col("node"), "left").select("id", "doc", "th", "cluster", F.coalesce("component", "id").alias("part"))
+
+        # one text of each part against those of the cluster's other parts
+        heads = parted().where("id = part")
+        heads = heads.join(heads.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1"), "cluster")
+        links = links.unionByName(materialize(confirmed(_blocks(heads.withColumn("part", F.col("id")), ["cluster"], "size", "id", share).drop("size")), "links"))
+        # what is still apart: strays against all, the largest part against the strays
+        members = materialize(parted(), "parts")
+        sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("top")).where("size > top.n").select("cluster", F.col("top.part").alias("top"), (F.col("size") - F.col("top.n")).alias("strays"), F.col("top.n").alias("rest"))
+        blocks = lambda c: F.ceil(F.col(c) / F.lit(share)).cast("int")
+        open_ = members.join(sizes, "cluster").withColumns({"ns": blocks("strays"), "nr": blocks("rest"), "stray": F.col("part") != F.col("top")})
+        side = F.when(F.col("stray"), F.pmod(F.xxhash64("id"), F.col("ns"))).otherwise(F.col("ns") + F.pmod(F.xxhash64("id"), F.col("nr"))).cast("int")
+        open_ = open_.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("stray"), F.col("ns") + F.col("nr")).otherwise(F.col("ns")) - 1)))
+        open_ = open_.select("id", "doc", "th", "cluster", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "part")
+        links = links.unionByName(confirmed(open_))
+    linked = components(links)
 
     node = F.coalesce("component", "id")
     members = classes.join(linked, classes["id"] == linked["node"], "left").select("k1", "k2", "doc", node.alias("component"))

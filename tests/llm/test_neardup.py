@@ -91,3 +91,17 @@ def test_crowded_regions_at_eighty_percent(spark):
     """Places beyond the third join what the first three leave apart, and nothing is linked twice over."""
     check(spark, corpus(4), percent=80, crowd=4, block=8)
     check(spark, corpus(5), percent=80, crowd=2, block=2048)
+
+
+def test_large_clusters_are_compared_part_by_part(spark):
+    """Blocks of a few texts: parts that meet only through one pair, and strays, are linked as brute force links them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    chain, text = [], [word() for _ in range(100)]
+    for _ in range(40):  # each links to the next ones only
+        chain.append(" ".join(text))
+        text = list(text)
+        text[rng.randrange(100)] = word()
+    for share in (2, 5, 16):
+        check(spark, corpus(6) + chain, percent=85, share=share)
+    check(spark, corpus(7) + chain, percent=80, share=3, crowd=4)
