@@ -73,3 +73,12 @@ def test_long_texts_are_learned_and_names_may_clash(spark):
     got = language.identify(df, model)
     assert [c for c in got.columns if c in ("lang_pred", "score")] == ["lang_pred", "score"]
     assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {0: "xx", 1: "en", 2: "en", 3: "und"}
+
+
+def test_repeated_rows_are_predicted_each(spark):
+    texts, langs = corpus(10)
+    df = docs(spark, texts, langs)
+    model = language.train(df.unionByName(df))
+    assert len(model["marks"]) == len(language.train(df)["marks"])
+    got = language.identify(df.unionByName(df).select("doc_id", "text"), model).collect()
+    assert len(got) == 2 * len(texts) and len({(r["doc_id"], r["lang_pred"], r["score"]) for r in got}) == len(texts)

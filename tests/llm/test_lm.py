@@ -122,3 +122,11 @@ def test_hashes_are_kept_longer_as_the_input_grows():
     for bits in (44, 58, 64):
         a, _ = ngramlm.unpack(ngramlm.pack(h, np.ones(500, np.int64), bits))
         assert (a == ngramlm.lead(h, bits)).all()
+
+
+def test_repeated_rows_are_learned_from_and_scored_each(spark):
+    df = docs(spark, ["a b c", "a b d", "q"])
+    one = {r["doc_id"]: r for r in ngramlm.score(df, F.lit(False)).collect()}
+    two = ngramlm.score(df.unionByName(df), F.lit(False)).collect()
+    assert len(two) == 6 and all(r["train_tokens"] == 2 * one[0]["train_tokens"] and r["n_tokens"] == one[r["doc_id"]]["n_tokens"] for r in two)
+    assert len({(r["doc_id"], r["score"]) for r in two}) == 3

@@ -62,3 +62,9 @@ def test_very_long_texts_and_one_owner(spark):
     assert got[0]["n_hex"] == 60_000 and got[0]["spans"] == ",".join(f"hex:{25 * k}:{25 * k + 24}" for k in range(60_000))
     assert got[1]["n_assign"] == 20_000 and got[1]["n_hex"] == 40_000 and got[1]["spans"].count("bare") == 0
     assert got[2]["spans"] == "bare:4:44" and got[2]["n_live"] == 1  # one owner's, in 200 documents
+
+
+def test_repeated_rows_are_all_reported(spark):
+    df = docs(spark, ["token=mine4567 x", "Abc1" * 10, None])
+    got = secrets.scan(df.unionByName(df)).collect()
+    assert sorted((r["doc_id"], r["spans"], r["n_live"]) for r in got) == sorted([(0, "assign:0:14", 1), (1, "bare:0:40", 1), (2, "", 0)] * 2)

@@ -68,3 +68,11 @@ def test_only_pairs_that_do_not_resynchronise_are_put_together(spark):
     enc = bpe.encoding(RANKS)
     got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(rows, RANKS, keep=("doc_id",), chunk=256, overlap=64, ids=True).collect()}
     assert got == {i: enc.encode_ordinary(t) for i, t in enumerate([text, text, "y" * 3000])}
+
+
+def test_repeated_rows_and_very_long_texts_are_counted_each(spark):
+    df = docs(spark, ["word " * 50_000, "z" * 60_000, "a"])
+    got = tokencount.count_tokens(df.unionByName(df), P.path("byte_bpe_50k.json"), keep=("doc_id",)).collect()
+    lib = tokencount.counter(P.path("byte_bpe_50k.json"), tokencount.prove(P.path("byte_bpe_50k.json"))).tokenizer
+    want = {0: len(lib.encode("word " * 50_000, add_special_tokens=False).ids), 1: len(lib.encode("z" * 60_000, add_special_tokens=False).ids), 2: 1}
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == sorted([*want.items()] * 2)
