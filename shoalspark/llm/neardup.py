@@ -16,7 +16,8 @@ is an order of all labels.
   with its first member, which joins most of a tight group; then those that are
   in another cluster than most, the strays, with all. Both deal the members over
   blocks, each to one.
-* Where the strays are a crowd themselves, the depth rises to eight values: the
+* Where the strays are a crowd themselves, in a region of more than ``block``
+  members, the depth rises to eight values: the
   label with each of the ``ring`` labels that stand 1, 5, 12, .. places on, the
   last followed by the first, a few places at a time, in deeper regions that
   more than one cluster meets in.
@@ -284,8 +285,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clusters = components(near)
     apart = materialize(strays(crowded, clusters), "strays")
     if not apart.isEmpty():
-        near = near.unionByName(sifted(spread(apart.where(F.col("strays") <= crowd), F.col("stray"))))
-        many = apart.where(F.col("strays") > crowd).select(*rows.columns)
+        few = (F.col("strays") <= crowd) | (F.col("size") <= block)
+        near = near.unionByName(sifted(spread(apart.where(few), F.col("stray"))))
+        many = apart.where(~few).select(*rows.columns)
         for k in range(0, len(RING) if percent < 85 else 3, STEP) if not many.isEmpty() else ():
             # too many of them: deeper regions, a few places at a time, where they can join clusters that are still apart
             clusters = components(near)

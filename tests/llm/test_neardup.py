@@ -91,6 +91,7 @@ def test_crowded_regions_at_eighty_percent(spark):
     """Places beyond the third join what the first three leave apart, and nothing is linked twice over."""
     check(spark, corpus(4), percent=80, crowd=4, block=8)
     check(spark, corpus(5), percent=80, crowd=2, block=2048)
+    check(spark, corpus(5), percent=80, crowd=2, block=2)
 
 
 def test_large_clusters_are_compared_part_by_part(spark):
