@@ -58,4 +58,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
-SQL = {"op2_suffix_dedup": OP2, "op7_embedding_neardup": OP7, "op8_secret_scan": secrets.ORACLE, "op9_minhash_neardup": OP9, "op10_decontaminate": OP10}
+#: CRC-32 of the decimal digits of ``{x}``, by a table made from its polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({x}::VARCHAR, ''), lambda k: ascii(k)::BIGINT)), lambda c, k: xor(c >> 8, t[(xor(c, k) & 255) + 1])), 4294967295)"
+_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_DAY = "86400000000"
+
+
+def _used(time: str, h: str) -> str:
+    us = f"epoch_us({time})"
+    return f"CASE WHEN {h} % 2 = 1 THEN {us} - (({us} % {_DAY}) + {_DAY}) % {_DAY} ELSE {us} END"
+
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+w AS (SELECT doc_id, x, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]') AS w, list_transform(range(4), lambda k: ('0x' || substr(h, k * 8 + 1, 8))::BIGINT) AS h FROM d),
+c AS (SELECT doc_id, x, w, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM w),
+p AS (SELECT doc_id, x, n, form, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+"""
+
+OP12 = f"""
+WITH {_TABLE},
+k AS (SELECT click_id, client_id, {_used("ts", "h")} AS ts_us FROM (SELECT click_id, min(client_id) AS client_id, min(ts) AS ts, {_CRC.format(x="click_id")} AS h FROM clicks, crc GROUP BY click_id, t)),
+s AS (SELECT client_id, sale_id, priority, floor(100 * total + 0.5)::BIGINT AS cents, {_CRC.format(x="sale_id")} AS h, sold_at FROM sales, crc),
+f AS (SELECT client_id, sale_id, priority, cents, h, {_used("sold_at", "h")} AS z FROM s),
+o AS (SELECT client_id, sale_id, priority, cents, z FROM f UNION ALL SELECT client_id, -1 - sale_id, 6 - priority, cents, z FROM f WHERE h % 3 <> 0),
+u AS (SELECT client_id, z, sale_id, cents, count(*) OVER (PARTITION BY client_id, z) AS n FROM o WHERE client_id IS NOT NULL AND z IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY client_id, z ORDER BY priority DESC NULLS LAST, sale_id NULLS LAST) = 1),
+m AS (SELECT k.*, u.z, u.sale_id, u.cents, u.n, k.ts_us - u.z <= 72 * 3600000000 AS near FROM k ASOF LEFT JOIN u ON k.client_id = u.client_id AND k.ts_us >= u.z)
+SELECT click_id, client_id, ts_us, CASE WHEN near THEN sale_id END AS sale_id, CASE WHEN near THEN ts_us - z END AS lag_us, CASE WHEN near THEN cents END AS total_cents, CASE WHEN near THEN n ELSE 0 END::BIGINT AS n_tied FROM m
+"""
+
+SQL = {"op2_suffix_dedup": OP2, "op7_embedding_neardup": OP7, "op8_secret_scan": secrets.ORACLE, "op9_minhash_neardup": OP9, "op10_decontaminate": OP10, "op11_fill_in_middle": OP11, "op12_asof_join": OP12}
