@@ -111,15 +111,28 @@ def lookup(df: DataFrame, nodes: DataFrame, spec: LutSpec, key: Sequence[str], k
 TABLE_BYTES = 64 << 20
 
 
+def place(spec: LutSpec) -> Column:
+    """A node's place: its indices in mixed radix."""
+    out, stride = F.lit(0), 1
+    for a, v in reversed(spec.axes.items()):
+        out, stride = out + F.col(f"i_{a}") * stride, stride * len(v)
+    return out
+
+
+def by_band(nodes: DataFrame, spec: LutSpec) -> DataFrame:
+    """One row a node, ``b``: its outputs as an array of structs by band."""
+    return nodes.groupBy(*[f"i_{a}" for a in spec.axes]).agg(F.array_sort(F.collect_list(F.struct("wl_idx", *spec.outputs))).alias("b"))
+
+
+def _in_order(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (__place, node) as one row (for each of ``by``): ``table``, the nodes by place."""
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__place", "node"))).alias("t")).select(*by, F.transform("t", lambda x: x["node"]).alias("table"))
+
+
 def packed(nodes: DataFrame, spec: LutSpec) -> DataFrame:
     """One row, ``table``: an array of structs of the outputs' arrays by band, at each node's place in mixed radix."""
-    place, stride = F.lit(0), 1
-    for a, v in reversed(spec.axes.items()):
-        place, stride = place + F.col(f"i_{a}") * stride, stride * len(v)
-    bands = F.array_sort(F.collect_list(F.struct("wl_idx", *spec.outputs)))
-    rows = nodes.withColumn("__place", place).groupBy("__place").agg(bands.alias("b"))
-    rows = rows.select("__place", F.struct(*[F.col(f"b.{o}").alias(o) for o in spec.outputs]).alias("node"))
-    return rows.agg(F.array_sort(F.collect_list(F.struct("__place", "node"))).alias("t")).select(F.transform("t", lambda x: x["node"]).alias("table"))
+    rows = by_band(nodes, spec).select(place(spec).alias("__place"), F.struct(*[F.col(f"b.{o}").alias(o) for o in spec.outputs]).alias("node"))
+    return _in_order(rows)
 
 
 def lookup_arrays(df: DataFrame, nodes: DataFrame, spec: LutSpec) -> DataFrame:
@@ -134,27 +147,58 @@ def lookup_arrays(df: DataFrame, nodes: DataFrame, spec: LutSpec) -> DataFrame:
         raise ValueError(f"{n} nodes are too many to send: bind more axes")
     if n != size * bands:
         return df.withColumns({o: F.lit(None).cast("array<double>") for o in spec.outputs})  # a scene value outside its axis
-    keep = [F.col(f"`{c}`") for c in df.columns]
-    d = df.crossJoin(F.broadcast(packed(nodes, spec)))  # one row, of the size checked above
+    return interpolated(df.crossJoin(F.broadcast(packed(nodes, spec))), spec)  # one row, of the size checked above
+
+
+def interpolated(df: DataFrame, spec: LutSpec, table: str = "table") -> DataFrame:
+    """``df`` with an array by band of each output, from the packed table in its column ``table``, which goes; NULL without one."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c != table]
     axes = {}
     for k, (a, values) in enumerate(spec.axes.items()):
         i, w = bracket(F.col(a), values)
         axes |= {f"__i{k}": i, f"__w{k}": w}
-    d = d.withColumns(axes)
+    d = df.withColumns(axes)
     corners = []
     for bits in itertools.product((0, 1), repeat=len(spec.axes)):
-        place, weight, stride = F.lit(0), F.lit(1.0), size
+        place, weight, stride = F.lit(0), F.lit(1.0), math.prod(len(v) for v in spec.axes.values())
         for k, (b, v) in enumerate(zip(bits, spec.axes.values())):
             stride //= len(v)
             place = place + F.least(F.col(f"__i{k}") + b, F.lit(len(v) - 1)) * stride
             weight = weight * (F.col(f"__w{k}") if b else 1 - F.col(f"__w{k}"))
-        corners.append(F.struct(weight.alias("w"), F.get("table", place).alias("node")))
-    d = d.select(*keep, F.when(weight.isNotNull(), F.array(*corners)).alias("__corners"))
-    zero = F.array_repeat(F.lit(0.0), F.lit(int(bands)))
-    value = lambda o: F.when(F.col("__corners").isNotNull(), F.aggregate("__corners", zero, lambda acc, c: F.zip_with(acc, c["node"][o], lambda x, y: x + c["w"] * y)))
+        corners.append(F.struct(weight.alias("w"), F.get(table, place).alias("node")))
+    d = d.select(*keep, F.when(weight.isNotNull() & F.col(table).isNotNull(), F.array(*corners)).alias("__corners"))
+    zero = lambda o: F.transform(F.get("__corners", F.lit(0))["node"][o], lambda _: F.lit(0.0))
+    value = lambda o: F.when(F.col("__corners").isNotNull(), F.aggregate("__corners", zero(o), lambda acc, c: F.zip_with(acc, c["node"][o], lambda x, y: x + c["w"] * y)))
     return d.select(*keep, *[value(o).alias(o) for o in spec.outputs])
 
 
+def bind_scenes(nodes: DataFrame, spec: LutSpec, scenes: DataFrame, key: str, axes: Sequence[str]) -> tuple[DataFrame, LutSpec]:
+    """bind() for every row of ``scenes`` (key, a column for each of ``axes``) in one plan: (key, table), packed, and the spec that is left.
+
+    A scene meets the nodes that bracket its values by equi-join on their indices, which sums them by weight before
+    it is packed. A scene with a value that is missing or outside its axis gets no row, so later look-ups are NULL.
+    """
+    left = LutSpec({a: v for a, v in spec.axes.items() if a not in axes}, spec.outputs, spec.units)
+    d = scenes.select(key, *axes)
+    for a in axes:
+        values = list(map(float, spec.axes[a]))
+        i, w = bracket(F.col(a), values)
+        sides = F.array(F.struct(i.alias("i"), (1 - w).alias("w")), F.struct(F.least(i + 1, F.lit(len(values) - 1)).alias("i"), w.alias("w")))
+        d = d.withColumn(f"__{a}", F.explode(F.filter(sides, lambda x: x["w"] > 0)))
+    weight = F.lit(1.0)
+    for a in axes:
+        weight = weight * F.col(f"__{a}.w")
+    d = d.select(key, weight.alias("__w"), *[F.col(f"__{a}.i").alias(f"i_{a}") for a in axes])
+    met = d.join(by_band(nodes, spec), [f"i_{a}" for a in axes])
+    spread = int(scenes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(spread, key, *[f"i_{a}" for a in left.axes])  # few bytes and many sums: not to be drawn together again
+    corners = met.groupBy(key, *[f"i_{a}" for a in left.axes]).agg(F.collect_list(F.struct("__w", "b")).alias("c"))  # two nodes an axis
+    zero = F.transform(F.get("c", F.lit(0))["b"], lambda _: F.lit(0.0))
+    value = lambda o: F.aggregate("c", zero, lambda acc, c: F.zip_with(acc, c["b"], lambda x, y: x + c["__w"] * y[o])).alias(o)
+    rows = corners.select(key, place(left).alias("__place"), F.struct(*[value(o) for o in spec.outputs]).alias("node"))
+    return _in_order(rows, (key,)), left
+
+
 def checked(df: DataFrame, spec: LutSpec) -> DataFrame:
     """``df``; a value outside its axis is an error when it is read."""
     for a, v in spec.axes.items():

@@ -7,13 +7,15 @@ row of checked size that goes to all tasks. No pixel is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics as ph
 from ..operators import lut, matchup, spectral
+from ..storage import materialize
 
 GREEN, NIR = 550.0, 800.0
 
@@ -32,10 +34,10 @@ def solar_f0(bands: DataFrame, spectrum: DataFrame, doy: int) -> DataFrame:
     return out.withColumn("f0", F.col("f0") * 100 * ph.earth_sun_factor(F.lit(float(doy))))
 
 
-def l1r(pixels: DataFrame, wavelengths: Sequence[float], f0: Sequence[float], gain: Sequence[float] | None = None, offset: Sequence[float] | None = None) -> DataFrame:
+def l1r(pixels: DataFrame, wavelengths: Sequence[float], f0: Sequence[float] | Column, gain: Sequence[float] | None = None, offset: Sequence[float] | None = None) -> DataFrame:
     """rho_at_sensor, ndwi and mask_water in one projection."""
     g, n = spectral.nearest_band(wavelengths, GREEN), spectral.nearest_band(wavelengths, NIR)
-    out = pixels.withColumn("rho_at_sensor", ph.toa_reflectance("radiance", list(f0), F.col("sun_zenith"), gain, offset))
+    out = pixels.withColumn("rho_at_sensor", ph.toa_reflectance("radiance", f0 if isinstance(f0, Column) else list(f0), F.col("sun_zenith"), gain, offset))
     out = out.withColumn("ndwi", ph.ndwi(F.get("rho_at_sensor", F.lit(g)), F.get("rho_at_sensor", F.lit(n))))
     return out.withColumn("mask_water", ph.water_mask(F.col("ndwi")))
 
@@ -87,18 +89,75 @@ def _index(wl: float, t: float = 12.0, s: float = 30.0) -> float:
     return flat + (15.868 + 0.01155 * s - 0.00423 * t) / wl - 4382 / wl**2 + 1.1455e6 / wl**3
 
 
-def matchups(pixels: DataFrame, atm_long: DataFrame, insitu: DataFrame, points: DataFrame, scene_time: str, hours: float = 12.0, land: bool = False) -> DataFrame:
+def matchups(pixels: DataFrame, atm_long: DataFrame, insitu: DataFrame, points: DataFrame, scene_time: str, hours: float = 12.0, land: bool = False, tile: int = 16) -> DataFrame:
     """Calibration matchups: window pixels, the atmosphere's terms and the in-situ reflectance carried to the sensor.
 
+
     pixels: long table (row, col, x, y, image_name, wavelength, rho_t, acq_time).
     points: uuid with its window (row0, row1, col0, col1). atm_long: row, col,
     wavelength, path, t_ra, s_ra, glint, t_gas. insitu: uuid, date_time, wavelength, rho.
     """
-    near = matchup.window_join(pixels, points)
-    timed = near.join(insitu.select("uuid", "date_time").distinct(), "uuid").where(matchup.within_hours(F.col("date_time"), F.col(scene_time), hours))
-    bands = timed.select("wavelength").distinct()
-    grid = insitu.select("uuid").distinct().join(timed.select("uuid", "wavelength").distinct(), "uuid")
+    bands = pixels.select("wavelength").distinct()
+    grid = insitu.select("uuid").distinct().crossJoin(bands)  # a row a point and band of the sensor
     rho = spectral.interpolate(grid, "wavelength", insitu, "wavelength", "rho", "rho_w", "flat", by=["uuid"])
-    out = timed.join(bands, "wavelength", "left_semi").join(rho, ["uuid", "wavelength"]).join(atm_long, ["row", "col", "wavelength"])
+    near = _near(pixels, insitu.groupBy("uuid").agg(F.collect_set("date_time").alias("__times")), points, scene_time, hours, tile)
+    return _carried(near.join(rho, ["uuid", "wavelength"]).join(atm_long, ["row", "col", "wavelength"]), land)
+
+
+def _carried(near: DataFrame, land: bool) -> DataFrame:
     hat = ph.surface_to_sensor(F.col("rho_w"), F.col("glint"), F.lit(land), F.col("t_gas"), F.col("path"), F.col("t_ra"), F.col("s_ra"))
-    return out.select("uuid", "image_name", F.lit(land).alias("land"), "x", "y", "wavelength", "rho_t", hat.alias("rho_t_hat"), "rho_w", F.col("glint").alias("sky_glint"), F.col("path").alias("rho_path"), "t_ra", "s_ra", F.col("t_gas").alias("t_g"))
+    return near.select("uuid", "image_name", F.lit(land).alias("land"), "x", "y", "wavelength", "rho_t", hat.alias("rho_t_hat"), "rho_w", F.col("glint").alias("sky_glint"), F.col("path").alias("rho_path"), "t_ra", "s_ra", F.col("t_gas").alias("t_g"))
+
+
+def _near(pixels: DataFrame, timed: DataFrame, points: DataFrame, scene_time: str, hours: float, tile: int) -> DataFrame:
+    """Pixels in the windows of points near in time; ``timed``: uuid, its ``__times`` and what else the pixels shall get."""
+    near = matchup.window_join(pixels, points.join(timed, "uuid"), tile).withColumn("date_time", F.explode("__times"))
+    return near.where(matchup.within_hours(F.col("date_time"), F.col(scene_time), hours))
+
+
+def matchup_bands(pixels: DataFrame, wavelengths: Sequence[float], insitu: DataFrame, points: DataFrame, scene_time: str, hours: float = 12.0, land: bool = False, tile: int = 16) -> DataFrame:
+    """matchups() of pixel rows whose bands are arrays, one row a pixel and band.
+
+    pixels: row, col, x, y, image_name, the acquisition time, and arrays by band: rho_t and what with_atmosphere()
+    adds (path, t_ra, s_ra, glint, t_gas). insitu (uuid, date_time, wavelength, rho) is brought to the sensor's bands
+    once a point; windows and pixels meet in one join by tile; bands become rows after it, and what is left is plain
+    arithmetic by row, which unlike functions of array elements is compiled.
+    """
+    node = F.struct("wavelength", "rho")  # an instrument's bands: some hundred values a point
+    spectra = insitu.groupBy("uuid").agg(F.collect_list(node).alias("n"), F.collect_set("date_time").alias("__times"))
+    timed = spectra.select("uuid", "__times", spectral.resampled(F.col("n.wavelength"), F.col("n.rho"), wavelengths).alias("rho_w"))
+    near = _near(pixels, timed, points, scene_time, hours, tile)
+    bands = {"wavelength": F.array(*[F.lit(float(w)) for w in wavelengths])} | {c: F.col(c) for c in ("rho_w", "rho_t", "glint", "path", "t_ra", "s_ra", "t_gas")}
+    return _carried(near.select("uuid", "image_name", "x", "y", F.inline(F.arrays_zip(*[v.alias(k) for k, v in bands.items()]))), land)
+
+
+# --- many scenes -----------------------------------------------------------------------
+
+
+def archive_atmosphere(pixels: DataFrame, scenes: DataFrame, aerosol: DataFrame, aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, key: str = "image_id", carry: Sequence[str] = ()) -> DataFrame:
+    """with_atmosphere() for the pixels of all scenes in one plan; ``carry``: columns of ``scenes`` that pixels get too.
+
+    Each scene's tables are bound to its own scalars (``scenes``: key and a column for every axis that does not vary
+    by pixel) and packed into one row. The rows are counted: up to lut.TABLE_BYTES in all they are sent to every task,
+    and no pixel is shuffled; beyond it pixels and rows meet by a join on the key. Pixels of a scene that is not in
+    ``scenes``, or has a value outside an axis, get NULL terms.
+    """
+    rows = scenes.select(key, *carry)
+    n_bytes = 0
+    for k, (nodes, spec) in enumerate(((aerosol, aerosol_spec), (gas, gas_spec))):
+        packed, left = lut.bind_scenes(nodes, spec, scenes, key, [a for a in spec.axes if a not in lut.PIXEL_AXES])
+        rows = rows.join(packed.withColumnRenamed("table", f"__table{k}"), key, "left")
+        n_bytes += len(spec.outputs) * 8 * math.prod(len(v) for v in left.axes.values())
+    rows = materialize(rows, "scene-tables")
+    n, bands = rows.agg(F.count("*"), F.max(F.size(F.get("__table0", F.lit(0))[aerosol_spec.outputs[0]]))).first()
+    small = n * n_bytes * max(bands or 0, 1) <= lut.TABLE_BYTES
+    out = pixels.join(F.broadcast(rows) if small else rows, key, "left")
+    for k, spec in enumerate((aerosol_spec, gas_spec)):
+        out = lut.interpolated(out, lut.LutSpec({a: v for a, v in spec.axes.items() if a in lut.PIXEL_AXES}, spec.outputs), f"__table{k}")
+    return out
+
+
+def archive_l1_to_l2(pixels: DataFrame, scenes: DataFrame, wavelengths: Sequence[float], aerosol: DataFrame, aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, key: str = "image_id", f0: str = "f0", gain: Sequence[float] | None = None, offset: Sequence[float] | None = None, exact: bool = False) -> DataFrame:
+    """l1_to_l2() of an archive: ``scenes`` holds each scene's key, scalars and irradiance by band (``f0``)."""
+    out = archive_atmosphere(pixels, scenes, aerosol, aerosol_spec, gas, gas_spec, key, (f0,))
+    return surface(l1r(out, wavelengths, F.col(f0), gain, offset).drop(f0), wavelengths, exact)

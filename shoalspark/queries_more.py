@@ -472,6 +472,42 @@ def l1_to_l2(spark, sf_dir):
     return rounded(long, "rho_s", "rho_w", "rho_w_gl21")
 
 
+N_SCENES = 128
+SCENES = f"""sc AS (SELECT o_orderkey % {N_SCENES} AS image_id, sum(o_custkey)::BIGINT AS k, count(*) AS n FROM orders GROUP BY 1),
+sv AS (SELECT image_id, (k % 29) / 100.0::DOUBLE AS aot, 900 + (k % 155)::DOUBLE AS ps, (n % 30) * 100::DOUBLE AS alt, 0.5 + (k % 31) / 10.0::DOUBLE AS wv, 0.25 + (n % 10) / 100.0::DOUBLE AS oz, 1 + 0.034 * cos(2 * pi() * (k % 365 - 2) / 365) AS sun FROM sc),
+ai AS (SELECT a.*, sv.* FROM a JOIN sv ON vec_id % {N_SCENES} = sv.image_id)"""
+SCENE_TERMS = {
+    "rho": "(pi() * v / ((100 + w / 10) * sun * cos(radians(sza))) * 40)", "path": PATH.replace("+ 0.017 + 0.001 +", "+ 0.1 * aot + ps / 1e6 +"), "t_ra": T_RA.replace("- 0.034 - 0.0012", "- 0.2 * aot - alt / 1e6"),
+    "s_ra": S_RA.replace("+ 0.0085", "+ 0.05 * aot"), "glint": GLINT, "t_gas": T_GAS.replace("- 0.02 - 0.015", "- 0.01 * wv - 0.05 * oz").replace("+ 0.001)", "+ ps / 1e6)"),
+}
+_BAD = "ps > 1050"
+
+
+def archive(spark, sf_dir):
+    """Scalars of 128 scenes from orders: a few lie outside the pressure axis."""
+    o = read(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % N_SCENES).alias("image_id")).agg(F.sum("o_custkey").alias("k"), F.count("*").alias("n"))
+    k, n = F.col("k"), F.col("n")
+    sun = ph.earth_sun_factor((k % 365).cast("double"))
+    f0 = F.transform(F.array(*[F.lit(100 + w / 10) for w in WL]), lambda x: x * sun)
+    values = {"aot550": (k % 29) / 100, "pressure": (900 + k % 155).cast("double"), "altitude": (n % 30 * 100).cast("double"), "water": 0.5 + k % 31 / 10, "ozone": 0.25 + n % 10 / 100}
+    return o.select("image_id", *[v.alias(c) for c, v in values.items()], f0.alias("f0"))
+
+
+@query(
+    f"WITH {LG}, {ANGLES}, {SCENES}, b AS (SELECT vec_id, image_id, wl_idx, w, ps, " + ", ".join(f"{x} AS {c}" for c, x in SCENE_TERMS.items()) + f" FROM ai), m AS (SELECT vec_id, max(rho) FILTER (wl_idx = {GREEN}) > max(rho) FILTER (wl_idx = {NIR}) AS water FROM b GROUP BY 1), "
+    f"s AS (SELECT vec_id, image_id, wl_idx, w, water, CASE WHEN NOT {_BAD} THEN (rho / t_gas - path) / t_ra + s_ra * (rho / t_gas - path) END AS rho_s, glint FROM b JOIN m USING (vec_id)), d AS (SELECT *, CASE WHEN water THEN rho_s - glint END AS rho_w, pow((1 - {base.N_SQL}) / (1 + {base.N_SQL}), 2) AS f FROM s), n AS (SELECT vec_id, rho_w AS wn, f AS fn FROM d WHERE wl_idx = {NIR}) "
+    "SELECT vec_id, image_id, wl_idx, round(rho_s, 6) + 0.0 AS rho_s, round(rho_w, 6) + 0.0 AS rho_w, round(rho_w - f * wn / fn, 6) + 0.0 AS rho_w_gl21 FROM d JOIN n USING (vec_id)"
+)
+def archive_l1_to_l2(spark, sf_dir):
+    """The whole correction of 128 scenes in one plan, each with its own atmosphere and day; no pixel is shuffled."""
+    p = _angled(spark, sf_dir).withColumn("radiance", F.transform("s", lambda v: v * 40)).withColumn("image_id", F.col("vec_id") % N_SCENES)
+    out = correction.archive_l1_to_l2(p, archive(spark, sf_dir), WL, _aerosol(spark), AER, _gas(spark), GAS)
+    none = F.transform("radiance", lambda _: F.lit(None).cast("double"))  # the rows of a missing spectrum stay
+    terms = ("rho_s", "rho_w", "rho_w_gl21")
+    long = out.select("vec_id", "image_id", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(63)).alias("wl_idx"), *[F.coalesce(c, none).alias(c) for c in terms])))
+    return rounded(long, *terms)
+
+
 SWEEP_WL = [400.0, 500.0, 600.0, 700.0, 800.0]
 
 
@@ -613,21 +649,21 @@ def compute_matchups(spark, sf_dir):
     points = base._points(spark, sf_dir, 3).drop("x", "y")
     spectra = F.explode(F.array(*[F.struct(F.lit(w).alias("wavelength"), F.lit(w * 1e-4).alias("rho")) for w in (395.0, 600.0, 795.0)])).alias("b")
     insitu = e.select("uuid", F.col("ts").alias("date_time"), spectra).select("uuid", "date_time", "b.*")
-    p = _long(spark, sf_dir).select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.lit("i").alias("image_name"), "wavelength", F.col("value").alias("rho_t"), F.lit(None).cast("timestamp").alias("acq"))
-    p = p.withColumn("acq", F.expr("timestamp'2024-01-10 12:00:00'"))
-    atm = p.select("row", "col", "wavelength", *[F.lit(v).alias(n) for n, v in (("path", 0.02), ("t_ra", 0.9), ("s_ra", 0.1), ("glint", 0.002), ("t_gas", 0.95))])
-    got = correction.matchups(p, atm, insitu, points, "acq", 1e6)
+    terms = {"path": 0.02, "t_ra": 0.9, "s_ra": 0.1, "glint": 0.002, "t_gas": 0.95}
+    p = pixels(spark, sf_dir).select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), F.lit("i").alias("image_name"), F.col("s").alias("rho_t"), F.expr("timestamp'2024-01-10 12:00:00'").alias("acq"), *[F.array(*[F.lit(v)] * 64).alias(n) for n, v in terms.items()])
+    p = p.repartition(spark.sparkContext.defaultParallelism, "row", "col")  # the stand-in scene is one small file, met by many windows
+    got = correction.matchup_bands(p, WL, insitu, points, "acq", 1e6, tile=8)
     got = got.withColumn("wl_idx", F.round((F.col("wavelength") - 400) / 6.25, 0).cast("int"))
     return got.groupBy("uuid", "wl_idx").agg(F.count("*").alias("n"), r(F.avg("rho_t")).alias("rho_t"), r(F.first("rho_t_hat")).alias("rho_t_hat"))
 
 
-@query(f"WITH {M}, g AS (SELECT uuid, wavelength, avg(rho_t_hat) / nullif(avg(rho_t), 0) AS gain FROM m GROUP BY 1, 2) SELECT uuid, wavelength, {q6('gain')} FROM g")
+@query(f"WITH {M}, g AS (SELECT uuid, wavelength, avg(rho_t_hat) / nullif(avg(rho_t), 0) AS gain FROM m GROUP BY 1, 2) SELECT uuid, wavelength, round(gain, 11) + 0.0 AS gain FROM g")
 def gain_by_point(spark, sf_dir):
     """Target over observed, point by point."""
     m = matchups(spark, sf_dir)
     a = matchup.window_means(m, ("uuid", "wavelength"), "rho_t_hat").select("uuid", "wavelength", F.col("mean").alias("target"))
     b = matchup.window_means(m, ("uuid", "wavelength"), "rho_t").select("uuid", "wavelength", F.col("mean").alias("observed"))
-    return a.join(b, ["uuid", "wavelength"]).select("uuid", "wavelength", r(F.try_divide("target", "observed")).alias("gain"))
+    return a.join(b, ["uuid", "wavelength"]).select("uuid", "wavelength", (F.round(F.try_divide("target", "observed"), 11) + F.lit(0.0)).alias("gain"))
 
 
 @query(base.SQL["calib_sma_fit"])
@@ -741,11 +777,11 @@ def segment_export(spark, sf_dir):
     return segments.read(spark, path, "spectra")
 
 
-@query(f"WITH {M} SELECT uuid, image_name, wavelength, round(rho_t, 6) + 0.0 AS rho_t, round(rho_t_hat, 6) + 0.0 AS rho_t_hat FROM m")
+@query(f"WITH {M} SELECT uuid, image_name, wavelength, round(rho_t, 9) + 0.0 AS rho_t, round(rho_t_hat, 9) + 0.0 AS rho_t_hat FROM m")
 def matchup_file(spark, sf_dir):
     path = _folder(spark, "matchups")
     calib.save_data(matchups(spark, sf_dir), path)
-    return rounded(calib.load_data(spark, path), "rho_t", "rho_t_hat")
+    return calib.load_data(spark, path).withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("rho_t", "rho_t_hat")})
 
 
 @query(f"WITH {M}, {base.MO}, x AS ({base.SMA}), y AS (SELECT uuid, wavelength, a * rho_t + b AS rho_t FROM m JOIN x USING (wavelength)) SELECT uuid, wavelength, {q6('rho_t')}, 'L1R' AS level, 'sma' AS calibration FROM y")

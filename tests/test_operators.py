@@ -444,3 +444,48 @@ def test_sky_glint(spark):
         skyglint.sky_and_sun(tables, wl, 85, 40, 135, 0.1, 5)
     with pytest.raises(Exception, match="outside"):
         lut.checked(spark.createDataFrame([(9.0,)], "x double"), lut.LutSpec({"x": [0, 1]}, ["v"])).collect()
+
+
+def test_spectra_resampled_at_a_sensor(spark):
+    df = spark.createDataFrame([([500.0, 400.0], [2.0, 1.0]), ([450.0], [7.0]), ([], []), (None, None), ([400.0, 500.0], [None, 2.0])], "w array<double>, v array<double>")
+    got = [r[0] for r in df.select(spectral.resampled("w", "v", [390, 425, 500, 900])).collect()]
+    assert got == [[1.0, 1.25, 2.0, 2.0], [7.0] * 4, None, None, [None, None, 2.0, 2.0]]
+
+
+def test_matchups_of_array_rows_as_of_long_rows(spark):
+    wl = [450.0, 550.0]
+    terms = {"path": 0.02, "t_ra": 0.9, "s_ra": 0.1, "glint": 0.001, "t_gas": 0.95}
+    px = spark.range(25).select(F.expr("cast(id div 5 as int)").alias("row"), (F.col("id") % 5).cast("int").alias("col"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit("i").alias("image_name"), F.array(F.col("id") / 100, F.col("id") / 50).alias("rho_t"), F.expr("timestamp'2024-01-01 12:00:00'").alias("acq"))
+    arrays = px.select("*", *[F.array(*[F.lit(v)] * 2).alias(k) for k, v in terms.items()])
+    long = px.select("row", "col", "x", "y", "image_name", "acq", F.inline(F.arrays_zip(F.array(*map(F.lit, wl)).alias("wavelength"), "rho_t")))
+    pts = matchup.windows(spark.createDataFrame([("u", 2.5, 2.5), ("v", 0.5, 4.5), ("none", 1.5, 1.5)], "uuid string, px double, py double"), "px", "py", (1, 0, 0, 0, 1, 0), 5, 5, 3)
+    ins = spark.createDataFrame([(u, "2024-01-01 10:00:00", w, w / 10000) for u in "uv" for w in (400.0, 500.0)], "uuid string, date_time string, wavelength double, rho double").withColumn("date_time", F.to_timestamp("date_time"))
+    a = correction.matchup_bands(arrays, wl, ins, pts, "acq", land=True, tile=2)
+    b = correction.matchups(long, long.select("row", "col", "wavelength", *[F.lit(v).alias(k) for k, v in terms.items()]), ins, pts, "acq", land=True)
+    key = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.select(*a.columns).collect())) and a.count() == 2 * (9 + 4)
+
+
+def test_scenes_of_an_archive_as_one_by_one(spark):
+    wl = [550.0, 800.0]
+    s, g = spec(), lut.LutSpec({"sun_zenith": [0, 60], "view_zenith": [0, 20], "relative_azimuth": [0, 180], "water": [0, 2, 5]}, ["t_gas"])
+    aer, gas = lut.synthetic(spark, s, wl), lut.synthetic(spark, g, wl)
+    px = spark.createDataFrame([(i, k, 10.0 * k + 5, 5.0, 90.0, [6.0 + k, 2.0]) for i in range(5) for k in range(4)], "image_id int, k int, sun_zenith double, view_zenith double, relative_azimuth double, radiance array<double>")
+    scalars = {0: (0.1, 1013.0, 2.0), 1: (0.0, 950.0, 0.0), 2: (0.05, 1000.0, 5.0), 3: (99.0, 1000.0, 1.0)}  # 3: outside; 4: not there
+    scenes = spark.createDataFrame([(i, *v, [100.0 + i, 90.0]) for i, v in scalars.items()], "image_id int, aot550 double, pressure double, water double, f0 array<double>")
+    got = {(r["image_id"], r["k"]): r for r in correction.archive_l1_to_l2(px, scenes, wl, aer, s, gas, g).collect()}
+    assert len(got) == 20 and all(got[i, k]["rho_s"] is None for i in (3, 4) for k in range(4))
+    for i in range(3):
+        aot, ps, wv = scalars[i]
+        one = correction.l1_to_l2(px.where(F.col("image_id") == i), wl, [100.0 + i, 90.0], aer, s, gas, g, {"aot550": aot, "pressure": ps, "water": wv})
+        for r in one.collect():
+            assert got[i, r["k"]]["rho_s"] == (r["rho_s"] and pytest.approx(r["rho_s"])) and got[i, r["k"]]["rho_w"] == (r["rho_w"] and pytest.approx(r["rho_w"]))
+
+
+def test_pixels_of_an_archive_are_not_shuffled(spark):
+    s, g = spec(), lut.LutSpec({"sun_zenith": [0, 60], "view_zenith": [0, 20], "relative_azimuth": [0, 180], "water": [0, 5]}, ["t_gas"])
+    px = spark.range(3).select(F.col("id").cast("int").alias("image_id"), *[F.lit(5.0).alias(a) for a in lut.PIXEL_AXES], F.array(F.lit(1.0)).alias("radiance"))
+    scenes = spark.createDataFrame([(1, 0.1, 1000.0, 1.0, [100.0])], "image_id int, aot550 double, pressure double, water double, f0 array<double>")
+    out = correction.archive_l1_to_l2(px, scenes, [550.0], lut.synthetic(spark, s, [550.0]), s, lut.synthetic(spark, g, [550.0]), g)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
