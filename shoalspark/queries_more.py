@@ -757,6 +757,32 @@ def zarr_scene(spark, sf_dir):
     return got.select("wl_idx", "row", "col", "wavelength", "x", "y", (F.round("value", 5) + F.lit(0.0)).alias("value"))
 
 
+@query(f"""WITH {LG} SELECT wl_idx::BIGINT AS wl_idx, "row"::BIGINT AS "row", col::BIGINT AS col, wavelength, round(value::FLOAT::DOUBLE, 5) + 0.0 AS value FROM lg WHERE wl_idx BETWEEN 12 AND 13 AND "row" BETWEEN 3 AND 17 AND col >= 10""")
+def zarr_window(spark, sf_dir):
+    """Two bands of a window of a stored scene: the chunks that meet it are read, no others."""
+    path = _folder(spark, "zarr")
+    p = pixels(spark, sf_dir)
+    n = p.agg(F.max("row")).first()[0] + 1
+    zarr.write_scene(p, "s", WL, (2, 0, 10, 0, -2, 90), (n, 25), path, "rho_w", tile=8, band_chunk=8)
+    got = zarr.open_scene(spark, path, "rho_w", bands=(12, 13), rows=(3, 17), cols=(10, 24)).where("value is not null")
+    return got.select("wl_idx", "row", "col", "wavelength", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+@query(f"""WITH {PX} SELECT "row"::BIGINT AS "row", col::BIGINT AS col, round((CASE WHEN "row" BETWEEN 5 AND 13 AND col BETWEEN 2 AND 11 THEN s[41] * 2 ELSE s[41] END)::FLOAT::DOUBLE, 5) + 0.0 AS value, CASE WHEN seg_id > 2 THEN seg_id END::DOUBLE AS seg_id FROM px""")
+def zarr_region(spark, sf_dir):
+    """A region of a stored scene overwritten in place, and labels added to it as a new array."""
+    path = _folder(spark, "zarr")
+    p = pixels(spark, sf_dir)
+    n = p.agg(F.max("row")).first()[0] + 1
+    zarr.write_scene(p, "s", WL, (2, 0, 10, 0, -2, 90), (n, 25), path, "rho_w", tile=8, band_chunk=16)
+    zarr.write_region(p.where("row between 5 and 13 and col between 2 and 11").withColumn("s", F.transform("s", lambda v: v * 2)), "s", path, "rho_w")
+    zarr.add_array(path, "seg_id", (n, 25), (8, 8), ["y", "x"], "<i4")
+    zarr.write_region(p.where("seg_id > 2"), "seg_id", path, "seg_id")
+    labels = zarr.read_window(spark, path, "seg_id").select(F.col("i0").alias("row"), F.col("i1").alias("col"), F.col("value").alias("seg_id"))
+    got = zarr.open_scene(spark, path, "rho_w", bands=(40, 40)).where("value is not null").join(labels, ["row", "col"], "left")
+    return got.select("row", "col", (F.round("value", 5) + F.lit(0.0)).alias("value"), "seg_id")
+
+
 @query(f"""WITH {LG}, m AS (SELECT seg_id, count(*) AS n_pix, min("row") AS row0, max("row") AS row1, min(col) AS col0, max(col) AS col1, median(s[{NIR + 1}]) AS nir FROM px WHERE seg_id <> 0 GROUP BY 1), sp AS (SELECT seg_id, count(DISTINCT wavelength) AS bands, sum(med) AS total FROM (SELECT seg_id, wavelength, median(value) AS med FROM lg WHERE seg_id <> 0 GROUP BY 1, 2) GROUP BY 1) SELECT seg_id, n_pix, row0, row1, col0, col1, round(nir, 6) + 0.0 AS nir, bands, round(total, 5) + 0.0 AS total FROM m JOIN sp USING (seg_id)""")
 def segment_layers(spark, sf_dir):
     """Labelled pixels through the four stored tables."""
