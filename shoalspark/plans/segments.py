@@ -1,4 +1,4 @@
-"""Segments as tables: labels, their outlines' boxes, spectra and scalars, written and read back."""
+"""Segments as tables: labels, their boxes and outlines, spectra and scalars, written and read back."""
 
 from __future__ import annotations
 
@@ -7,18 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import imageseg, raster, segment, spectral
+from ..operators import imageseg, outline, raster, segment, spectral
 
-LAYERS = ("labels", "segments", "spectra", "aux")
+LAYERS = ("labels", "segments", "outlines", "spectra", "aux")
 
 
 def layers(pixels: DataFrame, labels: DataFrame, spectrum: str, wavelengths: Sequence[float], scalars: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """The four tables of labelled pixels: label raster, a row a segment (box, pixels), long spectra (median, MAD), scalars (medians)."""
+    """The tables of labelled pixels: label raster, a row a segment (box, pixels), its rings, long spectra (median, MAD), scalars (medians)."""
     px = pixels.join(labels.select("row", "col", "seg_id"), ["row", "col"])
     live = px.where("seg_id <> 0")
     box = raster.bounds(live, "seg_id").join(live.groupBy("seg_id").agg(F.count("*").alias("n_pix")), "seg_id")
     return {
-        "labels": labels.select("row", "col", "seg_id"), "segments": box,
+        "labels": labels.select("row", "col", "seg_id"), "segments": box, "outlines": outline.rings(live.select("row", "col", "seg_id")),
         "spectra": segment.band_stats(spectral.to_long(live, spectrum, wavelengths, ["seg_id"])),
         "aux": segment.scalar_stats(live, list(scalars)),
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import queries as base
 from .functions import geo
 from .functions import physics as ph
-from .operators import ancillary, calib, imageseg, invert, lut, matchup, raster, segment, skyglint, spectral
+from .operators import ancillary, calib, imageseg, invert, lut, matchup, outline, raster, segment, skyglint, spectral
 from .plans import correction, segments
 from .queries import GREEN, LG, NIR, POINTS, PX, RED, WL, M, bands, matchups, pixels, q6, r, read, rounded
 from .sources import envi, registry, scene, sqlite, zarr
@@ -794,6 +794,25 @@ def segment_layers(spark, sf_dir):
     return segments.read(spark, path, "segments").join(spectra, "seg_id").join(aux, "seg_id").select("seg_id", "n_pix", "row0", "row1", "col0", "col1", "nir", "bands", "total")
 
 
+QUADS = """p AS (SELECT "row" AS r, col AS c, seg_id FROM px WHERE seg_id <> 0),
+side AS (SELECT p.seg_id, count(*) AS perimeter FROM p, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(i, j) LEFT JOIN p q ON q.r = p.r + i AND q.c = p.c + j WHERE q.seg_id IS NULL OR q.seg_id <> p.seg_id GROUP BY 1),
+quad AS (SELECT seg_id, r + i AS r, c + j AS c, count(*) AS n, sum(1 << (2 * i + j)) AS bits FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) GROUP BY ALL),
+euler AS (SELECT seg_id, (count(*) FILTER (n = 1) - count(*) FILTER (n = 3) + 2 * count(*) FILTER (n = 2 AND bits IN (6, 9))) // 4 AS parts FROM quad GROUP BY 1),
+box AS (SELECT seg_id, count(*) AS area, min(c) AS x0, max(c) + 1 AS x1, min(r) AS y0, max(r) + 1 AS y1 FROM p GROUP BY 1)"""
+
+
+@query(f"WITH {PX}, {QUADS} SELECT seg_id::BIGINT AS seg_id, area::DOUBLE AS area, perimeter::DOUBLE AS perimeter, parts::BIGINT AS parts, x0, x1, y0, y1 FROM box JOIN side USING (seg_id) JOIN euler USING (seg_id)")
+def segment_outlines(spark, sf_dir):
+    """Segments' rings: the area inside them by the shoelace formula, their length, shells less holes, and their box."""
+    rings = outline.rings(pixels(spark, sf_dir).select("row", "col", "seg_id"), tile=8)
+    after = lambda c: F.concat(F.slice(c, 2, F.size(c) - 1), F.slice(c, 1, 1)).alias(f"{c}1")
+    side = rings.select("seg_id", "hole", "x", "y", F.arrays_zip("x", "y", after("x"), after("y")).alias("e"))
+    total = lambda f: F.aggregate("e", F.lit(0.0), lambda a, p: a + f(p))
+    area, length = total(lambda p: (p["x"] * p["y1"] - p["x1"] * p["y"]) / 2), total(lambda p: F.abs(p["x1"] - p["x"]) + F.abs(p["y1"] - p["y"]))
+    ends = [f(g(c)).alias(f"{c}{k}") for c in ("x", "y") for k, (f, g) in enumerate(((F.min, F.array_min), (F.max, F.array_max)))]
+    return side.groupBy("seg_id").agg(F.sum(area).alias("area"), F.sum(length).alias("perimeter"), F.sum(F.when(F.col("hole"), -1).otherwise(1)).alias("parts"), *ends)
+
+
 @query()
 def segment_export(spark, sf_dir):
     """A scene segmented, its like neighbours joined, and its spectra stored."""
