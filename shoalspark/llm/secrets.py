@@ -95,13 +95,18 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int | None = None) -> DataFrame:
-    """Per document: id, counts, base digest, spans, and ``found``: every span with its value, owners, repositories and verdict."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repos: int | None = None, text_key: bool = False) -> DataFrame:
+    """Per document: id, counts, base digest, spans, and ``found``: every span with its value, owners, repositories and verdict.
+
+    With ``text_key`` also ``text_md5``, NULL where a text has no candidate.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     raw = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(f"`{owner_col}`").cast("string").alias("owner"), text.alias("text"))
     hint = raw.withColumn("any", F.col("text").rlike(f"(?:{NAMES})|AKIA|{HEX}|{BARE}"))
     base, bare = candidates(F.when(F.col("any"), F.col("text")).otherwise(F.lit("")))
-    slim = materialize(hint.select("id", "repo", "owner", base.alias("base"), bare.alias("bare")).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    key = [F.when(F.col("any"), F.md5(F.col("text").cast("binary"))).alias("key")] if text_key else []
+    carried = ["row", "id", "base", *(["key"] if text_key else [])]
+    slim = materialize(hint.select("id", "repo", "owner", base.alias("base"), bare.alias("bare"), *key).withColumn("row", F.monotonically_increasing_id()), "secrets")
 
     # bare tokens that meet no base span: in start order, neither a base span that began before and has not ended,
     # nor one that begins before the token's end
@@ -124,33 +129,49 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     found = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "repos", "live"))).alias("found"))
     empty = F.array().cast(found.schema["found"].dataType)
     any_span = (F.size("base") > 0) | (F.size("bare") > 0)
-    out = slim.where(any_span).select("row", "id", "base").join(found, "row", "left").withColumn("found", F.coalesce("found", empty))
-    out = out.unionByName(slim.where(~any_span).select("row", "id", "base", empty.alias("found")))
+    out = slim.where(any_span).select(*carried).join(found, "row", "left").withColumn("found", F.coalesce("found", empty))
+    out = out.unionByName(slim.where(~any_span).select(*carried, empty.alias("found")))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return out.select(
         F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"),
         F.size(F.filter("found", lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter("found", lambda s: ~s["live"])).cast("long").alias("n_copied"), "found",
+        *([F.col("key").alias("text_md5")] if text_key else []),
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repos: int | None = None) -> DataFrame:
-    """``docs`` with every live-looking span of a text replaced by ``mask``; widely copied examples stay."""
-    hits = scan(docs, id_col, text_col, repo_col, owner_col, max_owners, max_repos).where("n_live > 0").select(F.col(id_col).alias("__id"), F.filter("found", lambda s: s["live"]).alias("__live"))
-    # repeated ids: each text is masked only by spans whose text it holds there
-    hits = hits.groupBy("__id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__live")))).alias("__live"))
-    text = F.col(f"`{text_col}`")
-    joined = docs.join(hits, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
-    here = F.filter("__live", lambda s: F.contains(F.substring(text, s["start"] + 1, s["end"] - s["start"]), s["value"]))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def _masked(text: Column, cuts: Column, mask: str) -> Column:
+    """``text`` with each of ``cuts`` (start, end; in order, apart) replaced, CHUNK at a time: a cut is sought in its chunk's part of the text."""
+    end_before = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(cuts, k * CHUNK - 1)["end"])
+
+    def part(k: Column) -> Column:
+        def body(x: Column) -> Column:  # chunk, its base and its text
+            since = lambda i: F.when(i == 0, x["base"]).otherwise(F.get(x["c"], i - 1)["end"])
+            return F.array_join(F.transform(x["c"], lambda s, i: F.concat(F.substring(x["t"], since(i) - x["base"] + 1, s["start"] - since(i)), F.lit(mask))), "")
 
-    def step(acc, s):
-        inside = s["start"] < acc["at"]
-        kept = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(kept).alias("out"))
+        chunk = F.slice(cuts, k * CHUNK + 1, CHUNK)
+        return _let(_let(chunk, lambda c: F.struct(c.alias("c"), end_before(k).alias("base"), F.substring(text, end_before(k) + 1, F.element_at(c, -1)["end"] - end_before(k)).alias("t"))), body)
 
-    masked = F.aggregate(here, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("__live").isNull(), text).otherwise(masked)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chunks = F.sequence(F.lit(0), F.floor((F.size(cuts) - 1) / CHUNK).cast("int"))
+    return F.concat(F.array_join(F.transform(chunks, part), ""), F.substring(text, F.element_at(cuts, -1)["end"] + 1, F.length(text)))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, max_repos: int | None = None) -> DataFrame:
+    """``docs`` with every live-looking span of a text replaced by ``mask``, those that overlap by one; widely copied examples stay.
+
+    A text's spans and their verdicts follow from the text and the corpus alone, so they are looked up by text: rows
+    of one id, or without one, never meet each other's spans, and equal texts share theirs.
+    """
+    found = scan(docs, id_col, text_col, repo_col, owner_col, max_owners, max_repos, text_key=True).where("n_live > 0")
+    spans = found.select(F.col("text_md5").alias("__key"), F.inline(F.filter("found", lambda s: s["live"]))).select("__key", "start", "end").distinct()
+    before = Window.partitionBy("__key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("__key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(0)), 1).otherwise(0)
+    cuts = spans.withColumn("new", new).withColumn("cut", F.sum("new").over(upto)).groupBy("__key", "cut").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    cuts = cuts.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    text = F.col(f"`{text_col}`")
+    joined = docs.withColumn("__key", F.md5(text.cast("binary"))).join(cuts, "__key", "left")
+    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(_masked(text, F.col("__cuts"), mask))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB's form of the same scan: matches by their gaps, counted values, verdicts.
