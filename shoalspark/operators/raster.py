@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,73 @@ def fill_distant(pixels: DataFrame, value: str, distance: int = 200, out: str =
     return df.withColumn(out, F.when(F.col("__k").isNull(), mean).otherwise(F.col(value))).select(*pixels.columns, out)
 
 
+def with_halo(pixels: DataFrame, tile: int, halo: int) -> DataFrame:
+    """``pixels`` copied to every tile (ty, tx) whose cells are within ``halo`` of them."""
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")))
+    return pixels.withColumn("ty", reach("row")).withColumn("tx", reach("col"))
+
+
+def quadrant_search(grid: np.ndarray, inner: tuple[slice, slice], distance: int) -> np.ndarray:
+    """Inverse-distance means of the nearest known cell of each quadrant, for the cells of ``inner``; NaN where none is in reach.
+
+    The quadrants are left (its own column too) and right, upward (its own row too) and downward. Each column's
+    nearest known cell above and below is known beforehand; columns are then tried from near to far, all cells at once,
+    and of two cells as far the one in the nearer column counts.
+    """
+    h, w = grid.shape
+    known = ~np.isnan(grid)
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(known, rows, -1), axis=0)
+    below = np.minimum.accumulate(np.where(known, rows, 10 * h)[::-1], axis=0)[::-1]
+    below = np.vstack([below[1:], np.full((1, w), 10 * h)])
+    r, c = np.meshgrid(np.arange(h)[inner[0]], np.arange(w)[inner[1]], indexing="ij")
+    total, weight = np.zeros(r.shape), np.zeros(r.shape)
+    for near, side in ((above, -1), (below, -1), (above, 1), (below, 1)):
+        best, value = np.full(r.shape, np.inf), np.zeros(r.shape)
+        for step in range(0 if side < 0 else 1, distance + 1):
+            x = c + side * step
+            inside = (x >= 0) & (x < w)
+            x = np.where(inside, x, 0)
+            y = near[r, x]
+            d = np.hypot(y - r, step)
+            take = inside & (y >= 0) & (y < h) & (d <= distance) & (d < best)
+            best = np.where(take, d, best)
+            value = np.where(take, grid[np.where(take, y, 0), x], value)
+            if not (best > step).any():  # no farther column can be nearer
+                break
+        hit = np.isfinite(best) & (best > 0)
+        total += np.where(hit, value / np.where(hit, best, 1), 0)
+        weight += np.where(hit, 1 / np.where(hit, best, 1), 0)
+    return np.where(weight > 0, total / np.where(weight > 0, weight, 1), np.nan)
+
+
+def fill_quadrants(pixels: DataFrame, value: str, distance: int = 200, tile: int = 512, out: str = "filled") -> DataFrame:
+    """Missing cells take the inverse-distance mean of the nearest known cell in each quadrant, none farther than ``distance``.
+
+    Tiles with a halo of that distance, one shuffle of (row, col, value); the other columns are joined back. A cell that
+    is not in the table is neither filled nor known. NULL and NaN are missing, and stay NULL where nothing is in reach.
+    """
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    cells = with_halo(pixels.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), v.alias("v")), tile, distance)
+
+    def run(table: pa.Table) -> pa.Table:
+        ty, tx = table.column("ty")[0].as_py(), table.column("tx")[0].as_py()
+        r, c = (table.column(n).to_numpy() - t * tile + distance for n, t in (("row", ty), ("col", tx)))
+        grid = np.full((tile + 2 * distance,) * 2, np.nan)
+        grid[r, c] = table.column("v").to_numpy(zero_copy_only=False)
+        own = (r >= distance) & (r < distance + tile) & (c >= distance) & (c < distance + tile) & np.isnan(grid[r, c])
+        r, c = r[own], c[own]
+        if not len(r):
+            found = np.empty(0)
+        else:
+            box = slice(r.min(), r.max() + 1), slice(c.min(), c.max() + 1)
+            found = quadrant_search(grid, box, distance)[r - r.min(), c - c.min()]
+        return pa.table({"row": pa.array(r + ty * tile - distance, pa.int32()), "col": pa.array(c + tx * tile - distance, pa.int32()), "__f": pa.array(found, pa.float64(), mask=np.isnan(found))})
+
+    filled = cells.groupBy("ty", "tx").applyInArrow(run, "row int, col int, __f double")
+    return pixels.join(filled, ["row", "col"], "left").withColumn(out, F.coalesce(F.when(~F.isnan(F.col(value).cast("double")), F.col(value)), "__f")).drop("__f")
+
+
 def bounds(pixels: DataFrame, by: str, grow: int = 0) -> DataFrame:
     """The tile of each group's cells (row0, row1, col0, col1), each side moved out by ``grow``."""
     return pixels.groupBy(by).agg((F.min("row") - grow).alias("row0"), (F.max("row") + grow).alias("row1"), (F.min("col") - grow).alias("col0"), (F.max("col") + grow).alias("col1"))
@@ -132,18 +201,23 @@ def scattered(grid: DataFrame, values: DataFrame, cols: Sequence[str]) -> DataFr
     return grid.join(values.select("row", "col", *cols), ["row", "col"], "left")
 
 
-def depths(rasters: DataFrame, target: DataFrame, affine: Sequence[float], how: str = "first", distance: int = 200) -> DataFrame:
+def depths(rasters: DataFrame, target: DataFrame, affine: Sequence[float], how: str = "first", distance: int = 200, resampling: str = "bilinear") -> DataFrame:
     """Depth (positive) at the target's x, y: rasters (row, col, value, source) merged, gaps filled, resampled."""
     merged = mosaic(rasters.withColumn("value", F.abs("value")), "value", how)
     ends = merged.agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("col").alias("c"), F.max("col").alias("d"))
     whole = ends.select(F.explode(F.sequence("a", "b")).alias("row"), "c", "d").select("row", F.explode(F.sequence("c", "d")).alias("col"))
-    filled = fill_distant(whole.join(merged, ["row", "col"], "left"), "value", distance)
-    return resample(target, filled.select("row", "col", F.col("filled").alias("value")), "value", affine)
+    filled = fill_quadrants(whole.join(merged, ["row", "col"], "left"), "value", distance)
+    return resample(target, filled.select("row", "col", F.col("filled").alias("value")), "value", affine, resampling)
 
 
 def resample(target: DataFrame, source: DataFrame, value: str, affine: Sequence[float], how: str = "bilinear") -> DataFrame:
-    """Source raster at the target's x, y: its four (or one) nearest cells by equi-join, no range join."""
+    """Source raster at the target's x, y: nearest, bilinear or cubic; NULL beside a missing cell. Equi-joins, no range join.
+
+    For a target in another projection, its x and y are first made by geo.tm_inverse and geo.tm_forward.
+    """
     a, _, c, _, e, f = affine
+    if how == "cubic":
+        return _cubic(target, source, value, affine)
     u, v = (F.col("x") - c) / a - 0.5, (F.col("y") - f) / e - 0.5
     if how == "nearest":
         t = target.withColumns({"__r": F.round(v, 0).cast("int"), "__c": F.round(u, 0).cast("int")})
@@ -159,6 +233,44 @@ def resample(target: DataFrame, source: DataFrame, value: str, affine: Sequence[
     return out.withColumn(value, F.when(F.col("__m") > 1 - 1e-9, F.col(value))).drop("__m")
 
 
+def cubic_weights(t: np.ndarray) -> np.ndarray:
+    """Weights of the four cells at -1, 0, 1 and 2 for a place ``t`` between the middle two (cubic convolution, a = -1/2)."""
+    return np.stack([((-0.5 * t + 1) * t - 0.5) * t, (1.5 * t - 2.5) * t * t + 1, ((-1.5 * t + 2) * t + 0.5) * t, (0.5 * t - 0.5) * t * t])
+
+
+def _cubic(target: DataFrame, source: DataFrame, value: str, affine: Sequence[float], tile: int = 256) -> DataFrame:
+    """Sixteen cells a target, gathered in tiles: targets are dealt by the cell they lie in, sources come with a halo of two."""
+    a, _, c, _, e, f = map(float, affine)
+    u, v = (F.col("x") - c) / a - 0.5, (F.col("y") - f) / e - 0.5
+    t = target.withColumns({"__u": u, "__v": v, "ty": F.floor(F.floor(v) / tile).cast("int"), "tx": F.floor(F.floor(u) / tile).cast("int")})
+    cells = with_halo(source.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("__s")), tile, 2)
+    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in target.schema if x.name != value), f"`{value}` double"])
+    keep = [x.name for x in target.schema if x.name != value]
+
+    def run(points: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(points):
+            return pa.table([points.column(k) for k in keep] + [pa.array([], pa.float64())], names=[*keep, value])
+        ty, tx = points.column("ty")[0].as_py(), points.column("tx")[0].as_py()
+        grid = np.full((tile + 4, tile + 4), np.nan)
+        if len(known):
+            grid[known.column("row").to_numpy() - ty * tile + 2, known.column("col").to_numpy() - tx * tile + 2] = known.column("__s").to_numpy(zero_copy_only=False)
+        y, x = points.column("__v").to_numpy(zero_copy_only=False), points.column("__u").to_numpy(zero_copy_only=False)
+        ok = np.isfinite(x) & np.isfinite(y)
+        y, x = np.where(ok, y, ty * tile), np.where(ok, x, tx * tile)
+        r, k = np.floor(y).astype(int), np.floor(x).astype(int)
+        wy, wx = cubic_weights(y - r), cubic_weights(x - k)
+        got = np.zeros(len(r))
+        for i in range(4):
+            for j in range(4):
+                got += wy[i] * wx[j] * grid[r - ty * tile + 1 + i, k - tx * tile + 1 + j]  # one missing cell makes it missing
+        bad = np.isnan(got) | ~ok
+        return pa.table([points.column(n) for n in keep] + [pa.array(got, pa.float64(), mask=bad)], names=[*keep, value])
+
+    there = t.where("ty is not null and tx is not null")
+    out = there.groupBy("ty", "tx").cogroup(cells.groupBy("ty", "tx")).applyInArrow(run, schema)
+    return out.unionByName(t.where("ty is null or tx is null").select(*keep, F.lit(None).cast("double").alias(value)))
+
+
 def geotransform(pixels: DataFrame) -> DataFrame:
     """Origin, spacing and y direction of a regular grid from its coordinates (distinct axes only)."""
     out = None

@@ -382,6 +382,53 @@ def depth_at_cells(spark, sf_dir):
     return got.select(F.col("r0").alias("row"), F.col("c0").alias("col"), r("value").alias("depth"))
 
 
+def _quadrants(source: str, distance: int) -> str:
+    """Common tables: of each missing cell of ``source`` ("row", col, v) the nearest known one of each quadrant, and their mean."""
+    side = "CASE WHEN q.col <= p.col THEN 0 ELSE 1 END * 2 + CASE WHEN q.\"row\" <= p.\"row\" THEN 0 ELSE 1 END"
+    d2 = 'pow(q."row" - p."row", 2) + pow(q.col - p.col, 2)'
+    return f"""near AS (SELECT p."row", p.col, {side} AS k, q.v, sqrt({d2}) AS d, row_number() OVER (PARTITION BY p."row", p.col, {side} ORDER BY {d2}, abs(q.col - p.col)) AS n FROM {source} p JOIN {source} q ON p.v IS NULL AND q.v IS NOT NULL AND {d2} <= {distance * distance}),
+mean AS (SELECT "row", col, sum(v / d) / sum(1 / d) AS f FROM near WHERE n = 1 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {PX}, a AS (SELECT vec_id, "row", col, CASE WHEN vec_id % 23 = 0 THEN s[{GREEN + 1}] END AS v FROM px), {_quadrants("a", 20)} SELECT vec_id, round(coalesce(v, f), 6) + 0.0 AS filled FROM a LEFT JOIN mean USING ("row", col)""")
+def fill_quadrants(spark, sf_dir):
+    """Gaps filled from the nearest known cell of each quadrant, found in tiles with halos."""
+    p = pixels(spark, sf_dir).select("vec_id", "row", "col", F.when(F.col("vec_id") % 23 == 0, F.get("s", F.lit(GREEN))).alias("v"))
+    return raster.fill_quadrants(p, "v", 20, tile=16).select("vec_id", r("filled").alias("filled"))
+
+
+def _kernel(t: str, k: str) -> str:
+    """Cubic convolution's weight of tap ``k`` (-1 to 2) at ``t``, by the distance."""
+    d = f"abs({t} - {k})"
+    return f"(CASE WHEN {d} <= 1 THEN 1.5 * pow({d}, 3) - 2.5 * pow({d}, 2) + 1 WHEN {d} < 2 THEN -0.5 * pow({d}, 3) + 2.5 * pow({d}, 2) - 4 * {d} + 2 ELSE 0 END)"
+
+
+DEPTHS = """s AS (SELECT l_orderkey % 40 AS "row", l_partkey % 30 AS col, min(abs(l_quantity - 25)) AS v FROM lineitem WHERE (l_orderkey % 40 * 7 + l_partkey % 30 * 3) % 17 < 3 GROUP BY 1, 2),
+e AS (SELECT min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM s), g AS (SELECT y AS "row", x AS col, s.v FROM e, unnest(range(r0, r1 + 1)) a(y), unnest(range(c0, c1 + 1)) b(x) LEFT JOIN s ON s."row" = y AND s.col = x)"""
+TAPS = """t AS (SELECT event_id, value / 20 AS u, (event_id % 380) / 10.0 AS v FROM events), q AS (SELECT event_id, floor(v)::INTEGER + i AS r, floor(u)::INTEGER + j AS c, {w} AS w FROM t, (VALUES {taps}) a(i), (VALUES {taps}) b(j)),
+z AS (SELECT event_id, sum(w * d) AS depth, count(d) AS n, count(*) AS m FROM q LEFT JOIN full_grid ON r = "row" AND c = col {where} GROUP BY 1)"""
+FULL = 'full_grid AS (SELECT "row", col, coalesce(v, f) AS d FROM g LEFT JOIN mean USING ("row", col))'
+
+
+def _soundings(spark, sf_dir, how: str):
+    """Soundings merged, their gaps filled and the whole resampled at points between the cells."""
+    li = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("row"), (F.col("l_partkey") % 30).alias("col"), (F.col("l_quantity") - 25).cast("double").alias("value"), F.col("l_suppkey").alias("source"))
+    some = li.where((F.col("row") * 7 + F.col("col") * 3) % 17 < 3)
+    target = read(spark, sf_dir, "events").select("event_id", (F.col("value") / 20 + 0.5).alias("x"), ((F.col("event_id") % 380) / 10 + 0.5).alias("y"))
+    got = raster.depths(some, target, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "min", 20, how)
+    return got.select("event_id", r("value").alias("depth"))
+
+
+@query("WITH " + DEPTHS + ", " + _quadrants("g", 20) + ", " + FULL + ", " + TAPS.format(taps="(0), (1)", w="(1 - abs(v - floor(v) - i)) * (1 - abs(u - floor(u) - j))", where="WHERE w > 0") + " SELECT event_id, CASE WHEN n = m THEN round(depth, 6) + 0.0 END AS depth FROM z")
+def depth_between_cells(spark, sf_dir):
+    return _soundings(spark, sf_dir, "bilinear")
+
+
+@query("WITH " + DEPTHS + ", " + _quadrants("g", 20) + ", " + FULL + ", " + TAPS.format(taps="(-1), (0), (1), (2)", w=_kernel("(v - floor(v))", "i") + " * " + _kernel("(u - floor(u))", "j"), where="") + " SELECT event_id, CASE WHEN n = 16 THEN round(depth, 6) + 0.0 END AS depth FROM z")
+def depth_cubic(spark, sf_dir):
+    return _soundings(spark, sf_dir, "cubic")
+
+
 # --- tables of the atmosphere ------------------------------------------------------------------
 
 
