@@ -194,16 +194,19 @@ def rayleigh_tau(wl_nm: Column, pressure: Column | float = 1013.25) -> Column:
     return col(pressure) / 1013.25 * 0.008569 * i2 * i2 * (1 + 0.0113 * i2 + 0.00013 * i2 * i2)
 
 
-def rayleigh_tau_bodhaine(wl_nm: Column, pressure_hpa: float = 1013.25, co2_ppm: float = 400.0, lat_deg: float = 45.0, z_m: float = 0.0, published: bool = False) -> Column:
+def rayleigh_tau_bodhaine(wl_nm: Column, pressure_hpa: float = 1013.25, co2_ppm: float = 400.0, lat_deg: float = 45.0, z_m: float = 0.0, published: bool = False, co2_added: bool = False) -> Column:
     """Rayleigh optical depth (Bodhaine et al. 1999) at sea-level gravity; ``z_m`` counts only in the published form.
 
+    CO2 scales the refractive index of air as the paper has it; with ``co2_added`` it adds 1.15e-8 for each ppm above
+    300, some 0.8 % of the depth at 400 ppm.
+
     The default's King factor is (6 + 3 r) / (6 - 7 r) of the mixture's r, the sum of the gases' factors less one by
     volume; ``published`` takes the paper's volume-weighted factor and its gravity at the altitude.
     """
     u = wl_nm / 1000
     i2 = 1 / (u * u)
     n300 = (8060.51 + 2480990 / (132.274 - i2) + 17455.7 / (39.32957 - i2)) / 1e8
-    n1 = n300 * (1 + 0.54 * (co2_ppm * 1e-6 - 0.0003))
+    n1 = n300 + (co2_ppm - 300) * 1.15e-8 if co2_added else n300 * (1 + 0.54 * (co2_ppm * 1e-6 - 0.0003))
     n = n1 + 1
     f_n2 = 1.034 + 3.17e-4 * i2
     f_o2 = 1.096 + 1.385e-3 * i2 + 1.448e-4 * i2 * i2
@@ -401,3 +404,9 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> Column:
 def window_size(ram_gb: float, n_wavelengths: int, n_variables: int = 6, value_bytes: int = 4) -> int:
     """Side of the square window whose variables fit in memory."""
     return math.isqrt(int(ram_gb * 1024**3) // value_bytes // (n_wavelengths * n_variables))
+
+
+def window_side(ram_gb: Column, n_wavelengths: int, n_variables: int = 6, value_bytes: int = 4) -> Column:
+    """window_size() of a column."""
+    cells = F.floor(F.floor(ram_gb * float(1024**3) / value_bytes) / (n_wavelengths * n_variables))
+    return F.floor(F.sqrt(cells)).cast("long")

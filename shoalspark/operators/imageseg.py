@@ -4,8 +4,9 @@ Both need a neighbourhood at once, so they run as grouped maps over tiles of a
 bounded number of pixels; labels are made unique by the tile's number. A scene
 of any size is many tiles, never one task. Graph segments that meet across tile
 edges are joined (``seams``) where the graph's own rule joins them: the seam's least
-edge is no more than both sides' internal difference plus scale over size. SLIC segments
-are joined by segment.merge_by_distance().
+edge is no more than both sides' internal difference plus scale over size. SLIC tiles carry the
+surroundings that their labels depend on, so its segments are the same however a scene is cut;
+like neighbours are joined by segment.merge_by_distance().
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .raster import with_halo
 from .segment import connected
 
 
@@ -72,36 +75,130 @@ def graph_segments(x: np.ndarray, ok: np.ndarray, scale: float, min_size: int) -
     return labels, inner[out]
 
 
-def slic_labels(x: np.ndarray, ok: np.ndarray, n_segments: int, compactness: float = 0.1, rounds: int = 10) -> np.ndarray:
-    """k-means in features and place from a regular grid of seeds, over valid cells."""
+def components(same: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Of ``n`` cells the least cell each is joined to by pairs: hooking on the lesser root and pointer jumping, all pairs at once."""
+    root = np.arange(n)
+    a, b = (np.concatenate([p[k] for p in same]) for k in (0, 1))
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def _pairs(h: int, w: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Cells side by side and one below the other."""
+    ids = np.arange(h * w).reshape(h, w)
+    return [(ids[:, :-1].ravel(), ids[:, 1:].ravel()), (ids[:-1].ravel(), ids[1:].ravel())]
+
+
+def slic_clusters(x: np.ndarray, ok: np.ndarray, row0: int, col0: int, step: float, compactness: float, rounds: int) -> np.ndarray:
+    """Number of the nearest centre in features and place of each cell, -1 without one: local k-means (Achanta et al. 2012).
+
+    Centres begin at a grid of ``step`` over the whole scene, each at the valid cell nearest to its place; a centre is
+    compared with the cells within ``step`` of it only, and the number of rounds is fixed, so that what a cell gets
+    depends on its surroundings and not on where a tile was cut.
+    """
     h, w = ok.shape
-    step = max(1.0, np.sqrt(ok.sum() / max(1, n_segments)))
-    ys, xs = np.meshgrid(np.arange(step / 2, h, step), np.arange(step / 2, w, step), indexing="ij")
-    at = np.argwhere(ok)
-    if not len(at):
-        return np.zeros((h, w), int)
-    v = x[ok]
-    place = at / step * compactness
-    seeds = np.column_stack([ys.ravel(), xs.ravel()])
-    near = np.array([((at - s) ** 2).sum(axis=1).argmin() for s in seeds])
-    near = np.unique(near)
-    centre = np.hstack([v[near], place[near]])
-    full = np.hstack([v, place])
-    label = np.zeros(len(full), int)
+    rows, cols = np.arange(row0, row0 + h, dtype=float), np.arange(col0, col0 + w, dtype=float)
+    centres = []
+    for gy in range(int(np.floor(row0 / step)), int(np.ceil((row0 + h) / step))):
+        for gx in range(int(np.floor(col0 / step)), int(np.ceil((col0 + w) / step))):
+            cy, cx = (gy + 0.5) * step, (gx + 0.5) * step
+            r = slice(max(int(np.ceil(cy - step / 2)) - row0, 0), max(int(np.ceil(cy + step / 2)) - row0, 0))
+            c = slice(max(int(np.ceil(cx - step / 2)) - col0, 0), max(int(np.ceil(cx + step / 2)) - col0, 0))
+            part = ok[r, c]
+            if not part.any():
+                continue
+            d = np.where(part, (rows[r][:, None] - cy) ** 2 + (cols[c] - cx) ** 2, np.inf)
+            i, j = np.unravel_index(d.argmin(), d.shape)
+            i, j = i + r.start, j + c.start
+            centres.append((rows[i], cols[j], *x[i, j]))
+    label = np.full((h, w), -1)
+    if not centres:
+        return label
+    centre = np.array(centres)
+    pull = (compactness / step) ** 2
+    flat = np.concatenate([np.repeat(rows, w)[:, None], np.tile(cols, h)[:, None], x.reshape(h * w, -1)], axis=1)
     for _ in range(rounds):
-        best = np.full(len(full), np.inf)
-        for k, c in enumerate(centre):
-            d = ((full - c) ** 2).sum(axis=1)
-            m = d < best
-            best[m], label[m] = d[m], k
-        new = np.array([full[label == k].mean(axis=0) if (label == k).any() else centre[k] for k in range(len(centre))])
-        if np.allclose(new, centre):
+        best = np.full((h, w), np.inf)
+        label = np.full((h, w), -1)
+        for k, (cy, cx, *f) in enumerate(centre):
+            r = slice(max(int(np.ceil(cy - step)) - row0, 0), max(int(np.floor(cy + step)) + 1 - row0, 0))
+            c = slice(max(int(np.ceil(cx - step)) - col0, 0), max(int(np.floor(cx + step)) + 1 - col0, 0))
+            d = ((x[r, c] - f) ** 2).sum(axis=2) + pull * ((rows[r][:, None] - cy) ** 2 + (cols[c] - cx) ** 2)
+            near = d < best[r, c]  # never where a feature is missing
+            best[r, c][near] = d[near]
+            label[r, c][near] = k
+        own = label.ravel() >= 0
+        lab = label.ravel()[own]
+        n = np.bincount(lab, minlength=len(centre))
+        for k in range(centre.shape[1]):
+            total = np.bincount(lab, flat[own, k], minlength=len(centre))
+            centre[:, k] = np.where(n > 0, total / np.maximum(n, 1), centre[:, k])
+    return np.where(ok, label, -1)
+
+
+def connected_labels(label: np.ndarray, ok: np.ndarray, min_size: int, passes: int = 3) -> np.ndarray:
+    """Least cell of each valid cell's segment, -1 elsewhere: connected parts of the labels, those under ``min_size`` cells joined
+    to the larger one they share the longest border with (of equals, the one whose first cell comes first)."""
+    h, w = ok.shape
+    flat, valid = label.ravel(), ok.ravel()
+    pairs = [(a[valid[a] & valid[b]], b[valid[a] & valid[b]]) for a, b in _pairs(h, w)]
+    root = components([(a[flat[a] == flat[b]], b[flat[a] == flat[b]]) for a, b in pairs], h * w)
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    for _ in range(passes):
+        size = np.bincount(root[valid], minlength=h * w)
+        x, y = root[a], root[b]
+        x, y = np.concatenate([x, y]), np.concatenate([y, x])
+        small = (x != y) & (size[x] < min_size) & (size[y] >= min_size)
+        if not small.any():
             break
-        centre = new
-    _, dense = np.unique(label, return_inverse=True)
-    out = np.zeros((h, w), int)
-    out[ok] = dense + 1
-    return out
+        borders, length = np.unique(np.column_stack([x[small], y[small]]), axis=0, return_counts=True)
+        order = np.lexsort([borders[:, 1], -length, borders[:, 0]])
+        first = np.append(True, borders[order][1:, 0] != borders[order][:-1, 0])
+        to = np.arange(h * w)
+        to[borders[order][first, 0]] = borders[order][first, 1]
+        root = to[root]
+    return np.where(valid, root, -1).reshape(h, w)
+
+
+def slic_reach(step: float, rounds: int) -> int:
+    """Cells round a tile on which its labels may depend: two steps a round, then the parts of a cluster and what joins them."""
+    return int(np.ceil((2 * rounds + 8) * step))
+
+
+def slic(pixels: DataFrame, features: Sequence[str], tile: int = 256, area: float = 50, compactness: float = 0.1, rounds: int = 10, min_size: int | None = None) -> DataFrame:
+    """row, col, seg_id (0 masked) of connected segments of about ``area`` cells, the same for any ``tile``.
+
+    Tiles are worked on with all the cells their labels depend on; a segment's id is its first cell's place in the
+    scene, so that its parts in several tiles have it in common. Cells with a missing feature are masked.
+    """
+    step = float(np.sqrt(area))
+    halo = slic_reach(step, rounds)
+    least = max(1, int(area / 4)) if min_size is None else min_size
+    near = with_halo(pixels.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *features), tile, halo)
+
+    def run(table: pa.Table) -> pa.Table:
+        ty, tx = table.column("ty")[0].as_py(), table.column("tx")[0].as_py()
+        row, col = table.column("row").to_numpy(), table.column("col").to_numpy()
+        own = (row // tile == ty) & (col // tile == tx)
+        if not own.any():
+            return pa.table({"row": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), "seg_id": pa.array([], pa.int64())})
+        row0, col0 = int(row.min()), int(col.min())
+        x = np.full((row.max() - row0 + 1, col.max() - col0 + 1, len(features)), np.nan)
+        for k, f in enumerate(features):
+            x[row - row0, col - col0, k] = table.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        ok = np.isfinite(x).all(axis=2)
+        first = connected_labels(slic_clusters(x, ok, row0, col0, step, compactness, rounds), ok, least)
+        first = first[row[own] - row0, col[own] - col0]
+        y, z = first // ok.shape[1] + row0, first % ok.shape[1] + col0
+        return pa.table({"row": row[own], "col": col[own], "seg_id": np.where(first < 0, 0, y.astype(np.int64) * (1 << 31) + z + 1)})
+
+    return near.groupBy("ty", "tx").applyInArrow(run, "row int, col int, seg_id long")
 
 
 def n_segments(pixels: int, area: int, low: int = 1, high: int = 10_000) -> int:
@@ -114,21 +211,20 @@ def segments_wanted(pixels: Column, area: int, low: int = 1, high: int = 10_000)
 
 def segment(pixels: DataFrame, features: Sequence[str], how: str = "graph", tile: int = 256, seams: bool = False, **options) -> DataFrame:
     """row, col, seg_id (0 masked), one grouped map a tile; with ``seams`` graph segments are joined over the edges of tiles."""
+    if how == "slic":
+        return slic(pixels, features, tile, **options)
     tiled = pixels.select("row", "col", *features).withColumns({"ty": F.floor(F.col("row") / tile).cast("int"), "tx": F.floor(F.col("col") / tile).cast("int")})
     scale = options.get("scale", 400.0)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ok, r, c = _grid(pdf, features)
-        if how == "graph":
-            labels, inner = graph_segments(x, ok, scale, options.get("min_size", 50))
-        else:
-            labels, inner = slic_labels(x, ok, n_segments(int(ok.sum()), options.get("area", 50)), options.get("compactness", 0.1)), np.zeros(ok.shape)
+        labels, inner = graph_segments(x, ok, scale, options.get("min_size", 50))
         lab = labels[r, c].astype(np.int64)
         base = (int(pdf["ty"].iloc[0]) * (1 << 20) + int(pdf["tx"].iloc[0])) * (tile * tile + 1)
         return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "seg_id": np.where(lab > 0, base + lab, 0), "inner": inner[r, c]})
 
     got = tiled.groupBy("ty", "tx").applyInPandas(run, "row int, col int, seg_id long, inner double")
-    if how != "graph" or not seams:
+    if not seams:
         return got.drop("inner")
     got = materialize(got, "tiles")
     if got.agg(F.greatest(F.max("row"), F.max("col"))).first()[0] in (None, *range(tile)):

@@ -217,6 +217,16 @@ def nearest_nodes(nodes: DataFrame, spec: LutSpec, at: Mapping[str, float]) -> D
     return nodes.where(keep)
 
 
+def nearest(df: DataFrame, nodes: DataFrame, spec: LutSpec) -> DataFrame:
+    """``df`` with the indices and outputs of each row's nearest node, axis by axis (the lower one on ties); NULL indices and outputs without a value."""
+    at = {}
+    for a, values in spec.axes.items():
+        v = list(map(float, values))
+        steps = [F.when(F.col(a) > (x + y) / 2, 1).otherwise(0) for x, y in zip(v, v[1:])]
+        at[f"i_{a}"] = F.when(F.col(a).isNotNull(), sum(steps, F.lit(0)))
+    return df.withColumns(at).join(nodes, list(at), "left")
+
+
 def at_sensor(nodes: DataFrame, spec: LutSpec, sensor: DataFrame) -> DataFrame:
     """Nodes at a sensor's bands (wl_idx, wavelength), linear in wavelength; a band outside the table is an error."""
     ends = nodes.agg(F.min("wavelength"), F.max("wavelength")).first()

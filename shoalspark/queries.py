@@ -75,6 +75,15 @@ OLS = "SELECT wavelength, cxy / nullif(vx, 0) AS a, my - cxy / nullif(vx, 0) * m
 SMA = "SELECT wavelength, sign(cxy) * sqrt(vy / nullif(vx, 0)) AS a, my - sign(cxy) * sqrt(vy / nullif(vx, 0)) * mx AS b, cxy * cxy / nullif(vx * vy, 0) AS r2, n FROM mo"
 
 
+#: Wavelengths of a sensor of many bands: a row a part.
+PART = "b AS (SELECT p_partkey AS wl_idx, (400 + p_partkey * 7 % 400)::DOUBLE AS w, 1 + p_partkey % 5 AS depth FROM part)"
+
+
+def part_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(k.alias("wl_idx"), (400 + k * 7 % 400).cast("double").alias("w"), (1 + k % 5).alias("depth"))
+
+
 def q6(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)
 
@@ -255,34 +264,35 @@ def g21(spark, sf_dir):
     return _exploded(pixels(spark, sf_dir), ph.glint_from_nir("s", fresnel, NIR))
 
 
-@query(f"WITH b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w FROM range(64) t(i)) SELECT wl_idx, round({N_SQL}, 6) + 0.0 AS n, round(pow((1 - {N_SQL}) / (1 + {N_SQL}), 2), 6) + 0.0 AS nadir, round(0.00111 * pow(w / 500, -4.32), 9) + 0.0 AS bb_w FROM b")
+@query(f"WITH {PART} SELECT wl_idx, round({N_SQL}, 6) + 0.0 AS n, round(pow((1 - {N_SQL}) / (1 + {N_SQL}), 2), 6) + 0.0 AS nadir, round(0.00111 * pow(w / 500, -4.32), 9) + 0.0 AS bb_w FROM b")
 def water_optics(spark, sf_dir):
-    b = spark.range(64).select(F.col("id").alias("wl_idx"), (400 + 6.25 * F.col("id")).alias("w"))
+    b = part_bands(spark, sf_dir)
     n = ph.water_index(F.col("w"))
     return b.select("wl_idx", r(n).alias("n"), r(ph.fresnel_nadir(n)).alias("nadir"), (F.round(ph.water_backscatter(F.col("w")), 9) + F.lit(0.0)).alias("bb_w"))
 
 
-@query("WITH b AS (SELECT i AS theta, radians(i) AS a, asin(sin(radians(i)) / 1.34) AS b FROM range(1, 86) t(i)) SELECT theta, round(0.5 * (pow(sin(a - b) / sin(a + b), 2) + pow(tan(a - b) / tan(a + b), 2)), 6) + 0.0 AS fresnel FROM b")
+@query("WITH t AS (SELECT o_orderkey, 1 + (o_orderkey + o_custkey) % 85 AS theta FROM orders), b AS (SELECT *, radians(theta) AS a, asin(sin(radians(theta)) / 1.34) AS b FROM t) SELECT o_orderkey, theta, round(0.5 * (pow(sin(a - b) / sin(a + b), 2) + pow(tan(a - b) / tan(a + b), 2)), 6) + 0.0 AS fresnel FROM b")
 def fresnel(spark, sf_dir):
-    return spark.range(1, 86).select(F.col("id").alias("theta"), r(ph.fresnel(F.col("id"), F.lit(1.34))).alias("fresnel"))
+    t = read(spark, sf_dir, "orders").select("o_orderkey", (1 + (F.col("o_orderkey") + F.col("o_custkey")) % 85).alias("theta"))
+    return t.select("o_orderkey", "theta", r(ph.fresnel(F.col("theta"), F.lit(1.34))).alias("fresnel"))
 
 
 TAU = "(0.008569 * pow(w / 1000, -4) * (1 + 0.0113 * pow(w / 1000, -2) + 0.00013 * pow(w / 1000, -4)))"
 
 
-@query(f"WITH b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w FROM range(64) t(i)) SELECT wl_idx, round({TAU}, 6) + 0.0 AS tau, round(1000 / 1013.25 * {TAU}, 6) + 0.0 AS tau_1000, round(exp(-{TAU} / 2 * (1 / cos(radians(30)) + 1 / cos(radians(10)))), 6) + 0.0 AS t2 FROM b")
+@query(f"WITH {PART} SELECT wl_idx, round({TAU}, 6) + 0.0 AS tau, round(1000 / 1013.25 * {TAU}, 6) + 0.0 AS tau_1000, round(exp(-{TAU} / 2 * (1 / cos(radians(30)) + 1 / cos(radians(10)))), 6) + 0.0 AS t2 FROM b")
 def rayleigh_tau(spark, sf_dir):
-    b = spark.range(64).select(F.col("id").alias("wl_idx"), (400 + 6.25 * F.col("id")).alias("w"))
+    b = part_bands(spark, sf_dir)
     t = ph.rayleigh_tau(F.col("w"))
     return b.select("wl_idx", r(t).alias("tau"), r(ph.rayleigh_tau(F.col("w"), 1000.0)).alias("tau_1000"), r(ph.rayleigh_transmittance(t, F.lit(30.0), F.lit(10.0))).alias("t2"))
 
 
-@query("WITH s AS (SELECT 300 + i * 0.5 AS wl, 1.5 + 0.001 * i AS ssi FROM range(1200) t(i)), b AS (SELECT i AS band, 400 + 6.25 * i AS wavelength, 5.05 / (2 * sqrt(2 * ln(2))) AS sg FROM range(64) t(i)) SELECT band, round(sum(ssi * exp(-0.5 * pow((wl - wavelength) / sg, 2))) / sum(exp(-0.5 * pow((wl - wavelength) / sg, 2))) * 100 * (1 + 0.034 * cos(2 * pi() * (200 - 2) / 365)), 6) + 0.0 AS f0 FROM b JOIN s ON abs(wl - wavelength) <= 4 * sg GROUP BY band")
+@query("WITH s AS (SELECT 300 + (o_orderkey % 1200) * 0.5 AS wl, avg(o_totalprice) / 1e5 AS ssi FROM orders GROUP BY 1), b AS (SELECT p_partkey AS band, 400 + (p_partkey * 7 % 400) AS wavelength, 5.05 / (2 * sqrt(2 * ln(2))) AS sg FROM part) SELECT band, round(sum(ssi * exp(-0.5 * pow((wl - wavelength) / sg, 2))) / sum(exp(-0.5 * pow((wl - wavelength) / sg, 2))) * 100 * (1 + 0.034 * cos(2 * pi() * (200 - 2) / 365)), 6) + 0.0 AS f0 FROM b JOIN s ON abs(wl - wavelength) <= 4 * sg GROUP BY band")
 def solar_f0_srf(spark, sf_dir):
     from .plans.correction import solar_f0
 
-    s = spark.range(1200).select((300 + F.col("id") * 0.5).alias("wl"), (1.5 + 0.001 * F.col("id")).alias("ssi"))
-    b = spark.range(64).select(F.col("id").alias("band"), (400 + 6.25 * F.col("id")).alias("wavelength"), F.lit(5.05).alias("fwhm"))
+    s = read(spark, sf_dir, "orders").groupBy((300 + (F.col("o_orderkey") % 1200) * 0.5).alias("wl")).agg((F.avg("o_totalprice") / 1e5).alias("ssi"))
+    b = part_bands(spark, sf_dir).select(F.col("wl_idx").alias("band"), F.col("w").alias("wavelength"), F.lit(5.05).alias("fwhm"))
     return solar_f0(b, s, 200).select("band", r("f0").alias("f0"))
 
 
@@ -298,7 +308,7 @@ def pack_unpack(spark, sf_dir):
     return k.select("vec_id", "wl_idx", "packed", r(ph.unpack(F.col("packed"), 1e-4)).alias("value"))
 
 
-IOP = """WITH b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w, j AS depth FROM range(64) t(i), range(1, 6) u(j)),
+IOP = f"""WITH {PART},
 c AS (SELECT *, 0.01 + greatest((0.5 + 0.02 * ln(0.06 * pow(2.0, 0.65))) * 0.06 * pow(2.0, 0.65), 0) + 0.3 * exp(-0.017 * (w - 440)) + 0.0051 * 1.5 * exp(-0.006 * (w - 440)) AS a,
   0.00111 * pow(w / 500, -4.32) + 0.0047 * 1.5 * pow(w / 550, -0.65) AS bb, cos(asin(sin(radians(30)) / 1.34)) AS cs, cos(asin(sin(radians(10)) / 1.34)) AS cv FROM b),
 d AS (SELECT *, bb / (a + bb) AS o, 1.0546 * (a + bb) / cs AS kd FROM c),
@@ -308,7 +318,7 @@ SELECT wl_idx, depth, round(f * o * (1 - 1.1576 * exp(-depth * (kd + kw))) + 1.0
 
 @query(IOP)
 def am03_forward(spark, sf_dir):
-    b = spark.range(64).select(F.col("id").alias("wl_idx"), (400 + 6.25 * F.col("id")).alias("w")).crossJoin(spark.range(1, 6).select(F.col("id").alias("depth")))  # five depths
+    b = part_bands(spark, sf_dir)
     w, lit = F.col("w"), lambda x: F.lit(float(x))
     a = ph.absorption(w, lit(0.01), lit(0.5), lit(0.02), lit(2), lit(0.3), lit(1.5), lit(0.017), lit(0.0051), lit(0.006))
     bb = ph.backscatter(w, ph.water_backscatter(w), lit(1.5), lit(0.0047), lit(0.65))
@@ -630,10 +640,10 @@ def solar_geometry(spark, sf_dir):
     return e.select("event_id", (F.round("sun_zenith", 4) + F.lit(0.0)).alias("zenith"), (F.round("sun_azimuth", 3) + F.lit(0.0)).alias("azimuth"))
 
 
-@query("SELECT i AS sample, round(degrees(atan(abs(250 - (i + 0.5)) / 1000)), 6) + 0.0 AS vza, CASE WHEN i < 250 THEN 125.0 ELSE 305.0 END AS vaa FROM range(500) t(i)")
+@query("SELECT event_id, round(degrees(atan(abs(250 - (event_id % 500 + 0.5)) / 1000)), 6) + 0.0 AS vza, CASE WHEN event_id % 500 < 250 THEN 125.0 ELSE 305.0 END::DOUBLE AS vaa FROM events")
 def view_geometry(spark, sf_dir):
-    z, a = geo.view_angles(F.col("id"), 500, 1.0, 1000.0, 35.0)
-    return spark.range(500).select(F.col("id").alias("sample"), r(z).alias("vza"), a.cast("double").alias("vaa"))
+    z, a = geo.view_angles(F.col("event_id") % 500, 500, 1.0, 1000.0, 35.0)
+    return read(spark, sf_dir, "events").select("event_id", r(z).alias("vza"), a.cast("double").alias("vaa"))
 
 
 @query("SELECT event_id, round(sqrt(u * u + v * v), 6) + 0.0 AS speed, round(degrees(atan2(u, v)), 6) + 0.0 AS direction FROM (SELECT event_id, value - 100 AS u, 150 - value / 2 AS v FROM events)")

@@ -11,7 +11,7 @@ from .functions import geo
 from .functions import physics as ph
 from .operators import ancillary, calib, imageseg, invert, lut, matchup, outline, raster, segment, skyglint, spectral
 from .plans import correction, segments
-from .queries import GREEN, LG, NIR, POINTS, PX, RED, WL, M, bands, matchups, pixels, q6, r, read, rounded
+from .queries import GREEN, LG, NIR, PART, POINTS, PX, RED, WL, M, bands, matchups, part_bands, pixels, q6, r, read, rounded
 from .sources import envi, registry, scene, sqlite, zarr
 from .storage import shared_folder
 
@@ -174,18 +174,21 @@ def valid_to_grid(spark, sf_dir):
 # --- radiometry and water -----------------------------------------------------------------
 
 
-@query("WITH b AS (SELECT i AS band, 400 + 6.25 * i AS c, 4 + i % 3 AS f FROM range(64) t(i)), g AS (SELECT band, c, f / (2 * sqrt(2 * ln(2))) AS s FROM b), n AS (SELECT *, floor(8 * s / 0.1 + 1e-12)::INTEGER AS n FROM g), w AS (SELECT band, c, s, c - 4 * s + k * 0.1 AS wl FROM n, unnest(range(0, n + 1)) u(k)) SELECT band, count(*) AS n, round(min(wl), 6) + 0.0 AS first, round(sum(exp(-0.5 * ((wl - c) / s) ^ 2)), 6) + 0.0 AS total FROM w GROUP BY 1")
+@query("WITH g AS (SELECT 5 / (2 * sqrt(2 * ln(2))) AS s), n AS (SELECT s, floor(8 * s / 0.1 + 1e-12)::INTEGER AS n FROM g), w AS (SELECT s, 550 - 4 * s + k * 0.1 AS wl FROM n, unnest(range(0, n + 1)) u(k)), z AS (SELECT count(*) AS n, min(wl) AS first, sum(exp(-0.5 * ((wl - 550) / s) ^ 2)) AS total FROM w) SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE n END AS n, round(CASE WHEN p_partkey % 2 = 0 THEN 550 - p_size / 10.0::DOUBLE ELSE first END, 6) + 0.0 AS first, round(CASE WHEN p_partkey % 2 = 0 THEN 2.0 ELSE total END, 6) + 0.0 AS total FROM part, z")
 def gaussian_srf(spark, sf_dir):
-    rows = [F.struct(F.lit(i).cast("long").alias("band"), ph.response(F.lit(None).cast("array<struct<wl:double,response:double>>"), 400 + 6.25 * i, 4 + i % 3).alias("srf")) for i in range(64)]
-    b = spark.range(1).select(F.inline(F.array(*rows)))
-    long = b.select("band", F.inline("srf"))
-    return long.groupBy("band").agg(F.count("*").alias("n"), r(F.min("wl")).alias("first"), r(F.sum("response")).alias("total"))
+    """Band responses: the tabulated one where a part has it, else a Gaussian."""
+    half = F.col("p_size") / 10
+    node = lambda w, x: F.struct(w.cast("double").alias("wl"), F.lit(x).alias("response"))
+    table = F.when(F.col("p_partkey") % 2 == 0, F.array(node(550 - half, 0.5), node(F.lit(550.0), 1.0), node(550 + half, 0.5)))
+    srf = read(spark, sf_dir, "part").select("p_partkey", ph.response(table, 550.0, 5.0).alias("srf"))
+    total = F.aggregate("srf", F.lit(0.0), lambda a, x: a + x["response"])
+    return srf.select("p_partkey", F.size("srf").cast("long").alias("n"), r(F.array_min("srf.wl")).alias("first"), r(total).alias("total"))
 
 
-@query("SELECT i AS doy, round(1 + 0.034 * cos(2 * pi() * (i - 2) / 365), 8) + 0.0 AS a, round(1 + 0.033412 * cos(2 * pi() * (i - 3) / 365), 8) + 0.0 AS b FROM range(1, 367) t(i)")
+@query("SELECT o_orderkey, round(1 + 0.034 * cos(2 * pi() * (dayofyear(o_orderdate) - 2) / 365), 8) + 0.0 AS a, round(1 + 0.033412 * cos(2 * pi() * (dayofyear(o_orderdate) - 3) / 365), 8) + 0.0 AS b FROM orders")
 def sun_distance(spark, sf_dir):
-    d = F.col("id").cast("double")
-    return spark.range(1, 367).select(F.col("id").alias("doy"), (F.round(ph.earth_sun_factor(d), 8) + F.lit(0.0)).alias("a"), (F.round(ph.earth_sun_factor(d, 0.033412, 3), 8) + F.lit(0.0)).alias("b"))
+    d = F.dayofyear("o_orderdate").cast("double")
+    return read(spark, sf_dir, "orders").select("o_orderkey", (F.round(ph.earth_sun_factor(d), 8) + F.lit(0.0)).alias("a"), (F.round(ph.earth_sun_factor(d, 0.033412, 3), 8) + F.lit(0.0)).alias("b"))
 
 
 @query(f"WITH {PX}, n AS (SELECT vec_id, CASE WHEN seg_id > 1 THEN (s[{GREEN + 1}] - s[64]) / nullif(s[{GREEN + 1}] + s[64], 0) END AS n FROM px) SELECT vec_id, round(n, 6) + 0.0 AS ndwi, CASE WHEN n > 0 THEN 1.0 WHEN n IS NOT NULL THEN 0.0 END::DOUBLE AS water FROM n")
@@ -241,9 +244,9 @@ BODHAINE = """i AS (SELECT *, 1e6 / (w * w) AS q FROM b),
 n AS (SELECT *, 1 + (8060.51 + 2480990 / (132.274 - q) + 17455.7 / (39.32957 - q)) / 1e8 * (1 + 0.54 * (400e-6 - 0.0003)) AS n, 0.78084 * (0.034 + 3.17e-4 * q) + 0.20946 * (0.096 + 1.385e-3 * q + 1.448e-4 * q * q) + 400e-6 * 0.15 AS r FROM i)"""
 
 
-@query(f"WITH b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w FROM range(64) t(i)), {BODHAINE} SELECT wl_idx, round(24 * pi() ^ 3 / (2.546899e19 ^ 2 * (w * 1e-7) ^ 4) * ((n * n - 1) / (n * n + 2)) ^ 2 * (6 + 3 * r) / (6 - 7 * r) * 1000 * 1000 * 6.0221367e23 / ((28.9595 + 15.0556 * 400e-6) * 980.6160 * (1 - 0.0026373 * cos(radians(98)) + 5.9e-6 * cos(radians(98)) ^ 2)), 7) + 0.0 AS tau FROM n")
+@query(f"WITH {PART}, {BODHAINE} SELECT wl_idx, round(24 * pi() ^ 3 / (2.546899e19 ^ 2 * (w * 1e-7) ^ 4) * ((n * n - 1) / (n * n + 2)) ^ 2 * (6 + 3 * r) / (6 - 7 * r) * 1000 * 1000 * 6.0221367e23 / ((28.9595 + 15.0556 * 400e-6) * 980.6160 * (1 - 0.0026373 * cos(radians(98)) + 5.9e-6 * cos(radians(98)) ^ 2)), 7) + 0.0 AS tau FROM n")
 def rayleigh_bodhaine(spark, sf_dir):
-    b = spark.range(64).select(F.col("id").alias("wl_idx"), (400 + 6.25 * F.col("id")).alias("w"))
+    b = part_bands(spark, sf_dir)
     return b.select("wl_idx", (F.round(ph.rayleigh_tau_bodhaine(F.col("w"), 1000.0, 400.0, 49.0), 7) + F.lit(0.0)).alias("tau"))
 
 
@@ -258,15 +261,16 @@ def sky_glint(spark, sf_dir):
     return p.select("vec_id", "wl_idx", (F.round("glint", 7) + F.lit(0.0)).alias("glint"))
 
 
-@query("SELECT a AS alias, CASE a WHEN 'x' THEN 'projection_x_coordinate' WHEN 'sun_zenith' THEN 'solar_zenith_angle' WHEN 'rho_w' THEN 'water_leaving_reflectance' END AS name, CASE a WHEN 'x' THEN 'm' WHEN 'sun_zenith' THEN 'degree' WHEN 'rho_w' THEN '1' END AS unit FROM (VALUES ('x'), ('sun_zenith'), ('rho_w'), ('other')) t(a)")
+@query("SELECT p_partkey, a AS alias, CASE a WHEN 'x' THEN 'projection_x_coordinate' WHEN 'sun_zenith' THEN 'solar_zenith_angle' WHEN 'rho_w' THEN 'water_leaving_reflectance' END AS name, CASE a WHEN 'x' THEN 'm' WHEN 'sun_zenith' THEN 'degree' WHEN 'rho_w' THEN '1' END AS unit FROM (SELECT p_partkey, ['x', 'sun_zenith', 'rho_w', 'other'][p_partkey % 4 + 1] AS a FROM part)")
 def standard_names(spark, sf_dir):
-    t = spark.createDataFrame([("x",), ("sun_zenith",), ("rho_w",), ("other",)], "alias string").withColumn("n", ph.cf_name(F.col("alias")))
-    return t.select("alias", F.col("n.standard_name").alias("name"), "n.unit")
+    names = F.array(*map(F.lit, ("x", "sun_zenith", "rho_w", "other")))
+    t = read(spark, sf_dir, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 4).cast("int")).alias("alias"))
+    return t.withColumn("n", ph.cf_name(F.col("alias"))).select("p_partkey", "alias", F.col("n.standard_name").alias("name"), "n.unit")
 
 
-@query("SELECT i AS gb, floor(sqrt(floor(floor(i * 1024.0 ^ 3 / 4) / (97 * 6))))::BIGINT AS side FROM range(1, 65) t(i)")
+@query("SELECT o_orderkey, floor(sqrt(floor(floor((1 + o_orderkey % 64) * 1024.0 ^ 3 / 4) / (97 * 6))))::BIGINT AS side FROM orders")
 def window_size(spark, sf_dir):
-    return spark.createDataFrame([(i, ph.window_size(i, 97)) for i in range(1, 65)], "gb long, side long")
+    return read(spark, sf_dir, "orders").select("o_orderkey", ph.window_side(1 + F.col("o_orderkey") % 64, 97).alias("side"))
 
 
 # --- geometry ----------------------------------------------------------------------------
@@ -558,13 +562,16 @@ def archive_l1_to_l2(spark, sf_dir):
 SWEEP_WL = [400.0, 500.0, 600.0, 700.0, 800.0]
 
 
-@query("WITH n AS (SELECT i AS k, 400 + 100.0 * i AS w0, i * i * 1.0 AS v0, (i + 1) * (i + 1) * 1.0 AS v1 FROM range(5) t(i)), b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w FROM range(64) t(i)) SELECT wl_idx, round(v0 + (w - w0) / 100 * (v1 - v0), 6) + 0.0 AS v FROM b JOIN n ON floor((w - 400) / 100) = k")
+@query("WITH n AS (SELECT i AS k, 400 + 100.0 * i AS w0, i * i * 1.0 AS v0, (i + 1) * (i + 1) * 1.0 AS v1 FROM range(5) t(i)), b AS (SELECT DISTINCT p_size::BIGINT AS wl_idx, 400 + 7.5 * p_size AS w FROM part) SELECT wl_idx, round(v0 + (w - w0) / 100 * (v1 - v0), 6) + 0.0 AS v FROM b JOIN n ON floor((w - 400) / 100) = k")
 def lut_at_sensor(spark, sf_dir):
-    """A table's outputs at a sensor's bands."""
+    """A table's outputs at a sensor's bands, which parts name."""
     spec = lut.LutSpec({"x": [0]}, ["v"])
     nodes = spark.createDataFrame([(0, i, w, float(i * i)) for i, w in enumerate(SWEEP_WL)], "i_x int, wl_idx int, wavelength double, v double")
-    sensor = spark.createDataFrame(list(enumerate(WL)), "wl_idx int, wavelength double")
-    return lut.at_sensor(nodes, spec, sensor).select(F.col("wl_idx").cast("long").alias("wl_idx"), r("v").alias("v"))
+    return lut.at_sensor(nodes, spec, _sensor(spark, sf_dir)).select(F.col("wl_idx").cast("long").alias("wl_idx"), r("v").alias("v"))
+
+
+def _sensor(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_size").cast("int").alias("wl_idx"), (400 + 7.5 * F.col("p_size")).alias("wavelength")).distinct()
 
 
 @query(SQL["lut_at_sensor"])
@@ -575,16 +582,21 @@ def lut_cached(spark, sf_dir):
     folder = _folder(spark, "lut")
     lut.to_files(nodes, spec, folder)
     stored, found = lut.from_files(spark, folder)
-    sensor = spark.createDataFrame(list(enumerate(WL)), "wl_idx int, wavelength double")
+    sensor = _sensor(spark, sf_dir)
     lut.cached(stored, found, sensor, f"{folder}/cache", "x")
     return lut.cached(stored, found, sensor, f"{folder}/cache", "x").select(F.col("wl_idx").cast("long").alias("wl_idx"), r("v").alias("v"))
 
 
-@query("WITH o AS (SELECT unnest([0.0, 0.1, 0.3]) AS aot550), b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w FROM range(64) t(i)), a AS (SELECT aot550, wl_idx, w, 31.0 AS sza, 12.0 AS vza, 75.0 AS raa FROM o, b) SELECT aot550::DOUBLE AS aot550, wl_idx, round({} - 0.017 + 0.1 * aot550, 6) + 0.0 AS path, round({} + 0.034 - 0.2 * aot550, 6) + 0.0 AS t_ra, round({} - 0.0085 + 0.05 * aot550, 6) + 0.0 AS s_ra FROM a".format(PATH, T_RA, S_RA))
+@query(f"WITH {SCENES.rsplit(chr(10), 1)[0].rstrip(',')}, o AS (SELECT unnest([0.0, 0.1, 0.3])::DOUBLE AS aot550), a AS (SELECT image_id, ps, alt, aot550, aot550 AS aot, i::INTEGER AS wl_idx, 400 + 6.25 * i AS w, image_id % 79 + 0.5 AS sza, image_id % 29 + 0.25 AS vza, image_id % 179 + 0.75 AS raa FROM sv, o, range(64) t(i) WHERE ps <= 1050) SELECT image_id, aot550, wl_idx, " + ", ".join(f"round({SCENE_TERMS[c]}, 6) + 0.0 AS {c}" for c in ("path", "t_ra", "s_ra")) + " FROM a")
 def lut_sweep(spark, sf_dir):
-    """All axes bound but the aerosol's."""
-    got = lut.sweep(_aerosol(spark), AER, SCENE | {"sun_zenith": 31.0, "view_zenith": 12.0, "relative_azimuth": 75.0})
-    return rounded(got.select("aot550", F.col("wl_idx").cast("long").alias("wl_idx"), "path", "t_ra", "s_ra"), "path", "t_ra", "s_ra")
+    """All axes bound but the aerosol's, for every scene of the archive."""
+    i = F.col("image_id")
+    scenes = archive(spark, sf_dir).withColumns({"sun_zenith": i % 79 + F.lit(0.5), "view_zenith": i % 29 + F.lit(0.25), "relative_azimuth": i % 179 + F.lit(0.75)})
+    table, left = lut.bind_scenes(_aerosol(spark), AER, scenes, "image_id", [a for a in AER.axes if a != "aot550"])
+    nodes = F.array(*[F.lit(float(x)) for x in left.axes["aot550"]])
+    rows = table.select("image_id", F.posexplode("table").alias("k", "node")).withColumn("aot550", F.get(nodes, F.col("k")))
+    long = rows.select("image_id", "aot550", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(63)).alias("wl_idx"), *[F.col(f"node.{c}").alias(c) for c in ("path", "t_ra", "s_ra")])))
+    return rounded(long, "path", "t_ra", "s_ra")
 
 
 @query("WITH q AS (SELECT vec_id, (vec_id % 70) / 100.0 - 0.05 AS x FROM embeddings), c AS (SELECT vec_id, least(greatest(x, 0), 0.4) AS x FROM q) SELECT vec_id, round(CASE WHEN x < 0.1 THEN 0.9 - x / 0.1 * 0.05 ELSE 0.85 - (x - 0.1) / 0.3 * 0.15 END, 6) + 0.0 AS t FROM c")
@@ -594,12 +606,13 @@ def aod_held(spark, sf_dir):
     return q.select("vec_id", r(lut.held(F.col("x"), [0, 0.1, 0.4], [0.9, 0.85, 0.7])).alias("t"))
 
 
-@query("WITH n(a, b, v) AS (SELECT i * 20, j * 10, i * 10 + j FROM range(5) x(i), range(4) y(j)) SELECT (a // 20)::INTEGER AS i_sun, (b // 10)::INTEGER AS i_view, v::DOUBLE AS v FROM n WHERE a = 40 AND b = 10")
+@query("WITH p AS (SELECT vec_id, vec_id % 80 + 0.5 AS x, vec_id % 29 + 0.25 AS y FROM embeddings), i AS (SELECT vec_id, ((x > 10)::INT + (x > 30)::INT + (x > 50)::INT + (x > 70)::INT) AS i_sun, ((y > 5)::INT + (y > 15)::INT + (y > 25)::INT) AS i_view FROM p) SELECT vec_id, i_sun, i_view, (i_sun * 10 + i_view)::DOUBLE AS v FROM i")
 def lut_nearest(spark, sf_dir):
-    """The node nearest on each axis by itself."""
+    """Each pixel's node nearest on each axis by itself."""
     spec = lut.LutSpec({"sun": [0, 20, 40, 60, 80], "view": [0, 10, 20, 30]}, ["v"])
     nodes = spec.grid(spark).select("i_sun", "i_view", (F.col("i_sun") * 10.0 + F.col("i_view")).alias("v"))
-    return lut.nearest_nodes(nodes, spec, {"sun": 33.0, "view": 14.0})
+    p = base._lut_pixels(spark, sf_dir).select("vec_id", F.col("sun_zenith").alias("sun"), F.col("view_zenith").alias("view"))
+    return lut.nearest(p, nodes, spec).select("vec_id", "i_sun", "i_view", "v")
 
 
 @query(base.SQL["lut_bilinear"])
@@ -673,10 +686,11 @@ def add_ancillary(spark, sf_dir):
     return got.select("image_id", *[(F.round(c, 7) + F.lit(0.0)).alias(c) for c in ancillary.SCALARS if c != "wind_direction"])
 
 
-@query("SELECT t AS time, count(*) AS n FROM ({}) WHERE t IN (TIMESTAMP '2024-01-10 05:00:00', TIMESTAMP '2024-01-10 06:00:00') GROUP BY 1".format(HOURS))
+@query("WITH h AS (SELECT DISTINCT (event_id % 82000) // 3600 + k AS h FROM events, range(2) t(k)) SELECT TIMESTAMP '2024-01-10 00:00:00' + to_hours(h) AS time, 99::BIGINT AS n FROM h WHERE h < 24")
 def bracketing_hours(spark, sf_dir):
-    times = spark.range(1).select(F.expr("timestamp'2024-01-10 05:40:00'").alias("ts"))
-    return ancillary.bracketing(_grid(spark, MET), times).groupBy("time").agg(F.count("*").alias("n")).select(F.col("time").cast("timestamp_ntz").alias("time"), "n")
+    """Of hourly grids those before and after the times of all scenes."""
+    got = ancillary.bracketing(_grid(spark, MET), _place(spark, sf_dir))
+    return got.groupBy("time").agg(F.count("*").alias("n")).select(F.col("time").cast("timestamp_ntz").alias("time"), "n")
 
 
 @query("WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice, 2) END AS a, round(o_totalprice, 2) + 1 AS n FROM orders) SELECT o_orderkey, coalesce(a, n)::DOUBLE AS a, n::DOUBLE AS b FROM o")
@@ -764,17 +778,16 @@ def scene_tiles(spark, sf_dir):
     return got.join(scene.read_scene(spark, path), "image_id").select("vec_id", "tile_y", "tile_x", "x", "y", "geo_transform", "crs")
 
 
-@query("SELECT i::INTEGER AS \"row\", j::INTEGER AS col, b::INTEGER AS band, (b * 1000 + i * 40 + j)::DOUBLE AS value FROM range(30) x(i), range(40) y(j), range(5) z(b)")
+@query(f"""WITH {LG} SELECT "row", col, wl_idx AS band, round(value::FLOAT::DOUBLE, 6) + 0.0 AS value FROM lg""")
 def raw_cube(spark, sf_dir):
-    """A band-sequential cube read by blocks of lines."""
-    import numpy as np
-
+    """A band-sequential cube, written block by block of lines and read so."""
     path = _folder(spark, "cube") + ".raw"
-    b, i, j = np.meshgrid(np.arange(5), np.arange(30), np.arange(40), indexing="ij")
-    (b * 1000 + i * 40 + j).astype(np.float32).tofile(path)
+    n = base.scene_rows(spark, sf_dir)
+    scene.write_raw_cube(pixels(spark, sf_dir), "s", path, 25, n, 64, block=7)
     spark.dataSource.register(scene.RawCube)
-    df = spark.read.format("raw_cube").options(path=path, samples=40, lines=30, bands=5, block=7).load()
-    return df.select("row", "col", F.posexplode("radiance").alias("band", "value")).withColumn("value", F.col("value").cast("double"))
+    df = spark.read.format("raw_cube").options(path=path, samples=25, lines=n, bands=64, block=7).load()
+    long = df.select("row", "col", F.posexplode("radiance").alias("band", "value")).where("not isnan(value)")
+    return long.withColumn("value", F.round(F.col("value").cast("double"), 6) + F.lit(0.0))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey / 2.0 AS half FROM nation")
@@ -883,32 +896,35 @@ def calibrated_product(spark, sf_dir):
     return rounded(out, "rho_t").select("uuid", "wavelength", "rho_t", "level", "calibration")
 
 
-@query("WITH n AS (SELECT i, 400 + 50.0 * i AS w0, 0.01 + 0.002 * i * i AS a0, 0.01 + 0.002 * (i + 1) * (i + 1) AS a1, 0.1 + 0.05 * i AS b0, 0.1 + 0.05 * (i + 1) AS b1 FROM range(8) t(i)), b AS (SELECT i AS wl_idx, 400 + 6.25 * i AS w FROM range(64) t(i)) SELECT wl_idx, round(a0 + (w - w0) / 50 * (a1 - a0), 6) + 0.0::DOUBLE AS a_w, round(b0 + (w - w0) / 50 * (b1 - b0), 6) + 0.0::DOUBLE AS bottom FROM b JOIN n ON floor((w - 400) / 50) = i")
+@query(f"WITH {LG}, k AS (SELECT p_size % 9 AS i, avg(p_retailprice) / 1e5 AS a, avg(p_retailprice) / 4e3 AS m FROM part GROUP BY 1), n AS (SELECT i, 400 + 50.0 * i AS w0, a AS a0, lead(a) OVER o AS a1, m AS m0, lead(m) OVER o AS m1 FROM k WINDOW o AS (ORDER BY i)) SELECT vec_id, wl_idx, round(value * (a0 + (wavelength - w0) / 50 * (a1 - a0)), 8) + 0.0 AS absorbed, round(value + m0 + (wavelength - w0) / 50 * (m1 - m0), 6) + 0.0 AS above FROM lg JOIN n ON floor((wavelength - 400) / 50) = i")
 def optics_files(spark, sf_dir):
-    """Optics of the water and the bottom from files, at the sensor's bands."""
+    """Optics of the water and the bottom from files, at the sensor's bands, met with all spectra."""
     path = _folder(spark, "optics")
-    n = spark.range(9).select((400 + 50.0 * F.col("id")).alias("wl"), (0.01 + 0.002 * F.col("id") * F.col("id")).alias("a_w"), F.lit(0.5).alias("a0"), F.lit(0.1).alias("a1"), (0.1 + 0.05 * F.col("id")).alias("m"))
+    k = read(spark, sf_dir, "part").groupBy((F.col("p_size") % 9).alias("k")).agg((F.avg("p_retailprice") / 1e5).alias("a_w"), (F.avg("p_retailprice") / 4e3).alias("m"))
+    n = k.select((400 + 50.0 * F.col("k")).alias("wl"), "a_w", F.lit(0.5).alias("a0"), F.lit(0.1).alias("a1"), "m")
     n.select("wl", "a_w").write.csv(f"{path}/a_w", header=True)
     n.select("wl", "a0", "a1").write.csv(f"{path}/phyto", header=True)
     two = F.explode(F.array(F.struct(F.lit("sand").alias("class"), (F.col("m") + 0.02).alias("r_b_mean")), F.struct(F.lit("weed").alias("class"), (F.col("m") - 0.02).alias("r_b_mean"))))
     n.select("wl", two.alias("c")).select("wl", "c.*").write.csv(f"{path}/bottom", header=True)
     o = invert.optics_from_files(spark, path, WL)
-    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(o.a_w, o.bottom))]
-    return rounded(spark.createDataFrame(rows, "wl_idx long, a_w double, bottom double"), "a_w", "bottom")
+    fixed = [F.array(*[F.lit(float(x)) for x in v]).alias(name) for name, v in (("a_w", o.a_w), ("bottom", o.bottom))]
+    long = pixels(spark, sf_dir).select("vec_id", F.inline(F.arrays_zip(F.sequence(F.lit(0), F.lit(63)).alias("wl_idx"), "s", *fixed)))
+    return long.select("vec_id", "wl_idx", (F.round(F.col("s") * F.col("a_w"), 8) + F.lit(0.0)).alias("absorbed"), r(F.col("s") + F.col("bottom")).alias("above"))
 
 
-@query("WITH n AS (SELECT i, j, k, 400 + 100.0 * k AS wavelength, 0.1 * i + 0.01 * j * 5 + (400 + 100.0 * k) / 1e5 AS path FROM range(3) x(i), range(2) y(j), range(4) z(k)) SELECT i::INTEGER AS i_sun, j::INTEGER AS i_view, k::INTEGER AS wl_idx, wavelength::DOUBLE AS wavelength, round(path, 7)::DOUBLE AS path FROM n")
+@query("WITH x AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM (SELECT DISTINCT p_size % 7 * 10 AS s FROM part)), n AS (SELECT i, j, k, 400 + 100.0 * k AS wavelength, 0.01 * s + 0.01 * j * 5 + (400 + 100.0 * k) / 1e5 AS path FROM x, range(2) y(j), range(4) z(k)) SELECT i::INTEGER AS i_sun, j::INTEGER AS i_view, k::INTEGER AS wl_idx, wavelength::DOUBLE AS wavelength, round(path, 7)::DOUBLE AS path FROM n")
 def lut_generated(spark, sf_dir):
-    """A table made node by node by a model, here a plain one."""
-    spec = lut.LutSpec({"sun": [0, 10, 20], "view": [0, 5]}, ["path"])
+    """A table made node by node by a model, here a plain one, over an axis that parts name."""
+    sun = sorted(x[0] for x in read(spark, sf_dir, "part").select(F.col("p_size") % 7 * 10).distinct().collect())  # seven at most
+    spec = lut.LutSpec({"sun": sun, "view": [0, 5]}, ["path"])
     got = lut.generate(spark, spec, [400, 500, 600, 700], lambda axes, wl: {"path": [0.01 * axes["sun"] + 0.01 * axes["view"] + w / 1e5 for w in wl]})
     return got.select("i_sun", "i_view", "wl_idx", "wavelength", F.round("path", 7).alias("path"))
 
 
-@query("WITH g AS (SELECT i AS \"row\", j AS col FROM range(6) x(i), range(12) y(j)), s AS (SELECT *, 2 * col + 0.5 AS sample FROM g) SELECT \"row\", col, round(degrees(atan(abs(12 - sample) / 1000)), 6) + 0.0 AS vza FROM s")
+@query("SELECT event_id // 24 AS \"row\", event_id % 24 // 2 AS col, round(degrees(atan(abs(12 - (event_id % 24 + 0.5)) / 1000)), 6) + 0.0 AS vza FROM events WHERE event_id % 2 = 0")
 def view_geometry_on_grid(spark, sf_dir):
     """View angles of swath samples put on the scene's grid, gaps filled along its lines."""
-    swath = spark.range(6 * 24).select(F.expr("cast(id div 24 as int)").alias("line"), (F.col("id") % 24).cast("int").alias("sample"))
+    swath = read(spark, sf_dir, "events").select(F.expr("cast(event_id div 24 as int)").alias("line"), (F.col("event_id") % 24).cast("int").alias("sample"))
     z, _ = geo.view_angles(F.col("sample"), 24, 1.0, 1000.0, 35.0)
     placed = swath.where("sample % 2 = 0").withColumns({"row": F.col("line"), "col": F.expr("cast(sample div 2 as int)"), "vza": z})
     grid = raster.scattered(placed.select("row", "col"), raster.scatter_last(placed, "vza"), ["vza"])
@@ -923,21 +939,17 @@ def l2w(spark, sf_dir):
     return base._exploded(correction.l2w(spark.read.parquet(path), WL), F.col("rho_w_gl21"))
 
 
-HEADER = "ENVI\nsamples = 40\nlines = 30\nmap info = {UTM, 1, 1, 500000, 5500000, 2.5, 2.5, 20, North}\nwavelength = {\n 400.0, 500.5 }\ndescription = {\n  Swath = 7 ,\n  unit = m }\n"
-
-
-@query("SELECT 40 AS samples, 30 AS lines, 2 AS bands, 500.5::DOUBLE AS last, 2.5::DOUBLE AS dx, 5500000::DOUBLE AS y, 'UTM zone 20 North' AS projection, '7' AS swath, 1000.5::DOUBLE AS height, 45.25::DOUBLE AS heading")
+@query("SELECT n_nationkey, 40 + n_nationkey AS samples, 30 AS lines, 2 AS bands, 500.5 + n_nationkey::DOUBLE AS last, 2.5::DOUBLE AS dx, (5500000 + n_regionkey)::DOUBLE AS y, 'UTM zone 20 North' AS projection, n_name AS swath FROM nation")
 def envi_header(spark, sf_dir):
-    """Header, map info and flight line of a cube."""
+    """Headers and map info of many cubes, a file each."""
     path = _folder(spark, "h")
-    for name, text in ((".hdr", HEADER), (".log", "junk\nAverage Value 1000.5 45.25\n")):
-        with open(path + name, "w", encoding="utf-8") as f:
-            f.write(text)
-    h = envi.read_header(spark, path + ".hdr")
-    affine, projection = envi.parse_map_info(h["map info"])
-    line = envi.read_flight_line(spark, path + ".log", path + ".hdr")
-    row = (int(h["samples"]), int(h["lines"]), len(h["wavelength"]), float(h["wavelength"][-1]), affine[0], affine[5], projection, h["swath"], line.height, line.heading)
-    return spark.createDataFrame([row], "samples int, lines int, bands int, last double, dx double, y double, projection string, swath string, height double, heading double")
+    key = F.col("n_nationkey").cast("string")
+    text = F.concat(F.lit("ENVI\nsamples = "), (40 + F.col("n_nationkey")).cast("string"), F.lit("\nlines = 30\nmap info = {UTM, 1, 1, 500000, "), (5500000 + F.col("n_regionkey")).cast("string"), F.lit(", 2.5, 2.5, 20, North}\nwavelength = {\n 400.0, "), (F.col("n_nationkey") + 500.5).cast("string"), F.lit(" }\ndescription = {\n  Swath = "), F.col("n_name"), F.lit(" ,\n  Key = "), key, F.lit(" }\n"))
+    read(spark, sf_dir, "nation").select("n_nationkey", text.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    h = envi.read_headers(spark, path)
+    one = lambda k: F.get(F.col("entries")[k], F.lit(0))
+    wl = F.col("entries")["wavelength"]
+    return h.select(one("key").cast("long").alias("n_nationkey"), one("samples").cast("long").alias("samples"), one("lines").cast("int").alias("lines"), F.size(wl).alias("bands"), F.element_at(wl, -1).cast("double").alias("last"), F.get("affine", F.lit(0)).alias("dx"), F.get("affine", F.lit(5)).alias("y"), "projection", one("swath").alias("swath"))
 
 
 @query("SELECT n_name || '.txt' AS name, sha256(n_name) AS sha256 FROM nation")
@@ -956,12 +968,12 @@ def file_digests(spark, sf_dir):
 # --- inversion -------------------------------------------------------------------------------------
 
 
-@query("SELECT i AS id, round(0.6 + (i % 5) * 0.3, 2)::DOUBLE AS chl, round(1.0 + (i % 7) * 0.5, 2)::DOUBLE AS h_w, round(0.5 + (i % 4) * 0.5, 2)::DOUBLE AS spm, true AS ok FROM range(140) t(i)")
+@query("SELECT vec_id AS id, round(0.6 + (vec_id % 5) * 0.3, 2)::DOUBLE AS chl, round(1.0 + (vec_id % 7) * 0.5, 2)::DOUBLE AS h_w, round(0.5 + (vec_id % 4) * 0.5, 2)::DOUBLE AS spm, true AS ok FROM embeddings")
 def map_recovers(spark, sf_dir):
     """Water that is known, through the model in the JVM, and back by the inversion."""
     o = invert.synthetic_optics(WL)
     lit = lambda x: F.lit(float(x))
-    t = spark.range(140).select("id", (0.6 + (F.col("id") % 5) * 0.3).alias("chl"), (1.0 + (F.col("id") % 7) * 0.5).alias("h_w"), (0.5 + (F.col("id") % 4) * 0.5).alias("spm"))
+    t = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")).select("id", (0.6 + (F.col("id") % 5) * 0.3).alias("chl"), (1.0 + (F.col("id") % 7) * 0.5).alias("h_w"), (0.5 + (F.col("id") % 4) * 0.5).alias("spm"))
 
     w = F.col("b.w")
     each = t.select("*", F.explode(F.array(*[F.struct(*[lit(x).alias(n) for n, x in zip(("w", "a_w", "a0", "a1", "rb"), five)]) for five in zip(o.wavelength, o.a_w, o.a0, o.a1, o.bottom)])).alias("b"))

@@ -6,7 +6,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ENTRY = re.compile(r"^\s*([^={}\n]+?)\s*=\s*(\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|[^\n]*)", re.M)
@@ -32,10 +32,33 @@ def parse_header(text: str) -> dict:
 def read_header(spark: SparkSession, path: str) -> dict:
     """A header is one small file; its bytes are read by Spark, whatever the store."""
     raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    return parse_header(_decoded(bytes(raw)))
+
+
+def _decoded(raw: bytes) -> str:
     try:
-        return parse_header(bytes(raw).decode("utf-8"))
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return parse_header(bytes(raw).decode("latin-1"))
+        return raw.decode("latin-1")
+
+
+def read_headers(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """A row a header file: path, entries (lists of words; single values are lists of one), and the affine and projection of its map info."""
+    import pyarrow as pa
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+
+    def run(batches):
+        for b in batches:
+            found = [parse_header(_decoded(bytes(x))) for x in b.column("content").to_pylist()]
+            entries = [[(k, v if isinstance(v, list) else [v]) for k, v in h.items()] for h in found]
+            maps = [parse_map_info(h["map info"]) if "map info" in h else None for h in found]
+            yield pa.RecordBatch.from_arrays([
+                b.column("path"), pa.array(entries, pa.map_(pa.string(), pa.list_(pa.string()))),
+                pa.array([m and [float(x) for x in m[0]] for m in maps], pa.list_(pa.float64())), pa.array([m and m[1] for m in maps], pa.string()),
+            ], names=["path", "entries", "affine", "projection"])
+
+    return files.mapInArrow(run, "path string, entries map<string,array<string>>, affine array<double>, projection string")
 
 
 def parse_map_info(info: list[str] | str) -> tuple[tuple[float, ...], str] | None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -111,12 +113,39 @@ class _RawCubeReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition((a, min(a + self.block, self.lines))) for a in range(0, self.lines, self.block)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import numpy as np
-
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """A record batch a line."""
         a, b = partition.value
         cube = np.memmap(self.path, np.float32, "r", shape=(self.bands, self.lines, self.samples))
-        part = np.array(cube[:, a:b, :])
-        for r in range(b - a):
-            for c in range(self.samples):
-                yield a + r, c, part[:, r, c].tolist()
+        for r in range(a, b):
+            spectra = np.ascontiguousarray(cube[:, r, :].T).ravel()
+            ends = pa.array(np.arange(self.samples + 1) * self.bands, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(self.samples, r), pa.int32()), pa.array(np.arange(self.samples), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(spectra))], names=["row", "col", "radiance"])
+
+
+def write_raw_cube(pixels: DataFrame, spectrum: str, path: str, samples: int, lines: int, bands: int, block: int = 256) -> None:
+    """Pixels (row, col, spectrum) as a band-sequential float32 cube in a folder that all executors share; cells that are not there are NaN.
+
+    The file gets its length first; blocks of lines are then written in place, each by one task and the same if twice.
+    """
+    with open(path, "wb") as f:
+        f.truncate(4 * samples * lines * bands)
+
+    def store(table: pa.Table) -> pa.Table:
+        first = table.column("block")[0].as_py() * block
+        n = min(block, lines - first)
+        part = np.full((bands, n, samples), np.nan, np.float32)
+        rows, cols = table.column("row").to_numpy(), table.column("col").to_numpy()
+        there = [s is not None for s in table.column("s").to_pylist()]
+        values = np.array([[np.nan if v is None else v for v in s] for s in table.column("s").to_pylist() if s is not None], np.float32).reshape(-1, bands)
+        part[:, rows[there] - first, cols[there]] = values.T
+        with open(path, "r+b") as f:
+            for k in range(bands):
+                f.seek(4 * samples * (k * lines + first))
+                f.write(part[k].tobytes())
+        return pa.table({"n": pa.array([1], pa.int64())})
+
+    cells = pixels.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(spectrum).cast("array<double>").alias("s"))
+    every = pixels.sparkSession.range(0, lines, block).select(F.col("id").cast("int").alias("row"), F.lit(0).alias("col"), F.lit(None).cast("array<double>").alias("s"))  # blocks without a pixel too
+    both = every.unionByName(cells).withColumn("block", F.floor(F.col("row") / block))
+    both.groupBy("block").applyInArrow(store, "n long").agg(F.sum("n")).collect()  # one number

@@ -35,7 +35,7 @@ def test_query_as_sql(spark, db, name):
     got, want = (d[cols].sort_values(cols).reset_index(drop=True) for d in (got, want))
     for c in cols:
         if got[c].dtype.kind == "f":
-            assert ((got[c] - want[c]).abs() < 2e-5).eq(True).where(got[c].notna() | want[c].notna(), True).all(), c
+            assert ((got[c] - want[c]).abs() < 1e-7).eq(True).where(got[c].notna() | want[c].notna(), True).all(), c
         else:
             assert (got[c].astype(str) == want[c].astype(str)).all(), c
 
