@@ -43,21 +43,43 @@ def kernel(sigma: float, truncate: float = 3.0) -> list[tuple[int, float]]:
     return [(k - r, x / sum(w)) for k, x in enumerate(w)]
 
 
-def gaussian(pixels: DataFrame, value: str, sigma: float, truncate: float = 3.0, out: str = "smooth", by: Sequence[str] = ()) -> DataFrame:
+def _blurred(grid: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A grid convolved along rows and columns; beyond its edges there is nothing."""
+    for axis in (0, 1):
+        r = len(weights) // 2
+        padded = np.pad(grid, [(r, r) if k == axis else (0, 0) for k in (0, 1)])
+        n = grid.shape[axis]
+        grid = sum(w * np.take(padded, range(k, k + n), axis) for k, w in enumerate(weights))
+    return grid
+
+
+def gaussian(pixels: DataFrame, value: str, sigma: float, truncate: float = 3.0, out: str = "smooth", by: Sequence[str] = (), tile: int = 256) -> DataFrame:
     """Blur that skips missing cells: blur(v m) / (blur(m) + 1e-12), NULL where blur(m) < 1e-6.
 
-    Separable: rows, then columns. Each pass copies a cell to the offsets of
-    its kernel and sums by target, with map-side combine; weights falling
-    outside the table are lost, as beyond an image's edge.
+    Tiles with a halo of the kernel's reach, one for each of ``by``: a cell is copied to its neighbouring tiles only,
+    whatever the kernel. Weights falling outside the table are lost, as beyond an image's edge.
     """
-    k = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel(sigma, truncate)])
-    ok = F.col(value).isNotNull() & ~F.isnan(value)
-    df = pixels.select(*by, "row", "col", F.when(ok, F.col(value)).otherwise(0.0).alias("v"), F.when(ok, 1.0).otherwise(0.0).alias("m"))
-    for axis in ("col", "row"):
-        other = "row" if axis == "col" else "col"
-        spread = df.select(*by, other, axis, "v", "m", F.explode(k).alias("k")).withColumn(axis, F.col(axis) + F.col("k.o"))
-        df = spread.groupBy(*by, "row", "col").agg(F.sum(F.col("v") * F.col("k.w")).alias("v"), F.sum(F.col("m") * F.col("k.w")).alias("m"))
-    done = df.select(*by, "row", "col", F.when(F.col("m") >= 1e-6, F.col("v") / (F.col("m") + 1e-12)).alias(out))
+    weights = np.array([w for _, w in kernel(sigma, truncate)])
+    reach = len(weights) // 2
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")).alias("__v")
+    near = with_halo(pixels.select(*by, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), v), tile, reach)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in near.select(*by, "row", "col").schema), f"`{out}` double"])
+
+    def run(table: pa.Table) -> pa.Table:
+        ty, tx = table.column("ty")[0].as_py(), table.column("tx")[0].as_py()
+        r, c = table.column("row").to_numpy(), table.column("col").to_numpy()
+        y, x = r - r.min(), c - c.min()
+        got = np.full((y.max() + 1, x.max() + 1), np.nan)
+        got[y, x] = table.column("__v").to_numpy(zero_copy_only=False)
+        known = ~np.isnan(got)
+        m = _blurred(known.astype(float), weights)
+        smooth = _blurred(np.where(known, got, 0.0), weights) / (m + 1e-12)
+        own = np.flatnonzero((r // tile == ty) & (c // tile == tx))
+        part = table.take(pa.array(own))
+        y, x = y[own], x[own]
+        return pa.table([*(part.column(k) for k in (*by, "row", "col")), pa.array(smooth[y, x], pa.float64(), mask=m[y, x] < 1e-6)], names=[*by, "row", "col", out])
+
+    done = near.groupBy(*by, "ty", "tx").applyInArrow(run, schema)
     return pixels.join(done, [*by, "row", "col"], "left")
 
 

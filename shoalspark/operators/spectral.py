@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,11 +136,32 @@ def interpolate(df: DataFrame, x: str, nodes: DataFrame, node_x: str, node_y: st
 
 
 def covariance(pixels: DataFrame, spectrum: str, bands: int) -> DataFrame:
-    """(i, j, cov) of a spectrum's bands, i <= j, over all pixels; zero for a single one. Moments combine in each task before the shuffle."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
-    pairs = pixels.select(F.col(spectrum).alias("s"), at.alias("i")).select("s", "i", F.explode(F.sequence(F.col("i"), F.lit(bands - 1))).alias("j"))
-    cov = F.covar_samp(F.get("s", F.col("i")), F.get("s", F.col("j")))
-    return pairs.groupBy("i", "j").agg(F.coalesce(F.nanvl(cov, F.lit(0.0)), F.lit(0.0)).alias("cov"))
+    """(i, j, cov) of a spectrum's bands, i <= j, over all pixels that have both; zero for a single one.
+
+    A first pass takes the bands' means, a second the products of what is left, in Arrow batches: each task sends one
+    row a pair of bands, whatever its pixels. NULL and NaN are missing.
+    """
+    value = lambda k: F.get(F.col(spectrum), F.lit(k)).cast("double")
+    means = pixels.agg(*[F.avg(F.when(~F.isnan(value(k)), value(k))) for k in range(bands)]).first()
+    shift = np.array([0.0 if m is None else m for m in means])
+    i, j = np.triu_indices(bands)
+
+    def moments(batches):
+        n, sx, sy, sxy = np.zeros((4, bands, bands))
+        for b in batches:
+            rows = [r for r in b.column("s").to_pylist() if r is not None]
+            if not rows:
+                continue
+            x = np.array([[np.nan if v is None else v for v in (list(r) + [None] * bands)[:bands]] for r in rows], float) - shift
+            ok = (~np.isnan(x)).astype(float)
+            x = np.where(ok > 0, x, 0.0)
+            n, sx, sy, sxy = n + ok.T @ ok, sx + x.T @ ok, sy + ok.T @ x, sxy + x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *(pa.array(m[i, j]) for m in (n, sx, sy, sxy))], names=["i", "j", "n", "sx", "sy", "sxy"])
+
+    parts = pixels.select(F.col(spectrum).cast("array<double>").alias("s")).mapInArrow(moments, "i int, j int, n double, sx double, sy double, sxy double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    cov = F.try_divide(F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n")), F.col("n") - 1)
+    return total.select("i", "j", F.coalesce(cov, F.lit(0.0)).alias("cov"))
 
 
 # --- exact quantiles ------------------------------------------------------------

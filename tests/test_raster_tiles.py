@@ -60,3 +60,25 @@ def test_cubic_resampling_is_exact_for_cubics_along_an_axis(spark):
     holed = src.where("not (row = 6 and col = 10)")
     got = {r["id"]: r["v"] for r in raster.resample(target, holed, "v", (1, 0, 0, 0, 1, 0), "cubic").collect()}
     assert got[23] is None and got[0] is not None
+
+
+def test_blur_does_not_depend_on_the_tile(spark):
+    rng = np.random.default_rng(4)
+    grid = [[None if rng.random() < 0.2 else float(rng.random()) for _ in range(21)] for _ in range(13)]
+    got = [{(r["row"], r["col"]): r["smooth"] for r in raster.gaussian(table(spark, grid), "v", 1.5, tile=t).collect()} for t in (4, 99)]
+    k = dict(raster.kernel(1.5))
+    for (r, c), v in got[0].items():
+        near = [(k[y - r] * k[x - c], grid[y][x]) for y in range(13) for x in range(21) if y - r in k and x - c in k and grid[y][x] is not None]
+        assert v == pytest.approx(sum(w * z for w, z in near) / (sum(w for w, _ in near) + 1e-12)) and got[1][r, c] == pytest.approx(v)
+
+
+def test_covariance_of_bands_with_gaps(spark):
+    from shoalspark.operators import spectral
+
+    rows = [([1e6 + 1.0, 2.0, None],), ([1e6 + 2.0, 1.0, 5.0],), ([1e6 + 4.0, float("nan"), 6.0],), ([1e6, 7.0, 2.0],), (None,)]
+    got = {(r["i"], r["j"]): r["cov"] for r in spectral.covariance(spark.createDataFrame(rows, "s array<double>").repartition(3), "s", 3).collect()}
+    cov = lambda x, y: np.cov(x, y)[0, 1]
+    assert got[0, 1] == pytest.approx(cov([1, 2, 0], [2, 1, 7])) and got[0, 2] == pytest.approx(cov([2, 4, 0], [5, 6, 2])) and got[1, 2] == pytest.approx(cov([1, 7], [5, 2]))
+    assert got[0, 0] == pytest.approx(np.var([1, 2, 4, 0], ddof=1))
+    one = {r["cov"] for r in spectral.covariance(spark.createDataFrame(rows[:1], "s array<double>"), "s", 3).collect()}
+    assert one == {0.0}
