@@ -7,6 +7,7 @@ row of checked size that goes to all tasks. No pixel is shuffled.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping, Sequence
 
@@ -134,18 +135,19 @@ def matchup_bands(pixels: DataFrame, wavelengths: Sequence[float], insitu: DataF
 # --- many scenes -----------------------------------------------------------------------
 
 
-def archive_atmosphere(pixels: DataFrame, scenes: DataFrame, aerosol: DataFrame, aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, key: str = "image_id", carry: Sequence[str] = ()) -> DataFrame:
+def archive_atmosphere(pixels: DataFrame, scenes: DataFrame, aerosol: DataFrame | Mapping[str, DataFrame], aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, key: str = "image_id", carry: Sequence[str] = ()) -> DataFrame:
     """with_atmosphere() for the pixels of all scenes in one plan; ``carry``: columns of ``scenes`` that pixels get too.
 
     Each scene's tables are bound to its own scalars (``scenes``: key and a column for every axis that does not vary
     by pixel) and packed into one row. The rows are counted: up to lut.TABLE_BYTES in all they are sent to every task,
     and no pixel is shuffled; beyond it pixels and rows meet by a join on the key. Pixels of a scene that is not in
-    ``scenes``, or has a value outside an axis, get NULL terms.
+    ``scenes``, or has a value outside an axis, get NULL terms. With several aerosol tables, by name, a scene takes
+    the one that its ``aerosol_model`` names.
     """
     rows = scenes.select(key, *carry)
     n_bytes = 0
     for k, (nodes, spec) in enumerate(((aerosol, aerosol_spec), (gas, gas_spec))):
-        packed, left = lut.bind_scenes(nodes, spec, scenes, key, [a for a in spec.axes if a not in lut.PIXEL_AXES])
+        packed, left = _bound(nodes, spec, scenes, key)
         rows = rows.join(packed.withColumnRenamed("table", f"__table{k}"), key, "left")
         n_bytes += len(spec.outputs) * 8 * math.prod(len(v) for v in left.axes.values())
     rows = materialize(rows, "scene-tables")
@@ -157,7 +159,52 @@ def archive_atmosphere(pixels: DataFrame, scenes: DataFrame, aerosol: DataFrame,
     return out
 
 
-def archive_l1_to_l2(pixels: DataFrame, scenes: DataFrame, wavelengths: Sequence[float], aerosol: DataFrame, aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, key: str = "image_id", f0: str = "f0", gain: Sequence[float] | None = None, offset: Sequence[float] | None = None, exact: bool = False) -> DataFrame:
+def _bound(nodes: DataFrame | Mapping[str, DataFrame], spec: lut.LutSpec, scenes: DataFrame, key: str) -> tuple[DataFrame, lut.LutSpec]:
+    axes = [a for a in spec.axes if a not in lut.PIXEL_AXES]
+    if isinstance(nodes, DataFrame):
+        return lut.bind_scenes(nodes, spec, scenes, key, axes)
+    parts = [lut.bind_scenes(n, spec, scenes.where(F.col("aerosol_model") == name), key, axes) for name, n in nodes.items()]
+    return functools.reduce(DataFrame.unionByName, [p for p, _ in parts]), parts[0][1]
+
+
+def dark_aod(l1: DataFrame, scenes: DataFrame, aerosol: Mapping[str, DataFrame], spec: lut.LutSpec, key: str = "image_id", axis: str = "aot550") -> DataFrame:
+    """(key, aot550, aerosol_model, spread, n_bands): each scene's aerosol from its own dark spectrum.
+
+    Of every band the darkest pixel (the first on ties, by row and column) gives the reflectance and its angles; the
+    AOD of a band is where a model's path reflectance equals it, NULL outside the table. A scene's AOD by a model is
+    the median of its bands, and the model whose bands agree best (least spread, then name) is taken. Scenes without a
+    band inside keep NULL. All scenes and models are one plan: a pixel's bands are reduced to minima in its own task.
+    """
+    names, aods = list(aerosol), [float(x) for x in spec.axes[axis]]
+    place = F.struct("value", "row", "col", *lut.PIXEL_AXES)
+    long = l1.select(key, "row", "col", *lut.PIXEL_AXES, F.posexplode("rho_at_sensor").alias("wl_idx", "value")).where("value is not null and not isnan(value)")
+    dark = materialize(long.groupBy(key, "wl_idx").agg(F.min(place).alias("d")).select(key, "wl_idx", "d.value", *[f"d.{a}" for a in lut.PIXEL_AXES]), "dark")
+    found = []
+    for name in names:
+        only = lut.LutSpec(spec.axes, ["path"], spec.units)
+        fixed = [a for a in spec.axes if a not in (*lut.PIXEL_AXES, axis)]
+        table, left = lut.bind_scenes(aerosol[name].select(*[f"i_{a}" for a in spec.axes], "wl_idx", "path"), only, scenes, key, fixed)
+        nodes = dark.join(table, key).select("*", F.posexplode(F.array(*[F.lit(a) for a in aods])).alias("__k", axis))
+        path = lut.interpolated(nodes, left).select(key, "wl_idx", "value", "__k", F.get("path", F.col("wl_idx")).alias("path"))
+        curve = path.groupBy(key, "wl_idx", "value").agg(F.array_sort(F.collect_list(F.struct("__k", "path"))).alias("c"))  # the axis' nodes
+        at = lambda k: F.get("c", F.lit(k))["path"]
+        each = [F.when((F.col("value") >= at(k)) & (F.col("value") <= at(k + 1)), x + (F.col("value") - at(k)) * F.try_divide(F.lit(y - x), at(k + 1) - at(k))) for k, (x, y) in enumerate(zip(aods, aods[1:]))]
+        found.append(curve.select(key, F.lit(name).alias("aerosol_model"), F.array_min(F.array(*each)).alias("aod")))
+    by_model = functools.reduce(DataFrame.unionByName, found).groupBy(key, "aerosol_model").agg(F.median("aod").alias(axis), F.stddev_pop("aod").alias("spread"), F.count("aod").alias("n_bands"))  # a sensor's bands
+    best = by_model.where("n_bands > 0").groupBy(key).agg(F.min(F.struct("spread", "aerosol_model", axis, "n_bands")).alias("b"))
+    return scenes.select(key).join(best, key, "left").select(key, f"b.{axis}", "b.aerosol_model", "b.spread", "b.n_bands")
+
+
+def archive_dark_l1_to_l2(pixels: DataFrame, scenes: DataFrame, wavelengths: Sequence[float], aerosol: Mapping[str, DataFrame], aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, key: str = "image_id", f0: str = "f0", exact: bool = False) -> DataFrame:
+    """archive_l1_to_l2() without a given AOD: pixels are read once for the dark spectra and once for the correction."""
+    sun = scenes.select(key, f0)  # a row a scene
+    l1 = l1r(pixels.join(sun, key), wavelengths, F.col(f0)).drop(f0)
+    aod = materialize(dark_aod(l1, scenes, aerosol, aerosol_spec, key), "aod")
+    known = scenes.drop("aot550", "aerosol_model").join(aod.select(key, "aot550", "aerosol_model"), key, "left")
+    return archive_l1_to_l2(pixels, known, wavelengths, aerosol, aerosol_spec, gas, gas_spec, key, f0, exact=exact).join(aod.select(key, "aot550", "aerosol_model"), key, "left")
+
+
+def archive_l1_to_l2(pixels: DataFrame, scenes: DataFrame, wavelengths: Sequence[float], aerosol: DataFrame | Mapping[str, DataFrame], aerosol_spec: lut.LutSpec, gas: DataFrame, gas_spec: lut.LutSpec, key: str = "image_id", f0: str = "f0", gain: Sequence[float] | None = None, offset: Sequence[float] | None = None, exact: bool = False) -> DataFrame:
     """l1_to_l2() of an archive: ``scenes`` holds each scene's key, scalars and irradiance by band (``f0``)."""
     out = archive_atmosphere(pixels, scenes, aerosol, aerosol_spec, gas, gas_spec, key, (f0,))
     return surface(l1r(out, wavelengths, F.col(f0), gain, offset).drop(f0), wavelengths, exact)

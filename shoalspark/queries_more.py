@@ -559,6 +559,28 @@ def archive_l1_to_l2(spark, sf_dir):
     return rounded(long, *terms)
 
 
+DARK_PATH = SCENE_TERMS["path"].replace("0.1 * aot", "0.1 * 0")
+
+
+@query(
+    f"WITH {LG}, {ANGLES}, {SCENES}, b AS (SELECT vec_id, image_id, wl_idx, w, ps, alt, wv, oz, sza, vza, raa, " + ", ".join(f"{SCENE_TERMS[c]} AS {c}" for c in ("rho", "glint", "t_gas")) + f", {DARK_PATH} AS path0 FROM ai), "
+    "d AS (SELECT image_id, wl_idx, min(rho) AS rho, arg_min(path0, (rho, vec_id)) AS p FROM b WHERE ps <= 1050 GROUP BY 1, 2), o AS (SELECT image_id, k AS model, (rho / f - p) / 0.1 AS aod FROM d, (VALUES ('clear', 1.0), ('hazy', 1.25)) m(k, f)), "
+    "s AS (SELECT image_id, model, median(aod) AS aot, stddev_pop(aod) AS spread FROM o WHERE aod BETWEEN 0 AND 0.3 GROUP BY 1, 2), z AS (SELECT image_id, arg_min(model, (spread, model)) AS model, arg_min(aot, (spread, model)) AS aot FROM s GROUP BY 1), "
+    f"c AS (SELECT b.*, model, aot, CASE model WHEN 'hazy' THEN 1.25 ELSE 1.0 END * (path0 + 0.1 * aot) AS path, {SCENE_TERMS['t_ra']} AS t_ra, {SCENE_TERMS['s_ra']} AS s_ra FROM b LEFT JOIN z USING (image_id)), "
+    f"m AS (SELECT vec_id, max(rho) FILTER (wl_idx = {GREEN}) > max(rho) FILTER (wl_idx = {NIR}) AS water FROM b GROUP BY 1) "
+    "SELECT vec_id, image_id, wl_idx, model AS aerosol_model, round(aot, 6) + 0.0 AS aot550, CASE WHEN water THEN round((rho / t_gas - path) / t_ra + s_ra * (rho / t_gas - path) - glint, 6) + 0.0 END AS rho_w FROM c JOIN m USING (vec_id)"
+)
+def archive_dark_correction(spark, sf_dir):
+    """Radiance to water-leaving reflectance of 128 scenes whose aerosol, of two kinds, comes from their own dark spectra."""
+    p = _angled(spark, sf_dir).withColumn("radiance", F.transform("s", lambda v: v * 40)).withColumn("image_id", F.col("vec_id") % N_SCENES)
+    clear = _aerosol(spark)
+    models = {"clear": clear, "hazy": clear.withColumn("path", F.col("path") * 1.25)}
+    out = correction.archive_dark_l1_to_l2(p, archive(spark, sf_dir).drop("aot550"), WL, models, AER, _gas(spark), GAS)
+    none = F.transform("radiance", lambda _: F.lit(None).cast("double"))
+    long = out.select("vec_id", "image_id", "aerosol_model", "aot550", F.posexplode(F.coalesce("rho_w", none)).alias("wl_idx", "rho_w"))
+    return rounded(long, "aot550", "rho_w")
+
+
 SWEEP_WL = [400.0, 500.0, 600.0, 700.0, 800.0]
 
 

@@ -489,3 +489,25 @@ def test_pixels_of_an_archive_are_not_shuffled(spark):
     out = correction.archive_l1_to_l2(px, scenes, [550.0], lut.synthetic(spark, s, [550.0]), s, lut.synthetic(spark, g, [550.0]), g)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+
+
+def test_dark_spectra_choose_aerosol_and_model(spark):
+    """Path reflectance made with a known AOD and model is what both are found from."""
+    wl = [500.0, 600.0, 700.0]
+    s = lut.LutSpec({"sun_zenith": [0, 60], "view_zenith": [0, 20], "relative_azimuth": [0, 180], "aot550": [0, 0.1, 0.4], "pressure": [900, 1050]}, ["path", "t_ra", "s_ra", "glint"])
+    g = lut.LutSpec({"sun_zenith": [0, 60], "view_zenith": [0, 20], "relative_azimuth": [0, 180], "water": [0, 5]}, ["t_gas"])
+    grid = s.grid(spark).select("*", F.posexplode(F.array(*map(F.lit, wl))).alias("wl_idx", "wavelength"))
+    a = {"flat": grid.withColumn("path", 0.02 + F.col("aot550") * 0.2), "blue": grid.withColumn("path", 0.02 + F.col("aot550") * 0.2 * 700 / F.col("wavelength"))}
+    a = {k: v.withColumns({"t_ra": F.lit(0.9), "s_ra": F.lit(0.1), "glint": F.lit(0.0)}).drop(*s.axes) for k, v in a.items()}
+    truth = {0: (0.25, "blue"), 1: (0.05, "flat"), 2: (9.0, "flat")}  # the last is outside
+    path = lambda i, w: 0.02 + truth[i][0] * 0.2 * (700 / w if truth[i][1] == "blue" else 1)
+    rows = [(i, r, c, 30.0, 5.0, 90.0, [(path(i, w) + 0.01 * (r + c)) * 100 * math.cos(math.radians(30)) / math.pi for w in wl]) for i in range(3) for r in range(3) for c in range(3)]
+    px = spark.createDataFrame(rows, "image_id int, row int, col int, sun_zenith double, view_zenith double, relative_azimuth double, radiance array<double>")
+    scenes = spark.createDataFrame([(i, 1000.0, 1.0, [100.0] * 3) for i in range(3)] + [(7, 1000.0, 1.0, [100.0] * 3)], "image_id int, pressure double, water double, f0 array<double>")
+    aod = {r["image_id"]: r for r in correction.dark_aod(correction.l1r(px, wl, [100.0] * 3), scenes, a, s).collect()}
+    for i in (0, 1):
+        assert aod[i]["aot550"] == pytest.approx(truth[i][0]) and aod[i]["aerosol_model"] == truth[i][1] and aod[i]["n_bands"] == 3
+    assert aod[2]["aot550"] is None and aod[7]["aerosol_model"] is None
+    out = correction.archive_dark_l1_to_l2(px, scenes, wl, a, s, lut.synthetic(spark, g, wl), g).collect()
+    assert len(out) == 27 and all((r["rho_s"] is None) == (r["image_id"] == 2) for r in out)
+    assert {r["image_id"]: r["aerosol_model"] for r in out} == {0: "blue", 1: "flat", 2: None}
