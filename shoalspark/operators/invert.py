@@ -475,6 +475,37 @@ def invert(pixels: DataFrame, key: Sequence[str], rho: str, optics: Optics, sun:
     return df.mapInArrow(run, schema)
 
 
+def posterior_draws(pixels: DataFrame, key: Sequence[str], rho: str, optics: Optics, sun: str = "sun_zenith", view: str = "view_zenith", sigma: float = 2e-4, chains: int = 4, draws: int = 250, warmup: int = 250, seed: int = 1234, iterations: int = 200) -> DataFrame:
+    """(key, chain, draw, parameters): draws of each valid spectrum's posterior, a row a draw, for sampling.summary().
+
+    Chains start at the spectrum's mode and move in the metric of its Gauss-Newton matrix there. Spectra that are not
+    valid have no rows.
+    """
+    from .sampling import draw_table
+
+    bands = len(optics.wavelength)
+    valid = (F.size(rho) == bands) & F.forall(rho, lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0)) & F.col(sun).isNotNull() & F.col(view).isNotNull()
+    rows = pixels.select(*key, F.col(rho).cast("array<double>").alias("__rho"), F.col(sun).cast("double").alias("__sun"), F.col(view).cast("double").alias("__view")).where(F.coalesce(valid, F.lit(False)))
+
+    def density(b: pa.RecordBatch):
+        x = np.array(b.column("__rho").to_pylist(), float).reshape(-1, bands)
+        model = Model(x / math.pi / (0.52 + 1.7 * x / math.pi), np.full(x.shape, float(sigma)), optics, b.column("__sun").to_numpy(), b.column("__view").to_numpy())
+        mode, _, _ = solve_stepwise(model, iterations, False)
+        model.jacobian = True
+        _, _, h, _ = model.evaluate(mode)
+        h[:, np.arange(model.n), np.arange(model.n)] += 0.05  # no axis is flat
+        scale = np.linalg.cholesky(np.linalg.inv(h))
+
+        def at(z: np.ndarray):
+            f, g, _, _ = model.evaluate(mode + np.einsum("bij,bj->bi", scale, z), hessian=False)
+            return f, np.einsum("bji,bj->bi", scale, g)
+
+        at.parameters = lambda z: np.column_stack([model.unpack(mode + np.einsum("bij,bj->bi", scale, z))[0][p] for p in PARAMS])
+        return at, np.zeros(mode.shape)
+
+    return draw_table(rows, key, density, PARAMS, chains, draws, warmup, seed)
+
+
 def segment_spectra(stats: DataFrame, scalars: DataFrame, wavelengths: Sequence[float], seg: str = "seg_id") -> DataFrame:
     """Segment medians and deviations as arrays in band order, joined (inner) to the segments' scalars: what invert() takes, a row a segment.
 

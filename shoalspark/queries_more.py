@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from . import queries as base
 from .functions import geo
 from .functions import physics as ph
-from .operators import ancillary, calib, imageseg, invert, lut, matchup, outline, raster, segment, skyglint, spectral
+from .operators import ancillary, calib, imageseg, invert, lut, matchup, outline, raster, sampling, segment, skyglint, spectral
 from .plans import correction, segments
 from .queries import GREEN, LG, NIR, PART, POINTS, PX, RED, WL, M, bands, matchups, part_bands, pixels, q6, r, read, rounded
 from .sources import envi, registry, scene, sqlite, zarr
-from .storage import shared_folder
+from .storage import materialize, shared_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -1036,3 +1036,27 @@ def coupled_invert(spark, sf_dir):
     return invert.invert(spectra, ["seg_id"], "rho", o, sigma="sigma", iterations=400, prior=invert.delta_prior(o.bottom, np.full(64, 0.03)), sweep=sweep)
 
 
+@query(f"WITH {PX} SELECT vec_id, p AS parameter, true AS mean_found, true AS deviation_found, true AS mixed FROM px, (VALUES ('a'), ('b')) t(p)")
+def known_posterior(spark, sf_dir):
+    """Draws of posteriors that are known: normals whose means are reflectances, one narrow and one wide."""
+    import numpy as np
+
+    def density(b):
+        mean = np.column_stack([b.column("a0").to_numpy(), b.column("b0").to_numpy()])
+        dev = np.array([0.5, 2.0])
+        return lambda x: (0.5 * (((x - mean) / dev) ** 2).sum(axis=1), (x - mean) / dev**2), np.zeros((b.num_rows, 2))
+
+    rows = pixels(spark, sf_dir).select("vec_id", F.get("s", F.lit(GREEN)).alias("a0"), (F.get("s", F.lit(NIR)) * 100).alias("b0")).repartition(spark.sparkContext.defaultParallelism)
+    told = sampling.summary(sampling.draw_table(rows, ["vec_id"], density, ["a", "b"], draws=400, warmup=200), ["vec_id"], ["a", "b"], 400).join(rows, "vec_id")
+    mean, dev = F.when(F.col("parameter") == "a", F.col("a0")).otherwise(F.col("b0")), F.when(F.col("parameter") == "a", 0.5).otherwise(2.0)
+    near = F.abs(F.col("mean") - mean) < 7 * dev / F.sqrt(F.least("ess", F.lit(800.0)))
+    return told.select("vec_id", "parameter", near.alias("mean_found"), (F.abs(F.col("sd") / dev - 1) < 0.3).alias("deviation_found"), (F.col("rhat") < 1.1).alias("mixed"))
+
+
+@query()
+def segment_draws(spark, sf_dir):
+    """Posterior of segments' median spectra by sampling: mean, deviation, R-hat and effective draws of every parameter."""
+    scalars = pixels(spark, sf_dir).select("seg_id").distinct().withColumns({"sun_zenith": F.lit(30.0), "view_zenith": F.lit(5.0)})
+    spectra = invert.segment_spectra(segment.band_stats(bands(spark, sf_dir)), scalars, WL)
+    draws = invert.posterior_draws(spectra, ["seg_id"], "rho", invert.synthetic_optics(WL), sigma=2e-3, draws=150, warmup=150)
+    return sampling.summary(materialize(draws, "draws"), ["seg_id"], list(invert.PARAMS), 150)
