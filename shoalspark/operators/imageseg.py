@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from .raster import with_halo
 from .segment import connected
+from .spectral import covariance
 
 
 def _grid(pdf: pd.DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -265,3 +266,37 @@ def normalised_features(pixels: DataFrame, spectrum: str, key: Sequence[str]) ->
     """Spectra of sum one and the log of their sum."""
     total = F.aggregate(spectrum, F.lit(0.0), lambda a, x: a + x)
     return pixels.select(*key, F.transform(spectrum, lambda x: F.try_divide(x, total)).alias("shape"), F.log1p(F.greatest(total, F.lit(0.0))).alias("magnitude"))
+
+
+def moment_pca(df: DataFrame, vector: str, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, components, variances) of the ``k`` first principal components of all rows, signs so that each component's largest entry is positive.
+
+    Moments are summed task by task over all rows; only their matrix (size * size numbers) comes to the driver.
+    """
+    mean = df.agg(*[F.avg(F.get(vector, F.lit(i))).alias(f"m{i}") for i in range(size)]).first()
+    matrix = np.zeros((size, size))
+    for r in covariance(df, vector, size).collect():  # size * (size + 1) / 2 rows
+        matrix[r["i"], r["j"]] = matrix[r["j"], r["i"]] = r["cov"]
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(-values, kind="stable")[:k]
+    vectors = vectors[:, order]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(order))])
+    return np.array([m or 0.0 for m in mean]), vectors, np.maximum(values[order], 0.0)
+
+
+def magnitude_features(pixels: DataFrame, spectrum: str, size: int, key: Sequence[str], k: int = 6, scaled: bool = True) -> DataFrame:
+    """``key`` and ``features``: ``k`` principal components of the spectra's shapes and, last, the log of their sums.
+
+    With ``scaled`` each has mean zero and deviation one over all pixels, as distances in segmentation want it; a
+    constant one is zero. NULL where a spectrum has no shape.
+    """
+    n = normalised_features(pixels, spectrum, key)
+    ok = F.forall("shape", lambda v: v.isNotNull() & ~F.isnan(v))
+    n = n.withColumn("shape", F.when(ok, F.col("shape")))
+    mean, vectors, values = moment_pca(n.where("shape is not null"), "shape", size, k)
+    centre, dev = n.where("shape is not null").agg(F.avg("magnitude"), F.stddev_pop("magnitude")).first()
+    part = lambda j: F.aggregate(F.zip_with("shape", F.array(*[F.lit(float(x)) for x in vectors[:, j]]), lambda a, b: a * b), F.lit(-float(mean @ vectors[:, j])), lambda a, x: a + x)
+    unit = lambda x, d: x / F.lit(float(d)) if d and d > 1e-12 else F.lit(0.0)
+    parts = [unit(part(j), values[j] ** 0.5) if scaled else part(j) for j in range(len(values))]
+    last = unit(F.col("magnitude") - F.lit(centre or 0.0), dev) if scaled else F.col("magnitude")
+    return n.select(*key, F.when(F.col("shape").isNotNull(), F.array(*parts, last)).alias("features"))

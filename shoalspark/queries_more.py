@@ -134,6 +134,17 @@ def shape_and_magnitude(spark, sf_dir):
     return n.select("vec_id", "magnitude", F.posexplode("shape").alias("wl_idx", "shape")).select("vec_id", "wl_idx", r("shape").alias("shape"), r("magnitude").alias("magnitude"))
 
 
+@query(f"WITH {LG}, t AS (SELECT vec_id, sum(value) AS t FROM lg GROUP BY 1), v AS (SELECT wl_idx, var_samp(value / t) AS v FROM lg JOIN t USING (vec_id) GROUP BY 1), m AS (SELECT avg(ln(1 + t)) AS m, stddev_pop(ln(1 + t)) AS d FROM t) SELECT round(sum(v) * 1e4, 6) + 0.0 AS total_variance, round(any_value(m), 6) + 0.0 AS magnitude, round(any_value(d), 6) + 0.0 AS deviation, true AS falling, true AS uncorrelated FROM v, m")
+def pca_magnitude(spark, sf_dir):
+    """All components of the shapes hold their variance, the first ones most of it, and do not vary together; beside them the magnitude."""
+    f = imageseg.magnitude_features(pixels(spark, sf_dir), "s", 64, ["vec_id"], 64, scaled=False)
+    at = lambda j: F.get("features", F.lit(j))
+    v = f.agg(*[F.var_samp(at(j)).alias(f"v{j}") for j in range(64)], F.corr(at(0), at(1)).alias("c"), F.avg(at(64)).alias("m"), F.stddev_pop(at(64)).alias("d"))
+    total = sum((F.col(f"v{j}") for j in range(64)), F.lit(0.0))
+    falling = F.array_min(F.array(*[F.col(f"v{j}") >= F.col(f"v{j + 1}") - 1e-15 for j in range(8)]))
+    return v.select((F.round(total * 1e4, 6) + F.lit(0.0)).alias("total_variance"), r("m").alias("magnitude"), r("d").alias("deviation"), falling.alias("falling"), (F.abs("c") < 1e-6).alias("uncorrelated"))
+
+
 @query(f"WITH {PX} SELECT seg_id, least(greatest(ceil(count(*) / 7.0), 3), 9)::INTEGER AS n FROM px GROUP BY 1")
 def segments_wanted(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("seg_id").agg(imageseg.segments_wanted(F.count("*"), 7, 3, 9).alias("n"))

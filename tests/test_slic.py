@@ -71,3 +71,19 @@ def test_nothing_to_segment(spark):
     px = spark.createDataFrame([(0, 0, None), (0, 1, float("nan"))], "row int, col int, f double")
     assert {r["seg_id"] for r in imageseg.segment(px, ["f"], "slic").collect()} == {0}
     assert imageseg.segment(px.limit(0), ["f"], "slic").count() == 0
+
+
+def test_features_of_shape_and_magnitude_feed_the_segments(spark):
+    rng = np.random.default_rng(3)
+    rows = [(r, c, (rng.uniform(1, 2) * np.array([1, 2, 3.0] if c < 8 else [3, 2, 1.0]) + 0.01 * rng.standard_normal(3)).tolist()) for r in range(16) for c in range(16)] + [(16, 0, [0.0, 0.0, 0.0])]
+    px = spark.createDataFrame(rows, "row int, col int, s array<double>")
+    f = imageseg.magnitude_features(px, "s", 3, ["row", "col"], 2)
+    got = np.array([x["features"] for x in f.where("features is not null").collect()])
+    assert len(got) == 256 and np.allclose(got.mean(axis=0), 0, atol=1e-9) and np.allclose(got.std(axis=0), 1, atol=0.01)
+    x = np.array([r[2] for r in rows[:-1]])
+    shape = x / x.sum(axis=1, keepdims=True)
+    values = np.linalg.eigvalsh(np.cov(shape.T))[::-1][:2]
+    assert np.allclose(imageseg.moment_pca(imageseg.normalised_features(px.where("row < 16"), "s", ["row"]), "shape", 3, 2)[2], values)
+    flat = f.select("row", "col", *[F.get("features", F.lit(j)).alias(f"f{j}") for j in (0,)])
+    lab = labels(imageseg.segment(flat, ["f0"], "slic", area=16, compactness=0.1), 17, 16)
+    assert not set(lab[:16, :8].ravel()) & set(lab[:16, 8:].ravel()) and lab[16, 0] == 0
