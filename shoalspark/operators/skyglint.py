@@ -4,6 +4,9 @@ The sky is a table of patches (a polar cap, then quadrangles) with their radianc
 and wavelength; facets are spread as Cox & Munk have it. A patch's weight is the share of facets that turn its light
 into the sensor; its light is weakened by Fresnel's reflectance at the mean angle. All patches are taken together as
 arrays. Geometry is a scene's, so one spectrum is computed and joined to the pixels as one row.
+
+``archive_glint()`` does so for all scenes of an archive in one plan, from tables kept node by node: a scene reads the
+four nodes round its sun and aerosol and sums them in Spark, a row a patch, so that no table comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,9 +15,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import physics as ph
+from .lut import bracket
+
 
 @dataclass
 class SkyTables:
@@ -139,3 +146,78 @@ def scene_glint(pixels: DataFrame, tables: SkyTables, wavelength: Sequence[float
     got = sky_and_sun(tables, wavelength, mean["sun_zenith"], mean["view_zenith"], mean["relative_azimuth"], mean["aod"] if aod is None else aod, mean["wind_speed"])
     literal = lambda v: F.array(*[F.lit(float(x)) for x in v])
     return pixels.withColumns({"rho_surface_sky": literal(got["sky"]), "rho_surface_sun": literal(got["sun"]), "rho_surface_total": literal(got["rho"])})
+
+
+# --- many scenes -----------------------------------------------------------------------
+
+
+def store_nodes(sky: DataFrame, sun: DataFrame, patches: SkyTables, path: str) -> None:
+    """Tables node by node: sky (i_sun, i_depth, patch, radiance by wavelength), sun (i_sun, i_depth, radiance), and what describes them."""
+    sky.write.mode("overwrite").parquet(f"{path}/sky")
+    sun.write.mode("overwrite").parquet(f"{path}/sun")
+    small = {k: np.atleast_1d(np.asarray(v, float)).tolist() for k, v in vars(patches).items() if v is not None and k not in ("sky", "sun")}
+    sky.sparkSession.createDataFrame([(small,)], "about map<string,array<double>>").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+
+def patch_geometry(scenes: DataFrame, key: str, patches: SkyTables) -> DataFrame:
+    """(key, patch, share, angle, facing): of every patch (the sun's disk is -1) what its facets do in each scene's geometry."""
+    step = np.linspace(-0.5, 0.5, 10)
+    z, a = patches.zenith[1:, None, None], patches.azimuth[1:, None, None]
+    quads = direction(z + step[None, :, None] * patches.d_cosine / np.sin(z), a + step[None, None, :] * patches.d_azimuth).reshape(len(patches.zenith) - 1, -1, 3)
+    cap, centres = disk(0.0, float(patches.zenith[0]) or patches.disk)[None], direction(patches.zenith, patches.azimuth)
+
+    def run(batches):
+        for b in batches:
+            for k, (sun, view, turn, wind) in enumerate(zip(*(b.column(c).to_pylist() for c in ("sun_zenith", "view_zenith", "relative_azimuth", "wind_speed")))):
+                sensor, toward = direction(np.radians(view), np.radians(turn)), direction(np.radians(view), np.radians(turn + 180))
+                parts = [facet_share(x, sensor, wind) for x in (disk(np.radians(sun), patches.disk)[None], cap, quads)]
+                share, angle = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                n = len(share)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(key).slice(k, 1)] * n), pa.array(np.arange(-1, n - 1), pa.int32()), pa.array(share), pa.array(angle), pa.array(np.append(-2.0, centres @ toward))], names=[key, "patch", "share", "angle", "facing"])
+
+    there = scenes.select(key, *[F.col(c).cast("double").alias(c) for c in ("sun_zenith", "view_zenith", "relative_azimuth", "wind_speed")]).dropna()
+    return there.mapInArrow(run, f"`{key}` {scenes.schema[key].dataType.simpleString()}, patch int, share double, angle double, facing double")
+
+
+def _fresnel(index: Column, angle: Column) -> Column:
+    c, t = F.cos(angle), F.sqrt(1 - F.pow(F.sin(angle) / index, F.lit(2.0)))
+    return (F.pow((c - index * t) / (c + index * t), F.lit(2.0)) + F.pow((index * c - t) / (index * c + t), F.lit(2.0))) / 2
+
+
+def archive_glint(scenes: DataFrame, path: str, wavelengths: Sequence[float], key: str = "image_id", temperature: float = 17.0, salinity: float = 30.0) -> DataFrame:
+    """(key, wl_idx, wavelength, rho_surface_sky, rho_surface_sun, rho_surface_total) of every scene.
+
+    scenes: key, sun_zenith, view_zenith, relative_azimuth, aod, wind_speed. A scene with a value that is missing, or
+    outside the tables' axes, has no rows; a wavelength outside is an error.
+    """
+    spark = scenes.sparkSession
+    about = {k: np.array(v) for k, v in spark.read.parquet(f"{path}/about").first()["about"].items()}  # axes and patches: some thousand numbers
+    one = {k: float(about.pop(k)[0]) for k in ("d_cosine", "d_azimuth", "disk")}
+    patches = SkyTables(sky=np.empty(0), sun=np.empty(0), **one, **about)
+    wl, nodes = np.asarray(wavelengths, float), patches.wavelength
+    if wl.min() < nodes[0] or wl.max() > nodes[-1]:
+        raise ValueError("a wavelength is outside the table")
+    k = np.clip(np.searchsorted(nodes, wl, "right") - 1, 0, len(nodes) - 2)
+    t, ratio = (wl - nodes[k]) / (nodes[k + 1] - nodes[k]), np.ones(len(wl)) if patches.vector_ratio is None else np.interp(wl, nodes, patches.vector_ratio)
+    band = F.array(*[F.struct(F.lit(i).alias("wl_idx"), F.lit(float(w)).alias("wavelength"), F.lit(int(a)).alias("k"), F.lit(float(b)).alias("t"), F.lit(float(r)).alias("ratio")) for i, (w, a, b, r) in enumerate(zip(wl, k, t, ratio))])
+
+    d = scenes.select(key, "sun_zenith", "aod")
+    for name, column, axis in (("i_sun", "sun_zenith", patches.sun_zenith), ("i_depth", "aod", patches.depth)):
+        i, w = bracket(F.col(column), axis.tolist())
+        d = d.withColumn(f"__{name}", F.explode(F.filter(F.array(F.struct(i.alias("i"), (1 - w).alias("w")), F.struct((i + 1).alias("i"), w.alias("w"))), lambda x: x["w"] > 0)))
+    d = d.select(key, F.col("__i_sun.i").alias("i_sun"), F.col("__i_depth.i").alias("i_depth"), (F.col("__i_sun.w") * F.col("__i_depth.w")).alias("__w"))
+
+    def summed(table: DataFrame, *by: str) -> DataFrame:
+        met = d.join(table, ["i_sun", "i_depth"]).groupBy(key, *by).agg(F.collect_list(F.struct("__w", "radiance")).alias("c"))  # four nodes at most
+        zero = F.transform(F.get("c", F.lit(0))["radiance"], lambda _: F.lit(0.0))
+        return met.select(key, *by, F.aggregate("c", zero, lambda acc, x: F.zip_with(acc, x["radiance"], lambda a, b: a + x["__w"] * b)).alias("light"))
+
+    sun = summed(spark.read.parquet(f"{path}/sun")).withColumn("patch", F.lit(-1))
+    light = summed(spark.read.parquet(f"{path}/sky"), "patch").unionByName(sun)
+    rows = light.join(patch_geometry(scenes, key, patches), [key, "patch"]).select(key, "patch", "share", "angle", "facing", "light", F.inline(band))
+    at = F.get("light", F.col("k")) * (1 - F.col("t")) + F.get("light", F.col("k") + 1) * F.col("t")
+    rows = rows.withColumn("light", at).withColumn("r", F.col("share") * _fresnel(ph.water_index(F.col("wavelength"), temperature, salinity), F.col("angle")) * F.col("light"))
+    of = lambda disk_, x: F.sum(F.when((F.col("patch") < 0) == F.lit(disk_), F.col(x)))
+    total = rows.groupBy(key, "wl_idx", "wavelength", "ratio").agg(of(False, "r").alias("sky"), of(True, "r").alias("sun"), of(False, "share").alias("share"), F.max_by("light", F.struct("facing", -F.col("patch"))).alias("facing"))
+    part = lambda x: F.col(x) / F.col("facing") / F.col("share")
+    return total.select(key, "wl_idx", "wavelength", part("sky").alias("rho_surface_sky"), part("sun").alias("rho_surface_sun"), (part("sky") * F.col("ratio") + part("sun")).alias("rho_surface_total"))
