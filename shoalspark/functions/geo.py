@@ -95,15 +95,18 @@ def refreshed(pixels: DataFrame) -> DataFrame:
 # --- sun -----------------------------------------------------------------------
 
 
-def with_sun_position(df: DataFrame, ts: str, lat: str, lon: str, utc_offset: float = 0.0, zenith: str = "sun_zenith", azimuth: str = "sun_azimuth") -> DataFrame:
+def with_sun_position(df: DataFrame, ts: str, lat: str, lon: str, utc_offset: float = 0.0, zenith: str = "sun_zenith", azimuth: str = "sun_azimuth", valid: Column | None = None) -> DataFrame:
     """Add solar zenith and azimuth (degrees) by the NOAA equations; ``ts`` is the clock of ``utc_offset``.
 
+    With ``valid`` they are NULL where it does not hold (a missing one does not).
+
     In steps of one projection each: later terms use earlier ones many times,
     and one nested expression of them would be recomputed as often.
     """
     x = lambda k: F.col(f"__{k}")
     inside = lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(1.0))
     cols = df.columns
+    df = df.withColumn("__valid", F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)))
     df = df.withColumn("__t", (julian_day(F.col(ts)) - 2451545.0) / 36525)
     t = x("t")
     df = df.withColumns({
@@ -124,7 +127,7 @@ def with_sun_position(df: DataFrame, ts: str, lat: str, lon: str, utc_offset: fl
     z = x("z")
     df = df.withColumn("__a", F.degrees(F.acos(inside(F.try_divide(sind(la) * F.cos(z) - F.sin(d), cosd(la) * F.sin(z))))))
     turned = F.pmod(F.when(h > 0, x("a") + 180).otherwise(540 - x("a")), F.lit(360.0))
-    return df.select(*[F.col(f"`{c}`") for c in cols], F.degrees(z).alias(zenith), turned.alias(azimuth))
+    return df.select(*[F.col(f"`{c}`") for c in cols], F.when(x("valid"), F.degrees(z)).alias(zenith), F.when(x("valid"), turned).alias(azimuth))
 
 
 def hour_angle(lon: Column, zone_lon: Column, ts: Column) -> Column:

@@ -86,6 +86,23 @@ def crop(pixels: DataFrame, box: Sequence[float], x: str = "x", y: str = "y") ->
     return pixels.where(F.col(x).between(min(x0, x1), max(x0, x1)) & F.col(y).between(min(y0, y1), max(y0, y1)))
 
 
+def crop_lonlat(pixels: DataFrame, box: Sequence[float], central_meridian: float, x: str = "x", y: str = "y", steps: int = 21, margin: float = 0.0) -> DataFrame:
+    """Pixels of a transverse Mercator grid inside the projected bounds of a box (lon0, lat0, lon1, lat1), widened by ``margin``.
+
+    The box's sides are projected at ``steps`` places each, since they are no straight lines on the grid; the bounds are
+    one row, and what is left is a range predicate that reaches the scan.
+    """
+    lon0, lat0, lon1, lat1 = box
+    t = F.col("id") % steps / (steps - 1)
+    side = F.floor(F.col("id") / steps)
+    lon = F.when(side == 0, lon0 + (lon1 - lon0) * t).when(side == 1, lon0 + (lon1 - lon0) * t).when(side == 2, F.lit(float(lon0))).otherwise(F.lit(float(lon1)))
+    lat = F.when(side == 0, F.lit(float(lat0))).when(side == 1, F.lit(float(lat1))).otherwise(lat0 + (lat1 - lat0) * t)
+    px, py = geo.tm_forward(F.col("lat"), F.col("lon"), central_meridian)
+    rim = pixels.sparkSession.range(4 * steps).select(lat.alias("lat"), lon.alias("lon")).select(px.alias("px"), py.alias("py"))
+    a = rim.agg(F.min("px"), F.min("py"), F.max("px"), F.max("py")).first()
+    return crop(pixels, (a[0] - margin, a[1] - margin, a[2] + margin, a[3] + margin), x, y)
+
+
 def bracket(points: DataFrame, ts: str, series: DataFrame, series_ts: str, values: Sequence[str]) -> DataFrame:
     """Hourly series at each point's time, linear between the hours before and after; NULL where one is missing.
 

@@ -114,6 +114,16 @@ def band_covariance(spark, sf_dir):
     return spectral.covariance(pixels(spark, sf_dir), "s", 64).select("i", "j", (F.round("cov", 9) + F.lit(0.0)).alias("cov"))
 
 
+@query(f"""WITH {PX} SELECT vec_id FROM px WHERE "row" BETWEEN 4 AND 11 AND col BETWEEN 6 AND 17""")
+def lonlat_crop(spark, sf_dir):
+    """A box in longitude and latitude, given by a cell block's own corners, found again on the projected grid."""
+    p = pixels(spark, sf_dir).select("vec_id", (500000 + 20.0 * (F.col("col") - 12)).alias("x"), (5500000 - 20.0 * F.col("row")).alias("y"))
+    lat, lon = geo.tm_inverse(F.col("x"), F.col("y"), -63.0)
+    own = p.where("x between 499880 and 500100 and y between 5499780 and 5499920").select(lat.alias("lat"), lon.alias("lon"))  # the block
+    box = own.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    return matchup.crop_lonlat(p, tuple(box), -63.0, margin=1.0).select("vec_id")
+
+
 @query(f"""WITH {PX}, t AS (SELECT seg_id, ("row" // 8) AS part, count(*) AS n_pix, min(vec_id) AS first FROM px WHERE seg_id <> 0 GROUP BY 1, 2) SELECT seg_id, sum(n_pix)::BIGINT AS n_pix, arg_min(first, part) AS first FROM t GROUP BY 1""")
 def dissolve(spark, sf_dir):
     p = pixels(spark, sf_dir).where("seg_id <> 0").withColumn("part", F.expr("row div 8"))
@@ -302,8 +312,10 @@ def sun_by_hour_angle(spark, sf_dir):
 
 @query(f"SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN zenith END AS zenith, CASE WHEN event_id % 3 <> 0 THEN azimuth END AS azimuth FROM ({base._sun_sql()})")
 def sun_where_valid(spark, sf_dir):
-    e = base.solar_geometry(spark, sf_dir)
-    return e.select("event_id", *[F.when(F.col("event_id") % 3 != 0, F.col(c)).alias(c) for c in ("zenith", "azimuth")])
+    e = read(spark, sf_dir, "events")
+    e = e.select("event_id", "ts", (40 + F.col("event_id") % 20).cast("double").alias("lat"), (-70 + F.col("event_id") % 40).cast("double").alias("lon"))
+    e = geo.with_sun_position(e, "ts", "lat", "lon", valid=F.col("event_id") % 3 != 0)
+    return e.select("event_id", (F.round("sun_zenith", 4) + F.lit(0.0)).alias("zenith"), (F.round("sun_azimuth", 3) + F.lit(0.0)).alias("azimuth"))
 
 
 @query("SELECT event_id, ts - INTERVAL 4 HOUR AS clock, -60.0::DOUBLE AS longitude FROM events")
