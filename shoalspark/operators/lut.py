@@ -150,8 +150,11 @@ def lookup_arrays(df: DataFrame, nodes: DataFrame, spec: LutSpec) -> DataFrame:
     return interpolated(df.crossJoin(F.broadcast(packed(nodes, spec))), spec)  # one row, of the size checked above
 
 
-def interpolated(df: DataFrame, spec: LutSpec, table: str = "table") -> DataFrame:
-    """``df`` with an array by band of each output, from the packed table in its column ``table``, which goes; NULL without one."""
+def interpolated(df: DataFrame, spec: LutSpec, table: str = "table", band: Column | None = None) -> DataFrame:
+    """``df`` with an array by band of each output, from the packed table in its column ``table``, which goes; NULL without one.
+
+    With ``band``, a row's own band's index, the outputs are that band's values alone.
+    """
     keep = [F.col(f"`{c}`") for c in df.columns if c != table]
     axes = {}
     for k, (a, values) in enumerate(spec.axes.items()):
@@ -166,6 +169,9 @@ def interpolated(df: DataFrame, spec: LutSpec, table: str = "table") -> DataFram
             place = place + F.least(F.col(f"__i{k}") + b, F.lit(len(v) - 1)) * stride
             weight = weight * (F.col(f"__w{k}") if b else 1 - F.col(f"__w{k}"))
         corners.append(F.struct(weight.alias("w"), F.get(table, place).alias("node")))
+    if band is not None:
+        one = lambda o: sum((c["w"] * F.get(c["node"][o], band) for c in corners[1:]), corners[0]["w"] * F.get(corners[0]["node"][o], band))
+        return d.select(*keep, *[one(o).alias(o) for o in spec.outputs])
     d = d.select(*keep, F.when(weight.isNotNull() & F.col(table).isNotNull(), F.array(*corners)).alias("__corners"))
     zero = lambda o: F.transform(F.get("__corners", F.lit(0))["node"][o], lambda _: F.lit(0.0))
     value = lambda o: F.when(F.col("__corners").isNotNull(), F.aggregate("__corners", zero(o), lambda acc, c: F.zip_with(acc, c["node"][o], lambda x, y: x + c["w"] * y)))

@@ -185,7 +185,7 @@ def dark_aod(l1: DataFrame, scenes: DataFrame, aerosol: Mapping[str, DataFrame],
         fixed = [a for a in spec.axes if a not in (*lut.PIXEL_AXES, axis)]
         table, left = lut.bind_scenes(aerosol[name].select(*[f"i_{a}" for a in spec.axes], "wl_idx", "path"), only, scenes, key, fixed)
         nodes = dark.join(table, key).select("*", F.posexplode(F.array(*[F.lit(a) for a in aods])).alias("__k", axis))
-        path = lut.interpolated(nodes, left).select(key, "wl_idx", "value", "__k", F.get("path", F.col("wl_idx")).alias("path"))
+        path = lut.interpolated(nodes, left, band=F.col("wl_idx")).select(key, "wl_idx", "value", "__k", "path")
         curve = path.groupBy(key, "wl_idx", "value").agg(F.array_sort(F.collect_list(F.struct("__k", "path"))).alias("c"))  # the axis' nodes
         at = lambda k: F.get("c", F.lit(k))["path"]
         each = [F.when((F.col("value") >= at(k)) & (F.col("value") <= at(k + 1)), x + (F.col("value") - at(k)) * F.try_divide(F.lit(y - x), at(k + 1) - at(k))) for k, (x, y) in enumerate(zip(aods, aods[1:]))]
