@@ -12,7 +12,7 @@ from .functions import physics as ph
 from .operators import ancillary, calib, imageseg, invert, lut, matchup, outline, raster, sampling, segment, skyglint, spectral
 from .plans import correction, segments
 from .queries import GREEN, LG, NIR, PART, POINTS, PX, RED, WL, M, bands, matchups, part_bands, pixels, q6, r, read, rounded
-from .sources import envi, registry, scene, sqlite, zarr
+from .sources import dpix, envi, registry, scene, sqlite, zarr
 from .storage import materialize, shared_folder
 
 QUERIES: dict = {}
@@ -865,6 +865,33 @@ def raw_cube(spark, sf_dir):
     return long.withColumn("value", F.round(F.col("value").cast("double"), 6) + F.lit(0.0))
 
 
+def _text_file(spark, path: str, text: str) -> None:
+    """A small text in any store that Hadoop knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+@query(f"""WITH {PX}, k AS (SELECT "row", col, list_transform(s, lambda v: floor(v * 10000)) AS c FROM px), d AS (SELECT *, c[1] <> 500 AS valid, list_transform(list_filter(c, lambda v: v <> 0 AND v <> 500), lambda v: v * 0.001::DOUBLE) AS l FROM k)
+SELECT "row", col, (500000 + 2 * col)::DOUBLE AS x, (5500000 - 2 * "row")::DOUBLE AS y, valid, len(l)::INTEGER AS n, round(coalesce(list_sum(l), 0), 6) + 0.0 AS total, CASE WHEN valid THEN (col // 2)::DOUBLE END AS sample_index, CASE WHEN valid THEN "row"::DOUBLE END AS line_index, CASE WHEN valid THEN round(degrees(atan(abs(26 - (4 * (col // 2) + 2)) / 1000.5)), 6) + 0.0 END AS view_zenith, CASE WHEN valid THEN CASE WHEN col // 2 < 6 THEN 135.25 ELSE 315.25 END END::DOUBLE AS view_azimuth FROM d""")
+def pix_scene(spark, sf_dir):
+    """A scene's folder of cube, headers, swath positions and log, read whole, with the swath's angles on its grid."""
+    path, n = _folder(spark, "dpix"), base.scene_rows(spark, sf_dir)
+    p = pixels(spark, sf_dir)
+    _text_file(spark, f"{path}/F1-L1A.pix.hdr", f"ENVI\nsamples = 25\nlines = {n}\nbands = 64\ndata type = 4\nradiance scale factor = 1000\ndata ignore value = 500\nmap info = {{UTM, 1, 1, 500000, 5500000, 2, 2, 20, North, WGS84}}\nwavelength = {{{', '.join(map(str, WL))}}}\nacquisition time = 2024-06-01T15:00:00Z\n")
+    _text_file(spark, f"{path}/F1-L1A.glu.hdr", f"ENVI\nsamples = 13\nlines = {n}\nbands = 2\ndata type = 4\npixel size = {{4, 4}}\n")
+    _text_file(spark, f"{path}/F1-Navcor_sum.log", "Average Value  +0.5  -0.25  45.25  12.0  1000.5  500000.0  5500000.0 + ground pixel size\n")
+    scene.write_raw_cube(p.withColumn("c", F.transform("s", lambda v: F.floor(v * 10000).cast("double"))), "c", f"{path}/F1-L1A.pix", 25, n, 64, block=7)
+    at = F.array(500001.0 + 2 * F.col("col"), 5499999.0 - 2 * F.col("row"))
+    scene.write_raw_cube(p.where("col % 2 = 0").select("row", (F.col("col") / 2).cast("int").alias("col"), at.alias("c")), "c", f"{path}/F1-L1A.glu", 13, n, 2, block=7)
+    got = dpix.with_geometry(dpix.open_scene(spark, path, block=7)).where("not isnan(coalesce(element_at(radiance, 1), 0))")
+    there = F.filter("radiance", lambda v: v.isNotNull())
+    return got.select("row", "col", "x", "y", "valid", F.size(there).alias("n"), r(F.aggregate(there, F.lit(0.0), lambda a, v: a + v)).alias("total"), "sample_index", "line_index", r("view_zenith").alias("view_zenith"), "view_azimuth")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey / 2.0 AS half FROM nation")
 def sqlite_table(spark, sf_dir):
     """A database table through its data source, in ranges of row ids."""

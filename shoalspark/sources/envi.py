@@ -84,11 +84,17 @@ class FlightLine:
 
 
 def read_flight_line(spark: SparkSession, nav: str, header: str) -> FlightLine:
-    """Average height and heading from the navigation log; size and pixel from the header."""
+    """Average height and heading from the navigation log; size and pixel from the header.
+
+    The log's averages are roll, pitch, heading, distance, height, easting and northing; a line of fewer numbers ends in
+    height and heading. Sensors are taken as levelled: the averages of roll and pitch are not used.
+    """
     h = read_header(spark, header)
     found = spark.read.text(nav).where(F.col("value").contains("Average Value")).limit(1).collect()
     if not found:
         raise ValueError(f"no average line in {nav}")
     numbers = [float(x) for x in re.findall(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?", found[0][0])]
-    resolution = float(h["map info"][5]) if "map info" in h else float(h.get("pixel size", 1.0))
-    return FlightLine(int(h["samples"]), int(h["lines"]), resolution, numbers[-2], numbers[-1])
+    height, heading = (numbers[4], numbers[2]) if len(numbers) >= 7 else numbers[-2:]
+    size = h.get("pixel size", "1")
+    resolution = float(h["map info"][5]) if "map info" in h else float(size[0] if isinstance(size, list) else size)
+    return FlightLine(int(h["samples"]), int(h["lines"]), resolution, height, heading)
