@@ -8,10 +8,12 @@ n-gram hashes are dealt by their leading bits, each piece of the hash space
 sorts and sums its own n-grams and sets the bits of its own piece of the
 filter, sized by the entries counted there (``ENTRY_BITS`` or more each). So
 the filter grows with the input and errs as often at every size, always
-towards higher counts. Pieces are more as the input grows, and are never sent
-to all: each block of documents sends its distinct n-grams to the pieces, with
-their counts; a task holds one piece at a time, and the levels read there go
-back to the block. N-grams travel as sorted, delta-coded blobs of the leading
+towards higher counts. The pieces are written as a table, the model. Scoring
+sees that table only: while all pieces take at most ``SEND_BYTES`` (they are
+summed first) they are broadcast and probed where the texts are; beyond it,
+each block's distinct n-grams meet the pieces by an equi-join on the piece, a
+task holds one piece at a time, and the levels read there go back to the
+block. Both give the same levels. N-grams travel as sorted, delta-coded blobs of the leading
 bits of their hashes, 14 more than it takes to count the text's bytes (44 up to
 1 GB, all 64 from 1 PB on), so that as few meet by chance at every size.
 
@@ -44,6 +46,7 @@ from .common import TokenHashes, U64, binary_list, materialize, mix64, row_count
 FILTER_BITS, ENTRY_BITS, PROBES, LEVEL_BASE, BACKOFF = 1 << 20, 10, 3, 2.0, 2.0
 END = b""  # never a word
 PIECES = 64  # pieces of the filter, at least; more as the input grows
+SEND_BYTES = 64 << 20  # of all pieces, that are broadcast at most
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -213,9 +216,9 @@ def count_blocks(dealt: DataFrame, pieces: int, bits: int = KEY_BITS) -> DataFra
     return dealt.select("block", "held_out", "text").sortWithinPartitions("block").mapInArrow(lambda batches: tidy(run(batches)), "block int, piece int, grams binary, words binary, counts binary")
 
 
-def settle(counted: DataFrame, pieces: int, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(block, piece, levels, counts, n, v): per block and piece, what the filter holds of its n-grams and the exact
-    counts of its tokens, in their order; n and v, tokens and distinct tokens learned, stand once for each piece."""
+def learn(counted: DataFrame, pieces: int, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """(block, piece, counts, n, v, filter, top), written: a row of block -1 for each piece of the model, with its bits, its
+    largest level and the tokens and distinct tokens learned; the other rows hold the exact counts of a block's tokens."""
     least = 1 << max(3, (filter_bits // pieces).bit_length() - 1)
 
     def run(batches):
@@ -224,38 +227,85 @@ def settle(counted: DataFrame, pieces: int, filter_bits: int = FILTER_BITS) -> D
         from .neardup import runs
 
         packer, unpacker = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        split = lambda x, of: [packer.compress(y.tobytes()) for y in np.split(x, np.cumsum([len(o) for o in of])[:-1])]
         for piece in runs(batches, ["piece"]):
             blobs = [unpack(x) for x in piece.column("grams").to_pylist()]
             h, inverse = np.unique(np.concatenate([x[0] for x in blobs]), return_inverse=True)
             total = np.bincount(inverse, weights=np.concatenate([x[1] for x in blobs]))
             held = total > 0
-            q = piece_filter(h[held], level(total[held]), least).levels(h).astype(np.uint8)
-            levels = split(q[inverse], [x[0] for x in blobs])
-
+            f = piece_filter(h[held], level(total[held]), least)
             counts = [np.frombuffer(unpacker.decompress(x), "<i8") if x else np.empty(0, np.int64) for x in piece.column("counts").to_pylist()]
             words = [unpacker.decompress(x).split(b"\n") if len(c) else [] for x, c in zip(piece.column("words").to_pylist(), counts)]
             code = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode().indices.to_numpy()
             exact = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
-            n, v = [0] * len(blobs), [0] * len(blobs)
-            n[0], v[0] = int(exact.sum()), int((exact > 0).sum())
-            yield pa.RecordBatch.from_arrays([piece.column("block").combine_chunks(), piece.column("piece").combine_chunks(), pa.array(levels, pa.binary()), pa.array(split(exact[code], counts), pa.binary()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], names=["block", "piece", "levels", "counts", "n", "v"])
+            back = [packer.compress(y.tobytes()) for y in np.split(exact[code], np.cumsum([len(c) for c in counts])[:-1])]
+            none = [None] * len(blobs)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([-1, *piece.column("block").to_pylist()], pa.int32()), pa.array([piece.column("piece")[0].as_py()] * (len(blobs) + 1), pa.int32()), pa.array([None, *back], pa.binary()),
+                pa.array([int(exact.sum()), *none], pa.int64()), pa.array([int((exact > 0).sum()), *none], pa.int64()), pa.array([f.data.tobytes(), *none], pa.binary()), pa.array([f.top, *none], pa.int32()),
+            ], names=["block", "piece", "counts", "n", "v", "filter", "top"])
 
     dealt = counted.repartition(pieces, "piece").sortWithinPartitions("piece")
-    return materialize(dealt.mapInArrow(lambda batches: tidy(run(batches)), "block int, piece int, levels binary, counts binary, n long, v long"), "counts")
+    return materialize(dealt.mapInArrow(lambda batches: tidy(run(batches)), "block int, piece int, counts binary, n long, v long, filter binary, top int"), "model")
+
+
+def look_up(counted: DataFrame, model: DataFrame, pieces: int) -> DataFrame:
+    """(block, piece, levels), written: what the model's pieces hold of each block's n-grams, in their order."""
 
+    def run(batches):
+        import zstandard
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS, block_bytes: int = 8 << 20) -> DataFrame:
-    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+        packer, held, at = zstandard.ZstdCompressor(level=1), None, None
+        for batch in batches:
+            rows = []
+            for block, piece, grams, bits, top in zip(*(batch.column(c).to_pylist() for c in ("block", "piece", "grams", "filter", "top"))):
+                if block < 0:
+                    held, at = Filter(np.frombuffer(bits, np.uint8), 1, top=top), piece
+                    continue
+                if piece != at:
+                    raise RuntimeError("a piece of the filter is not there")
+                rows.append((block, piece, packer.compress(held.levels(unpack(grams)[0]).astype(np.uint8).tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["block", "piece", "levels"])
+
+    asked = counted.select("block", "piece", "grams", F.lit(None).cast("binary").alias("filter"), F.lit(None).cast("int").alias("top"))
+    both = asked.unionByName(model.select("block", "piece", F.lit(None).cast("binary").alias("grams"), "filter", "top"))
+    dealt = both.repartition(pieces, "piece").sortWithinPartitions("piece", "block")
+    return materialize(dealt.mapInArrow(lambda batches: tidy(run(batches)), "block int, piece int, levels binary"), "levels")
+
+
+def probed(h: np.ndarray, sent: dict[int, tuple[bytes, int]], pieces: int) -> np.ndarray:
+    """Levels of sorted n-grams in the pieces sent; a piece that was never made holds none."""
+    q = np.zeros(len(h), np.int64)
+    full, cuts = cut(h, pieces)
+    for i in full:
+        if i in sent:
+            bits, top = sent[i]
+            q[cuts[i] : cuts[i + 1]] = Filter(np.frombuffer(bits, np.uint8), 1, top=top).levels(h[cuts[i] : cuts[i + 1]])
+    return q
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS, block_bytes: int = 8 << 20, send_bytes: int = SEND_BYTES) -> DataFrame:
+    """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score.
+
+    The model is broadcast if its pieces take at most ``send_bytes``.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     n_bytes = _bytes(base, "text")
     blocks, pieces, bits = row_count_partitions(spark, n_bytes, block_bytes), piece_count(n_bytes), key_bits(n_bytes)
     dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(blocks, "block")
-    settled = settle(count_blocks(dealt, pieces, bits), pieces, filter_bits)
-    total = settled.agg(F.sum("n"), F.sum("v")).first()
-    n, v = int(total[0] or 0), int(total[1] or 0)
+    counted = materialize(count_blocks(dealt, pieces, bits), "counts")
+    learned = learn(counted, pieces, filter_bits)
+    model = learned.where("block < 0").select("block", "piece", "n", "v", "filter", "top")
+    total = model.agg(F.sum("n"), F.sum("v"), F.sum(F.octet_length("filter"))).first()
+    n, v, size = (int(x or 0) for x in total)
+    answers = learned.where("block >= 0").select("block", "piece", "counts")
+    sent = None
+    if size <= send_bytes:
+        sent = spark.sparkContext.broadcast({r["piece"]: (bytes(r["filter"]), r["top"]) for r in model.select("piece", "filter", "top").toLocalIterator()})
+        answers = answers.withColumn("levels", F.lit(None).cast("binary"))
+    else:
+        answers = answers.unionByName(look_up(counted, model, pieces), allowMissingColumns=True)
 
     def score_block(docs_table: pa.Table, answers: pa.Table) -> pa.Table:
         import zstandard
@@ -270,7 +320,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         exact = np.empty(len(local), np.int64)
         exact[order] = joined("counts", "<i8")
         h, at = np.unique(lead(np.concatenate([words, *(bigrams(local.hash[k]) for k in each)]), bits), return_inverse=True)
-        levels = joined("levels", np.uint8)
+        levels = probed(h, sent.value, pieces) if sent is not None else joined("levels", np.uint8)
         if len(levels) != len(h):
             raise RuntimeError("the levels of a block's n-grams are not all there")
         counts = counts_of(levels)
@@ -305,4 +355,4 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     id_type = base.schema["id"].dataType.simpleString()
     out = f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(settled.select("block", "piece", "levels", "counts").groupBy("block")).applyInArrow(score_block, out)
+    return dealt.groupBy("block").cogroup(answers.select("block", "piece", "levels", "counts").groupBy("block")).applyInArrow(score_block, out)

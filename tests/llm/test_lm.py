@@ -130,3 +130,11 @@ def test_repeated_rows_are_learned_from_and_scored_each(spark):
     two = ngramlm.score(df.unionByName(df), F.lit(False)).collect()
     assert len(two) == 6 and all(r["train_tokens"] == 2 * one[0]["train_tokens"] and r["n_tokens"] == one[r["doc_id"]]["n_tokens"] for r in two)
     assert len({(r["doc_id"], r["score"]) for r in two}) == 3
+
+
+def test_sent_and_joined_models_score_alike(spark):
+    rng = np.random.default_rng(7)
+    texts = [*TEXTS, *(" ".join(f"w{x}" for x in rng.zipf(1.5, 120).clip(1, 900)) for _ in range(40)), "w1 long " * 60_000]
+    df = docs(spark, texts)
+    sent, joined = ({r["doc_id"]: tuple(r) for r in ngramlm.score(df, HELD(), block_bytes=1 << 12, send_bytes=b).collect()} for b in (ngramlm.SEND_BYTES, 0))
+    assert sent == joined and len(sent) == len(texts)
