@@ -11,9 +11,9 @@ the filter grows with the input and errs as often at every size, always
 towards higher counts. The pieces are written as a table, the model. Scoring
 sees that table only: while all pieces take at most ``SEND_BYTES`` (they are
 summed first) they are broadcast and probed where the texts are; beyond it,
-each block's distinct n-grams meet the pieces by an equi-join on the piece, a
-task holds one piece at a time, and the levels read there go back to the
-block. Both give the same levels. N-grams travel as sorted, delta-coded blobs of the leading
+the levels of each block's distinct n-grams are those read where they met
+their piece as it was made, a piece at a time, and go back to the block. Both
+give the same levels. N-grams travel as sorted, delta-coded blobs of the leading
 bits of their hashes, 14 more than it takes to count the text's bytes (44 up to
 1 GB, all 64 from 1 PB on), so that as few meet by chance at every size.
 
@@ -217,9 +217,11 @@ def count_blocks(dealt: DataFrame, pieces: int, bits: int = KEY_BITS) -> DataFra
 
 
 def learn(counted: DataFrame, pieces: int, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(block, piece, counts, n, v, filter, top), written: a row of block -1 for each piece of the model, with its bits, its
-    largest level and the tokens and distinct tokens learned; the other rows hold the exact counts of a block's tokens."""
+    """(piece, filter, top, n, v, asked), written: a row for each piece of the model, with its bits, its largest level and the
+    tokens and distinct tokens learned. ``asked`` holds the levels of each block's n-grams and the exact counts of its
+    tokens, in their order, so that n-grams are shuffled and stored no second time."""
     least = 1 << max(3, (filter_bits // pieces).bit_length() - 1)
+    asked = pa.list_(pa.struct([("block", pa.int32()), ("levels", pa.binary()), ("counts", pa.binary())]))
 
     def run(batches):
         import zstandard
@@ -238,38 +240,16 @@ def learn(counted: DataFrame, pieces: int, filter_bits: int = FILTER_BITS) -> Da
             code = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode().indices.to_numpy()
             exact = np.bincount(code, weights=np.concatenate(counts)).astype(np.int64)
             back = [packer.compress(y.tobytes()) for y in np.split(exact[code], np.cumsum([len(c) for c in counts])[:-1])]
-            none = [None] * len(blobs)
+            q = f.levels(h).astype(np.uint8)[inverse]
+            levels = [packer.compress(y.tobytes()) for y in np.split(q, np.cumsum([len(x[0]) for x in blobs])[:-1])]
+            rows = [{"block": b, "levels": x, "counts": c} for b, x, c in zip(piece.column("block").to_pylist(), levels, back)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([-1, *piece.column("block").to_pylist()], pa.int32()), pa.array([piece.column("piece")[0].as_py()] * (len(blobs) + 1), pa.int32()), pa.array([None, *back], pa.binary()),
-                pa.array([int(exact.sum()), *none], pa.int64()), pa.array([int((exact > 0).sum()), *none], pa.int64()), pa.array([f.data.tobytes(), *none], pa.binary()), pa.array([f.top, *none], pa.int32()),
-            ], names=["block", "piece", "counts", "n", "v", "filter", "top"])
+                pa.array([piece.column("piece")[0].as_py()], pa.int32()), pa.array([f.data.tobytes()], pa.binary()), pa.array([f.top], pa.int32()),
+                pa.array([int(exact.sum())], pa.int64()), pa.array([int((exact > 0).sum())], pa.int64()), pa.array([rows], asked),
+            ], names=["piece", "filter", "top", "n", "v", "asked"])
 
     dealt = counted.repartition(pieces, "piece").sortWithinPartitions("piece")
-    return materialize(dealt.mapInArrow(lambda batches: tidy(run(batches)), "block int, piece int, counts binary, n long, v long, filter binary, top int"), "model")
-
-
-def look_up(counted: DataFrame, model: DataFrame, pieces: int) -> DataFrame:
-    """(block, piece, levels), written: what the model's pieces hold of each block's n-grams, in their order."""
-
-    def run(batches):
-        import zstandard
-
-        packer, held, at = zstandard.ZstdCompressor(level=1), None, None
-        for batch in batches:
-            rows = []
-            for block, piece, grams, bits, top in zip(*(batch.column(c).to_pylist() for c in ("block", "piece", "grams", "filter", "top"))):
-                if block < 0:
-                    held, at = Filter(np.frombuffer(bits, np.uint8), 1, top=top), piece
-                    continue
-                if piece != at:
-                    raise RuntimeError("a piece of the filter is not there")
-                rows.append((block, piece, packer.compress(held.levels(unpack(grams)[0]).astype(np.uint8).tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["block", "piece", "levels"])
-
-    asked = counted.select("block", "piece", "grams", F.lit(None).cast("binary").alias("filter"), F.lit(None).cast("int").alias("top"))
-    both = asked.unionByName(model.select("block", "piece", F.lit(None).cast("binary").alias("grams"), "filter", "top"))
-    dealt = both.repartition(pieces, "piece").sortWithinPartitions("piece", "block")
-    return materialize(dealt.mapInArrow(lambda batches: tidy(run(batches)), "block int, piece int, levels binary"), "levels")
+    return materialize(dealt.mapInArrow(lambda batches: tidy(run(batches)), "piece int, filter binary, top int, n long, v long, asked array<struct<block:int,levels:binary,counts:binary>>"), "model")
 
 
 def probed(h: np.ndarray, sent: dict[int, tuple[bytes, int]], pieces: int) -> np.ndarray:
@@ -294,18 +274,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     blocks, pieces, bits = row_count_partitions(spark, n_bytes, block_bytes), piece_count(n_bytes), key_bits(n_bytes)
     dealt = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition(blocks, "block")
-    counted = materialize(count_blocks(dealt, pieces, bits), "counts")
-    learned = learn(counted, pieces, filter_bits)
-    model = learned.where("block < 0").select("block", "piece", "n", "v", "filter", "top")
-    total = model.agg(F.sum("n"), F.sum("v"), F.sum(F.octet_length("filter"))).first()
+    learned = learn(count_blocks(dealt, pieces, bits), pieces, filter_bits)
+    model = learned.select("piece", "filter", "top")
+    total = learned.agg(F.sum("n"), F.sum("v"), F.sum(F.octet_length("filter"))).first()
     n, v, size = (int(x or 0) for x in total)
-    answers = learned.where("block >= 0").select("block", "piece", "counts")
     sent = None
     if size <= send_bytes:
-        sent = spark.sparkContext.broadcast({r["piece"]: (bytes(r["filter"]), r["top"]) for r in model.select("piece", "filter", "top").toLocalIterator()})
-        answers = answers.withColumn("levels", F.lit(None).cast("binary"))
-    else:
-        answers = answers.unionByName(look_up(counted, model, pieces), allowMissingColumns=True)
+        sent = spark.sparkContext.broadcast({r["piece"]: (bytes(r["filter"]), r["top"]) for r in model.toLocalIterator()})
+    each = learned.select("piece", F.explode("asked").alias("a"))
+    answers = each.select(F.col("a.block").alias("block"), "piece", (F.lit(None).cast("binary") if sent is not None else F.col("a.levels")).alias("levels"), F.col("a.counts").alias("counts"))
 
     def score_block(docs_table: pa.Table, answers: pa.Table) -> pa.Table:
         import zstandard
@@ -355,4 +332,4 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     id_type = base.schema["id"].dataType.simpleString()
     out = f"`{id_col}` {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.select("block", "piece", "levels", "counts").groupBy("block")).applyInArrow(score_block, out)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block, out)
