@@ -261,8 +261,8 @@ ANGLES = ("view_zenith", "view_azimuth", "sample_index", "line_index")
 def with_geometry(s: Scene) -> DataFrame:
     """Pixels with view angles and swath places, NULL where the first band is missing, and the sun's.
 
-    A swath sample falls into the cell that holds it, a later line over an earlier one; cells between are filled along the
-    window's rows, then its columns. Without a flight line the view angles are NULL.
+    A swath sample falls into the cell that holds it, a later line over an earlier one, and into none if its position is
+    missing; cells between are filled along the window's rows, then its columns. Without a flight line the view angles are NULL.
     """
     px = s.pixels
     if s.swath is None:
@@ -272,7 +272,8 @@ def with_geometry(s: Scene) -> DataFrame:
         zenith, azimuth = geo.view_angles(F.col("sample"), f.samples, f.resolution, f.height, f.heading)
         row, col = geo.grid_rowcol(F.col("x"), F.col("y"), s.affine)
         r0, r1, c0, c1 = s.window
-        there = s.swath.withColumns({"row": row.cast("int"), "col": col.cast("int"), "at": F.struct(zenith.alias("view_zenith"), azimuth.cast("double").alias("view_azimuth"), F.col("sample").cast("double").alias("sample_index"), F.col("line").cast("double").alias("line_index"))})
+        known = s.swath.where("not isnan(x) and not isnan(y)")  # NaN would turn to cell 0
+        there = known.withColumns({"row": row.cast("int"), "col": col.cast("int"), "at": F.struct(zenith.alias("view_zenith"), azimuth.cast("double").alias("view_azimuth"), F.col("sample").cast("double").alias("sample_index"), F.col("line").cast("double").alias("line_index"))})
         there = there.where(F.col("row").between(r0, r1 - 1) & F.col("col").between(c0, c1 - 1))
         grid = raster.scattered(px.select("row", "col"), raster.scatter_last(there, "at"), ["at"])
         filled = _filled(grid)

@@ -97,3 +97,14 @@ def test_boxes_and_errors(spark, tmp_path):
     (tmp_path / "b.dpix").mkdir()
     with pytest.raises(ValueError):
         dpix.open_scene(spark, str(tmp_path / "b.dpix"))
+
+
+def test_swath_samples_without_a_position_fall_into_no_cell(spark, tmp_path):
+    folder(tmp_path / "a.dpix")
+    path = tmp_path / "a.dpix" / "A-12-L1.glu"
+    at = np.frombuffer(path.read_bytes(), "<f8").copy().reshape(2, R, 3)
+    at[:, R - 1, 1:] = np.nan
+    path.write_bytes(at.tobytes())
+    got = {(x["row"], x["col"]): x for x in dpix.with_geometry(dpix.open_scene(spark, str(tmp_path / "a.dpix"))).collect()}
+    assert (got[0, 0]["sample_index"], got[0, 0]["line_index"]) == (0, 0)
+    assert (got[R - 1, C - 1]["sample_index"], got[R - 1, C - 1]["line_index"]) == (0, R - 1)
