@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Affine = Sequence[float]  # a b c d e f: x = a col + b row + c, y = d col + e row + f
+_E2 = (2 - 1 / 298.257223563) / 298.257223563  # squared eccentricity of WGS84
 _OFFSETS = {"center": (0.5, 0.5), "ul": (0.0, 0.0), "ur": (1.0, 0.0), "ll": (0.0, 1.0), "lr": (1.0, 1.0)}
 
 
@@ -194,6 +195,19 @@ def tm_inverse(x: Column, y: Column, lon0: float, k0: float = 0.9996, x0: float
     return F.degrees(F.asin(phi)), lon0 + F.degrees(F.atan2(F.sinh(b), F.cos(a)))
 
 
+def meridian_arc(lat: Column) -> Column:
+    """Metres along a meridian of WGS84 from the equator (series in the squared eccentricity, to its third power)."""
+    e2 = _E2
+    c = (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024, 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072)
+    p = F.radians(lat)
+    return 6378137.0 * (c[0] * p - c[1] * F.sin(2 * p) + c[2] * F.sin(4 * p) - c[3] * F.sin(6 * p))
+
+
+def parallel_arc(lat: Column, degrees: Column) -> Column:
+    """Metres along a parallel of WGS84."""
+    return 6378137.0 * cosd(lat) / F.sqrt(1 - _E2 * sind(lat) * sind(lat)) * F.radians(degrees)
+
+
 def _krueger() -> tuple[float, float, list[float], list[float]]:
     f = 1 / 298.257223563
     n = f / (2 - f)

@@ -155,3 +155,8 @@ def test_both_signs_of_the_bottom_term(spark):
         kd, kw = 1.0546 * e / cs, e / cv * (1 + w) ** 3.5421 * (1 - 0.2786 / cs)
         kb = e / cv * (1 + w) ** 2.2658 * (1 + sign * 0.0577 / cs)
         assert shallow == pytest.approx(deep * (1 - 1.1576 * math.exp(-2 * (kd + kw))) + 1.0389 * 0.2 / math.pi * math.exp(-2 * (kd + kb)), rel=1e-9)
+
+
+def test_arcs_of_the_ellipsoid(spark):
+    assert value(spark, geo.meridian_arc(lit(90)), geo.meridian_arc(lit(-45))) == (pytest.approx(10_001_965.73, abs=0.01), pytest.approx(-4_984_944.38, abs=0.01))
+    assert value(spark, geo.parallel_arc(lit(0), lit(360)), geo.parallel_arc(lit(60), lit(1))) == (pytest.approx(40_075_016.69, abs=0.01), pytest.approx(55_800, abs=1))

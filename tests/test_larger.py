@@ -29,3 +29,7 @@ def as_sql(spark, name, folder, **tables):
 
 def test_scene_whose_last_line_is_cut_and_whose_lines_have_gaps(spark, tmp_path):
     as_sql(spark, "pix_scene", tmp_path, embeddings=f"SELECT * FROM '{SF}/embeddings.parquet' WHERE vec_id < 61 AND vec_id NOT BETWEEN 20 AND 27")
+
+
+def test_projection_far_from_the_first_rows(spark, tmp_path):
+    as_sql(spark, "projection_round_trip", tmp_path, embeddings=f"SELECT vec_id + k * 1000003 AS vec_id, embedding, label FROM '{SF}/embeddings.parquet', range(12) t(k)")
