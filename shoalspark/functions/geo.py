@@ -136,16 +136,22 @@ def hour_angle(lon: Column, zone_lon: Column, ts: Column) -> Column:
     return (hours - 12) * 15
 
 
-def declination(ts: Column) -> Column:
-    """Solar declination in degrees (Spencer's series)."""
+def declination(ts: Column, unit: str = "degrees") -> Column:
+    """Solar declination in degrees, or in radians as the series gives it (Spencer's)."""
     b = 2 * math.pi * (F.dayofyear(ts) - 1) / 365
-    return F.degrees(0.006918 - 0.399912 * F.cos(b) + 0.070257 * F.sin(b) - 0.006758 * F.cos(2 * b) + 0.000907 * F.sin(2 * b) - 0.002697 * F.cos(3 * b) + 0.00148 * F.sin(3 * b))
+    d = (0.006918 - 0.399912 * F.cos(b) + 0.070257 * F.sin(b) - 0.006758 * F.cos(2 * b) + 0.000907 * F.sin(2 * b) - 0.002697 * F.cos(3 * b) + 0.00148 * F.sin(3 * b))
+    return d if unit == "radians" else F.degrees(d)
 
 
-def sun_from_hour_angle(lat: Column, hour: Column, decl: Column) -> tuple[Column, Column]:
-    s = sind(lat) * sind(decl) + cosd(lat) * cosd(decl) * cosd(hour)
+def sun_from_hour_angle(lat: Column, hour: Column, decl: Column, unit: str = "degrees") -> tuple[Column, Column]:
+    """Zenith and azimuth in degrees; ``unit``: of the declination.
+
+    At noon the azimuth's cosine is 1 but for its last bit, and NaN beyond 1: a declination turned to degrees and back decides otherwise.
+    """
+    d = decl if unit == "radians" else F.radians(decl)
+    s = sind(lat) * F.sin(d) + cosd(lat) * F.cos(d) * cosd(hour)
     c = F.cos(F.asin(s))
-    azimuth = F.degrees(F.acos((s * sind(lat) - sind(decl)) / (c * cosd(lat)))) + 180
+    azimuth = F.degrees(F.acos((s * sind(lat) - F.sin(d)) / (c * cosd(lat)))) + 180
     return 90 - F.degrees(F.asin(s)), azimuth
 
 

@@ -33,3 +33,7 @@ def test_scene_whose_last_line_is_cut_and_whose_lines_have_gaps(spark, tmp_path)
 
 def test_projection_far_from_the_first_rows(spark, tmp_path):
     as_sql(spark, "projection_round_trip", tmp_path, embeddings=f"SELECT vec_id + k * 1000003 AS vec_id, embedding, label FROM '{SF}/embeddings.parquet', range(12) t(k)")
+
+
+def test_sun_at_noon(spark, tmp_path):
+    as_sql(spark, "sun_by_hour_angle", tmp_path, events="SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE abs(datediff('second', date_trunc('day', ts), ts) - 44280) < 100")
