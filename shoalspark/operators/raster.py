@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def tile_assign(pixels: DataFrame, size: int) -> DataFrame:
     return pixels.withColumns({"tile_y": F.floor(F.col("row") / size).cast("int"), "tile_x": F.floor(F.col("col") / size).cast("int")})
@@ -260,12 +262,20 @@ def cubic_weights(t: np.ndarray) -> np.ndarray:
     return np.stack([((-0.5 * t + 1) * t - 0.5) * t, (1.5 * t - 2.5) * t * t + 1, ((-1.5 * t + 2) * t + 0.5) * t, (0.5 * t - 0.5) * t * t])
 
 
-def _cubic(target: DataFrame, source: DataFrame, value: str, affine: Sequence[float], tile: int = 256) -> DataFrame:
-    """Sixteen cells a target, gathered in tiles: targets are dealt by the cell they lie in, sources come with a halo of two."""
+def _cubic(target: DataFrame, source: DataFrame, value: str, affine: Sequence[float], tile: int = 256, most: int = 100_000) -> DataFrame:
+    """Sixteen cells a target, gathered in tiles: targets are dealt by the cell they lie in, sources come with a halo of two.
+
+    A tile of more than ``most`` targets is dealt in parts of about so many, each with the tile's cells, so that what a
+    task holds follows neither the number of targets nor where they lie.
+    """
     a, _, c, _, e, f = map(float, affine)
     u, v = (F.col("x") - c) / a - 0.5, (F.col("y") - f) / e - 0.5
     t = target.withColumns({"__u": u, "__v": v, "ty": F.floor(F.floor(v) / tile).cast("int"), "tx": F.floor(F.floor(u) / tile).cast("int")})
     cells = with_halo(source.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("__s")), tile, 2)
+    full = materialize(t.groupBy("ty", "tx").agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).where("__parts > 1 and ty is not null and tx is not null"), "crowded")  # a row for ``most`` targets at most
+    small = full.count() <= 100_000
+    t = t.join(F.broadcast(full) if small else full, ["ty", "tx"], "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*target.columns), "__parts"), F.lit(0)).cast("int")).drop("__parts")
+    cells = cells.join(F.broadcast(full) if small else full, ["ty", "tx"], "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in target.schema if x.name != value), f"`{value}` double"])
     keep = [x.name for x in target.schema if x.name != value]
 
@@ -289,7 +299,7 @@ def _cubic(target: DataFrame, source: DataFrame, value: str, affine: Sequence[fl
         return pa.table([points.column(n) for n in keep] + [pa.array(got, pa.float64(), mask=bad)], names=[*keep, value])
 
     there = t.where("ty is not null and tx is not null")
-    out = there.groupBy("ty", "tx").cogroup(cells.groupBy("ty", "tx")).applyInArrow(run, schema)
+    out = there.groupBy("ty", "tx", "__part").cogroup(cells.groupBy("ty", "tx", "__part")).applyInArrow(run, schema)
     return out.unionByName(t.where("ty is null or tx is null").select(*keep, F.lit(None).cast("double").alias(value)))
 
 

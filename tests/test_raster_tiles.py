@@ -82,3 +82,10 @@ def test_covariance_of_bands_with_gaps(spark):
     assert got[0, 0] == pytest.approx(np.var([1, 2, 4, 0], ddof=1))
     one = {r["cov"] for r in spectral.covariance(spark.createDataFrame(rows[:1], "s array<double>"), "s", 3).collect()}
     assert one == {0.0}
+
+
+def test_cubic_resampling_of_a_crowded_tile_is_dealt_in_parts(spark):
+    src = table(spark, [[float((3 * r + 5 * c) % 11) for c in range(12)] for r in range(12)])
+    target = spark.range(900).selectExpr("id", "1.6 + (id % 30) * 0.3 as x", "2.2 + (id div 30) * 0.25 as y")
+    whole, parts = ({r["id"]: r["v"] for r in raster._cubic(target, src, "v", (1, 0, 0, 0, 1, 0), 5, most).collect()} for most in (10**6, 20))
+    assert whole == parts and len(parts) == 900 and sum(v is not None for v in parts.values()) > 700
