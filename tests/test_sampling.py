@@ -38,3 +38,22 @@ def test_diagnostics_as_by_hand(spark):
     assert r["mean"] == pytest.approx(v.mean()) and r["sd"] == pytest.approx(v.std(ddof=1)) and r["rhat"] == pytest.approx(((49 / 50 * w + b) / w) ** 0.5) and r["rhat"] > 1.2
     runs = v.reshape(30, 10).mean(axis=1).var(ddof=1)
     assert r["ess"] == pytest.approx(300 * v.var(ddof=1) / (10 * runs))
+
+
+def test_summary_of_draws_kept_in_their_task_is_that_of_the_table(spark):
+    rows = spark.createDataFrame([(i, 2.0 * i) for i in range(12)], "id int, m double")
+    for draws in (400, 111):
+        table = sampling.summary(sampling.draw_table(rows, ["id"], gaussian, ["a", "b"], draws=draws, warmup=100), ["id"], ["a", "b"], draws)
+        want = {(r["id"], r["parameter"]): r for r in table.collect()}
+        got = sampling.drawn_summary(rows, ["id"], gaussian, ["a", "b"], draws=draws, warmup=100, batch=7).collect()
+        assert len(got) == len(want) == 24
+        for r in got:
+            assert all(r[c] == pytest.approx(want[r["id"], r["parameter"]][c], rel=1e-6) for c in ("mean", "sd", "rhat", "ess"))
+
+
+def test_noise_is_normal_and_apart_by_seed_and_step():
+    seeds = np.arange(-500, 500, dtype=np.int64).view(np.uint64)
+    u = np.stack([sampling.uniforms(seeds, k, 5) for k in range(100)])
+    assert len(np.unique(u)) == u.size and abs(u.mean() - 0.5) < 0.003 and abs(u.var() - 1 / 12) < 0.001
+    z = np.stack([sampling.normals(x[:, :4]) for x in u])
+    assert abs(z.mean()) < 0.01 and abs(z.var() - 1) < 0.01 and abs((z**4).mean() - 3) < 0.1 and abs(np.corrcoef(z.reshape(-1, 4).T) - np.eye(4)).max() < 0.02
