@@ -75,6 +75,41 @@ def window_means(long: DataFrame, by: Sequence[str] = ("uuid", "wavelength"), va
     return long.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
+#: What a point's window is told by.
+WINDOW = ("row0", "row1", "col0", "col1")
+
+
+def different_windows(pixels: DataFrame, points: DataFrame, tile: int = 64) -> DataFrame:
+    """Pixels inside each different window of the points, once however many points share it, dealt by window: groups of windows need no further shuffle."""
+    return window_join(pixels, points.select(*WINDOW).distinct(), tile).repartition(*WINDOW)
+
+
+def repeated_ids(points: DataFrame) -> DataFrame | None:
+    """Ids of more than one point; None without any."""
+    again = points.groupBy("uuid").count().where("count > 1").select("uuid")
+    return None if again.isEmpty() else again
+
+
+def window_spectra(pixels: DataFrame, spectrum: str, points: DataFrame, tile: int = 64) -> DataFrame:
+    """(uuid, wl_idx, mean, n): mean spectra of the points' windows.
+
+    A scene has no more windows than cells, so each different one is averaged once, and points take its bands by an
+    equi-join; no pixel is copied to its points. Points that share an id are averaged over the pixels of all of them.
+    """
+
+    def bands(near: DataFrame, by: Sequence[str]) -> DataFrame:
+        return window_means(near.select(*by, F.posexplode(spectrum).alias("wl_idx", "value")), (*by, "wl_idx"))
+
+    again = repeated_ids(points)
+    once = points if again is None else points.join(again, "uuid", "left_anti")
+    p = pixels.select("row", "col", spectrum)
+    packed = bands(different_windows(p, once, tile), WINDOW).groupBy(*WINDOW).agg(F.collect_list(F.struct("wl_idx", "mean", "n")).alias("b"))  # a sensor's bands
+    out = once.select("uuid", *WINDOW).join(packed, list(WINDOW)).select("uuid", F.inline("b"))
+    if again is None:
+        return out
+    return out.unionByName(bands(window_join(p, points.join(again, "uuid", "left_semi"), tile), ("uuid",)))
+
+
 def pixel_line(pixels: DataFrame, line: int, window: int) -> DataFrame:
     """Pixels of ``line`` .. ``line + window``, both ends included."""
     return pixels.where(F.col("line_index").between(line, line + window))

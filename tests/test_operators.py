@@ -511,3 +511,16 @@ def test_dark_spectra_choose_aerosol_and_model(spark):
     out = correction.archive_dark_l1_to_l2(px, scenes, wl, a, s, lut.synthetic(spark, g, wl), g).collect()
     assert len(out) == 27 and all((r["rho_s"] is None) == (r["image_id"] == 2) for r in out)
     assert {r["image_id"]: r["aerosol_model"] for r in out} == {0: "blue", 1: "flat", 2: None}
+
+
+def test_mean_spectra_of_windows_that_many_points_share(spark):
+    px = spark.range(40).where("id <> 13").selectExpr("cast(id div 5 as int) as row", "cast(id % 5 as int) as col", "array(id / 7, if(id % 4 = 0, null, id * 1.5)) as s")
+    pts = matchup.windows(spark.range(400).selectExpr("if(id < 9, id div 3, id) as uuid", "(id * 7 % 50) / 10 as x", "(id * 11 % 80) / 10 as y"), "x", "y", (1, 0, 0, 0, 1, 0), 8, 5, 3)
+    for some in (pts, pts.where("uuid > 8")):  # with and without repeated ids
+        plain = matchup.window_means(matchup.window_join(px, some, 4).select("uuid", F.posexplode("s").alias("wl_idx", "value")), ("uuid", "wl_idx"))
+        want = {(r["uuid"], r["wl_idx"]): (r["mean"], r["n"]) for r in plain.collect()}
+        got = matchup.window_spectra(px, "s", some, 4).collect()
+        assert len(got) == len(want) > 700
+        for r in got:
+            mean, n = want[r["uuid"], r["wl_idx"]]
+            assert r["n"] == n and r["mean"] == (mean if mean is None else pytest.approx(mean))
