@@ -81,7 +81,12 @@ WINDOW = ("row0", "row1", "col0", "col1")
 
 def different_windows(pixels: DataFrame, points: DataFrame, tile: int = 64) -> DataFrame:
     """Pixels inside each different window of the points, once however many points share it, dealt by window: groups of windows need no further shuffle."""
-    return window_join(pixels, points.select(*WINDOW).distinct(), tile).repartition(*WINDOW)
+    return by_window(window_join(pixels, points.select(*WINDOW).distinct(), tile))
+
+
+def by_window(df: DataFrame) -> DataFrame:
+    """Dealt by window into a fixed number of tasks: what is small here is many rows once its bands are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *WINDOW)
 
 
 def repeated_ids(points: DataFrame) -> DataFrame | None:
@@ -104,7 +109,7 @@ def window_spectra(pixels: DataFrame, spectrum: str, points: DataFrame, tile: in
     once = points if again is None else points.join(again, "uuid", "left_anti")
     p = pixels.select("row", "col", spectrum)
     packed = bands(different_windows(p, once, tile), WINDOW).groupBy(*WINDOW).agg(F.collect_list(F.struct("wl_idx", "mean", "n")).alias("b"))  # a sensor's bands
-    out = once.select("uuid", *WINDOW).join(packed, list(WINDOW)).select("uuid", F.inline("b"))
+    out = by_window(once.select("uuid", *WINDOW)).join(packed, list(WINDOW)).select("uuid", F.inline("b"))
     if again is None:
         return out
     return out.unionByName(bands(window_join(p, points.join(again, "uuid", "left_semi"), tile), ("uuid",)))

@@ -90,16 +90,31 @@ def resampled(x: Column | str, y: Column | str, wavelengths: Sequence[float]) ->
     """
     target = np.array(wavelengths, float)
 
-    def one(nodes, values):
-        if nodes is None or values is None or len(nodes) == 0:
-            return None
-        nodes, values = np.asarray(nodes, float), np.asarray(values, float)
-        order = np.argsort(nodes, kind="stable")
-        return [None if np.isnan(v) else float(v) for v in np.interp(target, nodes[order], values[order])]
-
-    @F.pandas_udf("array<double>")
-    def run(nodes: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(nodes, values)], dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        groups: dict[tuple, list[int]] = {}  # spectra of one instrument share their nodes
+        for i, nodes in enumerate(x.to_pylist()):
+            groups.setdefault(None if nodes is None else tuple(nodes), []).append(i)
+        found, there = np.full((len(x), len(target)), np.nan), np.zeros(len(x), bool)
+        for nodes, at in groups.items():
+            if not nodes:
+                continue
+            some = y.take(pa.array(at))
+            ok = np.flatnonzero(~some.is_null().to_numpy(zero_copy_only=False))
+            at, there[np.array(at)[ok]] = np.array(at)[ok], True
+            values = some.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), len(nodes))
+            nodes = np.array(nodes, float)
+            order = np.argsort(nodes, kind="stable")
+            nodes, values = nodes[order], values[:, order]
+            plain = np.isfinite(values).all(axis=1) & np.isfinite(nodes).all()
+            for i in np.flatnonzero(~plain):
+                found[at[i]] = np.interp(target, nodes, values[i])
+            if plain.any():
+                share = np.stack([np.interp(target, nodes, e) for e in np.eye(len(nodes))]) if (np.diff(nodes) > 0).all() else None
+                found[at[plain]] = values[plain] @ share if share is not None else np.stack([np.interp(target, nodes, v) for v in values[plain]])
+        flat = found.ravel()
+        offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(target))
+        return pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64(), mask=np.isnan(flat)), mask=pa.array(~there))
 
     return run(x, y)
 

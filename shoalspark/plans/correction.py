@@ -116,6 +116,13 @@ def _near(pixels: DataFrame, timed: DataFrame, points: DataFrame, scene_time: st
     return near.where(matchup.within_hours(F.col("date_time"), F.col(scene_time), hours))
 
 
+def _timed(insitu: DataFrame, wavelengths: Sequence[float]) -> DataFrame:
+    """(uuid, __times, rho_w): in-situ spectra at the sensor's bands, once a point."""
+    node = F.struct("wavelength", "rho")  # an instrument's bands: some hundred values a point
+    spectra = insitu.groupBy("uuid").agg(F.collect_list(node).alias("n"), F.collect_set("date_time").alias("__times"))
+    return spectra.select("uuid", "__times", spectral.resampled(F.col("n.wavelength"), F.col("n.rho"), wavelengths).alias("rho_w"))
+
+
 def matchup_bands(pixels: DataFrame, wavelengths: Sequence[float], insitu: DataFrame, points: DataFrame, scene_time: str, hours: float = 12.0, land: bool = False, tile: int = 16) -> DataFrame:
     """matchups() of pixel rows whose bands are arrays, one row a pixel and band.
 
@@ -124,14 +131,45 @@ def matchup_bands(pixels: DataFrame, wavelengths: Sequence[float], insitu: DataF
     once a point; windows and pixels meet in one join by tile; bands become rows after it, and what is left is plain
     arithmetic by row, which unlike functions of array elements is compiled.
     """
-    node = F.struct("wavelength", "rho")  # an instrument's bands: some hundred values a point
-    spectra = insitu.groupBy("uuid").agg(F.collect_list(node).alias("n"), F.collect_set("date_time").alias("__times"))
-    timed = spectra.select("uuid", "__times", spectral.resampled(F.col("n.wavelength"), F.col("n.rho"), wavelengths).alias("rho_w"))
-    near = _near(pixels, timed, points, scene_time, hours, tile)
+    near = _near(pixels, _timed(insitu, wavelengths), points, scene_time, hours, tile)
     bands = {"wavelength": F.array(*[F.lit(float(w)) for w in wavelengths])} | {c: F.col(c) for c in ("rho_w", "rho_t", "glint", "path", "t_ra", "s_ra", "t_gas")}
     return _carried(near.select("uuid", "image_name", "x", "y", F.inline(F.arrays_zip(*[v.alias(k) for k, v in bands.items()]))), land)
 
 
+def matchup_means(pixels: DataFrame, wavelengths: Sequence[float], insitu: DataFrame, points: DataFrame, scene_time: str, hours: float = 12.0, land: bool = False, tile: int = 16) -> DataFrame:
+    """(uuid, image_name, wl_idx, n, rho_t, rho_t_hat): matchup_bands() averaged over each point's window, without a row a pixel and point.
+
+    A scene has no more windows than cells: each different one is summed once, band by band, its pixels told apart by the
+    atmosphere's terms alone, since those and the point's own reflectance are all that rho_t_hat depends on. Points take
+    their window's bands by an equi-join. Ids of several points are averaged over the rows of matchup_bands().
+    """
+    terms = ("glint", "path", "t_ra", "s_ra", "t_gas")
+    again = matchup.repeated_ids(points)
+    once = points if again is None else points.join(again, "uuid", "left_anti")
+    p = pixels.select("row", "col", "image_name", F.col(scene_time).alias("__acq"), "rho_t", *terms)
+    w = (*matchup.WINDOW, "image_name", "__acq")
+    each = matchup.different_windows(p, once, tile).select(*w, F.posexplode(F.arrays_zip("rho_t", *terms)).alias("wl_idx", "b")).select(*w, "wl_idx", "b.*")
+    alike = each.groupBy(*w, "wl_idx", *terms).agg(F.count("*").alias("m"), F.sum("rho_t").alias("s"), F.count("rho_t").alias("c"))
+    bands = alike.groupBy(*w, "wl_idx").agg(F.sum("m").alias("n"), F.try_divide(F.sum("s"), F.sum("c")).alias("rho_t"), F.collect_list(F.struct("m", *terms)).alias("k"))  # at most a window's pixels
+    packed = bands.groupBy(*w).agg(F.collect_list(F.struct("wl_idx", "n", "rho_t", "k")).alias("b"))  # a sensor's bands
+    timed = _timed(insitu, wavelengths)
+    near = matchup.by_window(once.select("uuid", *matchup.WINDOW).join(timed, "uuid")).join(packed, list(matchup.WINDOW))
+    times = F.size(F.filter("__times", lambda t: matchup.within_hours(t, F.col("__acq"), hours)))
+    rows = near.select("uuid", "image_name", "rho_w", times.alias("times"), F.inline("b")).where("times > 0")
+    rows = rows.withColumn("rho_w", F.get("rho_w", F.col("wl_idx")))
+    hat = lambda k: ph.surface_to_sensor(F.col("rho_w"), k["glint"], F.lit(land), k["t_gas"], k["path"], k["t_ra"], k["s_ra"])
+    first = F.get("k", F.lit(0))
+    known = F.filter(F.transform("k", lambda k: F.struct(k["m"].alias("m"), hat(k).alias("h"))), lambda x: x["h"].isNotNull())
+    total = F.aggregate(known, F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("m")), lambda a, x: F.struct((a["s"] + x["m"] * x["h"]).alias("s"), (a["m"] + x["m"]).alias("m")))
+    mean = F.when(F.size("k") == 1, hat(first)).otherwise(F.try_divide(total["s"], total["m"]))
+    out = rows.select("uuid", "image_name", "wl_idx", (F.col("n") * F.col("times")).alias("n"), "rho_t", mean.alias("rho_t_hat"))
+    if again is None:
+        return out
+    plain = matchup_bands(pixels, wavelengths, insitu, points.join(again, "uuid", "left_semi"), scene_time, hours, land, tile)
+    place = F.array_position(F.array(*[F.lit(float(x)) for x in wavelengths]), F.col("wavelength")).cast("int") - 1
+    return out.unionByName(plain.groupBy("uuid", "image_name", place.alias("wl_idx")).agg(F.count("*").alias("n"), F.avg("rho_t").alias("rho_t"), F.avg("rho_t_hat").alias("rho_t_hat")))
+
+
 # --- many scenes -----------------------------------------------------------------------
 
 

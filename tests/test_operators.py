@@ -524,3 +524,17 @@ def test_mean_spectra_of_windows_that_many_points_share(spark):
         for r in got:
             mean, n = want[r["uuid"], r["wl_idx"]]
             assert r["n"] == n and r["mean"] == (mean if mean is None else pytest.approx(mean))
+
+
+def test_means_of_matchups_as_over_their_rows(spark):
+    wl = [450.0, 550.0]
+    term = lambda v: F.array(F.lit(v) + F.col("id") % 2 / 100, F.lit(v))  # noqa: E731  the first band's terms differ inside a window
+    px = spark.range(25).select(F.expr("cast(id div 5 as int)").alias("row"), (F.col("id") % 5).cast("int").alias("col"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit("i").alias("image_name"), F.array(F.col("id") / 100, F.when(F.col("id") % 3 > 0, F.col("id") / 50)).alias("rho_t"), F.expr("timestamp'2024-01-01 12:00:00'").alias("acq"), *[term(v).alias(k) for k, v in {"path": 0.02, "t_ra": 0.9, "s_ra": 0.1, "glint": 0.001, "t_gas": 0.95}.items()])
+    pts = matchup.windows(spark.createDataFrame([("u", 2.5, 2.5), ("v", 0.5, 4.5), ("w", 0.5, 4.5), ("two", 1.5, 1.5), ("two", 4.5, 0.5), ("late", 2.5, 2.5)], "uuid string, px double, py double"), "px", "py", (1, 0, 0, 0, 1, 0), 5, 5, 3)
+    when = {"late": ["2024-01-03 10:00:00"], "w": ["2024-01-01 10:00:00", "2024-01-01 11:00:00"]}
+    ins = spark.createDataFrame([(u, t, w, w / 10000 + len(u) / 100) for u in ("u", "v", "w", "two", "late") for t in when.get(u, ["2024-01-01 10:00:00"]) for w in (400.0, 500.0)], "uuid string, date_time string, wavelength double, rho double").withColumn("date_time", F.to_timestamp("date_time"))
+    for some in (pts, pts.where("uuid <> 'two'")):
+        plain = correction.matchup_bands(px, wl, ins, some, "acq", tile=2).groupBy("uuid", "wavelength").agg(F.count("*").alias("n"), F.avg("rho_t").alias("a"), F.avg("rho_t_hat").alias("b"))
+        want = {(r["uuid"], wl.index(r["wavelength"])): (r["n"], r["a"], r["b"]) for r in plain.collect()}
+        got = {(r["uuid"], r["wl_idx"]): (r["n"], r["rho_t"], r["rho_t_hat"]) for r in correction.matchup_means(px, wl, ins, some, "acq", tile=2).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
