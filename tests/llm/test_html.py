@@ -152,3 +152,49 @@ def test_repeated_rows_have_a_result_each(spark):
     df = rows(spark, [(f"http://a.com/x/{i}", f"<div>Top</div><p>s{i}</p>") for i in range(4)] + [(None, None)])
     got = html.extract(df.unionByName(df)).collect()
     assert sorted((r["page_id"], r["text"]) for r in got) == sorted([(0, "s0"), (1, "s1"), (2, "s2"), (3, "s3"), (4, "")] * 2)
+
+
+STORY = "<article><h1>Title {0}</h1><div class=body><p>First {0}</p><p>As ever.</p><div class=title><h2>Results</h2></div><p>Second {0}</p><p>Third {0}</p><p>Last {0}</p></div><div class='x7'><p>Tell a friend</p><p>Follow us</p></div></article>"
+
+
+def test_differencing_decides_in_articles_too(spark):
+    pages = [(f"http://d.com/n/{i}", f"<p>Top</p>{STORY.format(i)}<p>End</p>") for i in range(8)]
+    pages += [(f"http://e.com/n/{i}", f"<p>Top {i}</p>{STORY.format('x').replace('Second', f'{i}')}") for i in range(8)]  # one story, told again
+    pages += [("http://f.com/n/1", STORY.format(1))] + [(f"http://g.com/n/{i}", STORY.format(i)) for i in range(4)]
+    df = rows(spark, pages)
+    got = {r["page_id"]: r for r in html.extract(df).collect()}
+    for i in range(8):
+        assert got[i]["text"] == f"Title {i}\nFirst {i}\nAs ever.\nResults\nSecond {i}\nThird {i}\nLast {i}" and got[i]["n_shared"] == 4
+        assert got[8 + i]["text"].endswith("Tell a friend\nFollow us") and "As ever." in got[8 + i]["text"] and got[8 + i]["n_shared"] == 0
+    for i in range(16, 21):  # a lone page, and too few
+        assert got[i]["text"].endswith("Tell a friend\nFollow us") and got[i]["n_shared"] == 0
+
+
+def test_given_pages_are_all_differenced(spark):
+    """Each page of the smallest table against its partner, one by one; articles come out whole, as they hold no container."""
+    import re
+
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    hosts, want = {}, {}
+    for r in df.collect():
+        lines = html.read_lines(r["html"])
+        host, _, path = re.sub(r"[?#].*$", "", r["url"]).split("://")[1].partition("/")
+        hosts.setdefault(host.lower(), []).append(("/" + path, r["url"], r["page_id"], lines))
+    for order in map(sorted, hosts.values()):
+        for k, (path, _, i, lines) in enumerate(order):
+            near = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order)]
+            other = max(near, key=lambda x: len(os.path.commonprefix([path, x[0]])))[3] if near else []
+            cut = html.shared([x for _, x in lines], [x for _, x in other])
+            want[i] = ("\n".join(x for z, x in lines if z == html.ARTICLE), sum(c for (z, _), c in zip(lines, cut) if z != html.ARTICLE))
+    assert {r["page_id"]: (r["text"], r["n_shared"]) for r in html.extract(df).collect()} == want
+    assert sum(n for _, n in want.values()) > 0
+
+
+def test_many_copies_are_dealt(spark, monkeypatch):
+    pages = [(f"http://d.com/n/{i // 7}", f"<p>Top</p>{STORY.format(i // 7)}") for i in range(56)] + [(None, STORY)] * 5 + [("http://d.com/n/z", None)] * 9
+    pages += [(f"http://d.com/m/{i // 7}", f"<div>Top</div><nav>n{i // 7}</nav><p>Body {i // 7}</p>") for i in range(28)]
+    df = rows(spark, pages)
+    once = sorted(map(tuple, html.extract(df).collect()), key=str)
+    monkeypatch.setattr(html, "HOT", 2)
+    assert sorted(map(tuple, html.extract(df).collect()), key=str) == once and len(once) == len(pages)
+    assert all(t == f"Body {(i - 70) // 7}" for i, _, t, *_ in once if i >= 70) and not any("friend" in t for i, _, t, *_ in once if i < 56)
